@@ -1 +1,124 @@
+"""Scores of summaries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gradewell.operators import summary
+from gradewell.plans import jobs
+from gradewell.queries import sqltext as q
+from gradewell.queries import views as v
+from gradewell.queries.registry import query
+from gradewell.queries.scoring import rounded
+
+_KEY = ("dataset", "model", "conv_id", "turn")
+_KEYS = ", ".join(_KEY)
+
+
+def _tokens(x: str) -> str:
+    return f"list_filter(string_split(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
+
+
+def _grams(n: int) -> str:
+    """(key, n, gram, r, p): how often each side has each gram."""
+    gram = "ref[i]" if n == 1 else "ref[i] || ' ' || ref[i + 1]"
+    out = []
+    for side, counts in (("ref", "1 AS r, 0 AS p"), ("pred", "0 AS r, 1 AS p")):
+        words = gram.replace("ref", side)
+        out.append(f"SELECT {_KEYS}, {n} AS n, {words} AS gram, {counts} "
+                   f"FROM words, LATERAL (SELECT unnest(range(1, len({side}) + {2 - n})) AS i)")
+    return " UNION ALL ".join(out)
+
+
+_ROUGE_N = f"""words AS (SELECT {_KEYS}, {_tokens('reference')} AS ref, {_tokens('prediction')} AS pred FROM summaries),
+grams AS ({_grams(1)} UNION ALL {_grams(2)}),
+counted AS (SELECT {_KEYS}, n, gram, sum(r) AS r, sum(p) AS p FROM grams GROUP BY ALL),
+overlap AS (SELECT {_KEYS}, n, sum(least(r, p)) AS o, sum(r) AS r, sum(p) AS p FROM counted GROUP BY ALL),
+scores AS (
+  SELECT {_KEYS}, {', '.join(
+      f"coalesce(max({expr}) FILTER (n = {n}), 0.0) AS {name}" for n in (1, 2) for expr, name in (
+          (q.div('o', 'p'), f'rouge{n}_precision'), (q.div('o', 'r'), f'rouge{n}_recall'),
+          (q.div('2 * o', 'r + p'), f'rouge{n}')))}
+  FROM words LEFT JOIN overlap USING ({_KEYS}) GROUP BY ALL)"""
+_N_COLUMNS = [f"rouge{n}{s}" for n in (1, 2) for s in ("_precision", "_recall", "")]
+
+
+@query("T1_rouge_n", v.with_sql(v.SUMMARIES_SQL, _ROUGE_N, select=f"""
+SELECT {_KEYS}, {', '.join(f'round({c}, 6) AS {c}' for c in _N_COLUMNS)} FROM scores"""))
+def t1(spark, sf):
+    return rounded(summary.rouge_n(v.summaries(spark, sf), _KEY, "reference", "prediction"), *_N_COLUMNS)
+
+
+def _with_rouge(spark, sf, stemmed=False):
+    return summary.with_rouge(v.summaries(spark, sf), "reference", "prediction", stemmed)
+
+
+# The n-gram columns of the row-wise scorer agree with the aggregate form above; the subsequence columns have no
+# plain SQL form and are tested against a quadratic table on small texts.
+@query("T1_rouge_n_per_row", v.with_sql(v.SUMMARIES_SQL, _ROUGE_N, select=f"""
+SELECT {_KEYS}, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2 FROM scores"""))
+def t1_rows(spark, sf):
+    return rounded(_with_rouge(spark, sf).select(*_KEY, "rouge1", "rouge2"), "rouge1", "rouge2")
+
+
+@query("T2_rouge_l")
+def t2(spark, sf):
+    return rounded(_with_rouge(spark, sf).select(*_KEY, "rougeL"), "rougeL")
+
+
+@query("T3_rouge_lsum")
+def t3(spark, sf):
+    return rounded(_with_rouge(spark, sf).select(*_KEY, "rougeLsum"), "rougeLsum")
+
+
+@query("T4_rouge_stemmed")
+def t4(spark, sf):
+    return rounded(_with_rouge(spark, sf, stemmed=True).select(*_KEY, *summary.ROUGE), *summary.ROUGE)
+
+
+_DIMS, _PIECE = 64, 8
+
+
+def token_vectors(spark, sf):
+    """Each embedding cut into eight token vectors, beside those of the embedding before it."""
+    pieces = F.array(*[F.slice("embedding", i + 1, _PIECE) for i in range(0, _DIMS, _PIECE)])
+    vectors = v.table(spark, sf, "embeddings").select("vec_id", pieces.alias("vectors"))
+    reference = vectors.select((F.col("vec_id") + 1).alias("vec_id"), F.col("vectors").alias("ref_vectors"))
+    return vectors.withColumnRenamed("vectors", "pred_vectors").join(reference, "vec_id")
+
+
+_MATCH = f"""pieces AS (
+  SELECT vec_id, i, embedding[(i * {_PIECE} + 1):((i + 1) * {_PIECE})]::DOUBLE[] AS t
+  FROM embeddings, LATERAL (SELECT unnest(range(0, {_DIMS // _PIECE})) AS i)),
+sims AS (
+  SELECT p.vec_id, p.i AS pi, r.i AS ri, list_cosine_similarity(p.t, r.t) AS s
+  FROM pieces p JOIN pieces r ON r.vec_id = p.vec_id - 1),
+pr AS (SELECT vec_id, avg(s) AS p FROM (SELECT vec_id, pi, max(s) AS s FROM sims GROUP BY ALL) GROUP BY vec_id),
+rc AS (SELECT vec_id, avg(s) AS r FROM (SELECT vec_id, ri, max(s) AS s FROM sims GROUP BY ALL) GROUP BY vec_id)"""
+
+
+@query("T5_greedy_token_match", v.with_sql(_MATCH, select="""
+SELECT vec_id, round(p, 6) AS match_precision, round(r, 6) AS match_recall, round(2 * p * r / (p + r), 6) AS match_f1
+FROM pr JOIN rc USING (vec_id)"""))
+def t5(spark, sf):
+    out = summary.with_token_match(token_vectors(spark, sf), "ref_vectors", "pred_vectors")
+    names = ("match_precision", "match_recall", "match_f1")
+    return rounded(out.select("vec_id", *names), *names)
+
+
+@query("A26_mean_scores", v.with_sql(v.SUMMARIES_SQL, _ROUGE_N, select=f"""
+SELECT dataset, model, {', '.join(f'round(avg({c}), 6) AS {c}' for c in _N_COLUMNS)}, count(*) AS pairs
+FROM scores GROUP BY dataset, model"""))
+def a26(spark, sf):
+    scores = summary.rouge_n(v.summaries(spark, sf), _KEY, "reference", "prediction")
+    return rounded(summary.mean_scores(scores, _N_COLUMNS), *_N_COLUMNS)
+
+
+@query("C7_score_summaries")
+def c7(spark, sf):
+    return rounded(jobs.score_summaries(v.summaries(spark, sf)), *summary.ROUGE)
+
+
+@query("C7_score_summaries_stemmed")
+def c7_stemmed(spark, sf):
+    return rounded(jobs.score_summaries(v.summaries(spark, sf), stemmed=True), *summary.ROUGE)

@@ -228,11 +228,12 @@ DIALOGUE_SQL = """dialogue AS (
 
 
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summary pairs: the question is the reference; the models answer with the reply, the question and both."""
+    """Summary pairs: the question is the reference; the models answer with the reply, the
+    reply and the question, and the question twice."""
     prediction = (
         F.when(F.col("model") == "base", F.col("reply"))
         .when(F.col("model") == "f", F.concat("reply", F.lit("\n"), "question"))
-        .otherwise(F.concat("question", F.lit(" "), F.upper("question")))
+        .otherwise(F.concat("question", F.lit(" "), "question"))
     )
     return per_model(dialogue(spark, sf_dir)).select(
         F.lit("dialogue").alias("dataset"), "model", "conv_id", "turn",
@@ -243,7 +244,7 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUMMARIES_SQL = f"""{DIALOGUE_SQL}, summaries AS (
   SELECT 'dialogue' AS dataset, m.model, conv_id, turn, question AS reference,
          CASE m.model WHEN 'base' THEN reply WHEN 'f' THEN reply || chr(10) || question
-              ELSE question || ' ' || upper(question) END AS prediction
+              ELSE question || ' ' || question END AS prediction
   FROM dialogue CROSS JOIN {MODELS_SQL})"""
 
 

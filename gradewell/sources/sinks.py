@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 
+def _csv_writer(df: DataFrame) -> DataFrameWriter:
+    """Header, doubled quotes, and blanks kept as they are."""
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    return df.write.options(header=True, escape='"', **keep)
+
+
 def write_csv(df: DataFrame, path: str, bom: bool = False, partition_by: Sequence[str] = ()) -> None:
     """CSV with header and doubled quotes, optionally with a byte-order mark at the head of each file."""
     if bom:
         first = [c for c in df.columns if c not in partition_by][0]
         df = df.withColumnRenamed(first, "﻿" + first)
-    df.write.option("header", True).option("escape", '"').partitionBy(*partition_by).csv(path)
+    _csv_writer(df).partitionBy(*partition_by).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -46,7 +52,7 @@ def write_report(metrics: DataFrame, path: str, by: Sequence[str], columns: Mapp
 
 def write_by_dataset(df: DataFrame, path: str) -> None:
     """One folder per dataset."""
-    df.write.option("header", True).option("escape", '"').partitionBy("dataset").csv(path)
+    _csv_writer(df).partitionBy("dataset").csv(path)
 
 
 def rewrite_table(

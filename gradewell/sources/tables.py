@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,11 +108,11 @@ def read_training_rows(
     return df.orderBy(*order).limit(limit)
 
 
-def file_parts(path: Column | str = "_metadata.file_path") -> tuple[Column, Column]:
-    """Folder name and file name of the file a row came from."""
+def folder_after(base_path: str, path: Column | str = "_metadata.file_path") -> Column:
+    """Name of the folder below ``base_path`` in the path of the file a row came from."""
     path = F.col(path) if isinstance(path, str) else path
-    parts = F.split(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), "/")
-    return F.element_at(parts, -2), F.element_at(parts, -1)
+    decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.substring_index(F.substring_index(decoded, f"/{base_path.strip('/')}/", -1), "/", 1)
 
 
 def read_results(
@@ -125,31 +126,34 @@ def read_results(
 ) -> DataFrame:
     """The result files of one dataset under every model folder, as long predictions.
 
-    Whatever files exist are read in one scan; the model comes from the folder name. Rows get an increasing id
-    within their file, so that later rows of a file have larger ids.
+    ``root/base_path/<model folder>/<file>`` may be a file or a folder of part files; whatever exists is read in
+    one scan and the model comes from the folder name (see :func:`missing_results` for the rest). Ids increase
+    along each file, so that later rows of a file have larger ids.
     """
-    # Recursion picks up the model folders that exist; missing ones are reported by missing_results.
-    df = (
-        spark.read.schema(with_prediction(schema))
+    full = with_prediction(schema)
+    reader = (
+        spark.read.schema(full)
         .option("header", True)
         .option("multiLine", multi_line)
         .option("escape", '"')
         .option("enforceSchema", False)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", task.file)
-        .csv(f"{root.rstrip('/')}/{task.base_path}")
     )
+    try:
+        df = reader.csv(f"{root.rstrip('/')}/{task.base_path}/*/{task.file}")
+        folder = folder_after(task.base_path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        df, folder = spark.createDataFrame([], full), F.lit(None).cast("string")
     require_columns(df, task.label_col, task.pred_col)
-    folder, _ = file_parts()
     model = F
     for key, name in models.items():
         model = model.when(folder == name, key)
-    text = F.col(text_col) if text_col else F.lit(None).cast("string")
     rows = df.select(
         F.lit(task.name).alias("dataset"),
         model.alias("model"),
         F.monotonically_increasing_id().alias("row_id"),
-        text.alias("text"),
+        (F.col(text_col) if text_col else F.lit(None).cast("string")).alias("text"),
         null_tokens_to_null(task.label_col).alias("gold"),
         null_tokens_to_null(task.pred_col).alias("prediction"),
     )
