@@ -53,19 +53,34 @@ def _with_rouge(spark, sf, stemmed=False):
     return summary.with_rouge(v.summaries(spark, sf), "reference", "prediction", stemmed)
 
 
-# The n-gram columns of the row-wise scorer agree with the aggregate form above; the subsequence columns have no
-# plain SQL form and are tested against a quadratic table on small texts.
 @query("T1_rouge_n_per_row", v.with_sql(v.SUMMARIES_SQL, _ROUGE_N, select=f"""
 SELECT {_KEYS}, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2 FROM scores"""))
 def t1_rows(spark, sf):
     return rounded(_with_rouge(spark, sf).select(*_KEY, "rouge1", "rouge2"), "rouge1", "rouge2")
 
 
-@query("T2_rouge_l")
+# The longest common subsequence of all pairs at once, one reference word per step.
+_LCS = f"""words AS (SELECT {_KEYS}, {_tokens('reference')} AS ref, {_tokens('prediction')} AS pred FROM summaries),
+pairs AS (SELECT row_number() OVER () AS id, * FROM words),
+cells AS (SELECT id, unnest(range(1, len(pred) + 1)) AS j, unnest(pred) AS w FROM pairs),
+steps AS (
+  SELECT id, 0 AS i, j, w, 0 AS n FROM cells
+  UNION ALL
+  SELECT id, i + 1, j, w,
+         max(greatest(n, CASE WHEN w = ref[i + 1] THEN before + 1 ELSE 0 END)) OVER (PARTITION BY id ORDER BY j)
+  FROM (SELECT s.id, s.i, s.j, s.w, s.n, p.ref, coalesce(lag(s.n) OVER (PARTITION BY s.id ORDER BY s.j), 0) AS before
+        FROM steps s JOIN pairs p ON p.id = s.id AND s.i < len(p.ref))),
+lcs AS (SELECT id, max(n) AS n FROM steps GROUP BY id)"""
+
+
+@query("T2_rouge_l", v.with_sql(v.SUMMARIES_SQL, _LCS, select=f"""
+SELECT {_KEYS}, round(coalesce(2.0::DOUBLE * n / nullif(len(ref) + len(pred), 0), 0), 6) AS "rougeL"
+FROM pairs LEFT JOIN lcs USING (id)""").replace("WITH", "WITH RECURSIVE", 1))
 def t2(spark, sf):
     return rounded(_with_rouge(spark, sf).select(*_KEY, "rougeL"), "rougeL")
 
 
+# Scores over sentence unions and stems have no SQL form; they are tested against brute force on small texts.
 @query("T3_rouge_lsum")
 def t3(spark, sf):
     return rounded(_with_rouge(spark, sf).select(*_KEY, "rougeLsum"), "rougeLsum")

@@ -37,11 +37,17 @@ def write_json_arrays(df: DataFrame, path: str, block: str = "block") -> None:
 
 
 def report_text(metrics: DataFrame, by: Sequence[str], columns: Mapping[str, int | None]) -> DataFrame:
-    """One text block per row of a metric table; ``columns`` gives the places each metric is rounded to."""
-    lines = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("nan"))) for c in by]
-    for name, places in columns.items():
-        value = F.col(name) if places is None else F.round(name, places)
-        lines.append(F.concat(F.lit(f"{name}: "), F.coalesce(value.cast("string"), F.lit("nan"))))
+    """One text block per row of a metric table; ``columns`` gives the places each metric is rounded to.
+
+    A missing or undefined value reads ``nan``.
+    """
+    values = {c: F.col(c) for c in by}
+    values |= {c: F.col(c) if places is None else F.round(c, places) for c, places in columns.items()}
+    lines = []
+    for name, value in values.items():
+        text = value.cast("string")
+        shown = F.when(text.isNull() | (text == "NaN"), "nan").otherwise(text)
+        lines.append(F.concat(F.lit(f"{name}: "), shown))
     return metrics.select(*by, F.concat_ws("\n", *lines, F.lit("-" * 40)).alias("value"))
 
 
