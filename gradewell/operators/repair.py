@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from gradewell.functions.text import as_text, checked_label, letters_only, strip
 from gradewell.operators.scoring import paced
 from gradewell.plans.skew import salted_join
+from gradewell.registry import by_dataset
+from gradewell.session import scratch_root
 
 
 def direct_label(pred: Column | str, known: Sequence[str]) -> Column:
@@ -21,30 +23,41 @@ def direct_label(pred: Column | str, known: Sequence[str]) -> Column:
 
 def label_unresolved(
     invalid: DataFrame,
-    labeller: Callable[[], Callable[[str], str]],
-    known: Sequence[str],
-    allowed: Sequence[str],
-    default: str,
+    labellers: Mapping[str, Callable[[], Callable[[str], str]]],
+    relabel: Mapping[str, tuple[Sequence[str], Sequence[str], str]],
     pred: str = "prediction",
     pause: float = 0.0,
 ) -> DataFrame:
-    """Invalid rows with a ``sentiment_label``.
+    """The invalid rows of the datasets in ``labellers``, with a ``sentiment_label``.
 
-    Known answers are copied. Each distinct other answer goes once through ``labeller()`` in a batch job;
-    failures and unexpected labels become the default. The answers are joined back on their text.
+    ``relabel`` gives per dataset the known answers, the labels a labeller may return and the default. Known
+    answers are copied. Each distinct other answer goes once through ``labellers[dataset]()`` in one batch job
+    over all datasets; failures and unexpected labels become the default. The labels are checkpointed, so that
+    no later action asks a slow or paid labeller again, and are joined back on dataset and answer.
     """
+    spark = invalid.sparkSession
+    scratch_root(spark)
+    names = list(labellers)
     text = strip(as_text(pred, null_as_text=True))
-    routed = invalid.withColumn("_answer", text).withColumn("_direct", direct_label("_answer", known))
-    open_answers = routed.filter(F.col("_direct").isNull()).select("_answer").distinct()
+    routed = invalid.filter(F.col("dataset").isin(names)).withColumn("_answer", text)
+    direct = by_dataset("dataset", {d: direct_label("_answer", relabel[d][0]) for d in names})
+    routed = routed.withColumn("_direct", direct)
+    open_answers = routed.filter(F.col("_direct").isNull()).select("dataset", "_answer").distinct()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        label = paced(labeller(), pause, on_error=lambda _: None)
+        loaded: dict[str, Callable[[str], str | None]] = {}
         for batch in batches:
-            yield batch.assign(_raw=[label(answer) for answer in batch["_answer"]])
-
-    answered = open_answers.mapInPandas(run, "_answer string, _raw string")
-    answered = answered.select("_answer", checked_label("_raw", allowed, default).alias("_label"))
-    joined = salted_join(routed, answered, ["_answer"], "left")
+            raw = []
+            for dataset, answer in zip(batch["dataset"], batch["_answer"]):
+                if dataset not in loaded:
+                    loaded[dataset] = paced(labellers[dataset](), pause, on_error=lambda _: None)
+                raw.append(loaded[dataset](answer))
+            yield batch.assign(_raw=raw)
+
+    answered = open_answers.mapInPandas(run, "dataset string, _answer string, _raw string").checkpoint()
+    label = by_dataset("dataset", {d: checked_label("_raw", *relabel[d][1:]) for d in names})
+    answered = answered.select("dataset", "_answer", label.alias("_label"))
+    joined = salted_join(routed, answered, ["dataset", "_answer"], "left")
     return joined.withColumn("sentiment_label", F.coalesce("_direct", "_label")).drop("_answer", "_direct", "_label")
 
 
@@ -59,16 +72,28 @@ def last_correction(
 def override_predictions(
     main: DataFrame,
     corrections: DataFrame,
-    key: Sequence[str] = ("dataset", "model", "text"),
+    group: Sequence[str] = ("dataset", "model"),
+    text: str = "text",
     pred: str = "prediction",
     label: str = "sentiment_label",
     order: str = "row_id",
     spread: Sequence[str] = ("dataset", "model", "row_id"),
+    hot: Sequence[int] | None = None,
 ) -> DataFrame:
-    """Every main row with a corrected key gets the last correction, even rows that were valid."""
-    fixes = last_correction(corrections, key, label, order).withColumnRenamed(label, "_fix")
-    joined = salted_join(main, fixes, list(key), "left", spread=list(spread))
-    return joined.withColumn(pred, F.coalesce(F.col("_fix").cast("string"), F.col(pred))).drop("_fix")
+    """Every main row whose text was corrected gets the last correction, even rows that were valid.
+
+    Rows are matched within ``group`` on the SHA-256 of the text: keys are short to sort, and the text itself
+    is only moved where the caller keeps it. Texts that many rows share are salted (``hot`` may name their key
+    hashes if they are known already).
+    """
+    key = [*group, "_digest"]
+    digest = F.unhex(F.sha2(F.col(text), 256))
+    fixes = last_correction(
+        corrections.select(*group, digest.alias("_digest"), order, label), key, label, order
+    ).withColumnRenamed(label, "_fix")
+    joined = salted_join(main.withColumn("_digest", digest), fixes, key, "left", spread=list(spread), hot=hot)
+    fixed = joined.withColumn(pred, F.coalesce(F.col("_fix").cast("string"), F.col(pred)))
+    return fixed.select(*main.columns)
 
 
 def override_rows(
@@ -79,6 +104,6 @@ def override_rows(
     label: str = "sentiment_label",
 ) -> DataFrame:
     """J1, strict form: only the corrected rows themselves change. Row keys are unique, so no key is hot."""
-    fixes = corrections.dropna(subset=[label]).select(*row_key, F.col(label).alias("_fix"))
+    fixes = corrections.dropna(subset=[label]).groupBy(*row_key).agg(F.max(label).alias("_fix"))
     joined = main.join(fixes, list(row_key), "left")
-    return joined.withColumn(pred, F.coalesce("_fix", pred)).drop("_fix")
+    return joined.withColumn(pred, F.coalesce("_fix", pred)).select(*main.columns)

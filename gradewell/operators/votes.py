@@ -58,14 +58,14 @@ def type_counts(types: DataFrame) -> DataFrame:
     return types.groupBy("model", "type").agg(F.count("*").alias("n"), F.min("trial").alias("first"))
 
 
-def axis_counts(types: DataFrame) -> DataFrame:
-    """Votes and first trial of each letter on its axis."""
-    letters = F.array(
-        *[F.struct(F.lit(f"{a}/{b}").alias("axis"), F.substring("type", i + 1, 1).alias("letter"))
-          for i, (a, b) in enumerate(AXES)]
-    )
+def axis_counts(types: DataFrame, whole: str | None = None) -> DataFrame:
+    """Votes and first trial of each letter on its axis; ``whole`` adds the full type as one more axis."""
+    letters = [F.struct(F.lit(f"{a}/{b}").alias("axis"), F.substring("type", i + 1, 1).alias("letter"))
+               for i, (a, b) in enumerate(AXES)]
+    if whole is not None:
+        letters.append(F.struct(F.lit(whole).alias("axis"), F.col("type").alias("letter")))
     return (
-        types.select("model", "trial", F.inline(letters))
+        types.select("model", "trial", F.inline(F.array(*letters)))
         .groupBy("model", "axis", "letter")
         .agg(F.count("*").alias("n"), F.min("trial").alias("first"))
     )
@@ -83,22 +83,25 @@ def vote(answers: DataFrame, answer: str = "prediction", stop_count: int = STOP_
     ``answers`` has model, trial, the answer text and structs choice_a and choice_b with a ``value``.
     """
     types = counted_trials(trial_types(letter_tally(chosen_letters(answers, answer))), stop_count, cap)
-    by_type = most_voted(type_counts(types), ["model"], "type")
-    trials = types.groupBy("model").agg(F.count("*").alias("trials"))
-    axes = most_voted(axis_counts(types), ["model", "axis"], "letter")
-    by_axis = axes.groupBy("model").agg(
-        F.concat(*[F.coalesce(F.max(F.when(F.col("axis") == f"{a}/{b}", F.col("letter"))), F.lit("?"))
-                   for a, b in AXES]).alias("type_by_axis")
+    counts = axis_counts(types, whole="type")
+    best = counts.groupBy("model", "axis").agg(
+        F.max_by(F.col("letter"), F.struct(F.col("n"), -F.col("first"))).alias("letter"), F.sum("n").alias("n")
     )
-    models = answers.select("model").distinct()
-    return (
-        models.join(by_type, "model", "left").join(by_axis, "model", "left").join(trials, "model", "left")
-        .select(
-            "model",
-            F.coalesce("type", F.lit("N/A")).alias("type"),
-            F.coalesce("type_by_axis", F.lit("?" * len(AXES))).alias("type_by_axis"),
-            F.coalesce("trials", F.lit(0).cast("long")).alias("trials"),
-        )
+
+    def on(axis: str, column: str) -> Column:
+        return F.max(F.when(F.col("axis") == axis, F.col(column)))
+
+    result = best.groupBy("model").agg(
+        on("type", "letter").alias("type"),
+        F.concat(*[on(f"{a}/{b}", "letter") for a, b in AXES]).alias("type_by_axis"),
+        on("type", "n").alias("trials"),
+    )
+    # Models without any usable answer have no trial; they are reported all the same.
+    return answers.select("model").distinct().join(result, "model", "left").select(
+        "model",
+        F.coalesce("type", F.lit("N/A")).alias("type"),
+        F.coalesce("type_by_axis", F.lit("?" * len(AXES))).alias("type_by_axis"),
+        F.coalesce("trials", F.lit(0).cast("long")).alias("trials"),
     )
 
 

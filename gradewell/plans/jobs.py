@@ -163,16 +163,11 @@ def repair_labels(
     ``labellers`` gives a labeller per dataset; ``corrections`` may hold labels made elsewhere. Count the
     result with :func:`open_label_table`.
     """
-    invalid = label_audit(df, tasks, models).invalid.select("dataset", "model", "row_id", "text", "prediction")
-    parts = [] if corrections is None else [corrections]
-    for dataset, labeller in labellers.items():
-        known, allowed, default = relabel[dataset]
-        rows = invalid.filter(F.col("dataset") == dataset)
-        labelled = repair.label_unresolved(rows, labeller, known, allowed, default)
-        parts.append(labelled.select("dataset", "model", "row_id", "text", "sentiment_label"))
-    fixes = parts[0]
-    for part in parts[1:]:
-        fixes = fixes.unionByName(part)
+    keys = ["dataset", "model", "row_id", "text", "sentiment_label"]
+    invalid = label_audit(df, tasks, models).invalid.select(*keys[:-1], "prediction")
+    fixes = repair.label_unresolved(invalid, labellers, relabel).select(*keys)
+    if corrections is not None:
+        fixes = fixes.unionByName(corrections.select(*keys))
     merged = repair.override_predictions(df, fixes)
     tidied = F.when(F.col("dataset").isin(list(tidy)), tx.normalize_prediction("prediction"))
     return merged.withColumn("prediction", tidied.otherwise(F.col("prediction")))

@@ -9,22 +9,26 @@ from pyspark.sql import functions as F
 
 from gradewell.session import scratch_root
 
-# A key is hot from one in a thousand rows on, so there are never more than a thousand hot keys.
+# A key is hot from one in a thousand rows on, so there are never more than a thousand hot keys; below some
+# thousand rows a key is no burden for one task whatever its share.
 HOT_SHARE = 0.001
+HOT_ROWS = 10_000
 
 
 def _hash(on: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(c) for c in on])
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> list[int]:
-    """Hashes of all keys that hold more than ``share`` of the rows (and maybe a few others).
+def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE, rows: int = HOT_ROWS) -> list[int]:
+    """Hashes of the keys that hold at least ``share`` of all rows and at least ``rows`` rows.
 
-    One pass over the key columns with a counter table of 1 / share entries per task: nothing is
-    shuffled by key, and at most 1 / share numbers reach the driver.
+    One pass over the key columns with a sketch of the most frequent keys: its size is fixed, nothing is shuffled
+    by key, and at most 1 / share numbers reach the driver. The sketch only decides which keys are salted; no
+    result depends on it.
     """
-    found = df.select(_hash(on).alias("h")).stat.freqItems(["h"], support=share).first()
-    return list(found[0] or []) if found else []
+    most = int(1 / share)
+    found = df.select(_hash(on).alias("h")).selectExpr("count(*) n", f"approx_top_k(h, {most}, {10 * most}) top").first()
+    return [item["item"] for item in found["top"] if item["count"] >= max(share * found["n"], rows)]
 
 
 def salted_join(

@@ -296,7 +296,7 @@ counts AS (SELECT * FROM true_counts UNION ALL
 SELECT dataset, model, row_id, sentiment_label FROM invalid"""))
 def u2(spark, sf):
     invalid = jobs.label_audit(v.answered_documents(spark, sf), v.REVIEW_TASKS, v.MODEL_NAMES).invalid
-    out = repair.label_unresolved(invalid, _labeller, *RELABEL["en"])
+    out = repair.label_unresolved(invalid, {lang: _labeller for lang in v.LANGS}, RELABEL)
     return out.select("dataset", "model", "row_id", "sentiment_label")
 
 

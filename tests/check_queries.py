@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from oracle import connect, difference  # noqa: E402
 
-from gradewell.queries import ORACLES, QUERIES  # noqa: E402
+from __spark_entry__ import oracle_sql, queries  # noqa: E402
 from gradewell.session import build_session  # noqa: E402
 
 
@@ -23,14 +23,15 @@ def main() -> int:
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     bad = 0
-    for name, fn in QUERIES.items():
+    oracles = oracle_sql()
+    for name, fn in queries().items():
         if prefixes and not any(name.startswith(p) for p in prefixes):
             continue
         start = time.time()
         try:
             df = fn(spark, sf_dir)
-            if name in ORACLES:
-                problem = difference(df, con, ORACLES[name])
+            if name in oracles:
+                problem = difference(df, con, oracles[name])
                 state = "ok" if problem is None else f"DIFF {problem}"
             else:
                 state = f"rows {df.count()} (no SQL)"

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from gradewell.session import build_session  # noqa: E402
+from gradewell.session import build_session, ship_package  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,5 +13,6 @@ def spark(tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("checkpoints"))
     session = build_session(8, "tests", **{"spark.checkpoint.dir": folder})
     session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
     yield session
     session.stop()

@@ -12,17 +12,21 @@ TASKS = (LabelTask("imdb_sentiment", "x.csv", "r", {"0": "negative", "1": "posit
 SCHEMA = "dataset string, model string, row_id long, text string, gold string, prediction string"
 
 
-def imdb_labeller():
-    def label(text):
-        if "boom" in text:
-            raise RuntimeError(text)
-        return " POSITIVE\n" if "great" in text else "who knows"
+def labellers():
+    """Nested functions travel to the workers by value."""
 
-    return label
+    def imdb():
+        def label(text):
+            if "boom" in text:
+                raise RuntimeError(text)
+            return " POSITIVE\n" if "great" in text else "who knows"
+
+        return label
 
+    def mental():
+        return lambda text: "depression" if "sad" in text else "something"
 
-def mental_labeller():
-    return lambda text: "depression" if "sad" in text else "something"
+    return {"imdb_sentiment": imdb, "mental_sentiment": mental}
 
 
 def rows():
@@ -41,7 +45,7 @@ def expected_label(dataset, prediction):
     if clean in known:
         return clean
     try:
-        raw = (imdb_labeller() if dataset == "imdb_sentiment" else mental_labeller())(text).strip().lower()
+        raw = labellers()[dataset]()(text).strip().lower()
     except RuntimeError:
         return default
     return raw if raw in allowed else default
@@ -63,7 +67,7 @@ def test_repair_by_brute_force(spark):
             low = p.strip().lower()
             p = low if low.isalpha() and low.isascii() else "depression" if "depression" in low else "normal" if "normal" in low else p
         want[d, m, i] = p
-    out = jobs.repair_labels(df, {"imdb_sentiment": imdb_labeller, "mental_sentiment": mental_labeller}, TASKS)
+    out = jobs.repair_labels(df, labellers(), TASKS)
     got = {(r["dataset"], r["model"], r["row_id"]): r["prediction"] for r in out.collect()}
     assert got == want
     table = jobs.open_label_table(out, TASKS)
@@ -74,7 +78,7 @@ def test_repair_by_brute_force(spark):
 def test_override_changes_valid_rows_too_but_strict_does_not(spark):
     main = spark.createDataFrame([("d", "m", 1, "t", "0", "positive"), ("d", "m", 2, "t", "0", "?"), ("d", "m", 3, "u", "0", "x")], SCHEMA)
     fixes = spark.createDataFrame(
-        [("d", "m", 2, "t", "mixed"), ("d", "m", 9, "t", "negative"), ("d", "m", 3, "u", None), ("d", "m", 3, None, "no")],
+        [("d", "m", 2, "t", "mixed"), ("d", "m", 9, "t", "negative"), ("d", "m", 3, "u", None), ("d", "m", 4, None, "no")],
         "dataset string, model string, row_id long, text string, sentiment_label string",
     )
 
@@ -98,11 +102,11 @@ def test_labeller_sees_each_answer_once(spark, tmp_path):
 
         return label
 
-    df = spark.createDataFrame([("d", "m", i, f"t{i}", "0", ["hm", "eh ", " eh", "mixed"][i % 4]) for i in range(200)], SCHEMA)
-    out = repair.label_unresolved(df, labeller, *RELABEL["imdb_sentiment"]).groupBy("sentiment_label").count().collect()
-    assert {r[0]: r[1] for r in out} == {"positive": 150, "mixed": 50}
-    calls = sorted(f.read_text() for f in tmp_path.iterdir())
-    assert set(calls) == {"eh", "hm"}
+    df = spark.createDataFrame([("imdb_sentiment", "m", i, f"t{i}", "0", ["hm", "eh ", " eh", "mixed"][i % 4]) for i in range(200)], SCHEMA)
+    out = repair.label_unresolved(df, {"imdb_sentiment": labeller}, RELABEL)
+    for _ in range(2):
+        assert {r[0]: r[1] for r in out.groupBy("sentiment_label").count().collect()} == {"positive": 150, "mixed": 50}
+    assert sorted(f.read_text() for f in tmp_path.iterdir()) == ["eh", "hm"]
 
 
 def test_scoring_job(spark, tmp_path):

@@ -19,15 +19,19 @@ def hot_tables(spark):
 def test_salted_join_equals_join(spark, how):
     left, right = hot_tables(spark)
     want = sorted(map(str, left.join(right, ["key"], how).collect()))
-    got = sorted(map(str, skew.salted_join(left, right, ["key"], how, spread=["id"]).select(*left.join(right, ["key"], how).columns).collect()))
-    assert got == want
+    hot = skew.hot_keys(left, ["key"], rows=1)
+    assert hot
+    for keys in (hot, None, []):
+        joined = skew.salted_join(left, right, ["key"], how, spread=["id"], hot=keys)
+        got = sorted(map(str, joined.select(*left.join(right, ["key"], how).columns).collect()))
+        assert got == want
 
 
 def test_hot_key_is_found_and_spread(spark):
     left, right = hot_tables(spark)
-    hot = skew.hot_keys(left, ["key"], share=0.05)
     wanted = left.filter("key = 'hot'").select(F.xxhash64("key")).first()[0]
-    assert wanted in hot and len(hot) <= 20
+    assert skew.hot_keys(left, ["key"], share=0.05, rows=1) == [wanted]
+    assert skew.hot_keys(left, ["key"], share=0.05) == []
     joined = skew.salted_join(left, right, ["key"], spread=["id"], hot=[wanted], salts=16)
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "_salt" in plan
