@@ -13,7 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradewell.functions.text import contains_any, ratio
+from gradewell.functions.text import INVALID, contains_any, ratio
+from gradewell.operators.metrics import confusion_counts
 from gradewell.plans.skew import group_total, salted_join
 
 LabelSets = Mapping[str, Sequence[str]]
@@ -177,6 +178,16 @@ def valid_pairs(confusion: DataFrame) -> DataFrame:
     return confusion.join(labels, ["dataset", "model", "pred"], "left_semi")
 
 
+def valid_confusion(df: DataFrame, gold: str = "gold", pred: str = "prediction") -> DataFrame:
+    """Confusion counts over rows whose prediction is a gold label of their dataset and model.
+
+    A missing prediction gets a word no label equals. The join key then cannot be null, both sides of the semi
+    join keep the same counts, and Spark scans and shuffles the rows once for both.
+    """
+    rows = df.filter(F.col(gold).isNotNull()).withColumn(pred, F.coalesce(F.col(pred), F.lit(INVALID)))
+    return valid_pairs(confusion_counts(rows, ("dataset", "model"), gold, pred))
+
+
 def distribution_bias(pairs: DataFrame) -> DataFrame:
     """Predicted and true share of every label over the valid pairs, and their difference."""
     n = F.col("n")

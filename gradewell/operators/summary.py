@@ -43,17 +43,17 @@ def rouge_n(
     Pairs are partitioned by their unique key once; counting grams, clipping and summing then all happen
     inside that partitioning, so the exploded grams are never shuffled.
     """
-    sides = df.repartition(*key).select(
-        *key, tokens(reference).alias("_ref"), tokens(prediction).alias("_pred")
-    )
+    # One struct as key: a key column that is constant would otherwise drop out of the known partitioning.
+    pairs = df.select(F.struct(*key).alias("_key"), reference, prediction).repartition("_key")
+    sides = pairs.select("_key", tokens(reference).alias("_ref"), tokens(prediction).alias("_pred"))
     entries = F.array(
         *[F.struct(F.lit(n).alias("n"), F.lit(side == "_ref").alias("in_ref"), _grams(F.col(side), n).alias("grams"))
           for n in sizes for side in ("_ref", "_pred")]
     )
     # explode_outer keeps a (null) gram for an empty text, so that the pair stays in the result.
-    grams = sides.select(*key, F.inline(entries)).select(*key, "n", "in_ref", F.explode_outer("grams").alias("gram"))
+    grams = sides.select("_key", F.inline(entries)).select("_key", "n", "in_ref", F.explode_outer("grams").alias("gram"))
     present = F.col("gram").isNotNull()
-    counted = grams.groupBy(*key, "n", "gram").agg(
+    counted = grams.groupBy("_key", "n", "gram").agg(
         F.count_if(present & F.col("in_ref")).alias("r"), F.count_if(present & ~F.col("in_ref")).alias("p")
     )
     sums = []
@@ -64,7 +64,7 @@ def rouge_n(
             F.sum(F.when(here, F.col("r")).otherwise(0)).alias(f"_r{n}"),
             F.sum(F.when(here, F.col("p")).otherwise(0)).alias(f"_p{n}"),
         ]
-    totals = counted.groupBy(*key).agg(*sums)
+    totals = counted.groupBy("_key").agg(*sums)
     scores = []
     for n in sizes:
         scores += [
@@ -72,7 +72,7 @@ def rouge_n(
             ratio(f"_o{n}", f"_r{n}").alias(f"rouge{n}_recall"),
             ratio(2 * F.col(f"_o{n}"), F.col(f"_r{n}") + F.col(f"_p{n}")).alias(f"rouge{n}"),
         ]
-    return totals.select(*key, *scores)
+    return totals.select("_key.*", *scores)
 
 
 # --- subsequence scores of one pair ------------------------------------------------------------

@@ -194,8 +194,7 @@ def bias_report(
     df: DataFrame, tasks: Sequence[LabelTask] = LABEL_TASKS, null_as_text: bool = False
 ) -> DataFrame:
     """Per label the shares, bias and scores over rows whose answer is a gold label."""
-    cleaned = cleaned_labels(df, tasks, null_as_text).filter("gold is not null")
-    pairs = dist.valid_pairs(metrics.confusion_counts(cleaned, pred="cleaned_prediction"))
+    pairs = dist.valid_confusion(cleaned_labels(df, tasks, null_as_text), pred="cleaned_prediction")
     report = metrics.label_report(pairs, gold="gold", pred="pred", weight="n")
     return dist.distribution_bias(pairs).join(report, ["dataset", "model", "label"], "left")
 

@@ -19,14 +19,14 @@ def _hash(on: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(c) for c in on])
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE, rows: int = HOT_ROWS) -> list[int]:
-    """Hashes of the keys that hold at least ``share`` of all rows and at least ``rows`` rows.
+def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE, rows: int | None = None) -> list[int]:
+    """Hashes of the keys that hold at least ``share`` of all rows and at least ``rows`` (``HOT_ROWS``) rows.
 
     One pass over the key columns with a sketch of the most frequent keys: its size is fixed, nothing is shuffled
     by key, and at most 1 / share numbers reach the driver. The sketch only decides which keys are salted; no
     result depends on it.
     """
-    most = int(1 / share)
+    most, rows = int(1 / share), HOT_ROWS if rows is None else rows
     found = df.select(_hash(on).alias("h")).selectExpr("count(*) n", f"approx_top_k(h, {most}, {10 * most}) top").first()
     return [item["item"] for item in found["top"] if item["count"] >= max(share * found["n"], rows)]
 

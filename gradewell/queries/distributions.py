@@ -104,7 +104,7 @@ bias AS (SELECT *, pred_ratio - true_ratio AS bias FROM ratios)"""
 
 
 def _pairs(spark, sf):
-    return dist.valid_pairs(metrics.confusion_counts(_cleaned(spark, sf), pred="cleaned_prediction"))
+    return dist.valid_confusion(_cleaned(spark, sf), pred="cleaned_prediction")
 
 
 @query("A14_distribution_bias", v.with_sql(v.ANSWERED_SQL, _CLEAN, _PAIRS, select="""

@@ -179,7 +179,7 @@ def test_gold_labels_serve_where_none_are_configured(spark):
 
 def test_bias(spark):
     rows, df = predictions(spark)
-    pairs = dist.valid_pairs(metrics.confusion_counts(jobs.cleaned_labels(df, TASKS), pred="cleaned_prediction"))
+    pairs = dist.valid_confusion(jobs.cleaned_labels(df, TASKS), pred="cleaned_prediction")
     sums = dist.distribution_bias(pairs).groupBy("dataset", "model").agg(F.sum("bias").alias("s"), F.sum("pred_ratio").alias("p"))
     for r in sums.collect():
         assert r["s"] == pytest.approx(0, abs=1e-12) and r["p"] == pytest.approx(1)
@@ -193,3 +193,5 @@ def test_valid_rows_and_pairs_agree(spark):
     rows = dist.rows_with_gold_label(cleaned, "gold", "cleaned_prediction").count()
     pairs = dist.valid_pairs(metrics.confusion_counts(cleaned, pred="cleaned_prediction"))
     assert rows == pairs.agg(F.sum("n")).first()[0] > 0
+    filtered = dist.valid_confusion(cleaned, pred="cleaned_prediction")
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, filtered.collect()))
