@@ -123,12 +123,14 @@ def extract_bool(c: Column | str) -> Column:
 def extract_numbers(c: Column | str, any_script: bool = True) -> Column:
     """all unsigned numbers after dropping ``,`` and ``$``, as array<double>; null gives no numbers.
 
-    ``any_script`` also reads decimal digits of other scripts; such texts are rare, so the
-    translation runs only where one occurs.
+    ``any_script`` also reads decimal digits of other scripts. Only texts with non-ASCII bytes can hold them, which
+    two lengths tell without a scan for the digits.
     """
-    text = F.translate(F.coalesce(_col(c).cast("string"), F.lit("")), ",$", "")
+    text = F.coalesce(_col(c).cast("string"), F.lit(""))
+    for sign in (",", "$"):
+        text = F.replace(text, F.lit(sign), F.lit(""))
     if any_script:
-        foreign = text.rlike(r"[\p{Nd}&&[^0-9]]")
+        foreign = (F.octet_length(text) != F.length(text)) & text.rlike(r"[\p{Nd}&&[^0-9]]")
         text = F.when(foreign, F.translate(text, _FOREIGN_DIGITS, _ASCII_DIGITS)).otherwise(text)
     return F.regexp_extract_all(text, F.lit(r"([0-9]+\.?[0-9]*)"), F.lit(1)).cast("array<double>")
 

@@ -31,6 +31,16 @@ def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE, rows: i
     return [item["item"] for item in found["top"] if item["count"] >= max(share * found["n"], rows)]
 
 
+def spread_scan(scan: DataFrame, *key: str) -> DataFrame:
+    """A table read as fewer partitions than there are cores, spread over all cores by its key.
+
+    For tables stored in few row groups that feed costly per-row work. A table of many files has more partitions
+    than cores and is returned as it is, so no shuffle is added at scale. Only file listings are looked at.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *key)
+
+
 def salted_join(
     left: DataFrame,
     right: DataFrame,

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradewell.plans.skew import spread_scan
 from gradewell.registry import LabelTask
 
 MODELS = (("base", 3, 0), ("f", 7, 1), ("t", 1, 4))
@@ -27,10 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *key: str) -> DataFrame:
+    """A table for per-row work; the test tables are single row groups, which one task would read."""
+    return spread_scan(table(spark, sf_dir, name), *key)
+
+
 def per_model(df: DataFrame) -> DataFrame:
     """Each row once per model, with the model's multiplier k and offset c."""
-    models = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(k).alias("k"), F.lit(c).alias("c")) for m, k, c in MODELS])
-    return df.select("*", F.inline(models))
+    models = ", ".join(f"named_struct('model', '{m}', 'k', {k}, 'c', {c})" for m, k, c in MODELS)
+    return df.select("*", F.expr(f"inline(array({models}))"))
 
 
 def pick(index: Column, answers: Sequence[Column | str | None]) -> Column:
@@ -39,6 +45,11 @@ def pick(index: Column, answers: Sequence[Column | str | None]) -> Column:
     return F.elt(index.cast("int") + 1, *columns)
 
 
+def pick_expr(index: str, answers: Sequence[str | None]) -> str:
+    """The same as Spark SQL text, for lists of SQL expressions; one string is quicker to build than many columns."""
+    return f"elt(cast({index} as int) + 1, " + ", ".join("cast(null as string)" if a is None else a for a in answers) + ")"
+
+
 def pick_sql(index: str, answers: Sequence[str | None]) -> str:
     """The same as SQL; entries are SQL expressions, None is NULL."""
     return f"CASE {index} " + " ".join(
@@ -50,10 +61,6 @@ def quoted(answers: Sequence[str | None]) -> list[str | None]:
     return [None if a is None else "'" + a.replace("'", "''") + "'" for a in answers]
 
 
-def _turn(key: str, size: int) -> Column:
-    return F.pmod(F.col(key) * F.col("k") + F.col("c"), F.lit(size))
-
-
 # --- reviews: labels x documents, 0/1 gold, dataset = language ---------------------------------
 REVIEW_ANSWERS = ("Positive", " negative.", "positive", "NEGATIVE", "mixed", "neutral",
                   "It is positive, not negative", None, "n/a", "[Error] x")
@@ -62,10 +69,9 @@ REVIEW_ANSWERS = ("Positive", " negative.", "positive", "NEGATIVE", "mixed", "ne
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("dataset"), "text")
     rows = table(spark, sf_dir, "labels").join(docs, "doc_id")
-    return per_model(rows).select(
-        F.lit("polarity").alias("task"), "dataset", "model", F.col("doc_id").alias("row_id"), "text",
-        F.col("quality").cast("string").alias("gold"),
-        pick(_turn("doc_id", 10), REVIEW_ANSWERS).alias("prediction"),
+    return per_model(rows).selectExpr(
+        "'polarity' as task", "dataset", "model", "doc_id as row_id", "text", "cast(quality as string) as gold",
+        pick_expr("(doc_id * k + c) % 10", quoted(REVIEW_ANSWERS)) + " as prediction",
     )
 
 
@@ -81,12 +87,10 @@ MARKET_ANSWERS = ("Bearish", "bullish.", " Neutral ", "it looks bullish or beari
 
 
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return per_model(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")).select(
-        F.lit("market").alias("task"), F.col("event_type").alias("dataset"), "model",
-        F.col("event_id").alias("row_id"),
-        F.pmod("user_id", F.lit(4)).cast("string").alias("gold"),
-        pick(F.pmod(F.col("event_id") * F.col("k") + F.col("user_id") + F.col("c"), F.lit(9)), MARKET_ANSWERS)
-        .alias("prediction"),
+    events = spread_table(spark, sf_dir, "events", "event_id").select("event_id", "user_id", "event_type")
+    return per_model(events).selectExpr(
+        "'market' as task", "event_type as dataset", "model", "event_id as row_id", "cast(user_id % 4 as string) as gold",
+        pick_expr("(event_id * k + user_id + c) % 9", quoted(MARKET_ANSWERS)) + " as prediction",
     )
 
 
@@ -102,12 +106,11 @@ HEALTH_ANSWERS = ("Normal", "depression.", "I feel abnormal", "severe Depression
 
 
 def health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    return per_model(orders).select(
-        F.lit("health").alias("task"), F.col("o_orderpriority").alias("dataset"), "model",
-        F.col("o_orderkey").alias("row_id"),
-        F.when(F.col("o_orderstatus") == "F", " Normal.").otherwise("Depression").alias("gold"),
-        pick(_turn("o_orderkey", 8), HEALTH_ANSWERS).alias("prediction"),
+    orders = spread_table(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return per_model(orders).selectExpr(
+        "'health' as task", "o_orderpriority as dataset", "model", "o_orderkey as row_id",
+        "case when o_orderstatus = 'F' then ' Normal.' else 'Depression' end as gold",
+        pick_expr("(o_orderkey * k + c) % 8", quoted(HEALTH_ANSWERS)) + " as prediction",
     )
 
 
@@ -129,16 +132,13 @@ FINANCE = (
 
 def finance(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
-    which = F.pmod("p_size", F.lit(len(FINANCE)))
-    answers = [pick(F.pmod("p_partkey", F.lit(3)), a) for _, a in FINANCE]
-    guesses = [pick(_turn("p_partkey", 5), (f" {a[0]} ", a[1].upper(), a[2].lower(), F.col("p_name"), None))
+    golds = [pick_expr("p_partkey % 3", quoted(a)) for _, a in FINANCE]
+    guesses = [pick_expr("(p_partkey * k + c) % 5", [*quoted((f" {a[0]} ", a[1].upper(), a[2].lower())), "p_name", None])
                for _, a in FINANCE]
-    return per_model(parts).select(
-        F.lit("finance").alias("task"),
-        pick(which, [name for name, _ in FINANCE]).alias("dataset"), "model",
-        F.col("p_partkey").alias("row_id"),
-        pick(which, answers).alias("gold"),
-        pick(which, guesses).alias("prediction"),
+    return per_model(parts).selectExpr(
+        "'finance' as task", pick_expr("p_size % 5", quoted([name for name, _ in FINANCE])) + " as dataset", "model",
+        "p_partkey as row_id", pick_expr("p_size % 5", golds) + " as gold",
+        pick_expr("p_size % 5", guesses) + " as prediction",
     )
 
 
@@ -163,12 +163,11 @@ CHOICE_GOLD = (LETTERS, ("true", "False", "TRUE", "false"), ("7", "8 ", "12", "9
 
 def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    which = F.pmod("c_nationkey", F.lit(3))
-    return per_model(rows).select(
-        F.lit("choice").alias("task"), pick(which, CHOICE_DATASETS).alias("dataset"), "model",
-        F.col("c_custkey").alias("row_id"),
-        pick(which, [pick(F.pmod("c_custkey", F.lit(4)), g) for g in CHOICE_GOLD]).alias("gold"),
-        pick(which, [pick(_turn("c_custkey", 6), a) for a in CHOICE_ANSWERS]).alias("prediction"),
+    which = "c_nationkey % 3"
+    return per_model(rows).selectExpr(
+        "'choice' as task", pick_expr(which, quoted(CHOICE_DATASETS)) + " as dataset", "model", "c_custkey as row_id",
+        pick_expr(which, [pick_expr("c_custkey % 4", quoted(g)) for g in CHOICE_GOLD]) + " as gold",
+        pick_expr(which, [pick_expr("(c_custkey * k + c) % 6", quoted(a)) for a in CHOICE_ANSWERS]) + " as prediction",
     )
 
 
@@ -184,18 +183,14 @@ CHOICES_SQL = f"""choices AS (
 
 
 def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
-    qty = F.col("l_quantity").cast("bigint")
-    text, more = qty.cast("string"), (qty + 1).cast("string")
-    answers = (
-        F.concat(F.lit("about $1,234.50 and "), text), F.concat(F.lit("-"), text), F.lit("no number"), more,
-        F.lit(None).cast("string"), F.concat(text, F.lit(".")),
-    )
-    index = F.pmod(F.col("l_orderkey") * F.col("k") + F.col("l_linenumber") + F.col("c"), F.lit(len(answers)))
-    gold = F.when(qty == 13, "unknown").otherwise(F.concat(F.lit("#### "), text))
-    return per_model(rows).select(
-        F.lit("numbers").alias("task"), F.col("l_returnflag").alias("dataset"), "model",
-        gold.alias("gold"), pick(index, answers).alias("prediction"),
+    rows = spread_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    rows = rows.selectExpr("l_orderkey", "l_linenumber", "l_returnflag", "cast(l_quantity as bigint) as qty")
+    answers = ("concat('about $1,234.50 and ', qty)", "concat('-', qty)", "'no number'", "cast(qty + 1 as string)", None,
+               "concat(qty, '.')")
+    return per_model(rows).selectExpr(
+        "'numbers' as task", "l_returnflag as dataset", "model",
+        "case when qty = 13 then 'unknown' else concat('#### ', qty) end as gold",
+        pick_expr("(l_orderkey * k + l_linenumber + c) % 6", answers) + " as prediction",
     )
 
 
@@ -213,7 +208,7 @@ NUMBERS_SQL = f"""numbers AS (
 
 def dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, question, reply); the key is unique, so the join is even however long a conversation is."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread_table(spark, sf_dir, "conversations", "conv_id", "turn")
     asked = turns.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
     replies = turns.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply")
@@ -256,11 +251,10 @@ def with_sql(*ctes: str, select: str) -> str:
 
 
 def answered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("dataset"), "text")
-    return per_model(docs).select(
-        F.lit("documents").alias("task"), "dataset", "model", F.col("doc_id").alias("row_id"), "text",
-        F.pmod("doc_id", F.lit(2)).cast("string").alias("gold"),
-        pick(_turn("doc_id", 10), REVIEW_ANSWERS).alias("prediction"),
+    docs = spread_table(spark, sf_dir, "documents", "doc_id").select("doc_id", F.col("lang").alias("dataset"), "text")
+    return per_model(docs).selectExpr(
+        "'documents' as task", "dataset", "model", "doc_id as row_id", "text", "cast(doc_id % 2 as string) as gold",
+        pick_expr("(doc_id * k + c) % 10", quoted(REVIEW_ANSWERS)) + " as prediction",
     )
 
 
