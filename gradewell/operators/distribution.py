@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gradewell.functions.text import INVALID, contains_any, ratio
 from gradewell.operators.metrics import confusion_counts
-from gradewell.plans.skew import group_total, salted_join
+from gradewell.plans.skew import group_total, lookup_join
 
 LabelSets = Mapping[str, Sequence[str]]
 TRUE = "true"
@@ -137,7 +137,7 @@ def containment_pairs(
     """
     lengths = labels.groupBy("dataset").agg(F.collect_set(F.length("label")).alias("lengths"))
     texts = df.filter(F.col(pred).isNotNull()).groupBy(*by, F.col(pred).alias("text")).agg(F.count("*").alias("n"))
-    sized = salted_join(texts, lengths, ["dataset"], "inner", spread=["text"])
+    sized = lookup_join(texts, lengths, ["dataset"], "inner", spread=["text"])
     sized = sized.select(*by, "text", "n", F.explode("lengths").alias("len"))
     parts = (
         sized.filter(F.length("text") >= F.col("len"))
@@ -168,7 +168,7 @@ def rows_with_gold_label(df: DataFrame, gold: str = "gold", pred: str = "predict
     """Rows whose prediction occurs among the gold labels of the same dataset and model."""
     labels = df.filter(F.col(gold).isNotNull()).select("dataset", "model", F.col(gold).alias("_label")).distinct()
     renamed = df.withColumn("_label", F.col(pred))
-    return salted_join(renamed, labels, ["dataset", "model", "_label"], "left_semi").drop("_label")
+    return lookup_join(renamed, labels, ["dataset", "model", "_label"], "left_semi").drop("_label")
 
 
 def valid_pairs(confusion: DataFrame) -> DataFrame:

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from gradewell.functions.text import as_text, checked_label, letters_only, strip
 from gradewell.operators.scoring import paced
-from gradewell.plans.skew import salted_join
+from gradewell.plans.skew import lookup_join
 from gradewell.registry import by_dataset
-from gradewell.session import scratch_root
 
 
 def direct_label(pred: Column | str, known: Sequence[str]) -> Column:
@@ -32,11 +31,9 @@ def label_unresolved(
 
     ``relabel`` gives per dataset the known answers, the labels a labeller may return and the default. Known
     answers are copied. Each distinct other answer goes once through ``labellers[dataset]()`` in one batch job
-    over all datasets; failures and unexpected labels become the default. The labels are checkpointed, so that
-    no later action asks a slow or paid labeller again, and are joined back on dataset and answer.
+    over all datasets; failures and unexpected labels become the default. The labels are checkpointed by the
+    join that brings them back, so that no later action asks a slow or paid labeller again.
     """
-    spark = invalid.sparkSession
-    scratch_root(spark)
     names = list(labellers)
     text = strip(as_text(pred, null_as_text=True))
     routed = invalid.filter(F.col("dataset").isin(names)).withColumn("_answer", text)
@@ -54,10 +51,10 @@ def label_unresolved(
                 raw.append(loaded[dataset](answer))
             yield batch.assign(_raw=raw)
 
-    answered = open_answers.mapInPandas(run, "dataset string, _answer string, _raw string").checkpoint()
+    answered = open_answers.mapInPandas(run, "dataset string, _answer string, _raw string")
     label = by_dataset("dataset", {d: checked_label("_raw", *relabel[d][1:]) for d in names})
     answered = answered.select("dataset", "_answer", label.alias("_label"))
-    joined = salted_join(routed, answered, ["dataset", "_answer"], "left")
+    joined = lookup_join(routed, answered, ["dataset", "_answer"])
     return joined.withColumn("sentiment_label", F.coalesce("_direct", "_label")).drop("_answer", "_direct", "_label")
 
 
@@ -91,7 +88,7 @@ def override_predictions(
     fixes = last_correction(
         corrections.select(*group, digest.alias("_digest"), order, label), key, label, order
     ).withColumnRenamed(label, "_fix")
-    joined = salted_join(main.withColumn("_digest", digest), fixes, key, "left", spread=list(spread), hot=hot)
+    joined = lookup_join(main.withColumn("_digest", digest), fixes, key, spread=list(spread), hot=hot)
     fixed = joined.withColumn(pred, F.coalesce(F.col("_fix").cast("string"), F.col(pred)))
     return fixed.select(*main.columns)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from gradewell.session import scratch_root
 # thousand rows a key is no burden for one task whatever its share.
 HOT_SHARE = 0.001
 HOT_ROWS = 10_000
+# Lookup tables up to this measured size are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def _hash(on: Sequence[str]) -> Column:
@@ -74,6 +77,33 @@ def salted_join(
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
 
 
+def byte_size(df: DataFrame) -> int:
+    """Text bytes of all cells, and 16 more per cell for the table's own bookkeeping."""
+    cells = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns]
+    total = df.select(reduce(lambda a, b: a + b, cells).cast("long").alias("n")).agg(F.sum("n")).first()[0]
+    return int(total or 0)
+
+
+def lookup_join(
+    left: DataFrame,
+    lookup: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    spread: Sequence[str] | None = None,
+    hot: Sequence[int] | None = None,
+) -> DataFrame:
+    """Join a large table with a table of one row per key.
+
+    The lookup is checkpointed and measured. Up to ``BROADCAST_BYTES`` it is broadcast, and the large table is not
+    shuffled at all; beyond that the join is salted (:func:`salted_join`).
+    """
+    scratch_root(left.sparkSession)
+    lookup = lookup.checkpoint()
+    if byte_size(lookup) <= BROADCAST_BYTES:
+        return left.join(F.broadcast(lookup), list(on), how)
+    return salted_join(left, lookup, on, how, spread, hot)
+
+
 def number_rows(
     df: DataFrame, order: Sequence[str], name: str = "position", start: int = 0, partitions: int | None = None
 ) -> DataFrame:

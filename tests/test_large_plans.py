@@ -18,6 +18,7 @@ JOINED = (
 @pytest.fixture
 def large(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT_ROWS", 1)
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", -1)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     yield spark
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -40,6 +41,11 @@ def test_hot_texts_are_salted(large):
     assert "_salt" in executed(entry_module.queries()["J1_override_join"](large, SF))
 
 
+def test_small_lookups_are_broadcast_and_the_rows_stay_in_place(spark):
+    plan = executed(entry_module.queries()["J1_override_join"](spark, SF))
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") <= 1
+
+
 def test_distributions_scan_once_per_side(large):
     """Counts feed shares, totals and scores without reading the rows again."""
     plan = executed(entry_module.queries()["C10_bias_report"](large, SF))
