@@ -62,12 +62,17 @@ def _model_rank(models: Sequence[str]) -> Column:
     return out.otherwise(len(models))
 
 
-def _gold_once(counts: DataFrame, df: DataFrame, models: Sequence[str]) -> DataFrame:
-    """Of the gold counts of all models, keep those of the first model each dataset has."""
-    first = df.groupBy("dataset").agg(F.min(_model_rank(models)).alias("first"))
+def _gold_once(counts: DataFrame, df: DataFrame, allowed: LabelSets, models: Sequence[str]) -> DataFrame:
+    """Of the gold counts of all models, keep those of the first model each configured dataset has.
+
+    The table of first models has at most one row per configured dataset, so it is broadcast.
+    """
+    configured = F.col("dataset").isin(list(allowed))
+    first = df.filter(configured).groupBy("dataset").agg(F.min(_model_rank(models)).alias("first"))
     return (
-        counts.withColumn("rank", _model_rank(models))
-        .join(first, "dataset")
+        counts.filter(configured)
+        .withColumn("rank", _model_rank(models))
+        .join(F.broadcast(first), "dataset")
         .filter((F.col("source") != TRUE) | (F.col("rank") == F.col("first")))
         .select("dataset", "label", "source", "n")
     )
@@ -93,7 +98,7 @@ def exact_counts(
     """Counts of gold and predicted labels, limited to allowed labels."""
     g = F.when(is_allowed(gold, allowed), F.col(gold))
     p = F.when(is_allowed(pred, allowed), F.col(pred))
-    return _gold_once(_side_counts(df, g, p), df, models)
+    return _gold_once(_side_counts(df, g, p), df, allowed, models)
 
 
 def open_counts(
@@ -101,7 +106,7 @@ def open_counts(
 ) -> DataFrame:
     """Counts of every predicted label, allowed or not; gold labels limited to allowed ones."""
     g = F.when(is_allowed(gold, allowed), F.col(gold))
-    return _gold_once(_side_counts(df, g, F.col(pred)), df, models)
+    return _gold_once(_side_counts(df, g, F.col(pred)), df, allowed, models)
 
 
 def containment_counts(
@@ -124,7 +129,7 @@ def containment_counts(
           for i, w in enumerate(words)],
     )
     counts = wide.select("dataset", "model", F.inline(entries)).filter(is_allowed("label", allowed))
-    return _gold_once(counts, wide, models)
+    return _gold_once(counts, wide, allowed, models)
 
 
 def containment_pairs(

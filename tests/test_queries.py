@@ -26,6 +26,9 @@ def test_query(spark, con, name):
         assert difference(df, con, ORACLES[name]) is None
     else:
         assert df.count() > 0
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert "Window " not in plan or "SinglePartition" not in plan
 
 
 def test_every_listed_operator_has_a_query():
