@@ -9,7 +9,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gradewell.functions.text import after_marker, chosen_value, last_letter, ratio
-from gradewell.registry import AXES, LETTERS, NUM_TRIALS, STOP_COUNT
+from gradewell.operators.scoring import for_models
+from gradewell.registry import AXES, LETTERS, NUM_TRIALS, STOP_COUNT, prompt_for
+
+
+def questionnaire_prompts(questions: DataFrame, models: Sequence[str], trials: int = NUM_TRIALS) -> DataFrame:
+    """Every question once per model and trial, with its prompt.
+
+    ``questions`` has number, question and the structs choice_a and choice_b with text and value.
+    """
+    grid = for_models(questions, models).withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
+    texts = {"text_a": F.col("choice_a.text"), "text_b": F.col("choice_b.text")}
+    return grid.withColumns(texts).withColumn("prompt", prompt_for("questionnaire")).drop(*texts)
 
 
 def chosen_letters(answers: DataFrame, answer: str = "prediction") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -165,9 +166,11 @@ def repair_labels(
     """
     keys = ["dataset", "model", "row_id", "text", "sentiment_label"]
     invalid = label_audit(df, tasks, models).invalid.select(*keys[:-1], "prediction")
-    fixes = repair.label_unresolved(invalid, labellers, relabel).select(*keys)
-    if corrections is not None:
-        fixes = fixes.unionByName(corrections.select(*keys))
+    parts = [repair.label_unresolved(invalid, labellers, relabel)] if labellers else []
+    parts += [corrections] if corrections is not None else []
+    if not parts:
+        raise ValueError("give labellers, corrections or both")
+    fixes = reduce(DataFrame.unionByName, [part.select(*keys) for part in parts])
     merged = repair.override_predictions(df, fixes)
     tidied = F.when(F.col("dataset").isin(list(tidy)), tx.normalize_prediction("prediction"))
     return merged.withColumn("prediction", tidied.otherwise(F.col("prediction")))

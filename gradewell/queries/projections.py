@@ -64,10 +64,10 @@ def p7(spark, sf):
 
 @query("P8_drop_unparsable", v.with_sql(v.CHOICES_SQL, f"""parsed AS (
   SELECT model, row_id, {q.option('gold')} AS gold, {q.option('prediction')} AS prediction
-  FROM choices WHERE dataset = 'ARC (easy)')""", select="""
+  FROM choices)""", select="""
 SELECT * FROM parsed WHERE gold IS NOT NULL AND prediction IS NOT NULL"""))
 def p8(spark, sf):
-    df = v.choices(spark, sf).filter("dataset = 'ARC (easy)'").select(
+    df = v.choices(spark, sf).select(
         "model", "row_id", tx.extract_option("gold").alias("gold"), tx.extract_option("prediction").alias("prediction")
     )
     return df.dropna(subset=["gold", "prediction"])

@@ -89,11 +89,11 @@ def s4(spark, sf):
 
 
 @query("S5_keys_from_file_name", """
-SELECT doc_id, lang AS dimension, source AS subtype FROM documents WHERE doc_id % 5 <> 0""")
+SELECT doc_id, lang AS dimension, source AS subtype FROM documents WHERE lang <> 'es'""")
 def s5(spark, sf):
     docs = v.table(spark, sf, "documents")
-    short = F.pmod("doc_id", F.lit(5)) == 0
-    name = F.when(short, F.concat("lang", F.lit("_"), "source", F.lit(".json"))).otherwise(
+    # Spanish files lack the language part of their name.
+    name = F.when(F.col("lang") == "es", F.concat("lang", F.lit("_"), "source", F.lit(".json"))).otherwise(
         F.concat(F.lit("en_"), "lang", F.lit("_"), "source", F.lit(".json"))
     )
     return tables.keys_from_name(docs.select("doc_id", name.alias("file_name"))).drop("file_name")
@@ -123,17 +123,17 @@ def s6_first(spark, sf):
     return tables.read_training_rows(spark, path, schema, fmt="json", order=["position"], limit=200)
 
 
-# Whole turns on one line, then two words; every third line ends otherwise.
-_TAIL = "CASE WHEN turn % 3 = 2 THEN '!' ELSE ' positive  ' || role END"
+# Whole turns on one line, then two words; system turns end otherwise.
+_TAIL = "CASE WHEN role = 'system' THEN '!' ELSE ' positive  ' || role END"
 _FLAT = f"flat AS (SELECT conv_id, turn, role, replace(text, chr(10), ' ') || {_TAIL} AS line FROM conversations)"
 
 
 @query("S7_last_two_words", v.with_sql(_FLAT, select=f"""
 SELECT {q.strip("regexp_extract(line, '^(.*?)(\\s+)(\\w+)\\s+(\\w+)$', 1)")} AS text, 'positive' AS answer, role AS prediction
-FROM flat WHERE turn % 3 <> 2"""))
+FROM flat WHERE role <> 'system'"""))
 def s7(spark, sf):
     path = scratch_path(spark, "s7")
-    tail = F.when(F.pmod("turn", F.lit(3)) == 2, "!").otherwise(F.concat(F.lit(" positive  "), "role"))
+    tail = F.when(F.col("role") == "system", "!").otherwise(F.concat(F.lit(" positive  "), "role"))
     line = F.concat(F.translate("text", "\n", " "), tail)
     _write_lines(v.table(spark, sf, "conversations").select(line.alias("line")), path, "text answer prediction")
     return lines.split_last_words(lines.body_lines(spark, path))
@@ -204,6 +204,13 @@ def s10(spark, sf):
     return spark.read.schema(out.schema).option("header", True).option("escape", '"').csv(path)
 
 
+@query("S10_parquet_sink", v.with_sql(v.HEALTH_SQL, select="SELECT * FROM health"))
+def s10_parquet(spark, sf):
+    path = scratch_path(spark, "s10")
+    sinks.write_predictions(v.health(spark, sf), path)
+    return spark.read.parquet(path)
+
+
 @query("S11_json_sink", v.with_sql(v.DIALOGUE_SQL, select="SELECT * FROM dialogue"))
 def s11(spark, sf):
     path = scratch_path(spark, "s11")

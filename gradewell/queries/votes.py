@@ -75,6 +75,24 @@ def _types(spark, sf):
     return votes.trial_types(votes.letter_tally(votes.chosen_letters(answers(spark, sf))))
 
 
+@query("J5_questionnaire_grid", """
+SELECT model, trial, s_suppkey AS number,
+       'You are answering an MBTI personality test.' || chr(10) ||
+       'For the question, select either choice_a or choice_b.' || chr(10) ||
+       'Respond with only one word: ''a'' or ''b''.' || chr(10) || chr(10) || 'Q' || s_suppkey || ': ' || s_name ||
+       chr(10) || 'A: nation ' || s_nationkey || ' (a)' || chr(10) || 'B: another (b)' AS prompt
+FROM supplier CROSS JOIN (VALUES ('base'), ('f'), ('t')) m(model) CROSS JOIN (SELECT unnest(range(1, 11)) AS trial)""")
+def j5_questionnaire(spark, sf):
+    nation = F.concat(F.lit("nation "), F.col("s_nationkey").cast("string"))
+    questions = v.table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("number"), F.col("s_name").alias("question"),
+        F.struct(nation.alias("text"), F.lit("E").alias("value")).alias("choice_a"),
+        F.struct(F.lit("another").alias("text"), F.lit("I").alias("value")).alias("choice_b"),
+    )
+    grid = votes.questionnaire_prompts(questions, v.MODEL_NAMES)
+    return grid.select("model", F.col("trial").cast("long").alias("trial"), "number", "prompt")
+
+
 @query("A23_letter_tally", _sql("SELECT * FROM tally"))
 def a23(spark, sf):
     return votes.letter_tally(votes.chosen_letters(answers(spark, sf)))

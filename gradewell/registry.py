@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,6 +49,17 @@ LABEL_TASKS = (
     LabelTask("sst2", "sst2_sentiment_results.csv", "results/sentiment/sst2", POLARITY_CODES),
 )
 
+# Files beside a result file: rows without a valid answer, their corrections, and the corrected results.
+INVALID_SUFFIX = ".invalid.csv"
+PROCESSED_SUFFIX = ".processed.csv"
+CORRECTION_SUFFIX = {
+    "imdb_sentiment": ".invalid.labeled.test.csv",
+    "mental_sentiment": ".invalid.labeled.test.csv",
+    "financial_sentiment": ".invalid.csv",
+    "fiqasa_sentiment": ".invalid.csv",
+    "sst2": ".invalid.csv",
+}
+
 # Case form that makes answers of each finance dataset comparable.
 FINANCE_CASE = {
     "cfa_1000": "upper",
@@ -148,6 +159,11 @@ CUE_DROPPED = {"german_400", "convfinqa_300", "cfa_1000", "fiqasa_bench", "bigda
 PROMPTS["fiqasa_bench"] = PROMPTS["fiqasa"]
 
 
+def sibling(task: LabelTask, suffix: str) -> LabelTask:
+    """the same dataset read from the file with another suffix."""
+    return replace(task, file=task.file.replace(".csv", suffix))
+
+
 def prompt(template: str, clean=None) -> Column:
     """the text of one template, with ``{name}`` filled from columns.
 

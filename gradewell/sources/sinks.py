@@ -22,6 +22,11 @@ def write_csv(df: DataFrame, path: str, bom: bool = False, partition_by: Sequenc
     _csv_writer(df).partitionBy(*partition_by).csv(path)
 
 
+def write_predictions(df: DataFrame, path: str) -> None:
+    """S10 as Parquet, one folder per task, dataset and model, so that jobs over some of them read only those."""
+    df.write.partitionBy("task", "dataset", "model").parquet(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON record per line, non-ASCII text kept, null fields kept."""
     df.write.option("ignoreNullFields", False).json(path)

@@ -122,15 +122,17 @@ def read_results(
     models: Mapping[str, str],
     schema: T.StructType,
     text_col: str | None = "text",
+    extra: Sequence[str] = (),
     multi_line: bool = True,
 ) -> DataFrame:
     """The result files of one dataset under every model folder, as long predictions.
 
     ``root/base_path/<model folder>/<file>`` may be a file or a folder of part files; whatever exists is read in
     one scan and the model comes from the folder name (see :func:`missing_results` for the rest). Ids increase
-    along each file, so that later rows of a file have larger ids.
+    along each file, so that later rows of a file have larger ids. ``extra`` names text columns that follow the
+    prediction in the file, such as the ``cleaned_prediction`` and ``sentiment_label`` of a corrections file.
     """
-    full = with_prediction(schema)
+    full = T.StructType(with_prediction(schema).fields + [T.StructField(c, T.StringType()) for c in extra])
     reader = (
         spark.read.schema(full)
         .option("header", True)
@@ -156,6 +158,7 @@ def read_results(
         (F.col(text_col) if text_col else F.lit(None).cast("string")).alias("text"),
         null_tokens_to_null(task.label_col).alias("gold"),
         null_tokens_to_null(task.pred_col).alias("prediction"),
+        *[null_tokens_to_null(c).alias(c) for c in extra],
     )
     return rows.filter("model is not null")
 
