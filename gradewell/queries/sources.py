@@ -75,16 +75,12 @@ def s3(spark, sf):
 
 
 @query("S4_json_array_scan", v.with_sql(v.DIALOGUE_SQL, select="""
-SELECT row_number() OVER (PARTITION BY conv_id // 20 ORDER BY conv_id, turn) - 1 AS position, question AS instruction,
-       reply AS output FROM dialogue"""))
+SELECT (row_number() OVER (ORDER BY conv_id, turn) - 1) % 50 AS position, question AS instruction, reply AS output
+FROM dialogue"""))
 def s4(spark, sf):
     path = scratch_path(spark, "s4")
-    block = (F.col("conv_id") / 20).cast("long")
-    rows = v.dialogue(spark, sf).select(
-        F.struct("conv_id", "turn").alias("position"), F.col("question").alias("instruction"),
-        F.col("reply").alias("output"), block.alias("block"),
-    )
-    sinks.write_json_arrays(rows, path)
+    rows = v.dialogue(spark, sf).withColumnsRenamed({"question": "instruction", "reply": "output"})
+    sinks.write_json_arrays(rows, path, ["instruction", "output"], ["conv_id", "turn"], rows_per_file=50)
     return tables.read_json_array(spark, f"{path}/*/*.txt", INSTRUCTION).drop("file_name")
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
+from gradewell.plans.skew import number_rows
+
 
 def _csv_writer(df: DataFrame) -> DataFrameWriter:
     """Header, doubled quotes, and blanks kept as they are."""
@@ -32,13 +34,18 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", False).json(path)
 
 
-def write_json_arrays(df: DataFrame, path: str, block: str = "block") -> None:
-    """One JSON array file per value of ``block``; choose blocks of bounded size (say, 10,000 row ids)."""
-    fields = [c for c in df.columns if c not in (block, "position")]
-    record = F.struct("position", F.struct(*fields).alias("record"))
-    arrays = df.groupBy(block).agg(F.sort_array(F.collect_list(record)).alias("records"))
+def write_json_arrays(
+    df: DataFrame, path: str, fields: Sequence[str], order: Sequence[str], rows_per_file: int = 10_000
+) -> None:
+    """JSON array files of ``fields``, in the order of ``order`` and with at most ``rows_per_file`` records each.
+
+    Rows are numbered over the whole table first, so no file grows with a popular key.
+    """
+    numbered = number_rows(df, order, "_n").withColumn("block", F.expr(f"_n div {rows_per_file}"))
+    record = F.struct("_n", F.struct(*fields).alias("record"))
+    arrays = numbered.groupBy("block").agg(F.sort_array(F.collect_list(record)).alias("records"))
     text = F.to_json(F.transform("records", lambda r: r["record"]), {"ignoreNullFields": "false"})
-    arrays.select(block, text.alias("value")).write.partitionBy(block).text(path)
+    arrays.select("block", text.alias("value")).write.partitionBy("block").text(path)
 
 
 def report_text(metrics: DataFrame, by: Sequence[str], columns: Mapping[str, int | None]) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import types as T
 
 from gradewell.registry import LABEL_TASKS, MODELS, LabelTask
-from gradewell.schema import INPUTS, with_prediction
+from gradewell.schema import INPUTS, PREDICTIONS, with_prediction
 from gradewell.session import scratch_path
 from gradewell.sources import lines, sinks, tables
 
@@ -110,3 +110,25 @@ def test_invalid_output_has_no_empty_folders(spark):
 def test_prediction_schema():
     assert with_prediction(INPUTS["gsm8k"]).names == ["question", "label", "prediction"]
     assert LabelTask("x", "x.csv", "r").labels() is None
+
+
+def test_json_arrays_are_bounded_and_ordered(spark):
+    path = scratch_path(spark, "arrays")
+    df = spark.range(23).selectExpr("23 - id as id", "concat('é', id) as instruction", "cast(null as string) as output")
+    sinks.write_json_arrays(df, path, ["instruction", "output"], ["id"], rows_per_file=10)
+    back = tables.read_json_array(spark, f"{path}/*/*.txt")
+    sizes = [r["count"] for r in back.groupBy("position").count().orderBy("position").collect()]
+    assert sizes == [3] * 3 + [2] * 7 and back.filter("output is not null").count() == 0
+    firsts = {r["instruction"] for r in back.filter("position = 0").collect()}
+    assert firsts == {"é22", "é12", "é2"}
+
+
+def test_predictions_as_parquet(spark):
+    path = scratch_path(spark, "predictions")
+    rows = [("t", "d", "m", 1, "x", "g", "p"), ("t", "e", "m", 2, "x", "g", None)]
+    df = spark.createDataFrame(rows, PREDICTIONS)
+    sinks.write_predictions(df, path)
+    back = spark.read.parquet(path).select(*df.columns)
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    plan = back.filter("dataset = 'e'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dataset" in plan
