@@ -60,3 +60,26 @@ def test_number_rows_has_no_one_task_window(spark):
 def test_group_total(spark):
     df = spark.createDataFrame([("x", 1), ("x", 2), ("y", 5)], "g string, n long")
     assert sorted(tuple(r) for r in skew.group_total(df, ["g"], "n").collect()) == [("x", 1, 3), ("x", 2, 3), ("y", 5, 5)]
+
+
+def test_a_third_of_all_rows_under_one_key_goes_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", -1)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        left = spark.range(300_000).selectExpr("id", "if(id % 3 = 0, -1, id) as key")
+        right = spark.range(300_000).selectExpr("id as key", "id * 2 as v").union(spark.sql("select -1L, 7L"))
+
+        def largest_share(joined):
+            sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == 300_000
+            return max(sizes) / 300_000
+
+        assert largest_share(left.join(right, ["key"], "left")) > 0.33
+        joined = skew.lookup_join(left, right, ["key"], "left", spread=["id"])
+        assert largest_share(joined) < 0.2
+        assert joined.filter("key = -1 and v = 7").count() == 100_000
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
