@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from gradewell.operators import corpus
 from gradewell.queries import views as v
 from gradewell.queries.registry import query

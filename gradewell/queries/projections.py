@@ -8,7 +8,7 @@ from gradewell.functions import text as tx
 from gradewell.operators import corpus, metrics, preferences, repair
 from gradewell.operators import distribution as dist
 from gradewell.operators.scoring import for_models
-from gradewell.plans import jobs, skew
+from gradewell.plans import skew
 from gradewell.queries import sqltext as q
 from gradewell.queries import views as v
 from gradewell.queries.registry import query
@@ -101,7 +101,8 @@ def p10(spark, sf):
 
 
 @query("P11_rows_with_numbers", v.with_sql(v.NUMBERS_SQL, select=f"""
-SELECT dataset, model, gold, prediction FROM numbers WHERE len({q.numbers('gold')}) > 0 AND len({q.numbers('prediction')}) > 0"""))
+SELECT dataset, model, gold, prediction FROM numbers
+WHERE len({q.numbers('gold')}) > 0 AND len({q.numbers('prediction')}) > 0"""))
 def p11(spark, sf):
     has = [F.size(tx.extract_numbers(c)) > 0 for c in ("gold", "prediction")]
     return v.numbers(spark, sf).filter(has[0] & has[1]).select("dataset", "model", "gold", "prediction")
@@ -155,7 +156,8 @@ def p13(spark, sf):
 
 
 @query("P14_direct_labels", v.with_sql(v.ANSWERED_SQL, _CLEAN_SQL, select="""
-SELECT model, row_id, CASE WHEN cleaned_prediction IN ('mixed', 'neutral') THEN cleaned_prediction END AS label FROM cleaned"""))
+SELECT model, row_id, CASE WHEN cleaned_prediction IN ('mixed', 'neutral') THEN cleaned_prediction END AS label
+FROM cleaned"""))
 def p14(spark, sf):
     return v.answered_documents(spark, sf).select(
         "model", "row_id", repair.direct_label("prediction", ("mixed", "neutral")).alias("label")

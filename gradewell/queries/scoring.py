@@ -11,6 +11,7 @@ from gradewell.plans import jobs
 from gradewell.queries import sqltext as q
 from gradewell.queries import views as v
 from gradewell.queries.registry import query
+from gradewell.registry import FINANCE_CASE, by_dataset
 
 _PARSED_REVIEWS = f"""parsed AS (
   SELECT dataset, model, CAST(gold AS INTEGER) AS gold, {q.polarity('prediction')} AS pred FROM reviews)"""
@@ -39,6 +40,13 @@ def _parsed_reviews(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _parsed_finance(spark: SparkSession, sf: str) -> DataFrame:
+    df = v.finance(spark, sf)
+    for side in ("gold", "prediction"):
+        df = df.withColumn(side, by_dataset("dataset", {d: tx.case_form(side, f) for d, f in FINANCE_CASE.items()}))
+    return df
+
+
 def parsed_market(spark: SparkSession, sf: str) -> DataFrame:
     codes = {"0": "bearish", "1": "bullish", "2": "neutral"}
     return v.market(spark, sf).select(
@@ -57,10 +65,7 @@ def a1(spark, sf):
 SELECT dataset, model, round(avg(CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS scored
 FROM scored GROUP BY ALL"""))
 def a2(spark, sf):
-    df = v.finance(spark, sf)
-    for side in ("gold", "prediction"):
-        df = df.withColumn(side, jobs.by_dataset("dataset", {d: tx.case_form(side, f) for d, f in jobs.FINANCE_CASE.items()}))
-    return rounded(metrics.accuracy(df), "accuracy")
+    return rounded(metrics.accuracy(_parsed_finance(spark, sf)), "accuracy")
 
 
 _BINARY = f"""SELECT {{by}}, round(CASE WHEN count(pred) = 0 THEN 'nan'::DOUBLE ELSE
@@ -94,10 +99,7 @@ def a4(spark, sf):
 SELECT dataset, model, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision,
        round(recall, 6) AS recall, round(f1, 6) AS f1, scored FROM macro"""))
 def a5(spark, sf):
-    df = v.finance(spark, sf)
-    for side in ("gold", "prediction"):
-        df = df.withColumn(side, jobs.by_dataset("dataset", {d: tx.case_form(side, f) for d, f in jobs.FINANCE_CASE.items()}))
-    out = metrics.macro_metrics(df).drop("invalid", "rows")
+    out = metrics.macro_metrics(_parsed_finance(spark, sf)).drop("invalid", "rows")
     return rounded(out, "accuracy", "precision", "recall", "f1")
 
 

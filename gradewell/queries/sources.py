@@ -8,14 +8,15 @@ from pyspark.sql import types as T
 from gradewell.functions import text as tx
 from gradewell.operators import distribution as dist
 from gradewell.operators import scoring
+from gradewell.operators.preferences import flat_pairs
 from gradewell.plans import jobs
 from gradewell.queries import sqltext as q
 from gradewell.queries import views as v
 from gradewell.queries.distributions import _CLEAN
 from gradewell.queries.projections import RECORDS_SQL, records
 from gradewell.queries.registry import query
-from gradewell.queries.scoring import _PARSED_MARKET, _binary, _PARSED_REVIEWS
-from gradewell.registry import LabelTask
+from gradewell.queries.scoring import _PARSED_MARKET, _PARSED_REVIEWS, _binary, parsed_market
+from gradewell.registry import LabelTask, prompt
 from gradewell.schema import FLAT_PREFERENCE, INSTRUCTION
 from gradewell.session import scratch_path
 from gradewell.sources import lines, sinks, tables
@@ -99,8 +100,6 @@ def s5(spark, sf):
 SELECT a.instruction AS prompt, a.output AS chosen, b.output AS rejected
 FROM records a JOIN records b ON a.position = b.position WHERE a.subtype = 'thinking' AND b.subtype = 'feeling'"""))
 def s6(spark, sf):
-    from gradewell.operators.preferences import flat_pairs
-
     path = scratch_path(spark, "s6")
     sinks.write_csv(flat_pairs(records(spark, sf), "decision", "thinking").drop("position"), path)
     return tables.read_training_rows(spark, path, FLAT_PREFERENCE)
@@ -111,8 +110,6 @@ SELECT a.position, a.instruction AS prompt, a.output AS chosen, b.output AS reje
 FROM records a JOIN records b ON a.position = b.position WHERE a.subtype = 'thinking' AND b.subtype = 'feeling'
 ORDER BY a.position LIMIT 200"""))
 def s6_first(spark, sf):
-    from gradewell.operators.preferences import flat_pairs
-
     path = scratch_path(spark, "s6")
     sinks.write_json(flat_pairs(records(spark, sf), "decision", "thinking"), path)
     schema = T.StructType([T.StructField("position", T.LongType()), *FLAT_PREFERENCE.fields])
@@ -237,8 +234,6 @@ def s12(spark, sf):
 SELECT dataset, pred AS label, count(*) FILTER (model = 'base') AS base, count(*) FILTER (model = 'f') AS f,
        count(*) FILTER (model = 't') AS t FROM parsed GROUP BY ALL"""))
 def s13(spark, sf):
-    from gradewell.queries.scoring import parsed_market
-
     path = scratch_path(spark, "s13")
     counts = parsed_market(spark, sf).groupBy(
         "dataset", F.col("model").alias("source"), F.col("prediction").alias("label")
@@ -288,8 +283,6 @@ def _factory(model: str):
 SELECT conv_id, turn, model, prompt, CASE WHEN length(prompt) % 7 = 0 THEN '[Error] prompt rejected'
   WHEN length(prompt) % 2 = 1 THEN model || ': positive' ELSE model || ': negative' END AS prediction FROM prompts"""))
 def u1(spark, sf):
-    from gradewell.registry import prompt
-
     rows = v.dialogue(spark, sf).select(
         "conv_id", "turn", prompt("Review:\n{question}\n\nSentiment:").alias("prompt")
     )
