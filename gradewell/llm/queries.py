@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from gradewell.llm import exact_dedup
+from gradewell.llm import exact_dedup, packing, simhash
 from gradewell.llm.common import on_table
 
 QUERIES = {
+    "op3_best_fit_packing": on_table(packing.pack_documents),
+    "op7_simhash_near_dedup": on_table(simhash.near_duplicates),
     "op10_exact_dedup": on_table(exact_dedup.duplicate_groups),
 }
 
