@@ -6,22 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradewell.llm import exact_dedup
+from gradewell.llm import decontamination, exact_dedup, language_id, packing, simhash
 from gradewell.llm.common import hand_over, read_table
 from gradewell.session import ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told stay."""
+    ship_package(spark)
+    return language_id.keep_identified(docs)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest id stays."""
     ship_package(spark)
     return exact_dedup.drop_duplicates(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("exact_dedup", exact_duplicates)]
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked fingerprints the row with the smallest id stays."""
+    ship_package(spark)
+    return simhash.drop_near_duplicates(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with too many benchmark words go."""
+    return decontamination.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the remaining documents and their places in training sequences."""
+    ship_package(spark)
+    return packing.pack_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", identified),
+    ("exact_dedup", without_copies),
+    ("near_dedup", without_near_copies),
+    ("decontamination", without_benchmark),
+    ("packing", packed),
+]
 
-# crc32, trained models and local search have no SQL form.
+# Trained models, tokenizers and local search have no SQL form.
 ORACLE_SQL: str | None = None
 
 

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from gradewell.llm import exact_dedup, packing, simhash
-from gradewell.llm.common import on_table
+from pyspark.sql import DataFrame, SparkSession
+
+from gradewell.llm import decontamination, exact_dedup, language_id, packing, simhash
+from gradewell.llm.common import on_table, read_table
+
+
+def _contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
 
 QUERIES = {
     "op3_best_fit_packing": on_table(packing.pack_documents),
+    "op4_language_id": on_table(language_id.identify),
+    "op5_benchmark_decontamination": _contamination,
     "op7_simhash_near_dedup": on_table(simhash.near_duplicates),
     "op10_exact_dedup": on_table(exact_dedup.duplicate_groups),
 }
