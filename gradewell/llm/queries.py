@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradewell.llm import decontamination, exact_dedup, language_id, packing, simhash
+from gradewell.llm import decontamination, exact_dedup, language_id, license_scan, packing, sharding, simhash
 from gradewell.llm.common import on_table, read_table
 
 
@@ -13,6 +13,8 @@ def _contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": on_table(license_scan.scan),
+    "op2_sampled_splitter_shards": on_table(sharding.assign_shards),
     "op3_best_fit_packing": on_table(packing.pack_documents),
     "op4_language_id": on_table(language_id.identify),
     "op5_benchmark_decontamination": _contamination,
