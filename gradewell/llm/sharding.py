@@ -69,9 +69,15 @@ def _quantiles(sample: list, cuts: int, within: bool = True) -> np.ndarray:
     order = np.argsort(keys)
     before = np.cumsum(weights[order]) - weights[order] / 2
     part = np.minimum(before * cuts / weights.sum(), cuts - 1).astype(np.int64)
-    cut = keys[order][np.flatnonzero(part[1:] != part[:-1]) + 1]
-    if not within or len({r["h"] for r in sample}) > 1:
-        cut = np.array([k.ljust(24, b"\0")[:8] for k in cut.tolist()], "S24")
+    sorted_keys = keys[order]
+    cut = sorted_keys[np.flatnonzero(part[1:] != part[:-1]) + 1]
+    text = np.array([k.ljust(24, b"\0")[:8] for k in sorted_keys.tolist()], "S8")
+    first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
+    if not within or len(first) > 1:
+        held = np.add.reduceat(weights[order], first)
+        heavy = np.flatnonzero(held * cuts > weights.sum())  # such a text gets a range of its own
+        alone = text[first[np.r_[heavy, heavy[heavy + 1 < len(first)] + 1]]]
+        cut = np.concatenate([np.array([k.ljust(24, b"\0")[:8] for k in cut.tolist()], "S24"), alone.astype("S24")])
     return np.unique(cut)
 
 
