@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradewell.llm import decontamination, exact_dedup, language_id, license_scan, packing, sharding, simhash
+from gradewell.llm import (
+    class_lm, decontamination, exact_dedup, html_text, language_id, license_scan, packing, quality, sharding, simhash,
+)
 from gradewell.llm.common import on_table, read_table
 
 
@@ -12,17 +14,26 @@ def _contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_license_scan": on_table(license_scan.scan),
     "op2_sampled_splitter_shards": on_table(sharding.assign_shards),
     "op3_best_fit_packing": on_table(packing.pack_documents),
     "op4_language_id": on_table(language_id.identify),
     "op5_benchmark_decontamination": _contamination,
+    "op6_html_text": on_table(html_text.extract, "pages"),
     "op7_simhash_near_dedup": on_table(simhash.near_duplicates),
+    "op8_quality_classifier": _quality,
+    "op9_class_lm": on_table(class_lm.score_texts),
     "op10_exact_dedup": on_table(exact_dedup.duplicate_groups),
 }
 
 ORACLES = {
+    "op8_quality_classifier": _quality,
+    "op9_class_lm": on_table(class_lm.score_texts),
     "op10_exact_dedup": r"""
         SELECT doc_id, keep_id, group_size, n = 1 AS kept, text_sha256 FROM (
             SELECT doc_id, sha256(body) AS text_sha256,
