@@ -40,6 +40,22 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+# Byte-level vocabularies spell a byte by its Latin-1 character; those that do not print are moved behind U+0100.
+_UNPRINTED = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+_BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(_UNPRINTED)}
+
+
+def _plain_word(core: bytes) -> bytes | None:
+    """``core`` lower-cased if it is letters up to U+024F only; the tokenizer's clean-up changes nothing else in it.
+
+    Such a run is one word for the tokenizer, and full stops and commas behind it are another.
+    """
+    if core.isalpha():
+        return core.lower()
+    word = core.decode().lower()
+    return word.encode() if word.isalpha() and max(word) < "\u0250" else None
+
+
 class _Encoder:
     """Token ids of texts as little-endian bytes.
 
@@ -69,16 +85,24 @@ class _Encoder:
     def _join(self, chunks: list[list[bytes]]) -> Iterator[bytes]:
         known = self.known
         new = set().union(*chunks).difference(known) if chunks else set()
-        # A run of ASCII letters before full stops and commas is a token run of its own and has no case.
-        parted = {}
+        parted, plain, fresh = {}, set(), set()
         for chunk in new:
             core = chunk.rstrip(b".,")
-            if core.isalpha() and (core != chunk or not chunk.islower()):
-                parted[chunk] = (core.lower(), chunk[len(core) :])
-        fresh = list(set().union(new.difference(parted), *parted.values()).difference(known))
+            word = _plain_word(core)
+            if word is None:
+                fresh.add(chunk)
+            else:
+                parted[chunk] = (word, chunk[len(core) :])
+                plain.add(word)
+        fresh.update(tail for _, tail in parted.values())
+        fresh = list(fresh.difference(known))
         found = self.tokenizer.encode_batch_fast([c.decode() for c in fresh], add_special_tokens=False)
         known.update((c, np.array(x.ids, "<u4").tobytes()) for c, x in zip(fresh, found))
-        known.update((c, known[core] + known[tail]) for c, (core, tail) in parted.items())
+        spell = self.tokenizer.model.tokenize
+        for word in plain.difference(known):
+            spelled = word.decode() if word.isascii() else word.decode("latin-1").translate(_BYTE_CHARS)
+            known[word] = np.array([t.id for t in spell(spelled)], "<u4").tobytes()
+        known.update((c, known[word] + known[tail]) for c, (word, tail) in parted.items())
         for parts in chunks:
             yield b"".join(map(known.__getitem__, parts))
 
