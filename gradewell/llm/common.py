@@ -11,10 +11,11 @@ from gradewell.session import scratch_path, ship_package
 
 # ASCII white space, as the contracts define it; bytes.split() without an argument cuts at just these bytes.
 WHITE = r"[\x20\x09-\x0D]+"
-# A word: a run of lower-case ASCII letters, digits and everything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# A word: a run of lower-case ASCII letters, digits and everything beyond ASCII. Said in the positive and without
+# backtracking, which Java's matcher does three times as fast as the negated class.
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]++"
 # The same runs in a text that is not lower-cased yet.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RAW_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]++"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -67,7 +67,7 @@ def _inverse_frequencies(docs: DataFrame, text_col: str) -> dict[str, float]:
     """IDF over the whole table of every word in phrases and templates; their number is fixed."""
     vocabulary = sorted({w for t in [*PHRASES, *(n for n, _ in TEMPLATES.values()), *(k for _, ks in TEMPLATES.values() for k in ks)]
                          for w in t.split()})
-    found = F.regexp_extract_all(F.lower(whole(F.col(text_col))), F.lit(f"({WORD})"), F.lit(1))
+    found = F.regexp_extract_all(F.lower(whole(F.col(text_col))), F.lit(WORD), F.lit(0))
     known = F.array_intersect(found, F.array(*[F.lit(w) for w in vocabulary]))
     rows = docs.select(F.explode(F.array_append(known, F.lit(""))).alias("w")).groupBy("w").count().collect()
     counts = {r["w"]: r["count"] for r in rows}

@@ -15,12 +15,12 @@ def whole(text: Column) -> Column:
 
 def raw_words(text: Column) -> Column:
     """The words of a text in their own case."""
-    return F.regexp_extract_all(whole(text), F.lit(f"({RAW_WORD})"), F.lit(1))
+    return F.regexp_extract_all(whole(text), F.lit(RAW_WORD), F.lit(0))
 
 
 def words(text: Column) -> Column:
     """The words of a text with A-Z lower-cased."""
-    return F.regexp_extract_all(lower_ascii(whole(text)), F.lit(f"({WORD})"), F.lit(1))
+    return F.regexp_extract_all(lower_ascii(whole(text)), F.lit(WORD), F.lit(0))
 
 
 def small(df: DataFrame, name: str) -> tuple[DataFrame, bool]:
