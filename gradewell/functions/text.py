@@ -120,19 +120,29 @@ def extract_bool(c: Column | str) -> Column:
     return F.when(text.contains("true"), True).when(text.contains("false"), False)
 
 
-def extract_numbers(c: Column | str, any_script: bool = True) -> Column:
-    """all unsigned numbers after dropping ``,`` and ``$``, as array<double>; null gives no numbers.
-
-    ``any_script`` also reads decimal digits of other scripts. Only texts with non-ASCII bytes can hold them, which
-    two lengths tell without a scan for the digits.
-    """
+def _number_text(c: Column | str, any_script: bool) -> Column:
+    """Text in which numbers are runs of ASCII digits with an optional point."""
     text = F.coalesce(_col(c).cast("string"), F.lit(""))
     for sign in (",", "$"):
         text = F.replace(text, F.lit(sign), F.lit(""))
     if any_script:
         foreign = (F.octet_length(text) != F.length(text)) & text.rlike(r"[\p{Nd}&&[^0-9]]")
         text = F.when(foreign, F.translate(text, _FOREIGN_DIGITS, _ASCII_DIGITS)).otherwise(text)
-    return F.regexp_extract_all(text, F.lit(r"([0-9]+\.?[0-9]*)"), F.lit(1)).cast("array<double>")
+    return text
+
+
+def extract_numbers(c: Column | str, any_script: bool = True) -> Column:
+    """all unsigned numbers after dropping ``,`` and ``$``, as array<double>; null gives no numbers.
+
+    ``any_script`` also reads decimal digits of other scripts. Only texts with non-ASCII bytes can hold them, which
+    two lengths tell without a scan for the digits.
+    """
+    return F.regexp_extract_all(_number_text(c, any_script), F.lit(r"([0-9]+\.?[0-9]*)"), F.lit(1)).cast("array<double>")
+
+
+def first_number(c: Column | str, any_script: bool = True) -> Column:
+    """F9, its first number only; null without any."""
+    return F.nullif(F.regexp_extract(_number_text(c, any_script), r"([0-9]+\.?[0-9]*)", 1), F.lit("")).cast("double")
 
 
 def case_form(c: Column | str, form: str, null_as_text: bool = False) -> Column:

@@ -16,18 +16,17 @@ from pyspark.sql import functions as F
 from gradewell.functions.text import INVALID, contains_any, ratio
 from gradewell.operators.metrics import confusion_counts
 from gradewell.plans.skew import group_total, lookup_join
+from gradewell.session import scratch_root
 
 LabelSets = Mapping[str, Sequence[str]]
 TRUE = "true"
-# Label sets up to this size are compared as literals; larger ones are joined.
-MAX_LITERAL_LABELS = 500
 
 
 def is_allowed(label: Column | str, allowed: LabelSets, dataset: str = "dataset") -> Column:
     """True where the label belongs to the label set of the row's dataset."""
     label = F.col(label) if isinstance(label, str) else label
     tests = [(F.col(dataset) == name) & label.isin(list(names)) for name, names in allowed.items()]
-    return F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False))
+    return F.coalesce(reduce(lambda a, b: a | b, tests, F.lit(False)), F.lit(False))
 
 
 def gold_label_sets(df: DataFrame, gold: str = "gold") -> DataFrame:
@@ -44,17 +43,6 @@ def distinct_values(df: DataFrame, gold: str = "gold", pred: str = "prediction")
     return df.select("dataset", "model", F.inline(sides)).filter("value is not null").distinct()
 
 
-def label_sets_of(df: DataFrame, gold: str = "gold") -> LabelSets | None:
-    """A22 for configuration use: the gold label sets on the driver, or None if they are not a small class set."""
-    rows = gold_label_sets(df, gold).limit(MAX_LITERAL_LABELS + 1).collect()
-    if len(rows) > MAX_LITERAL_LABELS:
-        return None
-    sets: dict[str, list[str]] = {}
-    for row in sorted(rows, key=lambda r: (r["dataset"], r["label"])):
-        sets.setdefault(row["dataset"], []).append(row["label"])
-    return sets
-
-
 def _model_rank(models: Sequence[str]) -> Column:
     out = F
     for rank, model in enumerate(models):
@@ -62,111 +50,161 @@ def _model_rank(models: Sequence[str]) -> Column:
     return out.otherwise(len(models))
 
 
-def _gold_once(counts: DataFrame, df: DataFrame, allowed: LabelSets, models: Sequence[str]) -> DataFrame:
-    """Of the gold counts of all models, keep those of the first model each configured dataset has.
+def _fixed(counts: DataFrame) -> DataFrame:
+    """Counts checkpointed, so that whatever joins them with themselves scans the rows once."""
+    scratch_root(counts.sparkSession)
+    return counts.checkpoint()
+
 
-    The table of first models has at most one row per configured dataset, so it is broadcast.
+def _gold_once(counts: DataFrame, models: Sequence[str]) -> DataFrame:
+    """Of the gold counts of all models, keep those of the first model each dataset has.
+
+    The first model comes from the counts themselves. It is one row per dataset and joined as such.
     """
-    configured = F.col("dataset").isin(list(allowed))
-    first = df.filter(configured).groupBy("dataset").agg(F.min(_model_rank(models)).alias("first"))
+    first = counts.groupBy("dataset").agg(F.min(_model_rank(models)).alias("first"))
     return (
-        counts.filter(configured)
-        .withColumn("rank", _model_rank(models))
-        .join(F.broadcast(first), "dataset")
+        counts.withColumn("rank", _model_rank(models))
+        .join(first, "dataset")
         .filter((F.col("source") != TRUE) | (F.col("rank") == F.col("first")))
         .select("dataset", "label", "source", "n")
     )
 
 
-def _side_counts(df: DataFrame, gold: Column, pred: Column) -> DataFrame:
-    """Counts of both sides in one scan; a null label on a side is left out."""
+def _side_counts(
+    df: DataFrame, allowed: LabelSets, by_gold: Sequence[str], gold: str, pred: str, any_prediction: bool
+) -> DataFrame:
+    """Counts of both sides in one scan, checkpointed; null labels and labels that are not allowed are left out.
+
+    Datasets in ``by_gold`` allow the gold labels they have, however many: a table that comes from the counts.
+    """
+    listed = list(allowed)
+    named = {side: is_allowed(side, allowed) | F.col("dataset").isin(list(by_gold)) for side in (gold, pred)}
     sides = F.array(
-        F.struct(F.lit(TRUE).alias("source"), gold.alias("label")),
-        F.struct(F.col("model").alias("source"), pred.alias("label")),
+        F.struct(F.lit(TRUE).alias("source"), F.when(named[gold], F.col(gold)).alias("label")),
+        F.struct(F.col("model").alias("source"),
+                 (F.col(pred) if any_prediction else F.when(named[pred], F.col(pred))).alias("label")),
     )
-    return (
-        df.select("dataset", "model", F.inline(sides))
+    counts = _fixed(
+        df.filter(F.col("dataset").isin([*listed, *by_gold]))
+        .select("dataset", "model", F.inline(sides))
         .filter("label is not null")
         .groupBy("dataset", "model", "source", "label")
         .agg(F.count("*").alias("n"))
     )
+    if any_prediction or not by_gold:
+        return counts
+    golds = counts.filter(F.col("source") == TRUE).select("dataset", "label").distinct()
+    return counts.filter(F.col("dataset").isin(listed)).unionByName(
+        counts.filter(F.col("dataset").isin(list(by_gold))).join(golds, ["dataset", "label"], "left_semi")
+    )
 
 
 def exact_counts(
-    df: DataFrame, allowed: LabelSets, models: Sequence[str], gold: str = "gold", pred: str = "prediction"
+    df: DataFrame, allowed: LabelSets, models: Sequence[str], gold: str = "gold", pred: str = "prediction",
+    by_gold: Sequence[str] = (),
 ) -> DataFrame:
-    """Counts of gold and predicted labels, limited to allowed labels."""
-    g = F.when(is_allowed(gold, allowed), F.col(gold))
-    p = F.when(is_allowed(pred, allowed), F.col(pred))
-    return _gold_once(_side_counts(df, g, p), df, allowed, models)
+    """Counts of gold and predicted labels, limited to allowed ones (``by_gold``: to the gold labels)."""
+    return _gold_once(_side_counts(df, allowed, by_gold, gold, pred, False), models)
 
 
 def open_counts(
-    df: DataFrame, allowed: LabelSets, models: Sequence[str], gold: str = "gold", pred: str = "prediction"
+    df: DataFrame, allowed: LabelSets, models: Sequence[str], gold: str = "gold", pred: str = "prediction",
+    by_gold: Sequence[str] = (),
 ) -> DataFrame:
     """Counts of every predicted label, allowed or not; gold labels limited to allowed ones."""
-    g = F.when(is_allowed(gold, allowed), F.col(gold))
-    return _gold_once(_side_counts(df, g, F.col(pred)), df, allowed, models)
+    return _gold_once(_side_counts(df, allowed, by_gold, gold, pred, True), models)
 
 
 def containment_counts(
-    df: DataFrame, allowed: LabelSets, models: Sequence[str], gold: str = "gold", pred: str = "prediction"
+    df: DataFrame, allowed: LabelSets, models: Sequence[str], gold: str = "gold", pred: str = "prediction",
+    by_gold: Sequence[str] = (),
 ) -> DataFrame:
     """Per allowed label, predictions that contain it (a row may count under several) and gold rows.
 
-    One conditional sum per distinct label word, so rows are neither multiplied nor shuffled as text.
+    Configured sets: one conditional sum per distinct label word, so rows are neither multiplied nor shuffled as
+    text. Datasets in ``by_gold`` allow their gold labels, however many, matched by :func:`containment_pairs`.
     """
-    words = sorted({word for names in allowed.values() for word in names})
-    mine = {w: F.col("dataset").isin([d for d, names in allowed.items() if w in names]) for w in words}
-    wide = df.groupBy("dataset", "model").agg(
-        *[F.count_if(mine[w] & F.col(pred).contains(w)).alias(f"p{i}") for i, w in enumerate(words)],
-        *[F.count_if(mine[w] & (F.col(gold) == w)).alias(f"g{i}") for i, w in enumerate(words)],
+    parts = []
+    if allowed:
+        words = sorted({word for names in allowed.values() for word in names})
+        mine = {w: F.col("dataset").isin([d for d, names in allowed.items() if w in names]) for w in words}
+        wide = df.filter(F.col("dataset").isin(list(allowed))).groupBy("dataset", "model").agg(
+            *[F.count_if(mine[w] & F.col(pred).contains(w)).alias(f"p{i}") for i, w in enumerate(words)],
+            *[F.count_if(mine[w] & (F.col(gold) == w)).alias(f"g{i}") for i, w in enumerate(words)],
+        )
+        entries = F.array(
+            *[F.struct(F.col("model").alias("source"), F.lit(w).alias("label"), F.col(f"p{i}").alias("n"))
+              for i, w in enumerate(words)],
+            *[F.struct(F.lit(TRUE).alias("source"), F.lit(w).alias("label"), F.col(f"g{i}").alias("n"))
+              for i, w in enumerate(words)],
+        )
+        parts.append(_fixed(wide.select("dataset", "model", F.inline(entries)).filter(is_allowed("label", allowed))))
+    if by_gold:
+        rows = df.filter(F.col("dataset").isin(list(by_gold)))
+        golds = _fixed(
+            rows.filter(F.col(gold).isNotNull()).groupBy("dataset", "model", F.col(gold).alias("label"))
+            .agg(F.count("*").alias("n"))
+        ).select("dataset", "model", F.lit(TRUE).alias("source"), "label", "n")
+        found = containment_pairs(rows, golds.select("dataset", "label").distinct(), pred)
+        parts.append(golds.unionByName(_fixed(found.withColumn("source", F.col("model")))))
+    return _gold_once(reduce(DataFrame.unionByName, parts), models)
+
+
+def contained_labels(texts: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
+    """(dataset, digest, label): the labels of its dataset that each text contains, for label sets of any size.
+
+    ``texts`` has a dataset, the text and its SHA-256 as ``digest``. Each label is known by its first characters, as
+    many as the shortest label of the dataset has; an empty label is in no text. A text is cut once into runs of that length, in time linear in
+    its length; runs that begin a label make candidates, and only those are compared whole.
+    """
+    labels = labels.select("dataset", "label").filter("length(label) > 0").distinct()
+    shortest = labels.groupBy("dataset").agg(F.min(F.length("label")).alias("k"))
+    begins = labels.join(shortest, "dataset").groupBy(
+        "dataset", F.expr("substring(label, 1, k)").alias("run")
+    ).agg(F.collect_list("label").alias("labels"))
+    texts = texts.select("dataset", "digest", F.col(text).alias("text")).dropDuplicates(["dataset", "digest"])
+    sized = lookup_join(texts, shortest, ["dataset"], "inner", spread=["digest"])
+    letters = F.split("text", "")
+    cut = sized.filter("length(text) >= k").select("dataset", "digest", "k", letters.alias("c")).select(
+        "dataset", "digest",
+        F.explode(F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.size("c") - F.col("k") + 1), lambda i: F.array_join(F.slice("c", i, F.col("k")), "")
+        ))).alias("run"),
     )
-    entries = F.array(
-        *[F.struct(F.col("model").alias("source"), F.lit(w).alias("label"), F.col(f"p{i}").alias("n"))
-          for i, w in enumerate(words)],
-        *[F.struct(F.lit(TRUE).alias("source"), F.lit(w).alias("label"), F.col(f"g{i}").alias("n"))
-          for i, w in enumerate(words)],
+    candidates = lookup_join(cut, begins, ["dataset", "run"], "inner", spread=["digest"]).select(
+        "dataset", "digest", F.explode("labels").alias("label")
     )
-    counts = wide.select("dataset", "model", F.inline(entries)).filter(is_allowed("label", allowed))
-    return _gold_once(counts, wide, allowed, models)
+    whole = candidates.join(texts, ["dataset", "digest"])
+    return whole.filter(F.contains("text", "label")).select("dataset", "digest", "label")
+
+
+def _digest(text: str) -> Column:
+    return F.unhex(F.sha2(F.col(text), 256))
 
 
 def containment_pairs(
     df: DataFrame, labels: DataFrame, pred: str = "prediction", by: Sequence[str] = ("dataset", "model")
 ) -> DataFrame:
-    """A12 for label sets of any size: counts of (dataset, model, label) by an equality join.
-
-    Predictions are combined to distinct texts first; each text is cut into its parts of the lengths that
-    labels of its dataset have, and the parts are matched to the labels.
-    """
-    lengths = labels.groupBy("dataset").agg(F.collect_set(F.length("label")).alias("lengths"))
-    texts = df.filter(F.col(pred).isNotNull()).groupBy(*by, F.col(pred).alias("text")).agg(F.count("*").alias("n"))
-    sized = lookup_join(texts, lengths, ["dataset"], "inner", spread=["text"])
-    sized = sized.select(*by, "text", "n", F.explode("lengths").alias("len"))
-    parts = (
-        sized.filter(F.length("text") >= F.col("len"))
-        .select(
-            *by, "n",
-            F.explode(
-                F.array_distinct(
-                    F.transform(
-                        F.sequence(F.lit(1), F.length("text") - F.col("len") + 1),
-                        lambda i: F.substring(F.col("text"), i, F.col("len")),
-                    )
-                )
-            ).alias("label"),
-        )
-        .groupBy(*by, "label")
-        .agg(F.sum("n").alias("n"))
-    )
-    return parts.join(labels.select("dataset", "label").distinct(), ["dataset", "label"], "left_semi")
+    """A12 for label sets of any size: counts of (dataset, model, label) over :func:`contained_labels`."""
+    texts = df.filter(F.col(pred).isNotNull()).withColumn("digest", _digest(pred))
+    counted = texts.groupBy(*by, "digest").agg(F.count("*").alias("n"))
+    found = contained_labels(texts, labels, pred)
+    return counted.join(found, ["dataset", "digest"]).groupBy(*by, "label").agg(F.sum("n").alias("n"))
 
 
 def invalid_rows(df: DataFrame, allowed: LabelSets, pred: str = "cleaned_prediction") -> DataFrame:
-    """Rows whose cleaned prediction contains none of the labels of its dataset."""
+    """Rows of the datasets in ``allowed`` whose cleaned prediction contains none of their labels."""
     valid = [(F.col("dataset") == name) & contains_any(pred, names) for name, names in allowed.items()]
-    return df.filter(~F.coalesce(reduce(lambda a, b: a | b, valid), F.lit(False)))
+    unusable = ~F.coalesce(reduce(lambda a, b: a | b, valid), F.lit(False))
+    return df.filter(F.col("dataset").isin(list(allowed)) & unusable)
+
+
+def invalid_by_gold(df: DataFrame, datasets: Sequence[str], gold: str = "gold", pred: str = "cleaned_prediction") -> DataFrame:
+    """P9 for datasets whose label set is their gold labels (A22), however many."""
+    rows = df.filter(F.col("dataset").isin(list(datasets))).withColumn("digest", _digest(pred))
+    found = contained_labels(rows.filter(F.col(pred).isNotNull()), gold_label_sets(rows, gold), pred)
+    valid = found.select("dataset", "digest").distinct()
+    return lookup_join(rows, valid, ["dataset", "digest"], "left_anti", spread=["row_id"]).drop("digest")
 
 
 def rows_with_gold_label(df: DataFrame, gold: str = "gold", pred: str = "prediction") -> DataFrame:
@@ -186,11 +224,10 @@ def valid_pairs(confusion: DataFrame) -> DataFrame:
 def valid_confusion(df: DataFrame, gold: str = "gold", pred: str = "prediction") -> DataFrame:
     """Confusion counts over rows whose prediction is a gold label of their dataset and model.
 
-    A missing prediction gets a word no label equals. The join key then cannot be null, both sides of the semi
-    join keep the same counts, and Spark scans and shuffles the rows once for both.
+    The counts are checkpointed, so both sides of the semi join come from one scan in any plan.
     """
     rows = df.filter(F.col(gold).isNotNull()).withColumn(pred, F.coalesce(F.col(pred), F.lit(INVALID)))
-    return valid_pairs(confusion_counts(rows, ("dataset", "model"), gold, pred))
+    return valid_pairs(_fixed(confusion_counts(rows, ("dataset", "model"), gold, pred)))
 
 
 def distribution_bias(pairs: DataFrame) -> DataFrame:

@@ -159,11 +159,11 @@ def strict_metrics(
 
 
 def containment_accuracy(
-    df: DataFrame, by: Sequence[str] = BY, gold: str = "gold_numbers", pred: str = "pred_numbers"
+    df: DataFrame, by: Sequence[str] = BY, gold: str = "gold_number", pred: str = "pred_numbers"
 ) -> DataFrame:
-    """Share of rows whose first gold number is among the predicted numbers; rows lacking numbers are skipped."""
-    scored = (F.size(gold) > 0) & (F.size(pred) > 0)
-    hit = scored & F.array_contains(F.col(pred), F.try_element_at(F.col(gold), F.lit(1)))
+    """Share of rows whose gold number is among the predicted numbers; rows lacking numbers are skipped."""
+    scored = F.col(gold).isNotNull() & (F.size(pred) > 0)
+    hit = scored & F.array_contains(F.col(pred), F.col(gold))
     return df.groupBy(*by).agg(
         ratio(F.count_if(hit), F.count_if(scored)).alias("accuracy"),
         F.count_if(hit).alias("correct"),

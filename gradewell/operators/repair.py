@@ -26,12 +26,14 @@ def label_unresolved(
     relabel: Mapping[str, tuple[Sequence[str], Sequence[str], str]],
     pred: str = "prediction",
     pause: float = 0.0,
+    partitions: int | None = None,
 ) -> DataFrame:
     """The invalid rows of the datasets in ``labellers``, with a ``sentiment_label``.
 
     ``relabel`` gives per dataset the known answers, the labels a labeller may return and the default. Known
     answers are copied. Each distinct other answer goes once through ``labellers[dataset]()`` in one batch job
-    over all datasets; failures and unexpected labels become the default. The labels are checkpointed by the
+    over all datasets, in as many partitions as a shuffle has (or ``partitions``) however few bytes the answers are;
+    failures and unexpected labels become the default. The labels are checkpointed by the
     join that brings them back, so that no later action asks a slow or paid labeller again.
     """
     names = list(labellers)
@@ -51,7 +53,9 @@ def label_unresolved(
                 raw.append(loaded[dataset](answer))
             yield batch.assign(_raw=raw)
 
-    answered = open_answers.mapInPandas(run, "dataset string, _answer string, _raw string")
+    # A repartition with a number is not merged by adaptive execution, so slow labellers work side by side.
+    partitions = partitions or int(invalid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    answered = open_answers.repartition(partitions, "dataset", "_answer").mapInPandas(run, "dataset string, _answer string, _raw string")
     label = by_dataset("dataset", {d: checked_label("_raw", *relabel[d][1:]) for d in names})
     answered = answered.select("dataset", "_answer", label.alias("_label"))
     joined = lookup_join(routed, answered, ["dataset", "_answer"])

@@ -23,11 +23,17 @@ def questionnaire_prompts(questions: DataFrame, models: Sequence[str], trials: i
     return grid.withColumns(texts).withColumn("prompt", prompt_for("questionnaire")).drop(*texts)
 
 
-def chosen_letters(answers: DataFrame, answer: str = "prediction") -> DataFrame:
-    """(model, trial, letter) for each answer whose last character is a or b."""
-    given = answers.withColumn("_answer", last_letter(answer)).filter(F.col("_answer").isin("a", "b"))
+def chosen_letters(answers: DataFrame, answer: str = "prediction", keep_models: bool = False) -> DataFrame:
+    """(model, trial, letter) for each answer whose last character is a or b.
+
+    With ``keep_models`` other answers stay as rows without trial and letter, so that no model is lost.
+    """
+    given = answers.withColumn("_answer", last_letter(answer))
+    usable = F.coalesce(F.col("_answer").isin("a", "b"), F.lit(False))
     letter = chosen_value("_answer", "choice_a.value", "choice_b.value")
-    return given.select("model", "trial", letter.alias("letter"))
+    if not keep_models:
+        return given.filter(usable).select("model", "trial", letter.alias("letter"))
+    return given.select("model", F.when(usable, F.col("trial")).alias("trial"), F.when(usable, letter).alias("letter"))
 
 
 def letter_tally(letters: DataFrame) -> DataFrame:
@@ -44,18 +50,18 @@ def trial_types(tally: DataFrame) -> DataFrame:
     )
 
 
-def running_counts(types: DataFrame, cap: int = NUM_TRIALS) -> DataFrame:
-    """How often each type has occurred up to and including each trial.
-
-    Works on one row per trial, of which there are at most ``cap`` per model.
-    """
+def running_counts(types: DataFrame) -> DataFrame:
+    """How often each type has occurred up to and including each trial. One row per model and trial comes in."""
     window = W.partitionBy("model", "type").orderBy("trial").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return types.filter(F.col("trial") <= cap).withColumn("running", F.count("*").over(window))
+    return types.withColumn("running", F.count("*").over(window))
+
 
+def counted_trials(types: DataFrame, stop_count: int = STOP_COUNT, cap: int | None = None) -> DataFrame:
+    """Trials up to the first in which some type has been seen ``stop_count`` times.
 
-def counted_trials(types: DataFrame, stop_count: int = STOP_COUNT, cap: int = NUM_TRIALS) -> DataFrame:
-    """Trials up to the first in which some type has been seen ``stop_count`` times."""
-    running = running_counts(types, cap)
+    ``cap`` is the number of trials that are run at most; later ones, if there are any, do not count.
+    """
+    running = running_counts(types if cap is None else types.filter(F.coalesce(F.col("trial") <= cap, F.lit(True))))
     reached = F.min(F.when(F.col("running") >= stop_count, F.col("trial"))).over(W.partitionBy("model"))
     return (
         running.withColumn("_stop", reached)
@@ -88,15 +94,19 @@ def most_voted(counts: DataFrame, by: Sequence[str], what: str) -> DataFrame:
     return counts.groupBy(*by).agg(best.alias(what))
 
 
-def vote(answers: DataFrame, answer: str = "prediction", stop_count: int = STOP_COUNT, cap: int = NUM_TRIALS) -> DataFrame:
+def vote(answers: DataFrame, answer: str = "prediction", stop_count: int = STOP_COUNT, cap: int | None = None) -> DataFrame:
     """C14: per model the most frequent type, the type made of the most frequent letters, and trials counted.
 
-    ``answers`` has model, trial, the answer text and structs choice_a and choice_b with a ``value``.
+    Only the first ``cap`` trials count where a bound is given. ``answers`` has model, trial, the answer text and structs choice_a and choice_b with a ``value``.
     """
-    types = counted_trials(trial_types(letter_tally(chosen_letters(answers, answer))), stop_count, cap)
-    counts = axis_counts(types, whole="type")
+    # Unusable answers are one row per model without trial and type, so that one pass over the answers does.
+    types = trial_types(letter_tally(chosen_letters(answers, answer, keep_models=True)))
+    types = types.withColumn("type", F.when(F.col("trial").isNotNull(), F.col("type")))
+    counts = axis_counts(counted_trials(types, stop_count, cap), whole="type")
+    given = F.col("letter").isNotNull()
     best = counts.groupBy("model", "axis").agg(
-        F.max_by(F.col("letter"), F.struct(F.col("n"), -F.col("first"))).alias("letter"), F.sum("n").alias("n")
+        F.max_by(F.col("letter"), F.when(given, F.struct(F.col("n"), -F.col("first")))).alias("letter"),
+        F.sum(F.when(given, F.col("n"))).alias("n"),
     )
 
     def on(axis: str, column: str) -> Column:
@@ -107,8 +117,7 @@ def vote(answers: DataFrame, answer: str = "prediction", stop_count: int = STOP_
         F.concat(*[on(f"{a}/{b}", "letter") for a, b in AXES]).alias("type_by_axis"),
         on("type", "n").alias("trials"),
     )
-    # Models without any usable answer have no trial; they are reported all the same.
-    return answers.select("model").distinct().join(result, "model", "left").select(
+    return result.select(
         "model",
         F.coalesce("type", F.lit("N/A")).alias("type"),
         F.coalesce("type_by_axis", F.lit("?" * len(AXES))).alias("type_by_axis"),

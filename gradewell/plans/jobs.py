@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.functions import text as tx
@@ -24,26 +24,43 @@ def _drop_incomplete(df: DataFrame, *columns: str) -> DataFrame:
     return df.dropna(subset=list(columns))
 
 
-def score_choice_tasks(df: DataFrame, by: Sequence[str] = BY, null_as_text: bool = False) -> DataFrame:
-    """Options (ARC), booleans (BoolQ) and exact numbers (GSM8K)."""
-    parsers = {"ARC (easy)": tx.extract_option, "BoolQ": lambda c: tx.extract_bool(c).cast("string")}
-    classes = df.filter(F.col("dataset").isin(list(parsers)))
-    for side in ("gold", "prediction"):
-        classes = classes.withColumn(side, by_dataset("dataset", {d: fn(side) for d, fn in parsers.items()}))
-    scored = metrics.macro_metrics(_drop_incomplete(classes, "gold", "prediction"), by)
-    exact = df.filter(F.col("dataset") == "GSM8K")
-    for side in ("gold", "prediction"):
-        exact = exact.withColumn(side, tx.strip(tx.as_text(side, null_as_text)))
-    columns = [*by, "accuracy", "precision", "recall", "f1"]
-    return scored.select(*columns).unionByName(
-        metrics.exact_text_accuracy(_drop_incomplete(exact, "gold", "prediction"), by).select(*columns)
-    )
+# Parsers of the choice benchmarks; None stands for exact text, which has an accuracy only.
+CHOICE_PARSERS: dict[str, Callable[[str], Column] | None] = {
+    "ARC (easy)": tx.extract_option, "BoolQ": lambda c: tx.extract_bool(c).cast("string"), "GSM8K": None,
+}
+
+
+def _known_dataset(known: Sequence[str]) -> Column:
+    """The dataset; a row of one that is not configured stops the job, so that none is lost in silence."""
+    name = F.coalesce(F.col("dataset"), F.lit("null"))
+    stop = F.raise_error(F.concat(F.lit("no rule for dataset "), name)).cast("string")
+    return F.when(F.col("dataset").isin(list(known)), F.col("dataset")).otherwise(stop)
+
+
+def score_choice_tasks(
+    df: DataFrame, by: Sequence[str] = BY, null_as_text: bool = False,
+    parsers: Mapping[str, Callable[[str], Column] | None] = CHOICE_PARSERS,
+) -> DataFrame:
+    """Options (ARC), booleans (BoolQ) and exact numbers (GSM8K); datasets without a parser raise."""
+    gold, answer = (tx.strip(tx.as_text(side, null_as_text)) for side in ("gold", "prediction"))
+    # Of exact text only the equality is counted, so no text is shuffled.
+    exact = {"gold": F.when(gold.isNotNull(), "="), "prediction": F.when(answer == gold, "=").when(answer.isNotNull(), "/")}
+    parsed = {
+        side: by_dataset("dataset", {d: exact[side] if fn is None else fn(side) for d, fn in parsers.items()})
+        for side in ("gold", "prediction")
+    }
+    rows = df.withColumns(parsed).withColumn("dataset", _known_dataset(list(parsers)))
+    scored = metrics.macro_metrics(_drop_incomplete(rows, "gold", "prediction"), by)
+    plain = [d for d, fn in parsers.items() if fn is None]
+    only = {c: F.when(~F.col("dataset").isin(plain), F.col(c)).alias(c) for c in ("precision", "recall", "f1")}
+    return scored.select(*by, "accuracy", *(only.values() if plain else only))
 
 
 def score_finance_tasks(
     df: DataFrame, by: Sequence[str] = BY, cases: Mapping[str, str] = FINANCE_CASE, null_as_text: bool = False
 ) -> DataFrame:
-    """Accuracy and macro F1 on answers in the case form of their dataset."""
+    """Accuracy and macro F1 on answers in the case form of their dataset; other datasets raise."""
+    df = df.withColumn("dataset", _known_dataset(list(cases)))
     for side in ("gold", "prediction"):
         forms = {d: tx.case_form(side, form, null_as_text) for d, form in cases.items()}
         df = df.withColumn(side, by_dataset("dataset", forms))
@@ -84,7 +101,7 @@ def score_health_sentiment(
 def score_numeric_answers(df: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """The first number of the gold text must be among the numbers of the answer."""
     parsed = df.select(
-        *by, tx.extract_numbers("gold").alias("gold_numbers"), tx.extract_numbers("prediction").alias("pred_numbers")
+        *by, tx.first_number("gold").alias("gold_number"), tx.extract_numbers("prediction").alias("pred_numbers")
     )
     return metrics.containment_accuracy(parsed, by)
 
@@ -119,16 +136,10 @@ def cleaned_labels(df: DataFrame, tasks: Sequence[LabelTask] = LABEL_TASKS, null
     )
 
 
-def _sets_for(cleaned: DataFrame, tasks: Sequence[LabelTask]) -> dict[str, list[str]]:
-    """Configured label sets; a dataset without one takes its gold labels."""
+def _sets_for(tasks: Sequence[LabelTask]) -> tuple[dict[str, list[str]], list[str]]:
+    """Configured label sets, and the datasets without one, which take their gold labels."""
     sets = label_sets(tasks)
-    bare = [t.name for t in tasks if t.name not in sets]
-    if bare:
-        found = dist.label_sets_of(cleaned.filter(F.col("dataset").isin(bare)))
-        if found is None:
-            raise ValueError(f"the gold labels of {bare} are no class set; count them with containment_pairs")
-        sets |= found
-    return sets
+    return sets, [t.name for t in tasks if t.name not in sets]
 
 
 @dataclass(frozen=True)
@@ -145,9 +156,17 @@ def label_audit(
 ) -> LabelAudit:
     """Counts of labels contained in the answers, and invalid rows for S15."""
     cleaned = cleaned_labels(df, tasks, null_as_text)
-    sets = _sets_for(cleaned, tasks)
-    counts = dist.containment_counts(cleaned, sets, models, pred="cleaned_prediction")
-    return LabelAudit(dist.wide_counts(counts, [dist.TRUE, *models]), dist.invalid_rows(cleaned, sets))
+    sets, bare = _sets_for(tasks)
+    counts = dist.containment_counts(cleaned, sets, models, pred="cleaned_prediction", by_gold=bare)
+    return LabelAudit(dist.wide_counts(counts, [dist.TRUE, *models]), _invalid(cleaned, tasks))
+
+
+def _invalid(cleaned: DataFrame, tasks: Sequence[LabelTask]) -> DataFrame:
+    """Rows of the configured datasets without a valid answer."""
+    sets, bare = _sets_for(tasks)
+    parts = [dist.invalid_rows(cleaned, sets)] if sets else []
+    parts += [dist.invalid_by_gold(cleaned, bare)] if bare else []
+    return reduce(DataFrame.unionByName, parts)
 
 
 def repair_labels(
@@ -165,7 +184,7 @@ def repair_labels(
     result with :func:`open_label_table`.
     """
     keys = ["dataset", "model", "row_id", "text", "sentiment_label"]
-    invalid = label_audit(df, tasks, models).invalid.select(*keys[:-1], "prediction")
+    invalid = _invalid(cleaned_labels(df, tasks), tasks).select(*keys[:-1], "prediction")
     parts = [repair.label_unresolved(invalid, labellers, relabel)] if labellers else []
     parts += [corrections] if corrections is not None else []
     if not parts:
@@ -182,7 +201,8 @@ def open_label_counts(
 ) -> DataFrame:
     """Counts of every cleaned answer."""
     cleaned = cleaned_labels(df, tasks, null_as_text)
-    return dist.open_counts(cleaned, _sets_for(cleaned, tasks), models, pred="cleaned_prediction")
+    sets, bare = _sets_for(tasks)
+    return dist.open_counts(cleaned, sets, models, pred="cleaned_prediction", by_gold=bare)
 
 
 def open_label_table(
@@ -208,7 +228,8 @@ def bias_table(
 ) -> DataFrame:
     """C10, allowed-label variant: the bias matrix label by model."""
     cleaned = cleaned_labels(df, tasks, null_as_text)
-    counts = dist.exact_counts(cleaned, _sets_for(cleaned, tasks), models, pred="cleaned_prediction")
+    sets, bare = _sets_for(tasks)
+    counts = dist.exact_counts(cleaned, sets, models, pred="cleaned_prediction", by_gold=bare)
     return dist.allowed_bias(counts, models)
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from gradewell.session import scratch_root
 
-# A key is hot from one in a thousand rows on, so there are never more than a thousand hot keys; below some
-# thousand rows a key is no burden for one task whatever its share.
-HOT_SHARE = 0.001
+# A key is hot if it alone holds more than this part of one task's fair share of the rows; below some thousand rows a
+# key is no burden for one task whatever its share.
+FAIR_PART = 0.5
 HOT_ROWS = 10_000
 # Lookup tables up to this measured size are broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -22,28 +22,20 @@ def _hash(on: Sequence[str]) -> Column:
     return F.xxhash64(*[F.col(c) for c in on])
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE, rows: int | None = None) -> list[int]:
+def hot_keys(df: DataFrame, on: Sequence[str], share: float | None = None, rows: int | None = None) -> list[int]:
     """Hashes of the keys that hold at least ``share`` of all rows and at least ``rows`` (``HOT_ROWS``) rows.
 
-    One pass over the key columns with a sketch of the most frequent keys: its size is fixed, nothing is shuffled
+    Without a ``share`` the limit follows from the number of shuffle partitions: ``FAIR_PART`` of a fair share. One pass over the key columns with a sketch of the most frequent keys: its size is fixed, nothing is shuffled
     by key, and at most 1 / share numbers reach the driver. The sketch only decides which keys are salted; no
     result depends on it.
     """
-    most, rows = int(1 / share), HOT_ROWS if rows is None else rows
-    found = df.select(_hash(on).alias("h")).selectExpr("count(*) n", f"approx_top_k(h, {most}, {10 * most}) top").first()
+    if share is None:
+        share = min(0.5, FAIR_PART / int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    most, rows = min(int(1 / share), 100_000), HOT_ROWS if rows is None else rows
+    found = df.select(_hash(on).alias("h")).selectExpr("count(*) n", f"approx_top_k(h, {most}, {min(10 * most, 1_000_000)}) top").first()
     return [item["item"] for item in found["top"] if item["count"] >= max(share * found["n"], rows)]
 
 
-def spread_scan(scan: DataFrame, *key: str) -> DataFrame:
-    """A table read as fewer partitions than there are cores, spread over all cores by its key.
-
-    For tables stored in few row groups that feed costly per-row work. A table of many files has more partitions
-    than cores and is returned as it is, so no shuffle is added at scale. Only file listings are looked at.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, *key)
-
-
 def salted_join(
     left: DataFrame,
     right: DataFrame,

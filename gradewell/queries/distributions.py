@@ -13,6 +13,7 @@ from gradewell.queries import views as v
 from gradewell.queries.projections import _SETS
 from gradewell.queries.registry import query
 from gradewell.queries.scoring import rounded
+from gradewell.registry import LabelTask
 
 # Answered documents with gold codes mapped and both sides cleaned; all languages share two labels.
 _CLEAN = f"""cleaned AS (
@@ -75,15 +76,49 @@ def a12(spark, sf):
 
 
 @query("A12_containment_open_label_set", """
-WITH words AS (SELECT DISTINCT lang AS dataset, source AS label FROM documents),
-texts AS (SELECT lang AS dataset, source || ' ' || lang || ' src1 x' || source AS pred FROM documents)
-SELECT t.dataset, w.label, count(*) AS n FROM texts t JOIN words w ON w.dataset = t.dataset AND contains(t.pred, w.label)
-GROUP BY ALL""")
+WITH words AS (SELECT DISTINCT d.lang AS dataset, lower(substr(b.text, 1, 4 + CAST(b.item_id % 5 AS INTEGER))) AS label
+  FROM benchmark b CROSS JOIN (SELECT DISTINCT lang FROM documents) d)
+SELECT t.lang AS dataset, w.label, count(*) AS n FROM documents t
+JOIN words w ON w.dataset = t.lang AND contains(lower(t.text), w.label) GROUP BY ALL""")
 def a12_open(spark, sf):
-    docs = v.table(spark, sf, "documents").select(F.col("lang").alias("dataset"), "source")
-    labels = dist.gold_label_sets(docs, "source")
-    pred = F.concat("source", F.lit(" "), "dataset", F.lit(" src1 x"), "source")
-    return dist.containment_pairs(docs.withColumn("prediction", pred), labels, by=["dataset"])
+    """Beginnings of the benchmark items as labels of every language, looked for in the whole texts."""
+    docs = v.table(spark, sf, "documents").select(F.col("lang").alias("dataset"), F.lower("text").alias("prediction"))
+    begin = F.lower(F.expr("substring(text, 1, 4 + cast(item_id % 5 as int))"))
+    words = v.table(spark, sf, "benchmark").select(begin.alias("label"))
+    labels = words.select(F.explode(F.array(*[F.lit(x) for x in v.LANGS])).alias("dataset"), "label").distinct()
+    return dist.containment_pairs(docs, labels, by=["dataset"])
+
+
+# Customers answer with the name of a part brand or its neighbour; the label set is every gold name of a dataset.
+_NAMED_SQL = """named AS (
+  SELECT CAST(p_size % 3 AS VARCHAR) AS dataset, m.model, p_partkey AS row_id,
+         regexp_replace(lower(p_name), '[^a-z]+', '', 'g') AS gold,
+         CASE (p_partkey * m.k + m.c) % 4 WHEN 0 THEN regexp_replace(lower(p_name), '[^a-z]+', '', 'g') WHEN 1 THEN 'none'
+           WHEN 2 THEN 'x' || regexp_replace(lower(p_name), '[^a-z]+', '', 'g') || 'y' END AS pred
+  FROM part CROSS JOIN """ + v.MODELS_SQL + """),
+sets AS (SELECT DISTINCT dataset, gold AS label FROM named),
+counts AS (
+  SELECT dataset, gold AS label, 'true' AS source, count(*) AS n FROM named WHERE model = 'base' GROUP BY ALL UNION ALL
+  SELECT n.dataset, s.label, n.model, count(*) FROM named n
+  JOIN sets s ON s.dataset = n.dataset AND contains(n.pred, s.label) GROUP BY ALL)"""
+
+
+@query("A22_large_label_set", v.with_sql(_NAMED_SQL, select="""
+SELECT dataset, label, CAST(coalesce(sum(n) FILTER (source = 'true'), 0) AS BIGINT) AS "true",
+       CAST(coalesce(sum(n) FILTER (source = 'base'), 0) AS BIGINT) AS base,
+       CAST(coalesce(sum(n) FILTER (source = 'f'), 0) AS BIGINT) AS f,
+       CAST(coalesce(sum(n) FILTER (source = 't'), 0) AS BIGINT) AS t
+FROM counts GROUP BY dataset, label"""))
+def a22_large(spark, sf):
+    """C8 over datasets without a configured label set: hundreds of gold names each."""
+    parts = v.per_model(v.table(spark, sf, "part").select("p_partkey", "p_name", "p_size"))
+    rows = parts.selectExpr(
+        "'names' as task", "cast(p_size % 3 as string) as dataset", "model", "p_partkey as row_id", "p_name as text",
+        "p_name as gold",
+        v.pick_expr("(p_partkey * k + c) % 4", ("p_name", "'none'", "concat('x', p_name, 'y')", None)) + " as prediction",
+    )
+    tasks = [LabelTask(str(i), f"{i}.csv", f"results/{i}") for i in range(3)]
+    return jobs.label_audit(rows, tasks, v.MODEL_NAMES).table
 
 
 @query("A13_open_counts", v.with_sql(v.ANSWERED_SQL, _CLEAN, _TRUE_COUNTS, _OPEN, select="SELECT * FROM counts"))

@@ -10,11 +10,19 @@ from gradewell.queries.projections import PAIRED_SQL, RECORDS_SQL, _sides, recor
 from gradewell.queries.registry import query
 
 
-@query("C12_preference_pairs_flat", v.with_sql(RECORDS_SQL, select="""
+_FLAT = """
 SELECT c.position, c.instruction AS prompt, c.output AS chosen, r.output AS rejected
 FROM records c JOIN records r ON r.position = c.position
-WHERE c.subtype = 'feeling' AND r.subtype = 'thinking' AND c.position < 16000"""))
+WHERE c.subtype = 'feeling' AND r.subtype = 'thinking'"""
+
+
+@query("C12_preference_pairs_flat", v.with_sql(RECORDS_SQL, select=_FLAT))
 def c12(spark, sf):
+    return preferences.flat_pairs(records(spark, sf), "decision", "feeling")
+
+
+@query("C12_first_pairs", v.with_sql(RECORDS_SQL, select=_FLAT + " AND c.position < 16000"))
+def c12_first(spark, sf):
     return preferences.flat_pairs(records(spark, sf), "decision", "feeling", limit=16000)
 
 

@@ -256,10 +256,8 @@ def j6(spark, sf):
 @query("J7_complement_of_valid", v.with_sql(v.ANSWERED_SQL, _CLEAN_SQL, select=f"""
 SELECT dataset, model, row_id FROM cleaned EXCEPT SELECT dataset, model, row_id FROM cleaned WHERE {_VALID}"""))
 def j7(spark, sf):
-    cleaned = _cleaned(spark, sf).select("dataset", "model", "row_id", "cleaned_prediction")
-    keys = ["dataset", "model", "row_id"]
-    valid = cleaned.filter(tx.contains_any("cleaned_prediction", ("negative", "positive")))
-    return cleaned.join(valid.select(*keys), keys, "left_anti").select(*keys)
+    valid = tx.contains_any("cleaned_prediction", ("negative", "positive"))
+    return _cleaned(spark, sf).filter(~F.coalesce(valid, F.lit(False))).select("dataset", "model", "row_id")
 
 
 @query("W4_last_duplicate_wins", v.with_sql(v.ANSWERED_SQL, _CLEAN_SQL, _FIXES_SQL, select="SELECT * FROM last_fix"))

@@ -127,7 +127,7 @@ SELECT dataset, model, round(avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END), 6) AS acc
        count(*) FILTER (hit) AS correct, count(*) AS total FROM hits GROUP BY ALL"""))
 def a8(spark, sf):
     df = v.numbers(spark, sf).select(
-        "dataset", "model", tx.extract_numbers("gold").alias("gold_numbers"),
+        "dataset", "model", tx.first_number("gold").alias("gold_number"),
         tx.extract_numbers("prediction").alias("pred_numbers"),
     )
     return rounded(metrics.containment_accuracy(df), "accuracy")

@@ -85,6 +85,18 @@ def s4(spark, sf):
     return tables.read_json_array(spark, f"{path}/*/*.txt", INSTRUCTION).drop("file_name")
 
 
+@query("S5_instruction_files", v.with_sql(RECORDS_SQL, select="""
+SELECT 'decision' AS dimension, subtype, position, instruction, output FROM records"""))
+def s5_files(spark, sf):
+    """Instruction tables of JSON lines, read back through the glob with the keys of their names."""
+    folder = scratch_path(spark, "s5")
+    rows = records(spark, sf)
+    for subtype in ("feeling", "thinking"):
+        own = rows.filter(F.col("subtype") == subtype).select("position", "instruction", "output")
+        sinks.write_json(own, f"{folder}/en_decision_{subtype}.json")
+    return tables.read_instruction_lines(spark, folder)
+
+
 @query("S5_keys_from_file_name", """
 SELECT doc_id, lang AS dimension, source AS subtype FROM documents WHERE lang <> 'es'""")
 def s5(spark, sf):
@@ -180,6 +192,46 @@ def s9(spark, sf):
     return _tree(spark, sf)[0].drop("row_id")
 
 
+_MIXED_ROWS = """
+SELECT dataset, model, text, gold, nullif(prediction, 'n/a') AS prediction FROM reviews WHERE dataset = 'de' UNION ALL
+SELECT dataset, model, NULL, gold, nullif(replace(prediction, ',', ''), 'n/a') FROM reviews
+WHERE dataset = 'en' AND prediction IS NOT NULL"""
+
+
+def _mixed_tree(spark, sf):
+    """A tree with good files (de), files of whole lines in quotes (en), files without a prediction column (es),
+    files of a header only (fr), and none at all (it)."""
+    root = scratch_path(spark, "mixed")
+    rows = v.reviews(spark, sf).select("row_id", "text", "gold", "prediction", "dataset", "model")
+    for model in v.MODEL_NAMES:
+        own = rows.filter(F.col("model") == model)
+        german = own.filter("dataset = 'de'").select("row_id", "text", "gold", "prediction")
+        sinks.write_csv(german, f"{root}/dataset=de/model={model}")
+        plain = F.concat_ws(",", F.col("row_id").cast("string"), "gold", F.replace("prediction", F.lit(","), F.lit("")))
+        english = own.filter("dataset = 'en' and prediction is not null")
+        line = F.concat(F.lit('"'), plain, F.lit('"')).alias("line")
+        _write_lines(english.select(line), f"{root}/dataset=en/model={model}", '"row_id,gold,prediction"')
+        sinks.write_csv(own.filter("dataset = 'es'").select("row_id", "text", "gold"), f"{root}/dataset=es/model={model}")
+        sinks.write_csv(german.limit(0), f"{root}/dataset=fr/model={model}")
+    tasks = [LabelTask(lang, "*.csv", f"dataset={lang}", v.POLARITY, label_col="gold") for lang in (*v.LANGS, "it")]
+    return tables.read_result_tree(spark, root, tasks, {m: f"model={m}" for m in v.MODEL_NAMES})
+
+
+@query("S9_mixed_result_tree", v.with_sql(v.REVIEWS_SQL, select=_MIXED_ROWS))
+def s9_mixed(spark, sf):
+    return _mixed_tree(spark, sf).rows.drop("row_id")
+
+
+@query("S9_missing_files", """
+SELECT 'it' AS dataset, model, 'missing' AS what FROM (VALUES ('base'), ('f'), ('t')) m(model)
+UNION ALL SELECT DISTINCT 'es', model, 'skipped' FROM (VALUES ('base'), ('f'), ('t')) m(model)""")
+def s9_missing_files(spark, sf):
+    tree = _mixed_tree(spark, sf)
+    skipped = {tuple(part.split("=")[1] for part in file.split("/")[-3:-1]) for file, _ in tree.skipped}
+    found = [(*pair, "missing") for pair in tree.missing] + [(*pair, "skipped") for pair in skipped]
+    return spark.createDataFrame(found, "dataset string, model string, what string")
+
+
 @query("S9_missing_results", """
 SELECT l.dataset, m.model FROM (VALUES ('de'), ('en'), ('es'), ('fr'), ('it')) l(dataset)
 CROSS JOIN (VALUES ('base'), ('f'), ('t')) m(model)

@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.plans.skew import spread_scan
 from gradewell.registry import LabelTask
 
 MODELS = (("base", 3, 0), ("f", 7, 1), ("t", 1, 4))
@@ -28,11 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread_table(spark: SparkSession, sf_dir: str, name: str, *key: str) -> DataFrame:
-    """A table for per-row work; the test tables are single row groups, which one task would read."""
-    return spread_scan(table(spark, sf_dir, name), *key)
-
-
 def per_model(df: DataFrame) -> DataFrame:
     """Each row once per model, with the model's multiplier k and offset c."""
     models = ", ".join(f"named_struct('model', '{m}', 'k', {k}, 'c', {c})" for m, k, c in MODELS)
@@ -87,7 +81,7 @@ MARKET_ANSWERS = ("Bearish", "bullish.", " Neutral ", "it looks bullish or beari
 
 
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spread_table(spark, sf_dir, "events", "event_id").select("event_id", "user_id", "event_type")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     return per_model(events).selectExpr(
         "'market' as task", "event_type as dataset", "model", "event_id as row_id", "cast(user_id % 4 as string) as gold",
         pick_expr("(event_id * k + user_id + c) % 9", quoted(MARKET_ANSWERS)) + " as prediction",
@@ -106,7 +100,7 @@ HEALTH_ANSWERS = ("Normal", "depression.", "I feel abnormal", "severe Depression
 
 
 def health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spread_table(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     return per_model(orders).selectExpr(
         "'health' as task", "o_orderpriority as dataset", "model", "o_orderkey as row_id",
         "case when o_orderstatus = 'F' then ' Normal.' else 'Depression' end as gold",
@@ -183,7 +177,7 @@ CHOICES_SQL = f"""choices AS (
 
 
 def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spread_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
     rows = rows.selectExpr("l_orderkey", "l_linenumber", "l_returnflag", "cast(l_quantity as bigint) as qty")
     answers = ("concat('about $1,234.50 and ', qty)", "concat('-', qty)", "'no number'", "cast(qty + 1 as string)", None,
                "concat(qty, '.')")
@@ -208,7 +202,7 @@ NUMBERS_SQL = f"""numbers AS (
 
 def dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, question, reply); the key is unique, so the join is even however long a conversation is."""
-    turns = spread_table(spark, sf_dir, "conversations", "conv_id", "turn")
+    turns = table(spark, sf_dir, "conversations")
     asked = turns.filter(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("question"))
     replies = turns.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply")
@@ -251,7 +245,7 @@ def with_sql(*ctes: str, select: str) -> str:
 
 
 def answered_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread_table(spark, sf_dir, "documents", "doc_id").select("doc_id", F.col("lang").alias("dataset"), "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("dataset"), "text")
     return per_model(docs).selectExpr(
         "'documents' as task", "dataset", "model", "doc_id as row_id", "text", "cast(doc_id % 2 as string) as gold",
         pick_expr("(doc_id * k + c) % 10", quoted(REVIEW_ANSWERS)) + " as prediction",

@@ -9,7 +9,7 @@ from gradewell.queries import sqltext as q
 from gradewell.queries import views as v
 from gradewell.queries.registry import query
 from gradewell.queries.scoring import rounded
-from gradewell.registry import AXES, LETTERS
+from gradewell.registry import AXES, LETTERS, NUM_TRIALS
 
 # Events as answers: the model by user, the trial by event, the axis by event type, and a free-text answer.
 # Users of model "none" never give a usable answer.
@@ -52,7 +52,7 @@ tally AS (SELECT model, trial, {', '.join(f"count(*) FILTER (letter = '{x}') AS
 types AS (SELECT model, trial, {' || '.join(f"CASE WHEN {a} >= {b} THEN '{a}' ELSE '{b}' END" for a, b in AXES)} AS type
   FROM tally),
 running AS (SELECT model, trial, type, count(*) OVER (PARTITION BY model, type ORDER BY trial) AS running
-  FROM types WHERE trial <= 10),
+  FROM types{{capped}}),
 counted AS (
   SELECT r.model, r.trial, r.type FROM running r
   LEFT JOIN (SELECT model, min(trial) AS stop FROM running WHERE running >= 6 GROUP BY model) s ON s.model = r.model
@@ -67,8 +67,8 @@ best_axis AS (SELECT model, axis, letter FROM axis_votes
   QUALIFY row_number() OVER (PARTITION BY model, axis ORDER BY n DESC, first) = 1)"""
 
 
-def _sql(select: str) -> str:
-    return v.with_sql(_ANSWERS_SQL, select=select)
+def _sql(select: str, cap: int | None = None) -> str:
+    return v.with_sql(_ANSWERS_SQL.replace("{capped}", "" if cap is None else f" WHERE trial <= {cap}"), select=select)
 
 
 def _types(spark, sf):
@@ -123,6 +123,11 @@ def w2(spark, sf):
     return votes.counted_trials(_types(spark, sf))
 
 
+@query("W2_early_stop_of_first_trials", _sql("SELECT * FROM counted", NUM_TRIALS))
+def w2_first_trials(spark, sf):
+    return votes.counted_trials(_types(spark, sf), cap=NUM_TRIALS)
+
+
 @query("W3_most_voted_type", _sql("SELECT * FROM best_type"))
 def w3(spark, sf):
     return votes.most_voted(votes.type_counts(votes.counted_trials(_types(spark, sf))), ["model"], "type")
@@ -136,16 +141,24 @@ def k3(spark, sf):
 _AXIS = " || ".join(f"coalesce(max(letter) FILTER (axis = '{a}/{b}'), '?')" for a, b in AXES)
 
 
-@query("C14_questionnaire_vote", _sql(f"""
+_VOTE = f"""
 SELECT m.model, coalesce(b.type, 'N/A') AS type, coalesce(x.type_by_axis, '????') AS type_by_axis,
        coalesce(c.trials, 0) AS trials
 FROM (SELECT DISTINCT model FROM answers) m LEFT JOIN best_type b ON b.model = m.model
 LEFT JOIN (SELECT model, {_AXIS} AS type_by_axis FROM best_axis GROUP BY model) x ON x.model = m.model
-LEFT JOIN (SELECT model, count(*) AS trials FROM counted GROUP BY model) c ON c.model = m.model"""))
+LEFT JOIN (SELECT model, count(*) AS trials FROM counted GROUP BY model) c ON c.model = m.model"""
+
+
+@query("C14_questionnaire_vote", _sql(_VOTE))
 def c14(spark, sf):
     return votes.vote(answers(spark, sf))
 
 
+@query("C14_vote_of_first_trials", _sql(_VOTE, NUM_TRIALS))
+def c14_first_trials(spark, sf):
+    return votes.vote(answers(spark, sf), cap=NUM_TRIALS)
+
+
 # Parts as questions with the brand and the type as options. The answer follows the position for some part
 # sizes, the content for others, and names neither for the rest.
 def probe(spark, sf):

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from fnmatch import fnmatch
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +16,8 @@ from pyspark.sql import types as T
 
 from gradewell.functions.text import null_tokens_to_null
 from gradewell.registry import LabelTask
-from gradewell.schema import INSTRUCTION, require_columns, with_prediction
+from gradewell.schema import INSTRUCTION, with_prediction
+from gradewell.sources import lines
 
 
 def _missing_to_null(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -83,6 +89,16 @@ def read_instructions(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("dimension", "subtype", "position", "instruction", "output")
 
 
+def read_instruction_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """S5 for large inputs: each ``lang_dimension_subtype.json`` is a folder of JSON lines that have a position."""
+    schema = T.StructType([T.StructField("position", T.LongType()), *INSTRUCTION.fields])
+    found = spark.read.schema(schema).json(f"{folder.rstrip('/')}/*.json")
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return keys_from_name(found.withColumn("file_name", name)).select(
+        "dimension", "subtype", "position", "instruction", "output"
+    )
+
+
 def read_training_rows(
     spark: SparkSession,
     path: str,
@@ -147,7 +163,6 @@ def read_results(
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         df, folder = spark.createDataFrame([], full), F.lit(None).cast("string")
-    require_columns(df, task.label_col, task.pred_col)
     model = F
     for key, name in models.items():
         model = model.when(folder == name, key)
@@ -164,7 +179,88 @@ def read_results(
 
 
 def missing_results(found: DataFrame, tasks: Sequence[LabelTask], models: Sequence[str]) -> DataFrame:
-    """(dataset, model) pairs of the expected grid without any row."""
+    """(dataset, model) pairs of the expected grid that ``found`` has no row of; see also :func:`read_result_tree`."""
     spark = found.sparkSession
     grid = spark.createDataFrame([(t.name, m) for t in tasks for m in models], "dataset string, model string")
     return grid.join(found.select("dataset", "model").distinct(), ["dataset", "model"], "left_anti")
+
+
+@dataclass(frozen=True)
+class ResultTree:
+    """Rows (dataset, model, row_id, text, gold, prediction), pairs without a file, and files that could not be read."""
+
+    rows: DataFrame
+    missing: list[tuple[str, str]]
+    skipped: list[tuple[str, str]]
+
+
+def _cells(header: str) -> list[str]:
+    """Names in a CSV header line."""
+    return [name.strip() for name in next(csv.reader([header]), [])]
+
+
+def read_result_tree(
+    spark: SparkSession, root: str, tasks: Sequence[LabelTask], models: Mapping[str, str], text_col: str = "text",
+    multi_line: bool = True,
+) -> ResultTree:
+    """The result files of all datasets and models, each under its own header.
+
+    What exists comes from one listing. Files are grouped by header and each group is one scan. A file whose header
+    lacks the label or the prediction of its dataset is split at bare commas if that finds them, and is otherwise
+    skipped and reported, without touching other files. A file with only a header has no rows and is not missing.
+    """
+    base = root.rstrip("/")
+    folders = {name: key for key, name in models.items()}
+    globs = {task.name: f"{base}/{task.base_path.strip('/')}/*/{task.file}" for task in tasks}
+    headers: dict[str, str] = {}
+    for pattern in dict.fromkeys(globs.values()):
+        try:
+            headers |= lines.file_headers(spark, pattern)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    present, skipped = set(), []
+    groups: dict[tuple[str, str, bool], list[str]] = {}
+    for file, header in sorted(headers.items()):
+        parts = unquote(file).split("/")
+        for task in tasks:
+            inside = f"/{task.base_path.strip('/')}/"
+            if inside not in unquote(file) or not fnmatch(parts[-1], task.file.split("/")[-1]):
+                continue
+            model = folders.get(unquote(file).split(inside, 1)[1].split("/", 1)[0])
+            if model is None:
+                continue
+            present.add((task.name, model))
+            needed = {task.label_col, task.pred_col}
+            if needed <= set(_cells(header)):
+                groups.setdefault((task.name, header, False), []).append(file)
+            elif needed <= set(header.strip('"').split(",")):
+                groups.setdefault((task.name, header, True), []).append(file)
+            else:
+                skipped.append((file, f"no column {sorted(needed - set(_cells(header)))}"))
+    found = []
+    by_name = {task.name: task for task in tasks}
+    for (name, header, bare), files in groups.items():
+        task = by_name[name]
+        if bare:
+            body = lines.body_lines(spark, files).withColumn("_file", F.col("_metadata.file_path"))
+            if header.startswith('"'):  # whole lines in quotes
+                body = body.withColumn("value", F.btrim("value", F.lit('"')))
+            df, _ = lines.split_bare_csv(body, header.strip('"'), ["_file"])
+        else:
+            schema = T.StructType([T.StructField(n, T.StringType()) for n in _cells(header)])
+            df = read_csv(spark, files, schema, multi_line, missing_to_null=False, check_header=False)
+            df = df.withColumn("_file", F.col("_metadata.file_path"))
+        folder = folder_after(task.base_path, "_file")
+        model = F
+        for folder_name, key in folders.items():
+            model = model.when(folder == folder_name, key)
+        found.append(df.select(
+            F.lit(task.name).alias("dataset"), model.alias("model"), F.monotonically_increasing_id().alias("row_id"),
+            (F.col(text_col) if text_col in df.columns else F.lit(None).cast("string")).alias("text"),
+            null_tokens_to_null(task.label_col).alias("gold"), null_tokens_to_null(task.pred_col).alias("prediction"),
+        ))
+    empty = "dataset string, model string, row_id long, text string, gold string, prediction string"
+    rows = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], empty)
+    missing = [(t.name, m) for t in tasks for m in models if (t.name, m) not in present]
+    return ResultTree(rows, missing, skipped)

@@ -174,7 +174,28 @@ def test_gold_labels_serve_where_none_are_configured(spark):
     tasks = (TASKS[0], LabelTask("b", "b.csv", "r"))
     audit = jobs.label_audit(df, tasks, MODELS)
     assert {r["label"] for r in audit.table.collect() if r["dataset"] == "b"} == {"normal", "x"}
-    assert dist.label_sets_of(spark.range(1000).selectExpr("'d' as dataset", "cast(id as string) as gold")) is None
+
+
+def test_label_sets_of_any_size(spark):
+    """Two datasets of 300 gold labels each, as long words that begin alike."""
+    def word(i):
+        return "label" + "".join(chr(97 + int(c)) for c in str(i)) + "z"
+
+    rows = [("t", d, m, i, "text", word(i), word(i) if m == "base" else "say" + word(i) + word(i + 1) if m == "f" else None)
+            for d in ("p", "q") for m in MODELS for i in range(300)]
+    df = spark.createDataFrame(rows, "task string, dataset string, model string, row_id long, text string, gold string, prediction string")
+    tasks = [LabelTask(d, f"{d}.csv", "r") for d in ("p", "q")]
+    table = {(r["dataset"], r["label"]): (r["true"], r["base"], r["f"], r["t"]) for r in jobs.label_audit(df, tasks, MODELS).table.collect()}
+    assert len(table) == 600
+    assert table["p", word(0)] == (1, 1, 1, 0) and table["q", word(7)] == (1, 1, 2, 0)
+    assert jobs.label_audit(df, tasks, MODELS).invalid.count() == 600
+    assert len(jobs.bias_table(df, tasks, MODELS).collect()) == 600
+    assert jobs.open_label_counts(df, tasks, MODELS).filter("source = 'true'").count() == 600
+
+
+def test_rows_of_other_datasets_are_not_invalid(spark):
+    _, df = predictions(spark)
+    assert {r["dataset"] for r in jobs.label_audit(df, TASKS[:1], MODELS).invalid.select("dataset").distinct().collect()} <= {TASKS[0].name}
 
 
 def test_bias(spark):

@@ -33,7 +33,7 @@ def sequential(trials, stop, cap):
 
 def test_vote_equals_sequential_count(spark):
     rng = random.Random(11)
-    rows, want = [], {}
+    rows, want, whole = [], {}, {}
     for m in range(25):
         trials = []
         for t in range(14):
@@ -42,11 +42,18 @@ def test_vote_equals_sequential_count(spark):
             trials.append(trial)
             rows += [(f"m{m}", t + 1, answer, (a,), (b,)) for answer, a, b in trial]
         want[f"m{m}"] = sequential(trials, 3, 10)
+        whole[f"m{m}"] = sequential(trials, 3, None)
     rows.append(("silent", 1, "no", ("E",), ("I",)))
-    want["silent"] = ("N/A", "????", 0)
+    want["silent"] = whole["silent"] = ("N/A", "????", 0)
     df = spark.createDataFrame(rows, SCHEMA)
-    got = {r["model"]: tuple(r)[1:] for r in votes.vote(df, stop_count=3).collect()}
+    got = {r["model"]: tuple(r)[1:] for r in votes.vote(df, stop_count=3, cap=10).collect()}
     assert got == want
+    assert {r["model"]: tuple(r)[1:] for r in votes.vote(df, stop_count=3).collect()} == whole
+
+
+def test_running_counts_keep_every_trial(spark):
+    types = spark.range(1, 31).selectExpr("'m' AS model", "id AS trial", "'ESTJ' AS type")
+    assert [r["running"] for r in votes.running_counts(types).orderBy("trial").collect()] == list(range(1, 31))
 
 
 def test_tally_is_complete(spark):
