@@ -20,10 +20,15 @@ ROUGE = ("rouge1", "rouge2", "rougeL", "rougeLsum")
 
 # --- n-gram overlap as a Spark aggregate -------------------------------------------------------
 
-def tokens(c: Column | str) -> Column:
-    """Lower-case runs of a-z and 0-9."""
+def _present(c: Column | str, null_as_text: bool) -> Column:
+    """The text; a missing one is empty, or with ``null_as_text`` (N1) the word ``nan``."""
     c = F.col(c) if isinstance(c, str) else c
-    clean = F.btrim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "))
+    return F.coalesce(c.cast("string"), F.lit("nan" if null_as_text else ""))
+
+
+def tokens(c: Column | str, null_as_text: bool = False) -> Column:
+    """Lower-case runs of a-z and 0-9."""
+    clean = F.btrim(F.regexp_replace(F.lower(_present(c, null_as_text)), "[^a-z0-9]+", " "))
     return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
 
 
@@ -36,17 +41,22 @@ def _grams(words: Column, n: int) -> Column:
 
 
 def rouge_n(
-    df: DataFrame, key: Sequence[str], reference: str, prediction: str, sizes: Sequence[int] = (1, 2)
+    df: DataFrame, key: Sequence[str], reference: str, prediction: str, sizes: Sequence[int] = (1, 2),
+    null_as_text: bool = False,
 ) -> DataFrame:
     """Per pair the clipped n-gram overlap precision, recall and F1 for each size.
 
     Pairs are partitioned by their unique key once; counting grams, clipping and summing then all happen
-    inside that partitioning, so the exploded grams are never shuffled.
+    inside that partitioning, so the exploded grams are never shuffled. A key that two rows share is an error.
     """
     # One struct as key: a key column that is constant would otherwise drop out of the known partitioning.
     pairs = df.select(F.struct(*key).alias("_key"), reference, prediction).repartition("_key")
-    sides = pairs.select("_key", tokens(reference).alias("_ref"), tokens(prediction).alias("_pred"))
+    sides = pairs.select(
+        "_key", tokens(reference, null_as_text).alias("_ref"), tokens(prediction, null_as_text).alias("_pred")
+    )
+    # Size 0 is one mark per row, which shows whether a key is unique.
     entries = F.array(
+        F.struct(F.lit(0).alias("n"), F.lit(True).alias("in_ref"), F.array(F.lit("")).alias("grams")),
         *[F.struct(F.lit(n).alias("n"), F.lit(side == "_ref").alias("in_ref"), _grams(F.col(side), n).alias("grams"))
           for n in sizes for side in ("_ref", "_pred")]
     )
@@ -56,7 +66,7 @@ def rouge_n(
     counted = grams.groupBy("_key", "n", "gram").agg(
         F.count_if(present & F.col("in_ref")).alias("r"), F.count_if(present & ~F.col("in_ref")).alias("p")
     )
-    sums = []
+    sums = [F.sum(F.when(F.col("n") == 0, F.col("r"))).alias("_rows")]
     for n in sizes:
         here = F.col("n") == n
         sums += [
@@ -72,7 +82,8 @@ def rouge_n(
             ratio(f"_o{n}", f"_r{n}").alias(f"rouge{n}_recall"),
             ratio(2 * F.col(f"_o{n}"), F.col(f"_r{n}") + F.col(f"_p{n}")).alias(f"rouge{n}"),
         ]
-    return totals.select("_key.*", *scores)
+    repeated = F.raise_error(F.concat(F.lit("two pairs share the key "), F.to_json("_key"))).cast("boolean")
+    return totals.filter(F.when(F.col("_rows") == 1, True).otherwise(repeated)).select("_key.*", *scores)
 
 
 # --- subsequence scores of one pair ------------------------------------------------------------
@@ -157,11 +168,13 @@ def pair_scores(reference: str, prediction: str, stemmed: bool = False) -> tuple
     return tuple(out)
 
 
-def with_rouge(df: DataFrame, reference: str, prediction: str, stemmed: bool = False) -> DataFrame:
+def with_rouge(
+    df: DataFrame, reference: str, prediction: str, stemmed: bool = False, null_as_text: bool = False
+) -> DataFrame:
     """Add rouge1, rouge2, rougeL, rougeLsum (F1 of each pair) in one pass without any shuffle.
 
-    Subsequence scores need the whole pair at once, so the pair is scored in its own row. A missing text is
-    read as the word ``nan``, as the scorers this follows do.
+    Subsequence scores need the whole pair at once, so the pair is scored in its own row. A missing text is empty, or
+    with ``null_as_text`` the word ``nan``.
     """
 
     @F.pandas_udf("rouge1 double, rouge2 double, rougeL double, rougeLsum double")
@@ -169,7 +182,7 @@ def with_rouge(df: DataFrame, reference: str, prediction: str, stemmed: bool = F
         rows = [pair_scores(r, p, stemmed) for r, p in zip(ref, pred)]
         return pd.DataFrame(rows, columns=list(ROUGE), dtype="float64")
 
-    text = [F.coalesce(F.col(c).cast("string"), F.lit("nan")) for c in (reference, prediction)]
+    text = [_present(c, null_as_text) for c in (reference, prediction)]
     return df.withColumn("_scores", score(*text)).select(*df.columns, "_scores.*")
 
 

@@ -113,10 +113,11 @@ def score_summaries(
     prediction: str = "prediction",
     stemmed: bool = False,
     vectors: tuple[str, str] | None = None,
+    null_as_text: bool = False,
 ) -> DataFrame:
     """Mean ROUGE scores, and mean token-match scores where token vector columns are given."""
     columns = list(summary.ROUGE)
-    scored = summary.with_rouge(df, reference, prediction, stemmed)
+    scored = summary.with_rouge(df, reference, prediction, stemmed, null_as_text)
     if vectors:
         scored = summary.with_token_match(scored, *vectors)
         columns += ["match_precision", "match_recall", "match_f1"]

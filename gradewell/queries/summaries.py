@@ -129,6 +129,24 @@ def a26(spark, sf):
     return rounded(summary.mean_scores(scores, _N_COLUMNS), *_N_COLUMNS)
 
 
+# Pairs with the token vectors of the embedding of their conversation; C7 as a whole, but for the sentence union.
+_MEANS = ("rouge1", "rouge2", "rougeL", "match_precision", "match_recall", "match_f1")
+
+
+@query("C7_score_summaries_and_tokens", v.with_sql(v.SUMMARIES_SQL, _LCS, _ROUGE_N.split(",\n", 1)[1], _MATCH, select=f"""
+SELECT p.dataset, p.model, {', '.join(f'round(avg({c}), 6) AS "{c}"' for c in _MEANS)}, count(*) AS pairs
+FROM (SELECT s.dataset, s.model, s.rouge1, s.rouge2, 2.0::DOUBLE * coalesce(l.n, 0) / nullif(len(x.ref) + len(x.pred), 0) AS "rougeL",
+             pr.p AS match_precision, rc.r AS match_recall, 2 * pr.p * rc.r / (pr.p + rc.r) AS match_f1
+      FROM scores s JOIN pairs x USING ({_KEYS}) LEFT JOIN lcs l ON l.id = x.id
+      JOIN pr ON pr.vec_id = s.conv_id + 1 JOIN rc ON rc.vec_id = s.conv_id + 1) p
+GROUP BY p.dataset, p.model""").replace("WITH", "WITH RECURSIVE", 1))
+def c7_tokens(spark, sf):
+    vectors = token_vectors(spark, sf).withColumn("conv_id", F.col("vec_id") - 1)
+    pairs = v.summaries(spark, sf).join(vectors, "conv_id")
+    out = jobs.score_summaries(pairs, vectors=("ref_vectors", "pred_vectors"))
+    return rounded(out.select("dataset", "model", *_MEANS, "pairs"), *_MEANS)
+
+
 @query("C7_score_summaries")
 def c7(spark, sf):
     return rounded(jobs.score_summaries(v.summaries(spark, sf)), *summary.ROUGE)

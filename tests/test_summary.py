@@ -69,11 +69,14 @@ def pairs(spark):
     return rows, spark.createDataFrame(rows, "id long, ref string, pred string")
 
 
-def test_row_scores(spark):
+@pytest.mark.parametrize("null_as_text", [True, False])
+def test_row_scores(spark, null_as_text):
     rows, df = pairs(spark)
-    got = {r["id"]: r for r in summary.with_rouge(df, "ref", "pred").collect()}
+    got = {r["id"]: r for r in summary.with_rouge(df, "ref", "pred", null_as_text=null_as_text).collect()}
+    grams = {r["id"]: r for r in summary.rouge_n(df, ["id"], "ref", "pred", null_as_text=null_as_text).collect()}
     for key, a, b in rows:
-        a, b = ("nan" if x is None else x for x in (a, b))
+        a, b = (("nan" if null_as_text else "") if x is None else x for x in (a, b))
+        assert grams[key]["rouge1"] == pytest.approx(got[key]["rouge1"])
         wa, wb = (re.findall("[a-z0-9]+", x.lower()) for x in (a, b))
         for n, name in ((1, "rouge1"), (2, "rouge2")):
             ga, gb = (Counter(tuple(w[i:i + n]) for i in range(len(w) - n + 1)) for w in (wa, wb))
@@ -85,6 +88,12 @@ def test_row_scores(spark):
         assert got[key]["rougeLsum"] == pytest.approx(sum_score(a, b))
 
 
+def test_pairs_with_one_key_are_an_error(spark):
+    df = spark.createDataFrame([(1, "a", "a"), (1, "b", "a")], "id long, ref string, pred string")
+    with pytest.raises(Exception, match="two pairs share the key"):
+        summary.rouge_n(df, ["id"], "ref", "pred").collect()
+
+
 def test_aggregate_form_agrees_with_row_form(spark):
     _, df = pairs(spark)
     df = df.fillna("nan", ["ref", "pred"])
