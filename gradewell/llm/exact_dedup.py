@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import shutil
 import tempfile
 import zlib
 from collections.abc import Iterable, Iterator
@@ -115,12 +116,27 @@ class PatriciaTrie:
             for key, entries in self._groups(child, prefix):
                 for entry in entries:
                     pickle.dump((key, entry), file)
+            for older in self._spilled_below(child):
+                older.seek(0)
+                shutil.copyfileobj(older, file)
+                older.close()
             child.children, child.entries, child.spill = {}, None, file
             self.bytes -= weight
             self.spilled += 1
         if self.bytes > self.limit:  # nothing left that could go: let it grow and look again later
             self.limit = 2 * self.bytes
 
+    @staticmethod
+    def _spilled_below(node: _Node) -> list:
+        """Files of subtrees that went earlier."""
+        found, stack = [], [node]
+        while stack:
+            x = stack.pop()
+            if x.spill is not None:
+                found.append(x.spill)
+            stack.extend(x.children.values())
+        return found
+
     @staticmethod
     def _weight(node: _Node) -> int:
         total, stack = 0, [node]
