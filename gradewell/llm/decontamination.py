@@ -91,11 +91,11 @@ def exact_matches(places: DataFrame) -> DataFrame:
 
 
 def proximity_matches(places: DataFrame, slop: int = SLOP) -> DataFrame:
-    """(k0, k1, item): documents where two anchor words of an item stand within ``slop`` words of their distance there."""
+    """(k0, k1, item): documents where two anchor words of an item stand up to ``slop`` words off their distance there."""
     near = places.groupBy("k0", "k1", "item").agg(F.array_sort(F.collect_set(F.struct("shift", "item_pos"))).alias("p"))
     close = F.exists(
         F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p")),
-                   lambda a, b: (b["shift"] - a["shift"] <= slop) & (a["item_pos"] != b["item_pos"])),
+                   lambda a, b: (b["shift"] > a["shift"]) & (b["shift"] - a["shift"] <= slop) & (a["item_pos"] != b["item_pos"])),
         lambda x: x,
     )
     return near.where((F.size("p") > 1) & close).select("k0", "k1", "item")
