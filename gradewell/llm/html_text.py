@@ -4,8 +4,9 @@ The standard library's parser sends events while it reads; every block-level tag
 its text, the number of inline tags met in it, and whether it stands in a part of the page that is never content: menus,
 headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles and reader comments, told by tag,
 role, or the words of class and id. The ratio of text length to tags per line is smoothed with a Gaussian; a threshold
-from the two clusters of the smoothed ratios marks content lines, and the content region is the part of the page that
-holds most of their text. All lines of that region count, however short, except those in parts that are never content.
+from the two clusters of the smoothed ratios marks content lines. The content regions are the article or main elements
+with content lines, or without such elements the innermost element that holds nine tenths of the content lines' text.
+All lines of the regions count, however short, except those in parts that are never content.
 
 Null html is the empty page. Character references are decoded, white space inside a block becomes one space, blocks are
 joined by one space in page order. Unclosed tags end where the standard says that a block, a list item or a table cell
@@ -23,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Width of the smoothing in lines, and turns of the two-means threshold.
-SIGMA, TURNS = 1.0, 12
+# Width of the smoothing in lines, turns of the two-means threshold, lines from which on a page is clustered, and the
+# share of the content lines' text that a region must hold.
+SIGMA, TURNS, FEW_LINES, MOST = 1.0, 12, 6, 0.9
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset(
@@ -47,7 +49,12 @@ _BOILERPLATE = frozenset(
     "respond respondents share sharing shoutbox sidebar sidebars signup skip social sponsor sponsored subscribe "
     "subscription taboola tags teaser toc toolbar topbar widget widgets".split()
 )
-_CONTENT = frozenset("article body content entry main page post story text".split())
+# Words that say that a header or the like belongs to the article, and words that no such word excuses.
+_CONTENT = frozenset("article body content entry post story text".split())
+_NEVER_WORDS = frozenset(
+    "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies footer menu nav navbar "
+    "navigation newsletter pagination popup promo related share sidebar sponsored subscribe".split()
+)
 # A start tag on the left ends an open element on the right.
 _IMPLIED_END = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -70,9 +77,9 @@ def _marked(tag: str, attributes: list[tuple[str, str | None]], in_article: bool
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main"):
-            words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value)))
-            if words & _BOILERPLATE and not (words & _CONTENT and not words & {"comment", "comments", "ad", "ads"}):
+        if name in ("class", "id") and tag not in ("body", "html", "main"):
+            words = set(re.findall(r"[a-z]+", value))
+            if words & _BOILERPLATE and not (words & _CONTENT and not words & _NEVER_WORDS):
                 return True
     return False
 
@@ -87,6 +94,7 @@ class _Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags, self.regions = 0, 0
         self.region_depth: dict[int, int] = {0: -1}
+        self.articles: set[int] = set()
 
     def _state(self) -> tuple[bool, int]:
         return (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
@@ -144,6 +152,8 @@ class _Lines(HTMLParser):
             self.regions += 1
             self.region_depth[self.regions] = region
             region = self.regions
+            if tag in ("article", "main") and not never:
+                self.articles.add(region)
         self.open.append((tag, never, region))
 
     def handle_startendtag(self, tag, attributes):
@@ -220,18 +230,18 @@ def main_text(html: str | None) -> str:
     if not lines:
         return ""
     ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, _, _ in lines]))
-    content = ratios >= threshold(ratios)
+    content = ratios >= (threshold(ratios) if len(lines) >= FEW_LINES else 0)
     # Text of content lines per region, counted in every region around it.
     parent, weight = parser.region_depth, {}
     for (text, _, _, region), good in zip(lines, content):
         while good and region >= 0:
             weight[region] = weight.get(region, 0) + len(text)
             region = parent[region]
-    total = weight.get(0, 0)
-    # The innermost region that still holds most of the content text.
-    best = max((r for r in weight if 2 * weight[r] > total), key=lambda r: (_depth(r, parent), weight[r]), default=0)
-    inside = [text for text, _, _, region in lines if _within(region, best, parent)]
-    return " ".join(inside)
+    chosen = parser.articles & set(weight)
+    if not chosen:
+        inner = (r for r in weight if weight[r] >= MOST * weight[0])
+        chosen = {max(inner, key=lambda r: (_depth(r, parent), weight[r]), default=0)}
+    return " ".join(text for text, _, _, region in lines if _within(region, chosen, parent))
 
 
 def _depth(region: int, parent: dict[int, int]) -> int:
@@ -241,10 +251,12 @@ def _depth(region: int, parent: dict[int, int]) -> int:
     return n
 
 
-def _within(region: int, best: int, parent: dict[int, int]) -> bool:
-    while region > best:
+def _within(region: int, chosen: set[int], parent: dict[int, int]) -> bool:
+    while region >= 0:
+        if region in chosen:
+            return True
         region = parent[region]
-    return region == best
+    return False
 
 
 def _extract_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
