@@ -57,6 +57,18 @@ def test_markup_forms():
     assert main_text("a < b and c > d") == "a < b and c > d"
 
 
+def test_pages_without_an_article_element():
+    long = "A paragraph of the text that this page is about, which goes on for a while. "
+    links = "".join(f"<p><a href=/{i}>L{i}</a> <a href=/x{i}>M{i}</a></p>" for i in range(8))
+    page = f"<body><div class=x>{links}</div><div><h2>Title</h2><p>{long * 4}</p><p>{long * 3}</p><p>Short.</p></div><div class=y>{links}</div></body>"
+    assert main_text(page) == " ".join(f"Title {long * 4} {long * 3} Short.".split())
+    parts = f"<article><div><p>{long * 5}</p></div><div><p>Short part.</p></div></article>"
+    assert main_text(f"<body><div>{links}</div>{parts}</body>") == " ".join(f"{long * 5} Short part.".split())
+    for name in ("page-header", "main-nav", "site_footer", "post-comments", "article-sidebar"):
+        assert main_text(f'<body><div class="{name}"><p>{long}</p></div><article><p>Text here.</p></article></body>') == "Text here."
+    assert main_text('<article><div class="entry-header"><h1>Head</h1></div><p>Text.</p></article>') == "Head Text."
+
+
 def test_very_long_page():
     page = "<article>" + "<p>word and word</p>" * 20_000 + "</article>"
     assert main_text(page) == " ".join(["word and word"] * 20_000)
@@ -67,4 +79,4 @@ def test_smoothing_and_threshold():
 
     flat = html_text.smoothed(np.full(9, 5.0))
     assert np.allclose(flat, 5)
-    assert 3 < html_text.threshold(np.array([1.0, 2, 1, 50, 60, 55])) < 50
+    assert 2 < html_text.threshold(np.array([1.0, 2, 1, 50, 60, 55])) < 50
