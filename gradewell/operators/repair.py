@@ -62,6 +62,11 @@ def label_unresolved(
     return joined.withColumn("sentiment_label", F.coalesce("_direct", "_label")).drop("_answer", "_direct", "_label")
 
 
+def text_digest(text: Column | str) -> Column:
+    """SHA-256 of a text as bytes; null for a missing text."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def last_correction(
     corrections: DataFrame, key: Sequence[str], label: str = "sentiment_label", order: str = "row_id"
 ) -> DataFrame:
@@ -84,13 +89,14 @@ def override_predictions(
     """Every main row whose text was corrected gets the last correction, even rows that were valid.
 
     Rows are matched within ``group`` on the SHA-256 of the text: keys are short to sort, and the text itself
-    is only moved where the caller keeps it. Texts that many rows share are salted (``hot`` may name their key
+    is only moved where the caller keeps it. Corrections that have a ``digest`` need no text. Texts that many rows share are salted (``hot`` may name their key
     hashes if they are known already).
     """
     key = [*group, "_digest"]
-    digest = F.unhex(F.sha2(F.col(text), 256))
+    digest = text_digest(text)
+    known = F.col("digest") if "digest" in corrections.columns else digest
     fixes = last_correction(
-        corrections.select(*group, digest.alias("_digest"), order, label), key, label, order
+        corrections.select(*group, known.alias("_digest"), order, label), key, label, order
     ).withColumnRenamed(label, "_fix")
     joined = lookup_join(main.withColumn("_digest", digest), fixes, key, spread=list(spread), hot=hot)
     fixed = joined.withColumn(pred, F.coalesce(F.col("_fix").cast("string"), F.col(pred)))

@@ -14,6 +14,7 @@ from gradewell.functions import text as tx
 from gradewell.operators import distribution as dist
 from gradewell.operators import metrics, repair, summary
 from gradewell.registry import FINANCE_CASE, LABEL_TASKS, MARKET_CODES, MODELS, RELABEL, LabelTask, by_dataset
+from gradewell.session import scratch_root
 
 BY = ("dataset", "model")
 MODEL_KEYS = tuple(MODELS)
@@ -181,16 +182,26 @@ def repair_labels(
 ) -> DataFrame:
     """Find invalid answers, relabel them, merge the corrections by text, tidy, and return processed rows.
 
-    ``labellers`` gives a labeller per dataset; ``corrections`` may hold labels made elsewhere. Count the
-    result with :func:`open_label_table`.
+    ``labellers`` gives a labeller per dataset; ``corrections`` may hold labels made elsewhere, and these go before
+    labellers' answers whatever their row numbers. The invalid rows are checkpointed with a digest of their text
+    instead of the text, so rows are scanned once to find them and once to merge. Count the result with
+    :func:`open_label_table`.
     """
-    keys = ["dataset", "model", "row_id", "text", "sentiment_label"]
-    invalid = _invalid(cleaned_labels(df, tasks), tasks).select(*keys[:-1], "prediction")
-    parts = [repair.label_unresolved(invalid, labellers, relabel)] if labellers else []
-    parts += [corrections] if corrections is not None else []
+    keys = ["dataset", "model", "row_id", "digest", "sentiment_label"]
+    parts = []
+    if labellers:
+        scratch_root(df.sparkSession)
+        digest = repair.text_digest("text").alias("digest")
+        invalid = _invalid(cleaned_labels(df, tasks), tasks).select("dataset", "model", "row_id", digest, "prediction")
+        parts.append(repair.label_unresolved(invalid.checkpoint(), labellers, relabel))
+    if corrections is not None:
+        parts.append(corrections.withColumn("digest", repair.text_digest("text")))
     if not parts:
         raise ValueError("give labellers, corrections or both")
-    fixes = reduce(DataFrame.unionByName, [part.select(*keys) for part in parts])
+    order = [F.struct(F.lit(i).alias("source"), "row_id").alias("row_id") for i in range(len(parts))]
+    fixes = reduce(DataFrame.unionByName, [
+        part.select(*keys).withColumn("row_id", o) for part, o in zip(parts, order)
+    ])
     merged = repair.override_predictions(df, fixes)
     tidied = F.when(F.col("dataset").isin(list(tidy)), tx.normalize_prediction("prediction"))
     return merged.withColumn("prediction", tidied.otherwise(F.col("prediction")))

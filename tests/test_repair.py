@@ -2,6 +2,7 @@
 
 import random
 
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from gradewell.operators import repair, scoring
@@ -131,3 +132,22 @@ def test_scoring_job(spark, tmp_path):
     loads = [f.name.split("-")[0] for f in tmp_path.iterdir()]
     # At most one load of each model per task.
     assert loads.count("a") <= 4 and loads.count("b") <= 4
+
+
+def test_labeller_runs_in_many_partitions(spark):
+    """Thousands of distinct short answers are little data, yet a slow labeller must not see them in one task."""
+    invalid = spark.range(9000).selectExpr("'d' AS dataset", "'m' AS model", "id AS row_id", "concat('answer ', id) AS prediction")
+    names = ("one", "two", "three", "four", "five", "six")
+    out = repair.label_unresolved(invalid, {"d": lambda: lambda _: names[TaskContext.get().partitionId()]},
+                                  {"d": ((), names, "none")}, partitions=6)
+    assert {r[0] for r in out.select("sentiment_label").distinct().collect()} == set(names)
+
+
+def test_corrections_go_before_labellers_whatever_their_row_numbers(spark):
+    df = spark.createDataFrame([("t", "a", "base", 900, "same text", "1", "bad"), ("t", "a", "base", 901, "same text", "1", "worse")],
+                               "task string, dataset string, model string, row_id long, text string, gold string, prediction string")
+    tasks = (LabelTask("a", "a.csv", "r", {"0": "negative", "1": "positive"}),)
+    fixes = spark.createDataFrame([("a", "base", 3, "same text", "positive")],
+                                  "dataset string, model string, row_id long, text string, sentiment_label string")
+    out = jobs.repair_labels(df, {"a": lambda: lambda _: "negative"}, tasks, ("base",), {"a": ((), ("negative",), "mixed")}, (), fixes)
+    assert {r["prediction"] for r in out.collect()} == {"positive"}
