@@ -82,7 +82,7 @@ def s4(spark, sf):
     path = scratch_path(spark, "s4")
     rows = v.dialogue(spark, sf).withColumnsRenamed({"question": "instruction", "reply": "output"})
     sinks.write_json_arrays(rows, path, ["instruction", "output"], ["conv_id", "turn"], rows_per_file=50)
-    return tables.read_json_array(spark, f"{path}/*/*.txt", INSTRUCTION).drop("file_name")
+    return tables.read_json_array(spark, f"{path}/*.txt", INSTRUCTION).drop("file_name")
 
 
 @query("S5_instruction_files", v.with_sql(RECORDS_SQL, select="""

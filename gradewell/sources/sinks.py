@@ -35,17 +35,22 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def write_json_arrays(
-    df: DataFrame, path: str, fields: Sequence[str], order: Sequence[str], rows_per_file: int = 10_000
+    df: DataFrame, path: str, fields: Sequence[str], order: Sequence[str], rows_per_file: int = 10_000,
+    bytes_per_file: int = 64 << 20,
 ) -> None:
     """JSON array files of ``fields``, in the order of ``order`` and with at most ``rows_per_file`` records each.
 
-    Rows are numbered over the whole table first, so no file grows with a popular key.
+    With long records there are fewer, so that a file stays below ``bytes_per_file`` (a single longer record has a
+    file of its own). Rows are numbered over the whole table first, so no file grows with a popular key.
     """
-    numbered = number_rows(df, order, "_n").withColumn("block", F.expr(f"_n div {rows_per_file}"))
-    record = F.struct("_n", F.struct(*fields).alias("record"))
-    arrays = numbered.groupBy("block").agg(F.sort_array(F.collect_list(record)).alias("records"))
-    text = F.to_json(F.transform("records", lambda r: r["record"]), {"ignoreNullFields": "false"})
-    arrays.select("block", text.alias("value")).write.partitionBy("block").text(path)
+    numbered = number_rows(df, order, "_n")
+    as_text = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    longest = numbered.agg(F.max(F.octet_length(as_text))).first()[0] or 1
+    per_file = max(1, min(rows_per_file, bytes_per_file // longest))
+    record = F.struct("_n", as_text.alias("record"))
+    arrays = numbered.groupBy(F.expr(f"_n div {per_file}")).agg(F.sort_array(F.collect_list(record)).alias("records"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("records", lambda r: r["record"]), ","), F.lit("]"))
+    arrays.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def report_text(metrics: DataFrame, by: Sequence[str], columns: Mapping[str, int | None]) -> DataFrame:

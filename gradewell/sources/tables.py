@@ -10,7 +10,7 @@ from functools import reduce
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,16 +63,17 @@ def read_csv_trimmed(
 def read_json_array(spark: SparkSession, path: str | Sequence[str], schema: T.StructType = INSTRUCTION) -> DataFrame:
     """Files that each hold one JSON array; adds file_name and the record's position in its file.
 
-    Such a file is one JSON value and so is parsed by one task; many files are read side by side. Large
-    inputs belong in JSON lines with a position column.
+    Such a file is one JSON value and so is read by one task, record by record and never as one string; many files
+    are read side by side. Large inputs belong in JSON lines with a position column.
     """
-    text = spark.read.text(list(path) if not isinstance(path, str) else path, wholetext=True)
-    records = F.from_json("value", T.ArrayType(schema), {"mode": "FAILFAST"})
-    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
-    return (
-        text.select(name.alias("file_name"), F.posexplode(records).alias("position", "record"))
-        .select("file_name", F.col("position").cast("long").alias("position"), "record.*")
+    reader = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST")
+    records = reader.json(list(path) if not isinstance(path, str) else path)
+    decoded = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    tagged = records.select(
+        F.col("_metadata.file_path").alias("_path"), decoded.alias("file_name"), F.monotonically_increasing_id().alias("_at"), "*"
     )
+    place = F.row_number().over(Window.partitionBy("_path").orderBy("_at")) - 1  # rows of one file, as one task read them
+    return tagged.select("file_name", place.cast("long").alias("position"), *[f.name for f in schema.fields])
 
 
 def keys_from_name(df: DataFrame, file_name: Column | str = "file_name") -> DataFrame:

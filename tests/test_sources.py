@@ -116,7 +116,7 @@ def test_json_arrays_are_bounded_and_ordered(spark):
     path = scratch_path(spark, "arrays")
     df = spark.range(23).selectExpr("23 - id as id", "concat('é', id) as instruction", "cast(null as string) as output")
     sinks.write_json_arrays(df, path, ["instruction", "output"], ["id"], rows_per_file=10)
-    back = tables.read_json_array(spark, f"{path}/*/*.txt")
+    back = tables.read_json_array(spark, f"{path}/*.txt")
     sizes = [r["count"] for r in back.groupBy("position").count().orderBy("position").collect()]
     assert sizes == [3] * 3 + [2] * 7 and back.filter("output is not null").count() == 0
     firsts = {r["instruction"] for r in back.filter("position = 0").collect()}
@@ -132,3 +132,35 @@ def test_predictions_as_parquet(spark):
     assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
     plan = back.filter("dataset = 'e'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(dataset" in plan
+
+
+def test_json_arrays_are_bounded_in_bytes(spark, tmp_path):
+    df = spark.range(40).selectExpr("id", "repeat('x', 1000) AS instruction", "'y' AS output")
+    path = str(tmp_path / "arrays")
+    sinks.write_json_arrays(df, path, ["instruction", "output"], ["id"], bytes_per_file=5_000)
+    files = [p for p in (tmp_path / "arrays").iterdir() if p.suffix == ".txt"]
+    assert len(files) == 10 and max(p.stat().st_size for p in files) <= 5_000
+    back = tables.read_json_array(spark, f"{path}/*.txt")
+    assert back.count() == 40 and {r["position"] for r in back.collect()} == {0, 1, 2, 3}
+
+
+def test_each_file_has_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("label,prediction\nneg,0\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("prediction,label\n1,pos\n", encoding="utf-8")
+    rows, _ = lines.read_bare_csv(spark, str(tmp_path / "*.csv"), "label", "prediction")
+    assert {(r["label"], r["prediction"]) for r in rows.collect()} == {("neg", "0"), ("pos", "1")}
+
+
+def test_one_broken_file_does_not_stop_a_tree(spark, tmp_path):
+    task = LabelTask("d", "r.csv", "results/d")
+    bodies = {"base": "text,label,prediction\nhi,a,b\n", "f": '"text,label,prediction"\n"yo,c,d"\nno comma\n', "t": "text,label\nx,y\n",
+              "u": "text,label,prediction\n"}
+    for model, body in bodies.items():
+        folder = tmp_path / "results/d" / model
+        folder.mkdir(parents=True)
+        (folder / "r.csv").write_text(body, encoding="utf-8")
+    tree = tables.read_result_tree(spark, str(tmp_path), [task], {m: m for m in (*bodies, "v")})
+    assert {(r["model"], r["text"], r["gold"], r["prediction"]) for r in tree.rows.collect()} == {("base", "hi", "a", "b"), ("f", "yo", "c", "d")}
+    assert tree.missing == [("d", "v")] and [f.split("/")[-2] for f, _ in tree.skipped] == ["t"]
+    nothing = tables.read_result_tree(spark, str(tmp_path / "none"), [task], {"base": "base"})
+    assert nothing.rows.count() == 0 and nothing.missing == [("d", "base")]
