@@ -50,9 +50,23 @@ def scratch_root(spark: SparkSession) -> str:
     return folder
 
 
+_folders: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder; nothing is ever overwritten there."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the application's own folder under the shared one; nothing is ever overwritten there.
+
+    The folder goes when the application's file system closes.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId not in _folders:
+        folder = f"{scratch_root(spark)}/gradewell-{sc.applicationId}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        system = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _folders[sc.applicationId] = folder
+    return f"{_folders[sc.applicationId]}/{name}-{uuid.uuid4().hex}"
 
 
 _shipped: set[str] = set()
