@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from gradewell.session import scratch_path, ship_package
 
-# ASCII white space, as the contracts define it; bytes.split() without an argument cuts at just these bytes.
-WHITE = r"[\x20\x09-\x0D]+"
 # A word: a run of lower-case ASCII letters, digits and everything beyond ASCII. Said in the positive and without
 # backtracking, which Java's matcher does three times as fast as the negated class.
 WORD = r"[0-9a-z\x{80}-\x{10FFFF}]++"
@@ -27,14 +25,11 @@ def hand_over(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared scratch folder and read it back.
 
     Later jobs start from the written files, so a lost executor never repeats what came before, and values that
-    depend on the order of a scan are fixed. The files go when the application's file system closes.
+    depend on the order of a scan are fixed.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
     return spark.read.schema(df.schema).parquet(path)
 
 

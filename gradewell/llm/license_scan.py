@@ -57,8 +57,9 @@ TEMPLATES = {
         ("free and unencumbered software",)),
 }
 
-# Rarest words by which a template is found, and rarest licence words of a file that are looked up.
-TEMPLATE_WORDS, FILE_WORDS = 4, 24
+# Rarest words by which a template is found, and rarest licence words of a file that are looked up (more than all
+# templates have together now, so that a file may hold every licence).
+TEMPLATE_WORDS, FILE_WORDS = 4, 128
 LEAST_SHARE = 0.5
 _AROUND = 15
 
