@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradewell.registry import LabelTask
+from gradewell.plans.jobs import CHOICE_PARSERS
+from gradewell.registry import FINANCE_CASE, LabelTask
 
 MODELS = (("base", 3, 0), ("f", 7, 1), ("t", 1, 4))
 MODEL_NAMES = tuple(m for m, _, _ in MODELS)
@@ -115,13 +116,9 @@ HEALTH_SQL = f"""health AS (
   FROM orders o CROSS JOIN {MODELS_SQL})"""
 
 # --- finance: parts, five datasets, some answers are free text ---------------------------------
-FINANCE = (
-    ("cfa_1000", ("A", "B", "C")),
-    ("fiqasa", ("positive", "negative", "neutral")),
-    ("german_400", ("good", "bad", "good")),
-    ("bigdata_1400", ("Rise", "Fall", "rise")),
-    ("headlines_2000", ("Yes", "No", "yes")),
-)
+FINANCE = tuple(zip(FINANCE_CASE, (
+    ("A", "B", "C"), ("positive", "negative", "neutral"), ("good", "bad", "good"), ("Rise", "Fall", "rise"), ("Yes", "No", "yes"),
+)))
 
 
 def finance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +142,7 @@ FINANCE_SQL = f"""finance AS (
   FROM part p CROSS JOIN {MODELS_SQL})"""
 
 # --- choices: customers, three benchmark datasets ----------------------------------------------
-CHOICE_DATASETS = ("ARC (easy)", "BoolQ", "GSM8K")
+CHOICE_DATASETS = tuple(CHOICE_PARSERS)
 LETTERS = ("A", "B", "C", "D")
 CHOICE_ANSWERS = (
     ("a dog", "The answer is B.", "c)", "D", "AB", None),
