@@ -122,15 +122,21 @@ def _hits(matches: DataFrame) -> DataFrame:
 
 def contamination(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text: str = "text",
+    item_text: str = "text", proximity: bool = True,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and n_near_items."""
+    """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    With ``proximity`` also n_near_items, the number of items with a proximity match.
+    """
     places = hand_over(phrase_places(docs, items, id_col, text_col, item_col, item_text), "places")
-    near = proximity_matches(places).groupBy("k0", "k1").agg(F.count("*").alias("n_near_items"))
-    hits = _hits(exact_matches(places)).join(
-        near.withColumnsRenamed({"k0": "n0", "k1": "n1"}), F.col("k0").eqNullSafe(F.col("n0")) & (F.col("k1") == F.col("n1")), "full"
-    ).select(F.coalesce("k0", "n0").alias("k0"), F.coalesce("k1", "n1").alias("k1"), "n_hit", "n_items",
-             "items_sha256", "contaminated", "n_near_items")
+    hits = _hits(exact_matches(places))
+    if proximity:
+        near = proximity_matches(places).groupBy("k0", "k1").agg(F.count("*").alias("n_near_items"))
+        same = F.col("k0").eqNullSafe(F.col("n0")) & (F.col("k1") == F.col("n1"))
+        hits = hits.join(near.withColumnsRenamed({"k0": "n0", "k1": "n1"}), same, "full").select(
+            F.coalesce("k0", "n0").alias("k0"), F.coalesce("k1", "n1").alias("k1"), "n_hit", "n_items", "items_sha256",
+            "contaminated", "n_near_items",
+        )
     every = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col)).alias("h"),
         F.size(raw_words(F.col(text_col))).cast("long").alias("n_words"),
@@ -139,7 +145,7 @@ def contamination(
     return every.join(hits, every["doc_id"].eqNullSafe(F.col("k0")) & (every["h"] == F.col("k1")), "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", zero).alias("n_hit"), F.coalesce("n_items", zero).alias("n_items"),
         F.coalesce("items_sha256", none).alias("items_sha256"), F.coalesce("contaminated", F.lit(False)).alias("contaminated"),
-        F.coalesce("n_near_items", zero).alias("n_near_items"),
+        *([F.coalesce("n_near_items", zero).alias("n_near_items")] if proximity else []),
     )
 
 

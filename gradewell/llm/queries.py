@@ -11,7 +11,8 @@ from gradewell.llm.common import on_table, read_table
 
 
 def _contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    items = read_table(spark, sf_dir, "benchmark")
+    return decontamination.contamination(read_table(spark, sf_dir, "documents"), items, proximity=False)
 
 
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +32,33 @@ QUERIES = {
     "op10_exact_dedup": on_table(exact_dedup.duplicate_groups),
 }
 
+# Words of a text with A-Z lower-cased.
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
 ORACLES = {
+    "op5_benchmark_decontamination": f"""
+        WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
+        items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark),
+        windows AS (
+          SELECT DISTINCT item, least(len(w), {decontamination.WINDOW_WORDS}) AS n,
+                 array_to_string(w[s:s + least(len(w), {decontamination.WINDOW_WORDS}) - 1], ' ') AS phrase
+          FROM items, LATERAL (SELECT unnest(range(1, greatest(len(w) - {decontamination.WINDOW_WORDS}, 0) + 2)) AS s)
+          WHERE len(w) > 0),
+        places AS (
+          SELECT row, s, n, array_to_string(w[s:s + n - 1], ' ') AS phrase
+          FROM (SELECT row, w, n FROM docs CROSS JOIN (SELECT DISTINCT n FROM windows)),
+               LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS s)),
+        hits AS (SELECT DISTINCT row, s, n, item FROM places JOIN windows USING (n, phrase)),
+        covered AS (SELECT row, count(*) AS n_hit FROM (SELECT DISTINCT row, unnest(range(s, s + n)) AS p FROM hits) GROUP BY row),
+        found AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+                  FROM (SELECT DISTINCT row, item FROM hits) GROUP BY row)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256,
+               coalesce(n_hit > 0 AND {decontamination.HIT_SHARE} * n_hit >= len(w), FALSE) AS contaminated
+        FROM docs LEFT JOIN covered USING (row) LEFT JOIN found USING (row)
+    """,
     "op8_quality_classifier": _quality,
     "op9_class_lm": on_table(class_lm.score_texts),
     "op10_exact_dedup": r"""
