@@ -8,7 +8,7 @@ its share, and a template is reported if at least half its weight agrees at one
 stand in the file.
 
 Null text has no words. Rows that repeat id and text get equal results. The score is the best share of a reported
-template; a phrase without any template scores one half, nothing scores zero.
+template, to six places; a phrase without any template scores one half, nothing scores zero.
 """
 
 from __future__ import annotations
@@ -106,7 +106,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     phrases, templates = _lookup(spark, _inverse_frequencies(docs, text_col))
     terms = phrases.select("term").union(templates.select("term"))
     keys = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))]
-    index = hand_over(postings(docs, keys, F.col(text_col), terms, _AROUND), "licence-postings")
+    index = hand_over(  # rows that repeat id and text are one file
+        postings(docs, keys, F.col(text_col), terms, _AROUND).dropDuplicates(["k0", "k1", "pos"]), "licence-postings"
+    )
 
     met = index.join(F.broadcast(phrases), "term")  # a fixed few dozen rows
     back, ahead = agreement(F.col("before"), F.col("p_before")), agreement(F.col("after"), F.col("p_after"))
@@ -147,7 +149,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     per_text = found.join(more, same, "left").select(
         "k0", "k1", "n_base", "first_word", "last_word", F.concat_ws(",", "base").alias("base_labels"),
         F.concat_ws(",", F.array_sort(F.array_union("base", F.coalesce("own", none)))).alias("labels"),
-        F.coalesce("best", F.when(F.col("n_base") > 0, 0.5).otherwise(0.0)).alias("score"),
+        F.round(F.coalesce("best", F.when(F.col("n_base") > 0, 0.5).otherwise(0.0)), 6).alias("score"),
     )
     per_text, _ = small(per_text, "licences")
     every = docs.select(

@@ -37,7 +37,46 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 
+def _rows(rows: list[tuple]) -> str:
+    return "VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+_PHRASE_ROWS = [("base", p) for p in license_scan.PHRASES] + sorted({("key", k) for _, keys in license_scan.TEMPLATES.values() for k in keys})
+_LABEL_OF = "CASE phrase " + " ".join(f"WHEN '{p}' THEN '{name}'" for p, name in license_scan.PHRASES.items()) + " END"
+_LICENSE_SQL = f"""
+        WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
+        phrases AS (SELECT kind, phrase, string_split(phrase, ' ') AS p FROM ({_rows(_PHRASE_ROWS)}) t(kind, phrase)),
+        notices AS (SELECT label, string_split(notice, ' ') AS p FROM ({_rows([(k, n) for k, (n, _) in license_scan.TEMPLATES.items()])}) t(label, notice)),
+        needed AS (SELECT * FROM ({_rows([(k, x) for k, (_, keys) in license_scan.TEMPLATES.items() for x in keys])}) t(label, phrase)),
+        tokens AS (SELECT row, unnest(range(1, len(w) + 1)) AS s, lower(unnest(w)) AS term FROM docs),
+        vocabulary AS (SELECT DISTINCT unnest(p) AS term FROM (SELECT p FROM phrases UNION ALL SELECT p FROM notices)),
+        seen AS (SELECT term, count(DISTINCT row) AS df FROM tokens JOIN vocabulary USING (term) GROUP BY term),
+        idf AS (SELECT term, coalesce(df, 0) AS df, ln((1.0 + (SELECT count(*) FROM docs)) / (1.0 + coalesce(df, 0))) + 1 AS weight
+                FROM vocabulary LEFT JOIN seen USING (term)),
+        spelled AS (SELECT label, unnest(range(1, len(p) + 1)) AS place, unnest(p) AS term FROM notices),
+        rare AS (SELECT label, term FROM (SELECT DISTINCT label, term, df FROM spelled JOIN idf USING (term))
+                 QUALIFY row_number() OVER (PARTITION BY label ORDER BY df, term) <= {license_scan.TEMPLATE_WORDS}),
+        postings AS (SELECT label, place, term, weight, sum(weight) OVER (PARTITION BY label) AS total
+                     FROM spelled JOIN rare USING (label, term) JOIN idf USING (term)),
+        shares AS (SELECT row, label, max(share) AS share FROM (
+                     SELECT row, label, s - place AS shift, sum(weight) / min(total) AS share FROM tokens JOIN postings USING (term)
+                     GROUP BY ALL) GROUP BY ALL HAVING max(share) >= {license_scan.LEAST_SHARE} - 1e-9),
+        exact AS (SELECT row, s, kind, phrase FROM tokens JOIN phrases ON p[1] = term JOIN docs USING (row) WHERE w[s:s + len(p) - 1] = p),
+        base AS (SELECT row, count(*) AS n_base, min(s) - 1 AS first_word, max(s) - 1 AS last_word,
+                        list_sort(list(DISTINCT {_LABEL_OF})) AS labels FROM exact WHERE kind = 'base' GROUP BY row),
+        complete AS (SELECT row, label, min(share) AS share FROM shares JOIN needed USING (label)
+                     LEFT JOIN (SELECT DISTINCT row, phrase, 1 AS here FROM exact WHERE kind = 'key') USING (row, phrase)
+                     GROUP BY ALL HAVING count(here) = count(*)),
+        own AS (SELECT row, list(label) AS labels, max(least(share, 1.0)) AS best FROM complete GROUP BY row)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+               coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+               coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ','), '') AS labels,
+               round(CAST(coalesce(best, CASE WHEN n_base > 0 THEN 0.5 ELSE 0 END) AS DOUBLE), 6) AS score
+        FROM docs LEFT JOIN base USING (row) LEFT JOIN own USING (row)
+    """
+
 ORACLES = {
+    "op1_license_scan": _LICENSE_SQL,
     "op5_benchmark_decontamination": f"""
         WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
         items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark),
