@@ -19,6 +19,7 @@ def edges(spark):
         (None, None, None, None, None), (7, "   ", "en", "a", 3), (8, long_text, "en", "b", len(long_text)), (9, long_text, "en", "b", 1),
         (10, "12 34 !!", "en", "b", 8), (11, "Él está aquí, señor; ÀÉÎ", "es", "b", 1), (11, "another text with the same id", "en", "b", 1),
         (12, "x", "en", "b", 1), (13, "x", "en", "b", 1), (13, "x", "en", "b", 1), (14, "日本語のテキスト", None, "b", 8),
+        (16, "released under mit license", "en", "b", 1), (16, "released under mit license", "en", "b", 1),
         (15, "GNU General Public License mit license MIT LICENSE apache license", "en", "b", 1),
     ]
     return spark.createDataFrame([(*r, "owner", 0.5, True) for r in rows], EDGE_SCHEMA)

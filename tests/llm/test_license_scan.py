@@ -45,3 +45,23 @@ def test_key_phrase_is_mandatory(spark):
     rows = [(1, "licensed under the apache license version 2 0"), (2, "licensed under the apache big license version 2 0")]
     found = {r["doc_id"]: r["labels"] for r in lic.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {1: "apache,apache-2.0", 2: ""}
+
+
+def test_rows_that_repeat_are_one_file(spark):
+    rows = [(1, "only the apache license here")] * 5 + [(2, "released under the mit license")] * 3
+    found = lic.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 8 and {(r["doc_id"], r["n_base"], r["labels"], r["score"]) for r in found} == {
+        (1, 1, "apache", 0.5), (2, 1, "mit,mit-notice", 1.0)}
+
+
+def test_sql_says_the_same(spark, edges, tmp_path):
+    import duckdb
+    from oracle import difference
+
+    from gradewell.llm.queries import ORACLES
+
+    edges = edges.where("text IS NULL OR length(text) < 100000")
+    edges.select("doc_id", "text").write.parquet(str(tmp_path / "d"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/d/*.parquet')")
+    assert difference(lic.scan(edges), con, ORACLES["op1_license_scan"]) is None
