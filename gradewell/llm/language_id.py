@@ -30,8 +30,6 @@ SAMPLE_DOCUMENTS, MODEL_ROWS, LONGEST_GRAM = 5_000, 100_000, 4
 CONFIDENT_WORDS = 8
 # Additive smoothing of frequencies.
 SMOOTHING = 0.5
-# The pipeline rejects documents whose best language has less than this posterior.
-LEAST_SCORE = 0.5
 _REMEMBERED = 300_000
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -198,10 +196,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose language was determined with a posterior of at least ``LEAST_SCORE``."""
+    """The rows of ``docs`` whose language was determined, however uncertain a short text leaves it."""
     model = train(_training_rows(docs, id_col), text_col, label_col)
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    kept = _predicted(plain, f"c{docs.columns.index(text_col)}", model).where(
-        (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
-    )
+    kept = _predicted(plain, f"c{docs.columns.index(text_col)}", model).where(F.col("lang_pred") != UNDETERMINED)
     return kept.drop("lang_pred", "score").toDF(*docs.columns)
