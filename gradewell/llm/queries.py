@@ -98,8 +98,6 @@ ORACLES = {
                coalesce(n_hit > 0 AND {decontamination.HIT_SHARE} * n_hit >= len(w), FALSE) AS contaminated
         FROM docs LEFT JOIN covered USING (row) LEFT JOIN found USING (row)
     """,
-    "op8_quality_classifier": _quality,
-    "op9_class_lm": on_table(class_lm.score_texts),
     "op10_exact_dedup": r"""
         SELECT doc_id, keep_id, group_size, n = 1 AS kept, text_sha256 FROM (
             SELECT doc_id, sha256(body) AS text_sha256,
