@@ -67,3 +67,7 @@ def test_the_rest_does_not_import_this_subpackage():
         names = [n.module or "" for n in ast.walk(ast.parse(file.read_text())) if isinstance(n, ast.ImportFrom)]
         names += [a.name for n in ast.walk(ast.parse(file.read_text())) if isinstance(n, ast.Import) for a in n.names]
         assert not any("llm" in name.split(".") for name in names), file
+
+
+def test_oracles_are_text():
+    assert all(isinstance(sql, str) for sql in ORACLES.values()) and all(callable(q) for q in QUERIES.values())
