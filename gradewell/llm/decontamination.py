@@ -4,26 +4,38 @@ Every window of benchmark words (13 words, or a shorter item as a whole) is look
 The index holds the places of just these words in the documents, with the words around each place. Places are adjusted
 by the word's offset in the item and intersected: only where the rarest and the next rarest word of a window stand at
 the same shift can the window occur. There the words around decide: a run of equal words at least as long as a window
-is an exact match. Places where both words stand near each other at different shifts are proximity matches.
+is an exact match.
+
+A proximity match is a place where two of the three rarest known words of a window stand up to ``SLOP`` words off their
+distance in the item and no exact match covers both: the window with words inserted, left out, replaced or moved. An edit
+beside both words leaves their distance as it is, so places at equal shifts count too. Every place is compared with all
+others of the item within the slop, in a range-frame window per document and item.
 
 Null texts have no words. A null item id counts as the empty id. Rows that repeat id and text get equal results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradewell.llm.common import hand_over
 from gradewell.llm.postings import agreement, postings, raw_words, small, term_counts, words
 
 WINDOW_WORDS, SLOP = 13, 5
+# Rarest words of a window that proximity matches are found by; an edit may take one of them.
+NEAR_ANCHORS = 3
 # A document is contaminated if at least one word in so many is hit.
 HIT_SHARE = 20
 
 
-def _anchors(items: DataFrame, docs: DataFrame, item_col: str, text_col: str, doc_text: str, window: int) -> DataFrame:
-    """(item, window_length, term, item_pos, item_before, item_after): the two rarest words of every window."""
+def _anchors(
+    items: DataFrame, docs: DataFrame, item_col: str, text_col: str, doc_text: str, window: int, proximity: bool
+) -> DataFrame:
+    """(item, window_length, term, item_pos, item_before, item_after): the two rarest words of every window.
+
+    With ``proximity`` the three rarest, also of windows with words that no document has.
+    """
     spelled = items.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), words(F.col(text_col)).alias("words")
     ).where(F.size("words") > 0).distinct()
@@ -32,7 +44,7 @@ def _anchors(items: DataFrame, docs: DataFrame, item_col: str, text_col: str, do
         "item", "spelling", "pos", F.lower("w").alias("term")
     )
     counts = term_counts(docs, F.col(doc_text), placed.select("term"))
-    counted = placed.join(counts, "term")  # a window with a word that no document has cannot occur
+    counted = placed.join(counts, "term")  # a window with a word that no document has cannot occur as a whole
     ranked = counted.groupBy("item", "spelling").agg(
         F.map_from_entries(F.collect_list(F.struct("pos", F.struct("n", "term", "pos")))).alias("rank")
     )
@@ -43,9 +55,14 @@ def _anchors(items: DataFrame, docs: DataFrame, item_col: str, text_col: str, do
         F.explode(F.sequence(F.lit(0), last)).alias("start"),
         F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.col("rank")[i]).alias("rank"),
     )
-    rarest = F.slice(F.array_sort(F.slice("rank", F.col("start") + 1, F.col("window_length").cast("int"))), 1, 2)
-    whole_windows = ~F.exists(F.slice("rank", F.col("start") + 1, F.col("window_length").cast("int")), lambda x: x.isNull())
-    chosen = lists.where(whole_windows).select("item", "words", "window_length", F.explode(rarest).alias("a")).distinct()
+    lists = lists.withColumn("rank", F.slice("rank", F.col("start") + 1, F.col("window_length").cast("int")))
+    if proximity:
+        known = F.filter("rank", lambda x: x.isNotNull())
+        lists = lists.withColumn("a", F.slice(F.array_sort(known), 1, NEAR_ANCHORS))
+    else:
+        whole_windows = ~F.exists("rank", lambda x: x.isNull())
+        lists = lists.where(whole_windows).withColumn("a", F.slice(F.array_sort("rank"), 1, 2))
+    chosen = lists.select("item", "words", "window_length", F.explode("a").alias("a")).distinct()
     at = F.col("a.pos")
     begin = F.greatest(at - window + 1, F.lit(0))
     return chosen.select(
@@ -57,14 +74,14 @@ def _anchors(items: DataFrame, docs: DataFrame, item_col: str, text_col: str, do
 
 def phrase_places(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text: str = "text", window: int = WINDOW_WORDS,
+    item_text: str = "text", window: int = WINDOW_WORDS, proximity: bool = False,
 ) -> DataFrame:
     """Index places of anchor words joined with the benchmark places they could belong to.
 
     Columns: k0 (document id), k1 (hash of its text), n_words, item, shift, pos, item_pos, window_length, and begin and
     end of the run of equal words around the place.
     """
-    anchors = hand_over(_anchors(items, docs, item_col, item_text, text_col, window), "anchors")
+    anchors = hand_over(_anchors(items, docs, item_col, item_text, text_col, window, proximity), "anchors")
     keys = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))]
     index = hand_over(postings(docs, keys, F.col(text_col), anchors.select("term"), window - 1), "postings")
     lookup, _ = small(anchors, "anchor-lookup")
@@ -90,15 +107,19 @@ def exact_matches(places: DataFrame) -> DataFrame:
     )
 
 
-def proximity_matches(places: DataFrame, slop: int = SLOP) -> DataFrame:
-    """(k0, k1, item): documents where two anchor words of an item stand up to ``slop`` words off their distance there."""
-    near = places.groupBy("k0", "k1", "item").agg(F.array_sort(F.collect_set(F.struct("shift", "item_pos"))).alias("p"))
-    close = F.exists(
-        F.zip_with(F.slice("p", F.lit(1), F.size("p") - 1), F.slice("p", F.lit(2), F.size("p")),
-                   lambda a, b: (b["shift"] > a["shift"]) & (b["shift"] - a["shift"] <= slop) & (a["item_pos"] != b["item_pos"])),
-        lambda x: x,
-    )
-    return near.where((F.size("p") > 1) & close).select("k0", "k1", "item")
+def proximity_matches(places: DataFrame, slop: int = SLOP, window: int = WINDOW_WORDS) -> DataFrame:
+    """(k0, k1, item): documents where two anchor words of an item stand up to ``slop`` words off their distance there.
+
+    Two places at least ``window`` words apart in the item belong to no common window. Pairs of words that both stand
+    in exact matches are left out.
+    """
+    by_item = Window.partitionBy("k0", "k1", "item")
+    exact = F.max(F.col("end") - F.col("begin") >= F.col("window_length"))
+    marked = places.select("k0", "k1", "item", "shift", "pos", "item_pos", exact.over(by_item.orderBy("pos").rangeBetween(0, 0)).alias("exact"))
+    others = F.collect_set(F.struct("pos", "item_pos", "exact")).over(by_item.orderBy("shift").rangeBetween(0, slop))
+    pair = F.exists("others", lambda x: (x["pos"] != F.col("pos")) & (x["item_pos"] != F.col("item_pos"))
+                    & (F.abs(x["item_pos"] - F.col("item_pos")) < window) & ~(x["exact"] & F.col("exact")))
+    return marked.withColumn("others", others).where(pair).select("k0", "k1", "item").distinct()
 
 
 def _hits(matches: DataFrame) -> DataFrame:
@@ -128,7 +149,7 @@ def contamination(
 
     With ``proximity`` also n_near_items, the number of items with a proximity match.
     """
-    places = hand_over(phrase_places(docs, items, id_col, text_col, item_col, item_text), "places")
+    places = hand_over(phrase_places(docs, items, id_col, text_col, item_col, item_text, proximity=proximity), "places")
     hits = _hits(exact_matches(places))
     if proximity:
         near = proximity_matches(places).groupBy("k0", "k1").agg(F.count("*").alias("n_near_items"))

@@ -75,6 +75,40 @@ def test_proximity(spark):
     assert got[1] == (1, 0) and got[2][0] == 0 and got[3] == (0, 0)
 
 
+def near_counts(spark, docs, items):
+    found = dec.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    return {r["doc_id"]: (r["n_items"], r["n_near_items"]) for r in found.collect()}
+
+
+def test_every_single_edit_is_a_proximity_match(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu".split()
+    edits = [item[:i] + ["so"] + item[i:] for i in range(1, 13)] + [item[:i] + item[i + 1 :] for i in range(13)]
+    edits += [item[:i] + ["so"] + item[i + 1 :] for i in range(13)] + [item[:6] + ["so"] * 5 + item[6:]]
+    docs = [(i, "one two " + " ".join(x) + " three") for i, x in enumerate(edits)]
+    docs += [(100, " ".join(item)), (101, " ".join(item + ["so"] * 30 + item)), (102, "alpha " + "x " * 60 + "nu"), (103, None), (104, "beta")]
+    got = near_counts(spark, docs, [(1, " ".join(item))])
+    lost = [i for i in range(len(edits)) if got[i] != (0, 1)]
+    assert lost == []
+    assert [got[i] for i in range(100, 105)] == [(1, 0), (1, 0), (0, 0), (0, 0), (0, 0)]
+
+
+def test_proximity_of_repeated_and_unknown_words(spark):
+    items = [(1, "red red blue"), (2, "green word that no document has anywhere stands here beside other things of yellow"), (3, "one")]
+    docs = [(1, "red x"), (2, "red red blue"), (3, "red so red so blue"), (4, "green word so that there is beside the things yellow one")]
+    assert near_counts(spark, docs, items) == {1: (0, 0), 2: (1, 0), 3: (0, 1), 4: (1, 1)}
+
+
+def test_registered_query_returns_proximity_matches(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+    docs = [(1, item), (2, item.replace("eta theta", "eta so theta")), (3, "no")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = queries()["op5_benchmark_proximity"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: (r["n_items"], r["n_near_items"]) for r in rows} == {1: (1, 0), 2: (0, 1), 3: (0, 0)}
+
+
 def test_no_python_in_the_plan(spark, documents):
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     plan = dec.contamination(documents, items)._jdf.queryExecution().executedPlan().toString()
