@@ -3,7 +3,8 @@
 The standard library's parser sends events while it reads; every block-level tag starts a new line, and each line has
 its text, the number of inline tags met in it, and whether it stands in a part of the page that is never content: menus,
 headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles and reader comments, told by tag,
-role, or the words of class and id. The ratio of text length to tags per line is smoothed with a Gaussian; a threshold
+role, or the words of class and id. A form or a word of class or id only condemns a part that is no wrapper: judged after
+a first clustering, parts that hold the main element, the only article or most of the content lines' text stay. The ratio of text length to tags per line is smoothed with a Gaussian; a threshold
 from the two clusters of the smoothed ratios marks content lines. The content regions are the article or main elements
 with content lines, or without such elements the innermost element that holds nine tenths of the content lines' text.
 All lines of the regions count, however short, except those in parts that are never content.
@@ -35,11 +36,12 @@ _BLOCKS = frozenset(
     "summary table tbody td tfoot th thead title tr ul".split()
 )
 _NEVER = frozenset(
-    "applet aside audio button canvas datalist dialog fieldset footer form head iframe input label math menu nav noframes "
+    "annotation annotation-xml applet aside audio button canvas datalist dialog footer head iframe input label menu nav noframes "
     "noscript object option script search select style svg template textarea title video".split()
 )
+_FORMS = frozenset("fieldset form".split())
 _ROLES = frozenset(
-    "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split()
+    "alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split()
 )
 # Words of class and id that mark parts which are no content, whatever their tag.
 _BOILERPLATE = frozenset(
@@ -55,6 +57,14 @@ _NEVER_WORDS = frozenset(
     "ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies footer menu nav navbar "
     "navigation newsletter pagination popup promo related share sidebar sponsored subscribe".split()
 )
+# Words that never excuse a part while there is other text, because readers may write more than the author.
+_COMMENT_WORDS = frozenset("comment comments commentlist disqus reply respond respondents shoutbox".split())
+# Names of class and id that tell the layout: what a part has or lacks, its side, the frame of a widget.
+_LAYOUT_FIRST, _SIDES = frozenset("has no with without".split()), frozenset("both left right".split())
+_LAYOUT_LAST = frozenset("closed disabled enabled open".split())
+_FRAMES = frozenset("container elementor wrap wrapper".split())
+# What an element is: content, a part to be judged by its text (of readers or not), or never content.
+_OPEN, _JUDGED, _READERS, _CLOSED = range(4)
 # A start tag on the left ends an open element on the right.
 _IMPLIED_END = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -65,45 +75,67 @@ _SCOPES = frozenset("table td th button object template".split())
 _RAW = frozenset("script style".split())
 
 
-def _marked(tag: str, attributes: list[tuple[str, str | None]], in_article: bool) -> bool:
-    """Whether an element is never content."""
+def _named(value: str) -> int:
+    """What the words of a class or an id say."""
+    names = [re.findall(r"[a-z]+", name) for name in value.split()]
+    words = {word for name in names for word in name}
+    told = set()
+    for name in names:
+        layout = name and (name[0] in _LAYOUT_FIRST or name[-1] in _LAYOUT_LAST or name[0] in _SIDES and words & _CONTENT)
+        told.update(() if layout else set(name) - {"widget", "widgets"} if _FRAMES & set(name) else name)
+    if told & _BOILERPLATE and not (words & _CONTENT and not told & _NEVER_WORDS):
+        return _READERS if told & _COMMENT_WORDS else _JUDGED
+    return _OPEN
+
+
+def _marked(tag: str, attributes: list[tuple[str, str | None]], in_article: bool) -> int:
+    """Whether an element is content, to be judged, or never content."""
     if tag in _NEVER or tag == "header" and not in_article:
-        return True
+        return _CLOSED
+    mark = _JUDGED if tag in _FORMS else _OPEN
     for name, value in attributes:
         value = (value or "").lower()
         if name in ("hidden", "inert") or name == "aria-hidden" and value == "true" or name == "aria-modal" and value == "true":
-            return True
+            return _CLOSED
         if name == "role" and value in _ROLES:
-            return True
+            return _CLOSED
+        if name == "role" and value == "form":
+            mark = max(mark, _JUDGED)
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return _CLOSED
         if name in ("class", "id") and tag not in ("body", "html", "main"):
-            words = set(re.findall(r"[a-z]+", value))
-            if words & _BOILERPLATE and not (words & _CONTENT and not words & _NEVER_WORDS):
-                return True
-    return False
+            mark = max(mark, _named(value))
+    return mark
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: (text, tags, never content, region), in order."""
+    """Lines of a page: (text, tags, never content, region, part), in order; part 0 is no part to be judged."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int]] = []
-        self.open: list[tuple[str, bool, int]] = []  # tag, never content, region
+        self.lines: list[tuple[str, int, bool, int, int]] = []
+        self.open: list[tuple[str, bool, int, int]] = []  # tag, never content, region, part
         self.parts: list[str] = []
         self.tags, self.regions = 0, 0
         self.region_depth: dict[int, int] = {0: -1}
         self.articles: set[int] = set()
+        self.part_around: dict[int, int] = {0: -1}
+        self.part_region: dict[int, int] = {}
+        self.readers: set[int] = set()
+        self.part_of_article: dict[int, int] = {}
+        self.parts_with_main: set[int] = set()
+
+    def _state(self) -> tuple[bool, int, int]:
+        return self.open[-1][1:] if self.open else (False, 0, 0)
 
-    def _state(self) -> tuple[bool, int]:
-        return (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
+    def _kind(self, index: int = -1) -> tuple[bool, int]:
+        """Never content, and part, at an open element."""
+        return (self.open[index][1], self.open[index][3]) if self.open and index >= -1 else (False, 0)
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            never, region = self._state()
-            self.lines.append((text, self.tags, never, region))
+            self.lines.append((text, self.tags, *self._line_state))
         self.parts, self.tags = [], 0
 
     def _close(self, index: int) -> None:
@@ -130,11 +162,11 @@ class _Lines(HTMLParser):
                     break
 
     def handle_starttag(self, tag, attributes):
-        if tag in ("html", "body") and any(name == tag for name, _, _ in self.open):
+        if tag in ("html", "body") and any(name == tag for name, *_ in self.open):
             return
         if tag == "body" or tag in _BLOCKS and tag not in ("head", "title", "html"):
             # content begins: an unclosed head ends here
-            for index, (name, _, _) in enumerate(self.open):
+            for index, (name, *_) in enumerate(self.open):
                 if name == "head":
                     self._close(index)
                     break
@@ -145,16 +177,28 @@ class _Lines(HTMLParser):
             self.tags += 1
         if tag in _VOID:
             return
-        never, region = self._state()
-        in_article = any(name in ("article", "main") for name, _, _ in self.open)
-        never = never or _marked(tag, attributes, in_article)
+        never, region, part = self._state()
+        in_article = any(name in ("article", "main") for name, *_ in self.open)
+        mark = _marked(tag, attributes, in_article)
+        never = never or mark == _CLOSED
+        if not never and mark != _OPEN:
+            new = len(self.part_around)
+            self.part_around[new], self.part_region[new] = part, region
+            if mark == _READERS:
+                self.readers.add(new)
+            part = new
         if tag in ("article", "main", "section", "div", "td", "body") and tag in _BLOCKS:
             self.regions += 1
             self.region_depth[self.regions] = region
             region = self.regions
             if tag in ("article", "main") and not never:
                 self.articles.add(region)
-        self.open.append((tag, never, region))
+                self.part_of_article[region] = part
+                while tag == "main" and part > 0:
+                    self.parts_with_main.add(part)
+                    part = self.part_around[part]
+                part = self.part_of_article[region]
+        self.open.append((tag, never, region, part))
 
     def handle_startendtag(self, tag, attributes):
         if tag in _BLOCKS:
@@ -166,21 +210,20 @@ class _Lines(HTMLParser):
         if tag == "br":
             self._end_line()
             return
-        if tag == "p" and not any(name == "p" for name, _, _ in self.open):
+        if tag == "p" and not any(name == "p" for name, *_ in self.open):
             self._end_line()
             return
         for index in range(len(self.open) - 1, -1, -1):
             if self.open[index][0] == tag:
-                if tag in _BLOCKS or any(name in _BLOCKS for name, _, _ in self.open[index:]):
-                    if tag not in _BLOCKS and any(name in _BLOCKS for name, _, _ in self.open[index + 1 :]):
+                if tag in _BLOCKS or any(name in _BLOCKS for name, *_ in self.open[index:]):
+                    if tag not in _BLOCKS and any(name in _BLOCKS for name, *_ in self.open[index + 1 :]):
                         del self.open[index]  # a misnested inline tag closes alone
                         self.tags += 1
                     else:
                         self._close(index)
                 else:
                     self.tags += 1
-                    never_before = self.open[-1][1]
-                    if never_before and not (index and self.open[index - 1][1]):
+                    if self._kind() != (self._kind(index - 1) if index else (False, 0)):
                         self._end_line()
                     del self.open[index:]
                 return
@@ -188,15 +231,16 @@ class _Lines(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if self.open and self.open[-1][1] != self._never_of_line():
+        if self.open and self._kind() != self._kind_of_line():
             self._end_line()
-        self._line_never = self._state()[0]
+        self._line_state = self._state()
         self.parts.append(data)
 
-    _line_never = False
+    # Of the text so far: an element that ends or begins a line within it may be of another kind.
+    _line_state = (False, 0, 0)
 
-    def _never_of_line(self) -> bool:
-        return self._line_never if self.parts else self._state()[0]
+    def _kind_of_line(self) -> tuple[bool, int]:
+        return self._line_state[::2] if self.parts else self._kind()
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -220,6 +264,60 @@ def threshold(values: np.ndarray) -> float:
     return float(np.expm1(cut))
 
 
+def _content_lines(lines: list[tuple[str, int, bool, int, int]]) -> np.ndarray:
+    """Which lines the clustering marks as content."""
+    ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, *_ in lines]))
+    return ratios >= (threshold(ratios) if len(lines) >= FEW_LINES else 0)
+
+
+def _staying_parts(parser: _Lines, lines: list[tuple[str, int, bool, int, int]]) -> set[int]:
+    """The parts to be judged that stay, by the content lines of the page with all such parts.
+
+    A part around the main element stays. Beside an article with content outside all parts no part stays; else, and
+    within such an article, a part stays that holds most of the content, or an article and more than stands outside all
+    parts. Readers' parts stay only if they hold all content.
+    """
+    around, parent = parser.part_around, parser.region_depth
+    plain = {region for region, part in parser.part_of_article.items() if not part}
+    total, free, written, weight, told = 0, 0, 0, {}, set()
+    for (text, _, _, region, part), good in zip(lines, _content_lines(lines)):
+        if not good:
+            continue
+        chain = []
+        while part > 0:
+            chain.append(part)
+            part = around[part]
+        total += len(text)
+        written += 0 if parser.readers.intersection(chain) else len(text)
+        for x in chain:
+            weight[x] = weight.get(x, 0) + len(text)
+        if not chain:
+            free += len(text)
+            while region >= 0:
+                told |= {region} & plain
+                region = parent[region]
+    with_article = set()
+    for part in parser.part_of_article.values():
+        while part > 0:
+            with_article.add(part)
+            part = around[part]
+    stays = set(parser.parts_with_main)
+    for part, n in weight.items():
+        if told and not _within(parser.part_region[part], told, parent) or part in parser.readers and written:
+            continue
+        if 2 * n > total or part in with_article and n > free:
+            stays.add(part)
+    return stays
+
+
+def _all_stay(part: int, stays: set[int], around: dict[int, int]) -> bool:
+    while part > 0:
+        if part not in stays:
+            return False
+        part = around[part]
+    return True
+
+
 def main_text(html: str | None) -> str:
     """The text of a page's content region."""
     parser = _Lines()
@@ -227,13 +325,15 @@ def main_text(html: str | None) -> str:
     parser.close()
     parser._end_line()
     lines = [x for x in parser.lines if not x[2]]
+    if any(part for *_, part in lines):
+        stays = _staying_parts(parser, lines)
+        lines = [x for x in lines if _all_stay(x[4], stays, parser.part_around)]
     if not lines:
         return ""
-    ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, _, _ in lines]))
-    content = ratios >= (threshold(ratios) if len(lines) >= FEW_LINES else 0)
+    content = _content_lines(lines)
     # Text of content lines per region, counted in every region around it.
     parent, weight = parser.region_depth, {}
-    for (text, _, _, region), good in zip(lines, content):
+    for (text, _, _, region, _), good in zip(lines, content):
         while good and region >= 0:
             weight[region] = weight.get(region, 0) + len(text)
             region = parent[region]
@@ -241,7 +341,7 @@ def main_text(html: str | None) -> str:
     if not chosen:
         inner = (r for r in weight if weight[r] >= MOST * weight[0])
         chosen = {max(inner, key=lambda r: (_depth(r, parent), weight[r]), default=0)}
-    return " ".join(text for text, _, _, region in lines if _within(region, chosen, parent))
+    return " ".join(text for text, _, _, region, _ in lines if _within(region, chosen, parent))
 
 
 def _depth(region: int, parent: dict[int, int]) -> int:

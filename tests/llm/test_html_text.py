@@ -69,6 +69,30 @@ def test_pages_without_an_article_element():
     assert main_text('<article><div class="entry-header"><h1>Head</h1></div><p>Text.</p></article>') == "Head Text."
 
 
+def test_wrappers_stay():
+    links = "<nav><a href=/>Home</a></nav>" + "".join(f"<p><a href=/{i}>L{i}</a> <a href=/x{i}>M{i}</a></p>" for i in range(3))
+    side = '<div class="sidebar"><p>Beside the text.</p></div>'
+    for start, end in (
+        ('<div class="site-content right-sidebar">', "</div>"), ('<div class="content no-sidebar">', "</div>"),
+        ('<div class="elementor-widget-container">', "</div>"), ('<section class="widget">', "</section>"),
+        ('<form id="aspnetForm">', "</form>"), ('<div class="has-ads"><form><div id="page-banner">', "</div></form></div>"),
+        ('<div class="content comments-open">', "</div>"),
+    ):
+        assert main_text(f"<body>{links}{start}<article>{BODY}</article>{side}{end}</body>") == TEXT, start
+        assert main_text(f"<body>{start}<div><main>{BODY}</main></div>{end}{side}</body>") == TEXT, start
+        assert main_text(f"<body>{start}<div>{BODY}</div>{side}{end}<footer>Imprint</footer></body>") == TEXT, start
+    assert main_text('<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p></article>') == "So x=2 holds."
+    assert main_text("<article><p>One <button>OK</button> two.</p></article>") == "One two."
+
+
+def test_parts_beside_the_text_still_go():
+    more = "<p>A reader writes at greater length than the article itself, which is short, and goes on and on and on about it.</p>" * 3
+    assert main_text(f'<body><div>{BODY}</div><div class="comments"><article>{more}</article></div></body>') == TEXT
+    assert main_text(f'<body><article>{BODY}</article><div class="related"><article>{more}</article></div></body>') == TEXT
+    assert main_text(f'<body><div class="widget"><article>{BODY}</article><div class="right-sidebar"><p>Aside.</p></div></div></body>') == TEXT
+    assert main_text(f'<p>In <span class="ad">buy</span> line</p><article>{BODY}</article>') == TEXT
+
+
 def test_very_long_page():
     page = "<article>" + "<p>word and word</p>" * 20_000 + "</article>"
     assert main_text(page) == " ".join(["word and word"] * 20_000)
