@@ -5,9 +5,11 @@ its text, the number of inline tags met in it, and whether it stands in a part o
 headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles and reader comments, told by tag,
 role, or the words of class and id. A form or a word of class or id only condemns a part that is no wrapper: judged after
 a first clustering, parts that hold the main element, the only article or most of the content lines' text stay. The ratio of text length to tags per line is smoothed with a Gaussian; a threshold
-from the two clusters of the smoothed ratios marks content lines. The content regions are the article or main elements
-with content lines, or without such elements the innermost element that holds nine tenths of the content lines' text.
-All lines of the regions count, however short, except those in parts that are never content.
+from the two clusters of the smoothed ratios marks content lines. The content regions are the article and main elements,
+if one has content lines; else the innermost element that holds nine tenths of the content lines' text, and beside it, in
+each part of the page that holds further content lines, the innermost element that holds all of those. Such an element is
+left out as boilerplate if lines over the threshold, smoothed or not, have less than half of its text; its content lines
+that are over it on their own, not by their neighbours, stay. All lines of the regions count, however short, except those in parts that are never content.
 
 Null html is the empty page. Character references are decoded, white space inside a block becomes one space, blocks are
 joined by one space in page order. Unclosed tags end where the standard says that a block, a list item or a table cell
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Width of the smoothing in lines, turns of the two-means threshold, lines from which on a page is clustered, and the
-# share of the content lines' text that a region must hold.
+# share of the content lines' text that the main region must hold.
 SIGMA, TURNS, FEW_LINES, MOST = 1.0, 12, 6, 0.9
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -264,10 +266,12 @@ def threshold(values: np.ndarray) -> float:
     return float(np.expm1(cut))
 
 
-def _content_lines(lines: list[tuple[str, int, bool, int, int]]) -> np.ndarray:
-    """Which lines the clustering marks as content."""
-    ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, *_ in lines]))
-    return ratios >= (threshold(ratios) if len(lines) >= FEW_LINES else 0)
+def _content_lines(lines: list[tuple[str, int, bool, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines the clustering marks as content, and which are over the threshold without their neighbours."""
+    raw = np.array([len(text) / max(1, tags) for text, tags, *_ in lines])
+    ratios = smoothed(raw)
+    cut = threshold(ratios) if len(lines) >= FEW_LINES else 0
+    return ratios >= cut, raw >= cut
 
 
 def _staying_parts(parser: _Lines, lines: list[tuple[str, int, bool, int, int]]) -> set[int]:
@@ -280,7 +284,7 @@ def _staying_parts(parser: _Lines, lines: list[tuple[str, int, bool, int, int]])
     around, parent = parser.part_around, parser.region_depth
     plain = {region for region, part in parser.part_of_article.items() if not part}
     total, free, written, weight, told = 0, 0, 0, {}, set()
-    for (text, _, _, region, part), good in zip(lines, _content_lines(lines)):
+    for (text, _, _, region, part), good in zip(lines, _content_lines(lines)[0]):
         if not good:
             continue
         chain = []
@@ -330,18 +334,47 @@ def main_text(html: str | None) -> str:
         lines = [x for x in lines if _all_stay(x[4], stays, parser.part_around)]
     if not lines:
         return ""
-    content = _content_lines(lines)
+    content, alone = _content_lines(lines)
     # Text of content lines per region, counted in every region around it.
     parent, weight = parser.region_depth, {}
     for (text, _, _, region, _), good in zip(lines, content):
         while good and region >= 0:
             weight[region] = weight.get(region, 0) + len(text)
             region = parent[region]
-    chosen = parser.articles & set(weight)
-    if not chosen:
-        inner = (r for r in weight if weight[r] >= MOST * weight[0])
-        chosen = {max(inner, key=lambda r: (_depth(r, parent), weight[r]), default=0)}
-    return " ".join(text for text, _, _, region, _ in lines if _within(region, chosen, parent))
+    if parser.articles & set(weight):
+        return " ".join(text for text, _, _, region, _ in lines if _within(region, parser.articles, parent))
+    inner = (r for r in weight if weight[r] >= MOST * weight[0])
+    main = max(inner, key=lambda r: (_depth(r, parent), weight[r]), default=0)
+    chosen = {main} | _further_regions(lines, content, alone, main, parent, weight)
+    return " ".join(
+        text for (text, _, _, region, _), own in zip(lines, content & alone) if own or _within(region, chosen, parent)
+    )
+
+
+def _further_regions(
+    lines: list[tuple[str, int, bool, int, int]], content: np.ndarray, alone: np.ndarray, main: int, parent: dict[int, int],
+    weight: dict[int, int],
+) -> set[int]:
+    """Beside the main region, the innermost element with all content lines of each branch of the page that has some."""
+    spine, region = set(), main
+    while region >= 0:
+        spine.add(region)
+        region = parent[region]
+    text_of: dict[int, int] = {}
+    dense: dict[int, int] = {}
+    found: dict[int, int] = {}
+    for (text, _, _, region, _), good, own in zip(lines, content, alone):
+        branch, path = region, []
+        while branch not in spine:
+            text_of[branch] = text_of.get(branch, 0) + len(text)
+            dense[branch] = dense.get(branch, 0) + (len(text) if good or own else 0)
+            path.append(branch)
+            branch = parent[branch]
+        if good and path:
+            top = path[-1]
+            whole = [r for r in path if weight[r] == weight[top]]
+            found[top] = whole[0]
+    return {r for r in found.values() if 2 * dense[r] >= text_of[r]}
 
 
 def _depth(region: int, parent: dict[int, int]) -> int:

@@ -69,6 +69,19 @@ def test_pages_without_an_article_element():
     assert main_text('<article><div class="entry-header"><h1>Head</h1></div><p>Text.</p></article>') == "Head Text."
 
 
+def test_all_content_lines_stay():
+    long = "A paragraph of the text that this page is about, which goes on for a while. "
+    links = "".join(f"<p><a href=/{i}>L{i}</a> <a href=/x{i}>M{i}</a></p>" for i in range(8))
+    main = f"<div>{f'<p>{long * 4}</p>' * 24}</div>"
+    lead, want = f"<div><div><p>{long * 4}</p><p>{long * 4}</p><p>Short.</p></div></div>", " ".join([long.strip()] * 96)
+    first = " ".join([long.strip()] * 8) + " Short. "
+    assert main_text(f"<body>{lead}{main}</body>") == first + want
+    assert main_text(f"<body><div>{links}</div>{lead}{main}<div>{links}</div></body>") == first + want
+    assert main_text(f"<body><p>{long * 4}</p><div>{links}</div>{main}</body>") == long * 4 + want
+    page = f"<div>{links}</div><article><p>{long * 9}</p></article>{'<hr>'}<div>{links}</div><article><p>It <b>is</b> <i>so</i>.</p></article>"
+    assert main_text(f"<body>{page}</body>") == long * 9 + "It is so."
+
+
 def test_wrappers_stay():
     links = "<nav><a href=/>Home</a></nav>" + "".join(f"<p><a href=/{i}>L{i}</a> <a href=/x{i}>M{i}</a></p>" for i in range(3))
     side = '<div class="sidebar"><p>Beside the text.</p></div>'
