@@ -4,7 +4,8 @@ Training counts words and the n-grams of words (length 4 to 1, with marks at bot
 documents. A known word scores its log frequency in each language. An unseen word scores by its 4-grams; a 4-gram that
 is unknown too gives way to its two 3-grams, and so on. A document's score is the sum over its words.
 
-The classifier is fitted on a sample: at most about ``SAMPLE_DOCUMENTS`` documents of each language, drawn by hash. It
+The classifier is fitted on a sample: at most about ``SAMPLE_DOCUMENTS`` documents of each language, drawn by hash of id and
+text, so that copies of a text are drawn one by one. It
 keeps the ``MODEL_ROWS`` most frequent words and as many n-grams of each length, so its size is bounded. Texts are
 scored whole. Null text and text without a letter, or a table without labels, gives ``und`` with score 0; ties go to
 the language that sorts first. A null id counts as the empty text in the choice of held-out documents.
@@ -130,19 +131,19 @@ class Model:
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE_DOCUMENTS) -> Model:
+def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE_DOCUMENTS, id_col: str = "doc_id") -> Model:
     """Fit on labelled rows. Counting runs on the executors; only the bounded model reaches the driver."""
-    labelled = docs.select(F.col(label_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where(
-        "lang is not null and text is not null"
-    )
+    labelled = docs.select(
+        F.col(label_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")
+    ).where("lang is not null and text is not null")
     per_language = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     languages = sorted(per_language)
     if not languages:
         return Model([], [{} for _ in range(LONGEST_GRAM + 1)], np.zeros((0, 0), np.float32))
     share = F.create_map(*[F.lit(x) for k, n in per_language.items() for x in (k, min(1.0, sample / n))])
-    drawn = labelled.where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
+    drawn = labelled.where(F.pmod(F.xxhash64("id", "text", F.lit(17)), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     counts = hand_over(
-        drawn.mapInArrow(_count_batches, "lang string, length int, unit string, n long")
+        drawn.drop("id").mapInArrow(_count_batches, "lang string, length int, unit string, n long")
         .groupBy("length", "unit", "lang").agg(F.sum("n").alias("n")), "language-counts",
     )
     units: list[dict[str, int]] = []
@@ -187,7 +188,7 @@ def _training_rows(docs: DataFrame, id_col: str) -> DataFrame:
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, lang_pred, score."""
-    model = train(_training_rows(docs, id_col), text_col, label_col)
+    model = train(_training_rows(docs, id_col), text_col, label_col, id_col=id_col)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), (fold(F.col(id_col), FOLDS) == 0).alias("held_out"),
         F.col(text_col).cast("string").alias("text"),
@@ -197,7 +198,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` whose language was determined, however uncertain a short text leaves it."""
-    model = train(_training_rows(docs, id_col), text_col, label_col)
+    model = train(_training_rows(docs, id_col), text_col, label_col, id_col=id_col)
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     kept = _predicted(plain, f"c{docs.columns.index(text_col)}", model).where(F.col("lang_pred") != UNDETERMINED)
     return kept.drop("lang_pred", "score").toDF(*docs.columns)

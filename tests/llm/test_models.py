@@ -41,6 +41,12 @@ def test_language_edges(edges, nothing):
     assert {r["lang_pred"] for r in language_id.identify(unlabelled).collect()} == {"und"}
 
 
+def test_copies_are_drawn_one_by_one(spark):
+    docs = spark.range(10_000).selectExpr("id AS doc_id", "concat('l', id % 10) AS lang", "concat('word', chr(97 + int(id % 10))) AS text")
+    model = language_id.train(docs, sample=100)
+    assert len(model.languages) == 10 and all(model.predict(f"word{chr(97 + i)}")[0] == f"l{i}" for i in range(10))
+
+
 def test_unseen_words_fall_back_to_grams():
     table = np.log(np.array([[0.9, 0.1], [0.2, 0.8], [0.7, 0.3]], np.float32))
     model = language_id.Model(["aa", "bb"], [{"word": 0}, {"q": 1}, {}, {}, {"\x02zur": 2}], table)
