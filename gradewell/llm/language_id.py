@@ -197,8 +197,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose language was determined, however uncertain a short text leaves it."""
+    """The rows of ``docs`` whose language was determined, however uncertain a short text leaves it.
+
+    Without any labelled row no language can be, and the rows with a letter stay.
+    """
     model = train(_training_rows(docs, id_col), text_col, label_col, id_col=id_col)
+    if not model.languages:
+        return docs.where(F.col(text_col).cast("string").rlike(r"\p{L}"))
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     kept = _predicted(plain, f"c{docs.columns.index(text_col)}", model).where(F.col("lang_pred") != UNDETERMINED)
     return kept.drop("lang_pred", "score").toDF(*docs.columns)

@@ -41,6 +41,13 @@ def test_language_edges(edges, nothing):
     assert {r["lang_pred"] for r in language_id.identify(unlabelled).collect()} == {"und"}
 
 
+def test_documents_with_letters_stay_without_labels(edges):
+    unlabelled = edges.drop("lang").selectExpr("*", "cast(null AS string) AS lang")
+    kept = language_id.keep_identified(unlabelled)
+    with_letters = [r["text"] for r in edges.collect() if any(c.isalpha() for c in r["text"] or "")]
+    assert kept.columns == unlabelled.columns and sorted(r["text"] for r in kept.collect()) == sorted(with_letters)
+
+
 def test_copies_are_drawn_one_by_one(spark):
     docs = spark.range(10_000).selectExpr("id AS doc_id", "concat('l', id % 10) AS lang", "concat('word', chr(97 + int(id % 10))) AS text")
     model = language_id.train(docs, sample=100)
