@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gradewell.llm import (
-    class_lm, decontamination, exact_dedup, html_text, language_id, license_scan, packing, quality, sharding, simhash,
+    class_lm, conversation_sql, decontamination, exact_dedup, fertility, html_text, language_id, license_scan, packing, prefix_trie, quality,
+    sharding, simhash, structure_repair,
 )
 from gradewell.llm.common import on_table, read_table
 
@@ -35,6 +36,9 @@ QUERIES = {
     "op8_quality_classifier": _quality,
     "op9_class_lm": on_table(class_lm.score_texts),
     "op10_exact_dedup": on_table(exact_dedup.duplicate_groups),
+    "op11_tokenizer_fertility": on_table(fertility.judge),
+    "op12_structure_repair": on_table(structure_repair.repair_damaged, "conversations"),
+    "op13_prefix_trie": on_table(prefix_trie.rebuilt_trie, "conversations"),
 }
 
 # Operator 5 with its proximity matches. SQL states the exact ones, which is what the query above returns.
@@ -114,4 +118,6 @@ ORACLES = {
                 row_number() OVER (PARTITION BY body ORDER BY doc_id) AS n
             FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents))
     """,
+    "op12_structure_repair": conversation_sql.REPAIR,
+    "op13_prefix_trie": conversation_sql.TRIE,
 }
