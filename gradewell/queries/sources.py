@@ -222,9 +222,11 @@ def s9_mixed(spark, sf):
     return _mixed_tree(spark, sf).rows.drop("row_id")
 
 
-@query("S9_missing_files", """
-SELECT 'it' AS dataset, model, 'missing' AS what FROM (VALUES ('base'), ('f'), ('t')) m(model)
-UNION ALL SELECT DISTINCT 'es', model, 'skipped' FROM (VALUES ('base'), ('f'), ('t')) m(model)""")
+@query("S9_missing_files", v.with_sql(v.REVIEWS_SQL, select="""
+SELECT l.dataset, m.model, 'missing' AS what FROM (VALUES ('de'), ('en'), ('es'), ('fr'), ('it')) l(dataset)
+CROSS JOIN (SELECT DISTINCT model FROM reviews) m
+WHERE l.dataset NOT IN ('es', 'fr') AND l.dataset NOT IN (SELECT dataset FROM reviews)
+UNION ALL SELECT DISTINCT dataset, model, 'skipped' FROM reviews WHERE dataset = 'es'"""))
 def s9_missing_files(spark, sf):
     tree = _mixed_tree(spark, sf)
     skipped = {tuple(part.split("=")[1] for part in file.split("/")[-3:-1]) for file, _ in tree.skipped}
@@ -329,13 +331,28 @@ def _factory(model: str):
     return answer
 
 
-@query("U1_batch_scoring", v.with_sql(v.DIALOGUE_SQL, f"""prompts AS (
+_ANSWERED_PROMPTS = (v.DIALOGUE_SQL, f"""prompts AS (
   SELECT conv_id, turn, m.model, 'Review:' || chr(10) || question || chr(10) || chr(10) || 'Sentiment:' AS prompt
-  FROM dialogue CROSS JOIN {v.MODELS_SQL})""", select="""
+  FROM dialogue CROSS JOIN {v.MODELS_SQL})""")
+_ANSWERS = """
 SELECT conv_id, turn, model, prompt, CASE WHEN length(prompt) % 7 = 0 THEN '[Error] prompt rejected'
-  WHEN length(prompt) % 2 = 1 THEN model || ': positive' ELSE model || ': negative' END AS prediction FROM prompts"""))
+  WHEN length(prompt) % 2 = 1 THEN model || ': positive' ELSE model || ': negative' END AS prediction FROM prompts"""
+
+
+def _prompts(spark, sf):
+    rows = v.dialogue(spark, sf).select("conv_id", "turn", prompt("Review:\n{question}\n\nSentiment:").alias("prompt"))
+    return scoring.for_models(rows, v.MODEL_NAMES)
+
+
+@query("U1_batch_scoring", v.with_sql(*_ANSWERED_PROMPTS, select=_ANSWERS))
 def u1(spark, sf):
-    rows = v.dialogue(spark, sf).select(
-        "conv_id", "turn", prompt("Review:\n{question}\n\nSentiment:").alias("prompt")
-    )
-    return scoring.append_answers(scoring.for_models(rows, v.MODEL_NAMES), _factory, spread=("conv_id", "turn"))
+    return scoring.append_answers(_prompts(spark, sf), _factory, spread=("conv_id", "turn"))
+
+
+@query("U1_answer_log", v.with_sql(*_ANSWERED_PROMPTS, select=_ANSWERS))
+def u1_log(spark, sf):
+    """One model's answers first, then all models' from the same log, which asks only the other two."""
+    log = scratch_path(spark, "answers")
+    rows = _prompts(spark, sf)
+    scoring.answers_from_log(rows.filter(F.col("model") == v.MODEL_NAMES[0]), _factory, log)
+    return scoring.answers_from_log(rows, _factory, log)

@@ -69,6 +69,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_folders[sc.applicationId]}/{name}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever file system the path names."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 _shipped: set[str] = set()
 
 

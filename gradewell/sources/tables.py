@@ -18,6 +18,7 @@ from gradewell.functions.text import null_tokens_to_null
 from gradewell.registry import LabelTask
 from gradewell.schema import INSTRUCTION, with_prediction
 from gradewell.sources import lines
+from gradewell.sources.csv_ranges import header_names, quote_ranges, read_quoted_csv
 
 
 def _missing_to_null(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -35,13 +36,16 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header, doubled quotes and (with ``multi_line``) quoted newlines.
 
-    A multi-line file is read by one task; pass ``multi_line=False`` for large files without quoted newlines,
-    which Spark then splits. Missing-value words become null (N2).
+    With ``multi_line`` large files are split at byte ranges that know whether they begin inside quotes
+    (:mod:`gradewell.sources.csv_ranges`). Missing-value words become null (N2).
     """
+    if multi_line:
+        paths = [path] if isinstance(path, str) else list(path)
+        df = read_quoted_csv(spark, paths, schema, check_header).select(*[f.name for f in schema.fields])
+        return _missing_to_null(df, schema) if missing_to_null else df
     reader = (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", multi_line)
         .option("escape", '"')
         .option("enforceSchema", not check_header)
     )
@@ -52,11 +56,20 @@ def read_csv(
 def read_csv_trimmed(
     spark: SparkSession, path: str, multi_line: bool = True, missing_to_null: bool = True
 ) -> DataFrame:
-    """CSV whose header may carry a byte-order mark and blanks around names; every column is text."""
-    df = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
-    names = [c.replace("﻿", "").strip() for c in df.columns]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    df = df.toDF(*names)
+    """CSV whose header may carry a byte-order mark and blanks around names; every column is text.
+
+    All files of the path share the header of the first.
+    """
+    if multi_line:
+        found = quote_ranges(spark, [path])
+        names = [c.strip() for c in header_names(found.headers[0])] if found.headers else []
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        df = read_quoted_csv(spark, [path], schema, check_header=False, found=found).select(*names)
+    else:
+        df = spark.read.option("header", True).option("escape", '"').csv(path)
+        names = [c.replace("﻿", "").strip() for c in df.columns]
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        df = df.toDF(*names)
     return _missing_to_null(df, schema) if missing_to_null else df
 
 
@@ -150,27 +163,25 @@ def read_results(
     prediction in the file, such as the ``cleaned_prediction`` and ``sentiment_label`` of a corrections file.
     """
     full = T.StructType(with_prediction(schema).fields + [T.StructField(c, T.StringType()) for c in extra])
-    reader = (
-        spark.read.schema(full)
-        .option("header", True)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .option("enforceSchema", False)
-    )
+    place = f"{root.rstrip('/')}/{task.base_path}/*/{task.file}"
+    reader = spark.read.schema(full).option("header", True).option("escape", '"').option("enforceSchema", False)
     try:
-        df = reader.csv(f"{root.rstrip('/')}/{task.base_path}/*/{task.file}")
-        folder = folder_after(task.base_path)
+        if multi_line:
+            df = read_quoted_csv(spark, [place], full)
+        else:
+            df = reader.csv(place).select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"))
+        folder = folder_after(task.base_path, "_file")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        df, folder = spark.createDataFrame([], full), F.lit(None).cast("string")
+        df, folder = spark.createDataFrame([], full).withColumn("_row", F.lit(0).cast("long")), F.lit(None).cast("string")
     model = F
     for key, name in models.items():
         model = model.when(folder == name, key)
     rows = df.select(
         F.lit(task.name).alias("dataset"),
         model.alias("model"),
-        F.monotonically_increasing_id().alias("row_id"),
+        F.col("_row").alias("row_id"),
         (F.col(text_col) if text_col else F.lit(None).cast("string")).alias("text"),
         null_tokens_to_null(task.label_col).alias("gold"),
         null_tokens_to_null(task.pred_col).alias("prediction"),
@@ -248,16 +259,20 @@ def read_result_tree(
             if header.startswith('"'):  # whole lines in quotes
                 body = body.withColumn("value", F.btrim("value", F.lit('"')))
             df, _ = lines.split_bare_csv(body, header.strip('"'), ["_file"])
+            df = df.withColumn("_row", F.monotonically_increasing_id())
         else:
             schema = T.StructType([T.StructField(n, T.StringType()) for n in _cells(header)])
-            df = read_csv(spark, files, schema, multi_line, missing_to_null=False, check_header=False)
-            df = df.withColumn("_file", F.col("_metadata.file_path"))
+            if multi_line:
+                df = read_quoted_csv(spark, files, schema, check_header=False)
+            else:
+                df = read_csv(spark, files, schema, False, missing_to_null=False, check_header=False)
+                df = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.monotonically_increasing_id())
         folder = folder_after(task.base_path, "_file")
         model = F
         for folder_name, key in folders.items():
             model = model.when(folder == folder_name, key)
         found.append(df.select(
-            F.lit(task.name).alias("dataset"), model.alias("model"), F.monotonically_increasing_id().alias("row_id"),
+            F.lit(task.name).alias("dataset"), model.alias("model"), F.col("_row").alias("row_id"),
             (F.col(text_col) if text_col in df.columns else F.lit(None).cast("string")).alias("text"),
             null_tokens_to_null(task.label_col).alias("gold"), null_tokens_to_null(task.pred_col).alias("prediction"),
         ))
