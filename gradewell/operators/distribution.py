@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.functions.text import INVALID, contains_any, ratio
+from gradewell.operators.automaton import find_labels, without_labels
 from gradewell.operators.metrics import confusion_counts
 from gradewell.plans.skew import group_total, lookup_join
 from gradewell.session import scratch_root
@@ -150,46 +151,14 @@ def containment_counts(
     return _gold_once(reduce(DataFrame.unionByName, parts), models)
 
 
-def contained_labels(texts: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
-    """(dataset, digest, label): the labels of its dataset that each text contains, for label sets of any size.
-
-    ``texts`` has a dataset, the text and its SHA-256 as ``digest``. Each label is known by its first characters, as
-    many as the shortest label of the dataset has; an empty label is in no text. A text is cut once into runs of that length, in time linear in
-    its length; runs that begin a label make candidates, and only those are compared whole.
-    """
-    labels = labels.select("dataset", "label").filter("length(label) > 0").distinct()
-    shortest = labels.groupBy("dataset").agg(F.min(F.length("label")).alias("k"))
-    begins = labels.join(shortest, "dataset").groupBy(
-        "dataset", F.expr("substring(label, 1, k)").alias("run")
-    ).agg(F.collect_list("label").alias("labels"))
-    texts = texts.select("dataset", "digest", F.col(text).alias("text")).dropDuplicates(["dataset", "digest"])
-    sized = lookup_join(texts, shortest, ["dataset"], "inner", spread=["digest"])
-    letters = F.split("text", "")
-    cut = sized.filter("length(text) >= k").select("dataset", "digest", "k", letters.alias("c")).select(
-        "dataset", "digest",
-        F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.size("c") - F.col("k") + 1), lambda i: F.array_join(F.slice("c", i, F.col("k")), "")
-        ))).alias("run"),
-    )
-    candidates = lookup_join(cut, begins, ["dataset", "run"], "inner", spread=["digest"]).select(
-        "dataset", "digest", F.explode("labels").alias("label")
-    )
-    whole = candidates.join(texts, ["dataset", "digest"])
-    return whole.filter(F.contains("text", "label")).select("dataset", "digest", "label")
-
-
-def _digest(text: str) -> Column:
-    return F.unhex(F.sha2(F.col(text), 256))
-
-
 def containment_pairs(
     df: DataFrame, labels: DataFrame, pred: str = "prediction", by: Sequence[str] = ("dataset", "model")
 ) -> DataFrame:
-    """A12 for label sets of any size: counts of (dataset, model, label) over :func:`contained_labels`."""
-    texts = df.filter(F.col(pred).isNotNull()).withColumn("digest", _digest(pred))
-    counted = texts.groupBy(*by, "digest").agg(F.count("*").alias("n"))
-    found = contained_labels(texts, labels, pred)
-    return counted.join(found, ["dataset", "digest"]).groupBy(*by, "label").agg(F.sum("n").alias("n"))
+    """A12 for label sets of any size: counts of (dataset, model, label), matched by one automaton of all labels.
+
+    Texts are never shuffled; what is shuffled is one count per task and label found.
+    """
+    return find_labels(df, labels, pred, list(by)).groupBy(*by, "label").agg(F.count("*").alias("n"))
 
 
 def invalid_rows(df: DataFrame, allowed: LabelSets, pred: str = "cleaned_prediction") -> DataFrame:
@@ -201,10 +170,8 @@ def invalid_rows(df: DataFrame, allowed: LabelSets, pred: str = "cleaned_predict
 
 def invalid_by_gold(df: DataFrame, datasets: Sequence[str], gold: str = "gold", pred: str = "cleaned_prediction") -> DataFrame:
     """P9 for datasets whose label set is their gold labels (A22), however many."""
-    rows = df.filter(F.col("dataset").isin(list(datasets))).withColumn("digest", _digest(pred))
-    found = contained_labels(rows.filter(F.col(pred).isNotNull()), gold_label_sets(rows, gold), pred)
-    valid = found.select("dataset", "digest").distinct()
-    return lookup_join(rows, valid, ["dataset", "digest"], "left_anti", spread=["row_id"]).drop("digest")
+    rows = df.filter(F.col("dataset").isin(list(datasets)))
+    return without_labels(rows, gold_label_sets(rows, gold), pred)
 
 
 def rows_with_gold_label(df: DataFrame, gold: str = "gold", pred: str = "prediction") -> DataFrame:
