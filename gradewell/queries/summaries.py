@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gradewell.operators import summary
+from gradewell.operators import resample, summary, token_match
 from gradewell.plans import jobs
 from gradewell.queries import sqltext as q
 from gradewell.queries import views as v
@@ -129,6 +129,65 @@ def a26(spark, sf):
     return rounded(summary.mean_scores(scores, _N_COLUMNS), *_N_COLUMNS)
 
 
+_WEIGHTS = f"""pair_numbers AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', {_KEYS})), 1, 8) AS BIGINT) % {resample.PRIME} AS number FROM scores),
+factors AS (SELECT * FROM (VALUES {', '.join(f'({r}, {a}, {b})' for r, (a, b) in enumerate(resample.factors(resample.REPLICATES)))}) f(replicate, a, b)),
+drawn AS (SELECT *, {' + '.join(f'CAST((a * number + b) % {resample.PRIME} >= {t} AS INT)' for t in resample.THRESHOLDS)} AS w FROM pair_numbers CROSS JOIN factors),
+replicates AS (SELECT dataset, model, replicate, {', '.join(f'sum(w * {c}) / nullif(sum(w), 0) AS {c}' for c in ('rouge1', 'rouge2'))}
+               FROM drawn GROUP BY dataset, model, replicate),
+plain AS (SELECT dataset, model, avg(rouge1) AS rouge1, avg(rouge2) AS rouge2, count(*) AS pairs FROM scores GROUP BY dataset, model)"""
+_SIDES = [(c, side, point) for c in ("rouge1", "rouge2") for side, point in (("low", 0.025), ("mid", 0.5), ("high", 0.975))]
+
+
+@query("A26_resampled_means", v.with_sql(v.SUMMARIES_SQL, _ROUGE_N, _WEIGHTS, select=f"""
+SELECT p.dataset, p.model, round(any_value(p.rouge1), 6) AS rouge1, round(any_value(p.rouge2), 6) AS rouge2, any_value(pairs) AS pairs,
+       {', '.join(f'round(quantile_cont(r.{c}, {point}), 6) AS {c}_{side}' for c, side, point in _SIDES)}
+FROM replicates r JOIN plain p USING (dataset, model) GROUP BY p.dataset, p.model"""))
+def a26_resampled(spark, sf):
+    scores = summary.rouge_n(v.summaries(spark, sf), _KEY, "reference", "prediction")
+    out = resample.resampled_means(scores, _KEY, ["rouge1", "rouge2"])
+    return rounded(out, *[c for c in out.columns if c.startswith("rouge")])
+
+
+# Token vectors from the embeddings table: a token takes the vector its MD5 points to, one in ten has none.
+_TOKEN_NUMBER = "CAST('0x' || substr(md5(token), 1, 6) AS BIGINT)"
+_TEXT_MATCH = f"""words AS (SELECT {_KEYS}, {_tokens('reference')} AS ref, {_tokens('prediction')} AS pred FROM summaries),
+sides AS (SELECT {_KEYS}, FALSE AS side, unnest(ref) AS token FROM words UNION ALL SELECT {_KEYS}, TRUE, unnest(pred) FROM words),
+counted AS (SELECT {_KEYS}, side, token, count(*) AS n FROM sides GROUP BY ALL),
+weights AS (SELECT token, ln(((SELECT count(*) FROM words) + 1.0) / (count(*) FILTER (NOT side) + 1.0)) AS weight FROM counted GROUP BY token),
+vocabulary AS (SELECT token, weight, CAST(embedding AS DOUBLE[]) AS vector FROM weights
+               LEFT JOIN embeddings ON vec_id = {_TOKEN_NUMBER} % (SELECT count(*) FROM embeddings) AND {_TOKEN_NUMBER} % 10 > 0),
+looked AS (SELECT {_KEYS}, side, token, n * weight AS weight, vector FROM counted JOIN vocabulary USING (token)),
+sims AS (SELECT {', '.join(f'p.{k}' for k in _KEY)}, p.token AS pt, r.token AS rt, p.weight AS pw, r.weight AS rw,
+                coalesce(list_cosine_similarity(p.vector, r.vector), 0) AS s
+         FROM looked p JOIN looked r ON {' AND '.join(f'p.{k} = r.{k}' for k in _KEY)} WHERE p.side AND NOT r.side),
+best_p AS (SELECT {_KEYS}, coalesce(sum(s * pw) / nullif(sum(pw), 0), 0) AS p FROM (SELECT {_KEYS}, pt, max(s) AS s, any_value(pw) AS pw FROM sims GROUP BY {_KEYS}, pt) GROUP BY {_KEYS}),
+best_r AS (SELECT {_KEYS}, coalesce(sum(s * rw) / nullif(sum(rw), 0), 0) AS r FROM (SELECT {_KEYS}, rt, max(s) AS s, any_value(rw) AS rw FROM sims GROUP BY {_KEYS}, rt) GROUP BY {_KEYS}),
+matches AS (SELECT {_KEYS}, coalesce(p, 0) AS match_precision, coalesce(r, 0) AS match_recall, coalesce(2 * p * r / nullif(p + r, 0), 0) AS match_f1
+            FROM words LEFT JOIN best_p USING ({_KEYS}) LEFT JOIN best_r USING ({_KEYS}))"""
+
+
+def _text_match(spark, sf):
+    pairs = v.summaries(spark, sf)
+    embeddings = v.table(spark, sf, "embeddings")
+    words = pairs.select(F.explode(F.array_union(summary.tokens("reference"), summary.tokens("prediction"))).alias("token")).distinct()
+    number = F.conv(F.substring(F.md5("token"), 1, 6), 16, 10).cast("long")
+    pointed = words.filter(number % 10 > 0).withColumn("vec_id", number % embeddings.count())
+    vectors = pointed.join(embeddings.select("vec_id", F.col("embedding").alias("vector")), "vec_id").select("token", "vector")
+    return token_match.match_texts(pairs, _KEY, "reference", "prediction", vectors)
+
+
+@query("T5_token_match_of_texts", v.with_sql(v.SUMMARIES_SQL, _TEXT_MATCH, select=f"""
+SELECT {_KEYS}, {', '.join(f'round({c}, 6) AS {c}' for c in token_match.NAMES)} FROM matches"""))
+def t5_texts(spark, sf):
+    return rounded(_text_match(spark, sf), *token_match.NAMES)
+
+
+@query("C7_token_match_of_texts", v.with_sql(v.SUMMARIES_SQL, _TEXT_MATCH, select=f"""
+SELECT dataset, model, {', '.join(f'round(avg({c}), 6) AS {c}' for c in token_match.NAMES)}, count(*) AS pairs FROM matches GROUP BY dataset, model"""))
+def c7_texts(spark, sf):
+    return rounded(summary.mean_scores(_text_match(spark, sf), token_match.NAMES), *token_match.NAMES)
+
+
 # Pairs with the token vectors of the embedding of their conversation; C7 as a whole, but for the sentence union.
 _MEANS = ("rouge1", "rouge2", "rougeL", "match_precision", "match_recall", "match_f1")
 
