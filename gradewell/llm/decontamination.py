@@ -6,36 +6,34 @@ by the word's offset in the item and intersected: only where the rarest and the
 the same shift can the window occur. There the words around decide: a run of equal words at least as long as a window
 is an exact match.
 
-A proximity match is a place where two of the three rarest known words of a window stand up to ``SLOP`` words off their
-distance in the item and no exact match covers both: the window with words inserted, left out, replaced or moved. An edit
-beside both words leaves their distance as it is, so places at equal shifts count too. Every place is compared with all
-others of the item within the slop, in a range-frame window per document and item.
+A proximity match is a window of which at least ``NEAR_WORDS`` words in ``WINDOW_WORDS`` stand in the document with shifts
+(place less offset) that differ by ``SLOP`` at most: the window with words inserted, left out, replaced or moved. Every word of
+the window is evidence. If at most m of its words may be missing, one of its m + 1 rarest is there, so these are the lists that
+are looked up, and none is lost whatever is edited. The words around each place are then counted against the whole window.
+An item counts as near in a document where none of its windows occurs exactly.
 
-Null texts have no words. A null item id counts as the empty id. Rows that repeat id and text get equal results.
+Null texts have no words. A null item id counts as the empty id. Rows that repeat id and text get equal results. Very long
+texts are indexed whole. Among equally rare words the one that sorts first, then the earlier place, is the anchor; which of
+them it is changes no result. An empty table of documents gives none, and without items nothing is hit.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.llm.common import hand_over
 from gradewell.llm.postings import agreement, postings, raw_words, small, term_counts, words
 
 WINDOW_WORDS, SLOP = 13, 5
-# Rarest words of a window that proximity matches are found by; an edit may take one of them.
-NEAR_ANCHORS = 3
+# Words of a full window that a proximity match needs; shorter windows need the same share, rounded up.
+NEAR_WORDS = 10
 # A document is contaminated if at least one word in so many is hit.
 HIT_SHARE = 20
 
 
-def _anchors(
-    items: DataFrame, docs: DataFrame, item_col: str, text_col: str, doc_text: str, window: int, proximity: bool
-) -> DataFrame:
-    """(item, window_length, term, item_pos, item_before, item_after): the two rarest words of every window.
-
-    With ``proximity`` the three rarest, also of windows with words that no document has.
-    """
+def _windows(items: DataFrame, docs: DataFrame, item_col: str, text_col: str, doc_text: str, window: int) -> DataFrame:
+    """(item, words, window_length, start, rank): every window with (n, term, pos) of its words, null for one no document has."""
     spelled = items.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), words(F.col(text_col)).alias("words")
     ).where(F.size("words") > 0).distinct()
@@ -55,43 +53,119 @@ def _anchors(
         F.explode(F.sequence(F.lit(0), last)).alias("start"),
         F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.col("rank")[i]).alias("rank"),
     )
-    lists = lists.withColumn("rank", F.slice("rank", F.col("start") + 1, F.col("window_length").cast("int")))
-    if proximity:
-        known = F.filter("rank", lambda x: x.isNotNull())
-        lists = lists.withColumn("a", F.slice(F.array_sort(known), 1, NEAR_ANCHORS))
-    else:
-        whole_windows = ~F.exists("rank", lambda x: x.isNull())
-        lists = lists.where(whole_windows).withColumn("a", F.slice(F.array_sort("rank"), 1, 2))
+    return lists.withColumn("rank", F.slice("rank", F.col("start") + 1, F.col("window_length").cast("int")))
+
+
+def _anchors(windows: DataFrame, window: int) -> DataFrame:
+    """(item, window_length, term, item_pos, item_before, item_after): the two rarest words of every window."""
+    whole_windows = ~F.exists("rank", lambda x: x.isNull())
+    lists = windows.where(whole_windows).withColumn("a", F.slice(F.array_sort("rank"), 1, 2))
     chosen = lists.select("item", "words", "window_length", F.explode("a").alias("a")).distinct()
+    return chosen.select("item", "window_length", *_around(window))
+
+
+def _around(window: int) -> list[Column]:
     at = F.col("a.pos")
     begin = F.greatest(at - window + 1, F.lit(0))
-    return chosen.select(
-        "item", "window_length", F.col("a.term").alias("term"), at.cast("long").alias("item_pos"),
+    return [
+        F.col("a.term").alias("term"), at.cast("long").alias("item_pos"),
         F.reverse(F.slice("words", begin + 1, at - begin)).alias("item_before"),
         F.slice("words", at + 1, F.lit(window)).alias("item_after"),
-    )
+    ]
 
 
-def phrase_places(
-    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text: str = "text", window: int = WINDOW_WORDS, proximity: bool = False,
-) -> DataFrame:
-    """Index places of anchor words joined with the benchmark places they could belong to.
+def _near_anchors(windows: DataFrame, window: int) -> DataFrame:
+    """(item, window_length, need, term, spots): the places of each anchor word in an item, with the words around.
+
+    Anchors of a window are as many of its rarest words as may be missing and one more. Words that no document has are among
+    the rarest and need no lookup. ``need`` counts words of a window; ``least`` of a spot the different ones around it.
+    """
+    size = F.col("window_length").cast("int")
+    need = F.ceil(F.col("window_length") * NEAR_WORDS / WINDOW_WORDS).cast("int")
+    known = F.array_sort(F.filter("rank", lambda x: x.isNotNull()))
+    take = F.greatest(size - need + 1 - (size - F.size(known)), F.lit(0))
+    different = F.size(F.array_distinct(F.slice("words", F.col("start") + 1, size)))
+    chosen = windows.select(
+        "item", "words", "window_length", need.alias("need"), F.greatest(different - size + need, F.lit(1)).alias("least"),
+        F.explode(F.slice(known, F.lit(1), take)).alias("a"),
+    ).groupBy("item", "words", "window_length", "need", "a").agg(F.min("least").alias("least"))
+    placed = chosen.select("item", "words", "window_length", "need", "least", *_around(window))
+    spot = F.struct("least", F.concat(F.reverse("item_before"), "item_after").alias("around"), F.size("item_before").alias("at"))
+    return placed.groupBy("item", F.xxhash64("words").alias("spelling"), "window_length", "need", "term").agg(F.collect_list(spot).alias("spots"))
+
+
+def _near(slop: int = SLOP) -> Column:
+    """Whether at some spot a window around the anchor has ``need`` words within the slop; spots are tried until one has."""
+    doc, at, size = F.col("context"), F.col("at"), F.col("window_length").cast("int")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+
+    def at_spot(spot: Column) -> Column:
+        item, item_at = spot["around"], spot["at"]
+        # Item words are bits. For each offset against the anchor's shift: the words that the document has there.
+        equal = F.transform(F.sequence(F.lit(-slop), F.lit(slop)), lambda d: F.aggregate(
+            F.sequence(F.lit(0), F.size(item) - 1), zero, lambda bits, j: bits.bitwiseOR(F.when(
+                (at + j - item_at + d >= 0) & (F.get(doc, at + j - item_at + d) == F.get(item, j)), F.call_function("shiftleft", one, j)).otherwise(zero))))
+        bands = F.transform(F.sequence(F.lit(1), F.lit(slop + 1)), lambda low: F.aggregate(
+            F.slice(equal, low, F.lit(slop + 1)), zero, lambda bits, x: bits.bitwiseOR(x)))
+        within = F.call_function("shiftleft", one, size) - 1
+        some = F.exists(bands, lambda bits: F.exists(
+            F.sequence(F.lit(0), F.size(item) - size), lambda s: F.bit_count(F.call_function("shiftright", bits, s).bitwiseAND(within)) >= F.col("need")))
+        return F.when(_likely(spot), some).otherwise(False)
+
+    return F.exists("spots", at_spot)
+
+
+def _likely(spot: Column) -> Column:
+    """Whether enough different words of the item stand around the place; every near window has them."""
+    return (F.size(spot["around"]) >= F.col("window_length")) & (F.size(F.array_intersect(F.col("context"), spot["around"])) >= spot["least"])
+
+
+# One in so many likely places is tried first; the others only for documents and items that these leave open.
+_PROBE = 16
+
+
+def _near_pairs(index: DataFrame, lookup: DataFrame) -> DataFrame:
+    """(k0, k1, item) of documents with a near window of an item. A document full of them is settled by a few of its places."""
+    key = ["item", "spelling", "term"]
+    context = index.withColumn("context", F.concat(F.reverse("before"), "after")).withColumn("at", F.size("before"))
+    likely = hand_over(context.join(lookup, "term").where(F.exists("spots", _likely)).select("k0", "k1", *key, "pos", "context", "at"), "likely")
+    probe = F.pmod(F.xxhash64("pos"), F.lit(_PROBE)) == 0
+    first = hand_over(likely.where(probe).join(lookup, key).where(_near()).select("k0", "k1", "item").distinct(), "near-first")
+    settled, _ = small(first.toDF("s0", "s1", "s2"), "near-settled")
+    same = F.col("k0").eqNullSafe(F.col("s0")) & (F.col("k1") == F.col("s1")) & (F.col("item") == F.col("s2"))
+    rest = likely.where(~probe).join(settled, same, "left_anti").join(lookup, key).where(_near()).select("k0", "k1", "item")
+    return first.unionByName(rest).distinct()
+
+
+def _index(docs: DataFrame, id_col: str, text_col: str, anchors: DataFrame, around: int) -> DataFrame:
+    keys = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))]
+    return hand_over(postings(docs, keys, F.col(text_col), anchors.select("term"), around), "postings")
+
+
+def _exact_places(index: DataFrame, anchors: DataFrame, window: int) -> DataFrame:
+    """Places of the index joined with the benchmark places of ``anchors`` they could belong to.
 
     Columns: k0 (document id), k1 (hash of its text), n_words, item, shift, pos, item_pos, window_length, and begin and
     end of the run of equal words around the place.
     """
-    anchors = hand_over(_anchors(items, docs, item_col, item_text, text_col, window, proximity), "anchors")
-    keys = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))]
-    index = hand_over(postings(docs, keys, F.col(text_col), anchors.select("term"), window - 1), "postings")
     lookup, _ = small(anchors, "anchor-lookup")
-    back, ahead = agreement(F.col("before"), F.col("item_before")), agreement(F.col("after"), F.col("item_after"))
+    back = agreement(F.slice("before", 1, window - 1), F.col("item_before"))
+    ahead = agreement(F.slice("after", 1, window), F.col("item_after"))
     return index.join(lookup, "term").select(
         "k0", "k1", "n_words", "item", (F.col("pos") - F.col("item_pos")).alias("shift"), "pos", "item_pos",
         "window_length", (F.col("pos") - back).alias("begin"), (F.col("pos") + ahead).alias("end"),
     )
 
 
+def phrase_places(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text: str = "text", window: int = WINDOW_WORDS,
+) -> DataFrame:
+    """The places at which windows can occur exactly: see :func:`_exact_places`."""
+    anchors = hand_over(_anchors(_windows(items, docs, item_col, item_text, text_col, window), window), "anchors")
+    return _exact_places(_index(docs, id_col, text_col, anchors, window - 1), anchors, window)
+
+
 def exact_matches(places: DataFrame) -> DataFrame:
     """(k0, k1, n_words, item, begin, end): word ranges of documents in which every word is in an occurring window.
 
@@ -107,19 +181,16 @@ def exact_matches(places: DataFrame) -> DataFrame:
     )
 
 
-def proximity_matches(places: DataFrame, slop: int = SLOP, window: int = WINDOW_WORDS) -> DataFrame:
-    """(k0, k1, item): documents where two anchor words of an item stand up to ``slop`` words off their distance there.
-
-    Two places at least ``window`` words apart in the item belong to no common window. Pairs of words that both stand
-    in exact matches are left out.
-    """
-    by_item = Window.partitionBy("k0", "k1", "item")
-    exact = F.max(F.col("end") - F.col("begin") >= F.col("window_length"))
-    marked = places.select("k0", "k1", "item", "shift", "pos", "item_pos", exact.over(by_item.orderBy("pos").rangeBetween(0, 0)).alias("exact"))
-    others = F.collect_set(F.struct("pos", "item_pos", "exact")).over(by_item.orderBy("shift").rangeBetween(0, slop))
-    pair = F.exists("others", lambda x: (x["pos"] != F.col("pos")) & (x["item_pos"] != F.col("item_pos"))
-                    & (F.abs(x["item_pos"] - F.col("item_pos")) < window) & ~(x["exact"] & F.col("exact")))
-    return marked.withColumn("others", others).where(pair).select("k0", "k1", "item").distinct()
+def exact_and_near(
+    docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+    item_text: str = "text", window: int = WINDOW_WORDS,
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`phrase_places`, and (k0, k1, item) of documents with a proximity match of an item; both from one index."""
+    windows = hand_over(_windows(items, docs, item_col, item_text, text_col, window), "windows")
+    anchors, near = hand_over(_anchors(windows, window), "anchors"), hand_over(_near_anchors(windows, window), "near-anchors")
+    index = _index(docs, id_col, text_col, anchors.select("term").unionByName(near.select("term")), window - 1 + SLOP)
+    lookup, _ = small(near, "near-lookup")
+    return _exact_places(index, anchors, window), _near_pairs(index, lookup)
 
 
 def _hits(matches: DataFrame) -> DataFrame:
@@ -149,10 +220,16 @@ def contamination(
 
     With ``proximity`` also n_near_items, the number of items with a proximity match.
     """
-    places = hand_over(phrase_places(docs, items, id_col, text_col, item_col, item_text, proximity=proximity), "places")
-    hits = _hits(exact_matches(places))
     if proximity:
-        near = proximity_matches(places).groupBy("k0", "k1").agg(F.count("*").alias("n_near_items"))
+        places, near = exact_and_near(docs, items, id_col, text_col, item_col, item_text)
+    else:
+        places, near = phrase_places(docs, items, id_col, text_col, item_col, item_text), None
+    matches = hand_over(exact_matches(hand_over(places.where("end - begin >= window_length"), "places")), "matches")
+    hits = _hits(matches)
+    if near is not None:
+        met = matches.select("k0", "k1", "item", F.lit(True).alias("exact")).unionByName(hand_over(near, "near").withColumn("exact", F.lit(False)))
+        met = met.groupBy("k0", "k1", "item").agg(F.max("exact").alias("exact")).where("NOT exact")
+        near = met.groupBy("k0", "k1").agg(F.count("*").alias("n_near_items"))
         same = F.col("k0").eqNullSafe(F.col("n0")) & (F.col("k1") == F.col("n1"))
         hits = hits.join(near.withColumnsRenamed({"k0": "n0", "k1": "n1"}), same, "full").select(
             F.coalesce("k0", "n0").alias("k0"), F.coalesce("k1", "n1").alias("k1"), "n_hit", "n_items", "items_sha256",

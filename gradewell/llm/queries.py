@@ -11,14 +11,8 @@ from gradewell.llm import (
 from gradewell.llm.common import on_table, read_table
 
 
-def _contamination_and_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = read_table(spark, sf_dir, "benchmark")
-    return decontamination.contamination(read_table(spark, sf_dir, "documents"), items)
-
-
 def _contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = read_table(spark, sf_dir, "benchmark")
-    return decontamination.contamination(read_table(spark, sf_dir, "documents"), items, proximity=False)
+    return decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,9 +35,6 @@ QUERIES = {
     "op13_prefix_trie": on_table(prefix_trie.rebuilt_trie, "conversations"),
 }
 
-# Operator 5 with its proximity matches. SQL states the exact ones, which is what the query above returns.
-WHOLE_QUERIES = {"op5_benchmark_proximity": _contamination_and_proximity}
-
 # Words of a text with A-Z lower-cased.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -87,6 +78,8 @@ _LICENSE_SQL = f"""
         FROM docs LEFT JOIN base USING (row) LEFT JOIN own USING (row)
     """
 
+_W, _REACH = decontamination.WINDOW_WORDS, decontamination.WINDOW_WORDS - 1 + decontamination.SLOP
+
 ORACLES = {
     "op1_license_scan": _LICENSE_SQL,
     "op5_benchmark_decontamination": f"""
@@ -104,11 +97,34 @@ ORACLES = {
         hits AS (SELECT DISTINCT row, s, n, item FROM places JOIN windows USING (n, phrase)),
         covered AS (SELECT row, count(*) AS n_hit FROM (SELECT DISTINCT row, unnest(range(s, s + n)) AS p FROM hits) GROUP BY row),
         found AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
-                  FROM (SELECT DISTINCT row, item FROM hits) GROUP BY row)
+                  FROM (SELECT DISTINCT row, item FROM hits) GROUP BY row),
+        -- proximity: the rarest words of each window, then the words around every place of them
+        tokens AS (SELECT row, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM docs),
+        counts AS (SELECT word, count(*) AS n FROM tokens GROUP BY word),
+        spelled AS (SELECT row_number() OVER () AS spelling, item, w FROM (SELECT DISTINCT item, w FROM items WHERE len(w) > 0)),
+        starts AS (SELECT spelling, item, w, least(len(w), {_W}) AS n,
+                          CAST(ceil(least(len(w), {_W}) * {decontamination.NEAR_WORDS}.0 / {_W}) AS INT) AS need,
+                          unnest(range(1, greatest(len(w) - {_W}, 0) + 2)) AS s FROM spelled),
+        offsets AS (SELECT *, unnest(range(s, s + n)) AS i FROM starts),
+        anchors AS (SELECT spelling, item, w AS iw, offsets.n, need, i, w[i] AS word, len(list_distinct(w[s:s + offsets.n - 1])) - offsets.n + need AS least
+                    FROM offsets LEFT JOIN counts ON counts.word = w[i]
+                    QUALIFY row_number() OVER (PARTITION BY spelling, s ORDER BY coalesce(counts.n, 0), i) <= offsets.n - need + 1),
+        chosen AS (SELECT spelling, item, iw, n, need, i, word, min(least) AS least FROM anchors GROUP BY ALL),
+        around AS (SELECT row, item, n, need, least, iw[greatest(i - n + 1, 1):i + n - 1] AS iw, least(i, n) AS ia,
+                          w[greatest(p - {_REACH}, 1):p + {_REACH}] AS dw, least(p, {_REACH} + 1) AS da
+                   FROM tokens JOIN chosen USING (word) JOIN docs USING (row)),
+        likely AS (SELECT * FROM around WHERE len(list_intersect(dw, iw)) >= least AND len(iw) >= n),
+        placed AS (SELECT *, list_transform(range(1, len(iw) + 1), lambda j: list_filter(range(-{decontamination.SLOP}, {decontamination.SLOP} + 1),
+                          lambda d: da + j - ia + d >= 1 AND dw[da + j - ia + d] = iw[j])) AS m FROM likely),
+        near AS (SELECT row, count(DISTINCT item) AS n_near_items FROM placed
+                 WHERE len(list_filter(range(1, len(iw) - n + 2), lambda s: len(list_filter(range(-{decontamination.SLOP}, 1), lambda low:
+                       len(list_filter(m[s:s + n - 1], lambda ds: len(list_filter(ds, lambda d: d BETWEEN low AND low + {decontamination.SLOP})) > 0)) >= need)) > 0)) > 0
+                   AND (row, item) NOT IN (SELECT row, item FROM hits) GROUP BY row)
         SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(names, '')) AS items_sha256,
-               coalesce(n_hit > 0 AND {decontamination.HIT_SHARE} * n_hit >= len(w), FALSE) AS contaminated
-        FROM docs LEFT JOIN covered USING (row) LEFT JOIN found USING (row)
+               coalesce(n_hit > 0 AND {decontamination.HIT_SHARE} * n_hit >= len(w), FALSE) AS contaminated,
+               coalesce(n_near_items, 0) AS n_near_items
+        FROM docs LEFT JOIN covered USING (row) LEFT JOIN found USING (row) LEFT JOIN near USING (row)
     """,
     "op10_exact_dedup": r"""
         SELECT doc_id, keep_id, group_size, n = 1 AS kept, text_sha256 FROM (

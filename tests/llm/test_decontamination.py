@@ -1,6 +1,7 @@
 """Window matches against a plain scan of all windows."""
 
 import hashlib
+import random
 import re
 
 from gradewell.llm import decontamination as dec
@@ -95,7 +96,55 @@ def test_every_single_edit_is_a_proximity_match(spark):
 def test_proximity_of_repeated_and_unknown_words(spark):
     items = [(1, "red red blue"), (2, "green word that no document has anywhere stands here beside other things of yellow"), (3, "one")]
     docs = [(1, "red x"), (2, "red red blue"), (3, "red so red so blue"), (4, "green word so that there is beside the things yellow one")]
-    assert near_counts(spark, docs, items) == {1: (0, 0), 2: (1, 0), 3: (0, 1), 4: (1, 1)}
+    assert near_counts(spark, docs, items) == {1: (0, 0), 2: (1, 0), 3: (0, 1), 4: (1, 0)}
+
+
+def near_by_definition(words, item, window=13, needed=10, slop=5):
+    n = min(len(item), window)
+    need = -(-n * needed // window)
+    for start in range(len(item) - n + 1):
+        for base in range(-len(item), len(words)):
+            found = sum(any(0 <= i + d < len(words) and words[i + d] == item[i] for d in range(base, base + slop + 1)) for i in range(start, start + n))
+            if found >= need:
+                return True
+    return False
+
+
+def test_proximity_by_brute_force(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.choice([2, 5, 13, 16, 24])))) for k in range(12)]
+    docs = []
+    for i in range(120):
+        text = rng.choices(vocabulary, k=rng.randint(0, 30))
+        item = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 6)):  # edit at random, rare words too
+            at = rng.randrange(len(item))
+            kind = rng.randrange(3)
+            item = item[:at] + ([] if kind == 0 else [rng.choice(vocabulary)] if kind == 1 else [rng.choice(vocabulary), item[at]]) + item[at + 1 :]
+            item = item or ["w0"]
+        at = rng.randint(0, len(text))
+        docs.append((i, " ".join(text[:at] + item + text[at:])))
+    got = near_counts(spark, docs, items)
+    exact = brute_force(docs, items)
+    want = {}
+    for i, text in docs:
+        near = {k for k, t in items if near_by_definition(text.split(), t.split())}
+        want[i] = (len(exact[i]), len(near - exact[i]))
+    assert got == want and sum(n for _, n in want.values()) > 20
+
+
+def brute_force(docs, items):
+    found = {}
+    for i, text in docs:
+        own, spaced = set(), f" {text} "
+        for k, t in items:
+            w = t.split()
+            n = min(len(w), 13)
+            if any(f" {' '.join(w[s:s + n])} " in spaced for s in range(len(w) - n + 1)):
+                own.add(k)
+        found[i] = own
+    return found
 
 
 def test_registered_query_returns_proximity_matches(spark, tmp_path):
@@ -105,7 +154,7 @@ def test_registered_query_returns_proximity_matches(spark, tmp_path):
     docs = [(1, item), (2, item.replace("eta theta", "eta so theta")), (3, "no")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    rows = queries()["op5_benchmark_proximity"](spark, str(tmp_path)).collect()
+    rows = queries()["op5_benchmark_decontamination"](spark, str(tmp_path)).collect()
     assert {r["doc_id"]: (r["n_items"], r["n_near_items"]) for r in rows} == {1: (1, 0), 2: (0, 1), 3: (0, 0)}
 
 
