@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.llm.common import hand_over
-from gradewell.llm.postings import agreement, postings, raw_words, small, term_counts, words
+from gradewell.llm.postings import agreement, postings, postings_in_context, raw_words, sides, small, term_counts, words
 
 WINDOW_WORDS, SLOP = 13, 5
 # Words of a full window that a proximity match needs; shorter windows need the same share, rounded up.
@@ -101,16 +101,23 @@ def _near(slop: int = SLOP) -> Column:
 
     def at_spot(spot: Column) -> Column:
         item, item_at = spot["around"], spot["at"]
+        within = F.call_function("shiftleft", one, size) - 1
+
+        def window_has(bits: Column) -> Column:
+            return F.exists(F.sequence(F.lit(0), F.size(item) - size), lambda s: F.bit_count(
+                F.call_function("shiftright", bits, s).bitwiseAND(within)) >= F.col("need"))
+
+        # Item words that stand anywhere around; where no window has enough of them, none has within the slop.
+        anywhere = F.aggregate(F.sequence(F.lit(0), F.size(item) - 1), zero, lambda bits, j: bits.bitwiseOR(
+            F.when(F.array_contains(doc, F.get(item, j)), F.call_function("shiftleft", one, j)).otherwise(zero)))
         # Item words are bits. For each offset against the anchor's shift: the words that the document has there.
         equal = F.transform(F.sequence(F.lit(-slop), F.lit(slop)), lambda d: F.aggregate(
             F.sequence(F.lit(0), F.size(item) - 1), zero, lambda bits, j: bits.bitwiseOR(F.when(
                 (at + j - item_at + d >= 0) & (F.get(doc, at + j - item_at + d) == F.get(item, j)), F.call_function("shiftleft", one, j)).otherwise(zero))))
         bands = F.transform(F.sequence(F.lit(1), F.lit(slop + 1)), lambda low: F.aggregate(
             F.slice(equal, low, F.lit(slop + 1)), zero, lambda bits, x: bits.bitwiseOR(x)))
-        within = F.call_function("shiftleft", one, size) - 1
-        some = F.exists(bands, lambda bits: F.exists(
-            F.sequence(F.lit(0), F.size(item) - size), lambda s: F.bit_count(F.call_function("shiftright", bits, s).bitwiseAND(within)) >= F.col("need")))
-        return F.when(_likely(spot), some).otherwise(False)
+        some = F.exists(bands, window_has)
+        return F.when(_likely(spot), F.when(window_has(anywhere), some).otherwise(False)).otherwise(False)
 
     return F.exists("spots", at_spot)
 
@@ -127,8 +134,7 @@ _PROBE = 16
 def _near_pairs(index: DataFrame, lookup: DataFrame) -> DataFrame:
     """(k0, k1, item) of documents with a near window of an item. A document full of them is settled by a few of its places."""
     key = ["item", "spelling", "term"]
-    context = index.withColumn("context", F.concat(F.reverse("before"), "after")).withColumn("at", F.size("before"))
-    likely = hand_over(context.join(lookup, "term").where(F.exists("spots", _likely)).select("k0", "k1", *key, "pos", "context", "at"), "likely")
+    likely = hand_over(index.join(lookup, "term").where(F.exists("spots", _likely)).select("k0", "k1", *key, "pos", "context", "at"), "likely")
     probe = F.pmod(F.xxhash64("pos"), F.lit(_PROBE)) == 0
     first = hand_over(likely.where(probe).join(lookup, key).where(_near()).select("k0", "k1", "item").distinct(), "near-first")
     settled, _ = small(first.toDF("s0", "s1", "s2"), "near-settled")
@@ -137,11 +143,6 @@ def _near_pairs(index: DataFrame, lookup: DataFrame) -> DataFrame:
     return first.unionByName(rest).distinct()
 
 
-def _index(docs: DataFrame, id_col: str, text_col: str, anchors: DataFrame, around: int) -> DataFrame:
-    keys = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))]
-    return hand_over(postings(docs, keys, F.col(text_col), anchors.select("term"), around), "postings")
-
-
 def _exact_places(index: DataFrame, anchors: DataFrame, window: int) -> DataFrame:
     """Places of the index joined with the benchmark places of ``anchors`` they could belong to.
 
@@ -163,7 +164,9 @@ def phrase_places(
 ) -> DataFrame:
     """The places at which windows can occur exactly: see :func:`_exact_places`."""
     anchors = hand_over(_anchors(_windows(items, docs, item_col, item_text, text_col, window), window), "anchors")
-    return _exact_places(_index(docs, id_col, text_col, anchors, window - 1), anchors, window)
+    keys = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))]
+    index = hand_over(postings(docs, keys, F.col(text_col), anchors.select("term"), window - 1), "postings")
+    return _exact_places(index, anchors, window)
 
 
 def exact_matches(places: DataFrame) -> DataFrame:
@@ -188,9 +191,11 @@ def exact_and_near(
     """:func:`phrase_places`, and (k0, k1, item) of documents with a proximity match of an item; both from one index."""
     windows = hand_over(_windows(items, docs, item_col, item_text, text_col, window), "windows")
     anchors, near = hand_over(_anchors(windows, window), "anchors"), hand_over(_near_anchors(windows, window), "near-anchors")
-    index = _index(docs, id_col, text_col, anchors.select("term").unionByName(near.select("term")), window - 1 + SLOP)
+    keys = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))]
+    terms = anchors.select("term").unionByName(near.select("term"))
+    index = hand_over(postings_in_context(docs, keys, F.col(text_col), terms, window - 1 + SLOP), "postings")
     lookup, _ = small(near, "near-lookup")
-    return _exact_places(index, anchors, window), _near_pairs(index, lookup)
+    return _exact_places(sides(index), anchors, window), _near_pairs(index, lookup)
 
 
 def _hits(matches: DataFrame) -> DataFrame:

@@ -37,12 +37,12 @@ def term_counts(docs: DataFrame, text: Column, terms: DataFrame) -> DataFrame:
     return found.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
 
-def postings(docs: DataFrame, keys: list[Column], text: Column, terms: DataFrame, around: int) -> DataFrame:
-    """The index: one row per place of a word of ``terms(term)``: keys, term, pos, n_words, before, after.
+def postings_in_context(docs: DataFrame, keys: list[Column], text: Column, terms: DataFrame, around: int) -> DataFrame:
+    """The index: one row per place of a word of ``terms(term)``: keys, term, pos, n_words, context, at.
 
-    ``before`` and ``after`` hold up to ``around`` words on either side, nearest first, ``after`` with the word itself.
-    Words match in Unicode lower case, which is coarser than A-Z lower-casing; the words around, by which matches are
-    verified, are A-Z lower-cased. With a small list of terms nothing is shuffled and only found places are written.
+    ``context`` holds the word with up to ``around`` words on either side, ``at`` of them before it. Words match in Unicode
+    lower case, which is coarser than A-Z lower-casing; the words around, by which matches are verified, are A-Z lower-cased.
+    With a small list of terms nothing is shuffled and only found places are written.
     """
     terms, fits = small(terms.distinct(), "terms")
     n = len(keys)
@@ -56,14 +56,23 @@ def postings(docs: DataFrame, keys: list[Column], text: Column, terms: DataFrame
         lowered = F.split(lower_ascii(F.concat_ws(" ", window)), " ")
         return df.select(
             *[f"k{i}" for i in range(n)], "term", F.col("pos").cast("long").alias("pos"),
-            F.size("words").cast("long").alias("n_words"), lowered.alias("near"), (F.col("pos") - start).alias("lead"),
+            F.size("words").cast("long").alias("n_words"), lowered.alias("context"), (F.col("pos") - start).alias("at"),
         )
 
-    found = with_context(placed.join(terms, "term")) if fits else with_context(placed).join(terms, "term")
-    near, lead = F.col("near"), F.col("lead")
-    return found.withColumn("before", F.reverse(F.slice(near, F.lit(1), lead))).withColumn(
-        "after", F.slice(near, lead + 1, F.size(near) - lead)
-    ).drop("near", "lead")
+    return with_context(placed.join(terms, "term")) if fits else with_context(placed).join(terms, "term")
+
+
+def sides(index: DataFrame) -> DataFrame:
+    """The context as ``before`` and ``after``, nearest first, ``after`` with the word itself."""
+    context, at = F.col("context"), F.col("at")
+    return index.withColumn("before", F.reverse(F.slice(context, F.lit(1), at))).withColumn(
+        "after", F.slice(context, at + 1, F.size(context) - at)
+    ).drop("context", "at")
+
+
+def postings(docs: DataFrame, keys: list[Column], text: Column, terms: DataFrame, around: int) -> DataFrame:
+    """As :func:`postings_in_context`, with the words around on two sides."""
+    return sides(postings_in_context(docs, keys, text, terms, around))
 
 
 def agreement(a: Column, b: Column) -> Column:
