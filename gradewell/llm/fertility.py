@@ -47,6 +47,7 @@ SIZED = ("low_entropy", "high_entropy")
 PIECES, BYTE_TOKENS = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+_LETTER = re.compile(r"[A-Za-z]")
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 # First and last code points of scripts; ranges of one name add up.
 SCRIPTS = [
@@ -54,7 +55,8 @@ SCRIPTS = [
     ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("indic", 0x900, 0xDFF), ("thai", 0xE00, 0xE7F),
     ("latin", 0x1E00, 0x1EFF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
 ]
-_REMEMBERED, _LONG_WORD = 200_000, 64
+# Words remembered, piece ids of a word that is not, and characters of texts whose words are looked up together.
+_REMEMBERED, _LONG_WORD, _BLOCK = 300_000, 64, 1 << 20
 
 MEASURED = T.StructType([
     *[T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
@@ -82,24 +84,25 @@ class Vocabularies:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.byte_tokens = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.is_byte = np.array([self.pieces.IsByte(i) for i in range(self.pieces.GetPieceSize())])
-        self.known: dict[str, tuple[list[int], int]] = {}
-        self.long: list[str] = []
-
-    def of(self, words: set[str]) -> dict[str, tuple[list[int], int]]:
-        """Piece ids and the number of byte-level tokens of each word, in a table that also holds words seen before.
-
-        Long words leave it with the next call, and all do when there are many.
-        """
-        for word in self.long:
-            del self.known[word]
-        if len(self.known) > _REMEMBERED:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        self.long = [w for w in new if len(w) > _LONG_WORD]
-        ids = self.pieces.encode(new, num_threads=1)
-        counts = [len(self.byte_tokens.encode_ordinary(" " + w)) for w in new]
-        self.known.update(zip(new, zip(ids, counts)))
-        return self.known
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.ids: list[list[int]] = []
+        self.byte_counts: list[int] = []
+
+    def learn(self, words: set[str]) -> None:
+        """Give every word a place. Words seen before keep theirs until there are many, or long ones among them."""
+        if len(self.ids) > _REMEMBERED or sum(map(len, self.ids[-1:])) > _LONG_WORD:
+            self._forget()
+        new = sorted(words.difference(self.places), key=len)  # a long word comes last
+        self.places.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
+        self.ids += self.pieces.encode(new, num_threads=1)
+        self.byte_counts += [len(self.byte_tokens.encode_ordinary(" " + w)) for w in new]
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """The place of each learned word in ``ids`` and ``byte_counts``: its piece ids, its number of byte-level tokens."""
+        return np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
 
 
 @lru_cache(maxsize=2)
@@ -107,28 +110,26 @@ def _vocabularies(pieces: str, byte_tokens: str) -> Vocabularies:
     return Vocabularies(pieces, byte_tokens)
 
 
-def repeated_words(words: list[str], window: int = WINDOW) -> int:
-    """Words that lie in a window of ``window`` words found twice or more in the text.
+def repeated_words(ids: np.ndarray, window: int = WINDOW) -> int:
+    """Words, given as numbers, that lie in a window of ``window`` words found twice or more in the text.
 
-    Words become numbers, and pairs of numbers of adjoining runs become numbers of runs twice as long, which is exact.
+    Pairs of numbers of adjoining runs become numbers of runs twice as long, which is exact.
     """
-    if len(words) <= window:
+    n = len(ids)
+    if n <= window:
         return 0
-    numbers: dict[str, int] = {}
-    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
-    length, shift = 1, 0
+    ids, length = np.unique(ids, return_inverse=True)[1], 1
     while length < window:
         shift = min(length, window - length)
-        pairs = ids[: len(ids) - shift] * (int(ids.max()) + 1) + ids[shift:]
-        ids = np.unique(pairs, return_inverse=True)[1]
+        ids = np.unique(ids[: len(ids) - shift] * (int(ids.max()) + 1) + ids[shift:], return_inverse=True)[1]
         length += shift
     counts = np.bincount(ids)
     if counts.max() < 2:
         return 0
-    edges = np.zeros(len(words) + 1, np.int64)
     starts = np.flatnonzero(counts[ids] > 1)
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, starts + window, -1)
+    edges = np.zeros(n + 1, np.int64)
+    edges[starts] += 1
+    edges[starts + window] -= 1
     return int((np.cumsum(edges[:-1]) > 0).sum())
 
 
@@ -139,38 +140,55 @@ def repeated_lines(text: str) -> int:
 
 def script_of(text: str) -> str:
     """The script of most letters; among equals the one that sorts first. No letter of a listed script: ``other``."""
-    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    if text.isascii():
+        return "latin" if _LETTER.search(text) else "other"
     found: Counter = Counter()
-    for name, first, last in SCRIPTS:
-        found[name] += int(((points >= first) & (points <= last)).sum())
-    name, n = min(found.items(), key=lambda x: (-x[1], x[0]))
-    return name if n else "other"
+    for letter, n in Counter(text).items():
+        point = ord(letter)
+        for name, first, last in SCRIPTS:
+            if first <= point <= last:
+                found[name] += n
+                break
+    return min(found.items(), key=lambda x: (-x[1], x[0]))[0] if found else "other"
 
 
-def measures(words: list[str], of: dict[str, tuple[list[int], int]], is_byte: np.ndarray) -> tuple:
+def measures(chars: int, places: np.ndarray, seen: Vocabularies) -> tuple:
     """(tokens, code points per piece, per byte-level token, share of byte pieces, entropy in bits)."""
-    split = [of[w] for w in words]
-    ids = np.fromiter(chain.from_iterable(s[0] for s in split), np.int64)
-    chars, byte_tokens = sum(map(len, words)), sum(s[1] for s in split)
+    unique, counts = np.unique(places, return_counts=True)
+    pieces = [seen.ids[i] for i in unique.tolist()]
+    byte_tokens = sum(seen.byte_counts[i] * n for i, n in zip(unique.tolist(), counts.tolist()))
+    ids = np.fromiter(chain.from_iterable(pieces), np.int64)
     if not len(ids) or not byte_tokens:
         return 0, None, None, None, None
-    unique, counts = np.unique(ids, return_counts=True)
-    n = len(ids)
-    entropy = max(0.0, float(np.log2(n) - (counts * np.log2(counts)).sum() / n))
-    return n, chars / n, chars / byte_tokens, float(counts[is_byte[unique]].sum()) / n, entropy
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    times = np.bincount(ids, weights=np.repeat(counts, sizes))
+    found = np.flatnonzero(times)
+    times, n = times[found], float(times.sum())
+    entropy = max(0.0, float(np.log2(n) - (times * np.log2(times)).sum() / n))
+    return int(n), chars / n, chars / byte_tokens, float(times[seen.is_byte[found]].sum()) / n, entropy
 
 
 def _measure(pieces: str, byte_tokens: str) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabularies = _vocabularies(pieces, byte_tokens)
+
+        def of(texts: list[str]) -> Iterator[tuple]:
+            split = [_WORDS.findall(text) for text in texts]
+            vocabularies.learn(set(chain.from_iterable(split)))
+            for text, words in zip(texts, split):
+                places, chars = vocabularies.of(words), sum(map(len, words))
+                yield (len(words), chars, len(_SYMBOLS.findall(text)), repeated_lines(text), repeated_words(places),
+                       script_of(text), *measures(chars, places, vocabularies))
+
         for batch in batches:
-            texts, rows = batch.column(2), []
-            for i in range(batch.num_rows):
-                text = texts[i].as_py() or ""
-                words = _WORDS.findall(text)
-                tokens = measures(words, vocabularies.of(set(words)), vocabularies.is_byte)
-                rows.append((len(words), sum(map(len, words)), len(_SYMBOLS.findall(text)), repeated_lines(text),
-                             repeated_words(words), script_of(text), *tokens))
+            rows, block, size = [], [], 0
+            for value in batch.column(2):
+                block.append(value.as_py() or "")
+                size += len(block[-1])
+                if size > _BLOCK:
+                    rows += of(block)
+                    block, size = [], 0
+            rows += of(block)
             columns = zip(*rows) if rows else [[]] * len(MEASURED)
             typed = [pa.array(c, pa.string() if f.dataType == T.StringType() else pa.int64() if f.dataType == T.LongType() else pa.float64())
                      for c, f in zip(columns, MEASURED)]
