@@ -3,8 +3,8 @@
 Each document becomes its token ids and an end id, cut into pieces only where it is longer than a sequence. Full pieces
 are sequences of their own. The others are dealt by hash into groups of bounded size; each group is packed best fit,
 largest first, and then improved: documents move, or change places one for one or two for one, from an emptier to a
-fuller bin whenever that raises the sum of squared fills, so that the emptiest bins run empty. Bins that stay clearly
-underfull are taken apart and packed once more together with those of other groups.
+fuller bin whenever that raises the sum of squared fills, so that the emptiest bins run empty; the search of a group ends
+when a sweep over all its bins empties none. Bins that stay clearly underfull are taken apart and packed once more together with those of other groups.
 
 Null text counts as empty: its only token is the end id. Ids are not used, so repeated rows and null ids are packed like
 any other row.
@@ -15,7 +15,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +25,8 @@ from pyspark.sql import functions as F
 from gradewell.llm.common import hand_over
 
 SEQUENCE_TOKENS, END_ID = 4096, 1
-# Pieces in one group of the local search, and bins in a row that it may fail to empty before it stops.
-GROUP_ITEMS, PATIENCE = 50_000, 16
+# Pieces in one group of the local search.
+GROUP_ITEMS = 20_000
 # Bins filled less than this share are packed again with those of other groups, at most so often.
 UNDERFULL, ROUNDS = 15 / 16, 3
 # Text chunks whose ids a worker remembers.
@@ -56,11 +55,15 @@ def _plain_word(core: bytes) -> bytes | None:
     return word.encode() if word.isalpha() and max(word) < "\u0250" else None
 
 
+# A text whose ids by chunks differ from the tokenizer's own where a vocabulary keeps case or white space.
+_PROBE = "Éau, The naïve  Don't stop. A\tb\nx 12 3.4 日本語 ﬁ ß.,"
+
+
 class _Encoder:
     """Token ids of texts as little-endian bytes.
 
     This tokenizer drops white space and no token spans it, so a text's ids are the ids of its chunks between ASCII
-    white space, one after another; the ids of a chunk are remembered.
+    white space, one after another; the ids of a chunk are remembered. A file for which this fails on a probe is refused.
     """
 
     def __init__(self, path: str):
@@ -68,6 +71,9 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        want = self.tokenizer.encode(_PROBE, add_special_tokens=False).ids
+        if b"".join(self.encode([_PROBE.encode()])) != np.array(want, "<u4").tobytes():
+            raise ValueError(f"{path}: token ids of this file do not follow from those of a text's chunks")
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         known = self.known
@@ -169,53 +175,73 @@ def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int, patience: int = PATIENCE) -> np.ndarray:
-    """Local search from ``bins``: every step raises the sum of squared fills; the bins in use never grow in number."""
+def _totals(own: np.ndarray) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+    """The distinct total lengths of one or two of a bin's pieces, ascending, with the lengths that give each.
+
+    A bin of capacity c has at most about sqrt(2 c) distinct lengths, so there are never more than some c totals.
+    """
+    sizes, copies = np.unique(own, return_counts=True)
+    first, second = np.triu_indices(len(sizes))
+    apart = (first != second) | (copies[first] > 1)
+    first, second = sizes[first[apart]], sizes[second[apart]]
+    totals, at = np.unique(np.r_[sizes, first + second], return_index=True)
+    return totals, [(int(sizes[i]),) if i < len(sizes) else (int(first[i - len(sizes)]), int(second[i - len(sizes)])) for i in at.tolist()]
+
+
+def improve(lengths: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
+    """Local search from ``bins``: every step raises the sum of squared fills; the bins in use never grow in number.
+
+    A sweep takes the bins that are not full, emptiest first, and makes for each the best move or exchange of one or two
+    of its pieces against none or one elsewhere, as long as there is one. All pairs count, told by their total length.
+    Sweeps go on until one empties no bin, or the lower bound is reached.
+    """
     if not len(lengths):
         return bins
     bins = bins.copy()
     fill = np.bincount(bins, weights=lengths).astype(np.int64)
-    least = -(-int(lengths.sum()) // capacity)
-    used, stuck, tried = int((fill > 0).sum()), 0, set()
-
-    def swap(source: int, items: list[int]) -> bool:
-        """Exchange ``items`` of the source for the one item elsewhere that raises squared fill most, or for none."""
-        total = int(lengths[items].sum())
+    members: list[list[int]] = [[] for _ in fill]
+    for item, where in enumerate(bins.tolist()):
+        members[where].append(item)
+    least, used = -(-int(lengths.sum()) // capacity), int((fill > 0).sum())
+
+    def step(source: int) -> bool:
+        """The move or exchange that raises squared fill most; False if none does."""
+        totals, parts = _totals(lengths[members[source]])
         gap = capacity - fill
-        room = np.flatnonzero((gap >= total) & (fill > 0))
-        room = room[room != source]
-        if len(room):  # a move: into the fullest bin that takes it
-            target = int(room[np.argmax(fill[room])])
-            if fill[target] + total > fill[source]:
-                bins[items] = target
-                fill[target] += total
-                fill[source] -= total
-                return True
-        gain = total - lengths
-        worth = np.where((gain > 0) & (gain <= gap[bins]) & (bins != source), gain * (fill[bins] - fill[source] + gain), 0)
-        other = int(np.argmax(worth))
-        if worth[other] <= 0:
+        # Against one piece of another bin, or against none: the largest total that still fits is the best there.
+        others = np.flatnonzero(gap[bins] > 0)
+        targets = np.r_[bins[others], np.flatnonzero((gap > 0) & (fill > 0))]
+        back = np.r_[lengths[others], np.zeros(len(targets) - len(others), np.int64)]
+        at = np.searchsorted(totals, back + gap[targets], side="right") - 1
+        gain = np.where(at >= 0, totals[at], 0) - back
+        worth = np.where((gain > 0) & (targets != source), gain * (fill[targets] - fill[source] + gain), 0)
+        best = int(np.argmax(worth)) if len(worth) else 0
+        if not len(worth) or worth[best] <= 0:
             return False
-        target, gain = int(bins[other]), int(gain[other])
-        bins[items], bins[other] = target, source
-        fill[target] += gain
-        fill[source] -= gain
+        target, given = int(targets[best]), []
+        for size in parts[at[best]]:
+            given.append(next(i for i in members[source] if lengths[i] == size and i not in given))
+        taken = [int(others[best])] if best < len(others) else []
+        for here, there, items in ((source, target, given), (target, source, taken)):
+            members[here] = [i for i in members[here] if i not in items]
+            members[there] += items
+            bins[items] = there
+        fill[target] += gain[best]
+        fill[source] -= gain[best]
         return True
 
-    while used > least and stuck < patience:
-        order = [b for b in np.argsort(np.where(fill > 0, fill, capacity + 1), kind="stable")[: stuck + 1].tolist()]
-        source = next((b for b in order if b not in tried and 0 < fill[b] < capacity), None)
-        if source is None:
-            break
-        moved = True
-        while fill[source] and moved:
-            own = sorted(np.flatnonzero(bins == source).tolist(), key=lambda i: -lengths[i])
-            moved = any(swap(source, [i]) for i in own) or any(swap(source, list(p)) for p in combinations(own[:24], 2))
-        if fill[source]:
-            tried.add(source)
-            stuck += 1
-        else:
-            used, stuck, tried = used - 1, 0, set()
+    emptied = True
+    while emptied and used > least:
+        emptied = False
+        for source in np.argsort(fill, kind="stable").tolist():
+            if used == least:
+                break
+            if not 0 < fill[source] < capacity:
+                continue
+            while fill[source] and step(source):
+                pass
+            if not fill[source]:
+                used, emptied = used - 1, True
     return bins
 
 

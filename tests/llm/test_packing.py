@@ -78,6 +78,55 @@ def test_an_exchange_empties_a_bin():
     assert len(set(packing.improve(lengths, bins, 10).tolist())) == 2
 
 
+def triplets(n, capacity=4096, seed=3):
+    """Lengths that fill ``n`` bins exactly, three pieces each."""
+    rng = np.random.default_rng(seed)
+    first = rng.integers(capacity // 4 + 1, capacity // 2, n)
+    second = rng.integers(capacity // 4, capacity // 2, n)
+    second = np.minimum(second, capacity * 3 // 4 - first)
+    return rng.permutation(np.r_[first, second, capacity - first - second])
+
+
+def test_triplets_come_close_to_the_bound():
+    lengths = triplets(300)
+    bins = packing.improve(lengths, packing.best_fit(lengths, 4096), 4096)
+    assert np.bincount(bins, lengths).max() <= 4096
+    assert len(set(bins.tolist())) <= 313
+
+
+def test_small_tables_against_the_best_packing():
+    def fewest(rest, gaps):
+        if not rest:
+            return len(gaps)
+        tried = {g: i for i, g in enumerate(gaps) if g >= rest[0]}
+        ways = [fewest(rest[1:], gaps[:i] + [g - rest[0]] + gaps[i + 1 :]) for g, i in tried.items()]
+        return min([*ways, fewest(rest[1:], [*gaps, 20 - rest[0]])])
+
+    rng = np.random.default_rng(5)
+    found = best = 0
+    for _ in range(60):
+        lengths = rng.integers(3, 14, 8)
+        found += len(set(packing.improve(lengths, packing.best_fit(lengths, 20), 20).tolist()))
+        best += fewest(sorted(lengths.tolist(), reverse=True), [])
+    assert best <= found <= best + 3
+
+
+def test_all_pairs_of_a_bin_count():
+    # 31 pieces in the bin; only the two shortest together fit the place of the single piece elsewhere.
+    totals, parts = packing._totals(np.arange(10, 41))
+    assert totals[0] == 10 and totals[-1] == 79 and set(range(21, 80)) <= set(totals.tolist())
+    assert all(sum(p) == t for t, p in zip(totals.tolist(), parts))
+    assert packing._totals(np.array([5, 5]))[0].tolist() == [5, 10] and packing._totals(np.array([5]))[0].tolist() == [5]
+
+
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+    import pytest
+
+    with pytest.raises(ValueError):
+        packing._Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_ids_come_on_request(documents):
     row = packing.pieces(documents, with_ids=True).first()
     assert len(row["ids"]) == 4 * row["length"] and zlib.crc32(bytes(row["ids"])) == row["ids_crc32"]
