@@ -4,32 +4,38 @@ The standard library's parser sends events while it reads; every block-level tag
 its text, the number of inline tags met in it, and whether it stands in a part of the page that is never content: menus,
 headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles and reader comments, told by tag,
 role, or the words of class and id. A form or a word of class or id only condemns a part that is no wrapper: judged after
-a first clustering, parts that hold the main element, the only article or most of the content lines' text stay. The ratio of text length to tags per line is smoothed with a Gaussian; a threshold
+a first clustering, parts that hold the main element, the only article or most of the content lines' text stay. Beside an
+article with text outside all such parts, the parts condemned by class or id go at once, but for those around main. The ratio of text length to tags per line is smoothed with a Gaussian; a threshold
 from the two clusters of the smoothed ratios marks content lines. The content regions are the article and main elements,
 if one has content lines; else the innermost element that holds nine tenths of the content lines' text, and beside it, in
 each part of the page that holds further content lines, the innermost element that holds all of those. Such an element is
 left out as boilerplate if lines over the threshold, smoothed or not, have less than half of its text; its content lines
-that are over it on their own, not by their neighbours, stay. All lines of the regions count, however short, except those in parts that are never content.
+that are over it on their own, not by their neighbours, stay. All lines of the regions count, however short, except those
+in parts that are never content and, where no article or main element tells the content, blocks of links: lines under the
+threshold with no letter outside links, unless one stands alone between other lines. Pages of few lines go the same way.
 
 Null html is the empty page. Character references are decoded, white space inside a block becomes one space, blocks are
-joined by one space in page order. Unclosed tags end where the standard says that a block, a list item or a table cell
+joined by one space in page order. A page takes time in proportion to its length, however deep its tags nest. Repeated
+rows and null ids are extracted like any other row. Unclosed tags end where the standard says that a block, a list item or a table cell
 implies their end.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Width of the smoothing in lines, turns of the two-means threshold, lines from which on a page is clustered, and the
-# share of the content lines' text that the main region must hold.
-SIGMA, TURNS, FEW_LINES, MOST = 1.0, 12, 6, 0.9
+# Width of the smoothing in lines, turns of the two-means threshold, distance of cluster means (in logarithms) under which
+# all lines are of one kind, and the share of the content lines' text that the main region must hold.
+SIGMA, TURNS, ONE_KIND, MOST = 1.0, 12, float(np.log(2)), 0.9
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset(
@@ -65,8 +71,9 @@ _COMMENT_WORDS = frozenset("comment comments commentlist disqus reply respond re
 _LAYOUT_FIRST, _SIDES = frozenset("has no with without".split()), frozenset("both left right".split())
 _LAYOUT_LAST = frozenset("closed disabled enabled open".split())
 _FRAMES = frozenset("container elementor wrap wrapper".split())
-# What an element is: content, a part to be judged by its text (of readers or not), or never content.
-_OPEN, _JUDGED, _READERS, _CLOSED = range(4)
+# What an element is: content, a part to be judged by its text (a form, one named by its class or id, one of readers), or
+# never content.
+_OPEN, _JUDGED, _NAMED, _READERS, _CLOSED = range(5)
 # A start tag on the left ends an open element on the right.
 _IMPLIED_END = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -74,7 +81,9 @@ _IMPLIED_END = {
 }
 _ENDS_P = _BLOCKS - {"br", "body", "html", "head", "title", "caption", "legend", "option", "tbody", "td", "tfoot", "th", "thead", "tr"}
 _SCOPES = frozenset("table td th button object template".split())
-_RAW = frozenset("script style".split())
+# What an implied end doesn't reach through, and the elements that are regions.
+_STOPS = frozenset("ul ol dl table select".split()) | _SCOPES
+_REGIONS = frozenset("article main section div td body".split()) & _BLOCKS
 
 
 def _named(value: str) -> int:
@@ -86,7 +95,7 @@ def _named(value: str) -> int:
         layout = name and (name[0] in _LAYOUT_FIRST or name[-1] in _LAYOUT_LAST or name[0] in _SIDES and words & _CONTENT)
         told.update(() if layout else set(name) - {"widget", "widgets"} if _FRAMES & set(name) else name)
     if told & _BOILERPLATE and not (words & _CONTENT and not told & _NEVER_WORDS):
-        return _READERS if told & _COMMENT_WORDS else _JUDGED
+        return _READERS if told & _COMMENT_WORDS else _NAMED
     return _OPEN
 
 
@@ -110,21 +119,35 @@ def _marked(tag: str, attributes: list[tuple[str, str | None]], in_article: bool
     return mark
 
 
+class _Line(NamedTuple):
+    text: str
+    tags: int
+    linked: bool  # all letters and digits stand in links
+    never: bool
+    region: int
+    part: int  # 0 is no part to be judged
+
+
 class _Lines(HTMLParser):
-    """Lines of a page: (text, tags, never content, region, part), in order; part 0 is no part to be judged."""
+    """The lines of a page in order, and the tree of its regions and parts.
+
+    The open elements are a stack; beside it stands, for each tag and for all blocks, where its open elements lie. So an
+    end tag, an implied end or an open article is found without a walk over the stack, and a page of many unclosed tags
+    takes time in proportion to its length. Regions and parts are numbered as they begin, so parents have lesser numbers.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int, int]] = []
-        self.open: list[tuple[str, bool, int, int]] = []  # tag, never content, region, part
+        self.lines: list[_Line] = []
+        self.open: list[tuple[str, bool, int, int]] = []  # tag ("" once a misnested end tag has ended it), never, region, part
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
         self.parts: list[str] = []
-        self.tags, self.regions = 0, 0
-        self.region_depth: dict[int, int] = {0: -1}
-        self.articles: set[int] = set()
-        self.part_around: dict[int, int] = {0: -1}
-        self.part_region: dict[int, int] = {}
-        self.readers: set[int] = set()
+        self.tags, self.outside_links = 0, False
+        self.region_around, self.part_around, self.part_region = [-1], [-1], [0]
         self.part_of_article: dict[int, int] = {}
+        self.readers: set[int] = set()
+        self.named: set[int] = set()
         self.parts_with_main: set[int] = set()
 
     def _state(self) -> tuple[bool, int, int]:
@@ -134,44 +157,50 @@ class _Lines(HTMLParser):
         """Never content, and part, at an open element."""
         return (self.open[index][1], self.open[index][3]) if self.open and index >= -1 else (False, 0)
 
+    def _last(self, tag: str) -> int:
+        return self.places[tag][-1] if self.places[tag] else -1
+
+    def _push(self, tag: str, never: bool, region: int, part: int) -> None:
+        self.places[tag].append(len(self.open))
+        if tag in _BLOCKS:
+            self.blocks.append(len(self.open))
+        self.open.append((tag, never, region, part))
+
+    def _cut(self, index: int) -> None:
+        """End all elements from ``index`` on, and those below that a misnested end tag had ended before."""
+        while len(self.open) > index or self.open and not self.open[-1][0]:
+            tag = self.open.pop()[0]
+            if tag:
+                self.places[tag].pop()
+            if tag in _BLOCKS:
+                self.blocks.pop()
+
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, *self._line_state))
-        self.parts, self.tags = [], 0
+            self.lines.append(_Line(text, self.tags, not self.outside_links, *self._line_state))
+        self.parts, self.tags, self.outside_links = [], 0, False
 
     def _close(self, index: int) -> None:
         self._end_line()
-        del self.open[index:]
+        self._cut(index)
 
     def _imply_ends(self, tag: str) -> None:
-        ended = _IMPLIED_END.get(tag, set())
-        for index in range(len(self.open) - 1, -1, -1):
-            name = self.open[index][0]
-            if name in ended:
-                self._close(index)
-                ended = ended - {name}
-                if not ended:
-                    break
-            elif name in ("ul", "ol", "dl", "table", "select", *_SCOPES) and name not in ended:
+        ended = set(_IMPLIED_END.get(tag, ()))
+        while ended:
+            name = max(ended, key=self._last)
+            if self._last(name) <= max(self._last(x) for x in _STOPS if x not in ended):
                 break
-        if tag in _ENDS_P:
-            for index in range(len(self.open) - 1, -1, -1):
-                if self.open[index][0] == "p":
-                    self._close(index)
-                    break
-                if self.open[index][0] in _SCOPES:
-                    break
+            self._close(self._last(name))
+            ended.remove(name)
+        if tag in _ENDS_P and self._last("p") > max(map(self._last, _SCOPES)):
+            self._close(self._last("p"))
 
     def handle_starttag(self, tag, attributes):
-        if tag in ("html", "body") and any(name == tag for name, *_ in self.open):
+        if tag in ("html", "body") and self.places[tag]:
             return
-        if tag == "body" or tag in _BLOCKS and tag not in ("head", "title", "html"):
-            # content begins: an unclosed head ends here
-            for index, (name, *_) in enumerate(self.open):
-                if name == "head":
-                    self._close(index)
-                    break
+        if self.places["head"] and (tag == "body" or tag in _BLOCKS and tag not in ("head", "title", "html")):
+            self._close(self.places["head"][0])  # content begins: an unclosed head ends here
         if tag in _BLOCKS:
             self._imply_ends(tag)
             self._end_line()
@@ -180,27 +209,26 @@ class _Lines(HTMLParser):
         if tag in _VOID:
             return
         never, region, part = self._state()
-        in_article = any(name in ("article", "main") for name, *_ in self.open)
-        mark = _marked(tag, attributes, in_article)
+        mark = _marked(tag, attributes, bool(self.places["article"] or self.places["main"]))
         never = never or mark == _CLOSED
         if not never and mark != _OPEN:
-            new = len(self.part_around)
-            self.part_around[new], self.part_region[new] = part, region
+            self.part_around.append(part)
+            self.part_region.append(region)
+            part = len(self.part_around) - 1
             if mark == _READERS:
-                self.readers.add(new)
-            part = new
-        if tag in ("article", "main", "section", "div", "td", "body") and tag in _BLOCKS:
-            self.regions += 1
-            self.region_depth[self.regions] = region
-            region = self.regions
+                self.readers.add(part)
+            if mark != _JUDGED:
+                self.named.add(part)
+        if tag in _REGIONS:
+            self.region_around.append(region)
+            region = len(self.region_around) - 1
             if tag in ("article", "main") and not never:
-                self.articles.add(region)
                 self.part_of_article[region] = part
-                while tag == "main" and part > 0:
-                    self.parts_with_main.add(part)
-                    part = self.part_around[part]
-                part = self.part_of_article[region]
-        self.open.append((tag, never, region, part))
+                around = part
+                while tag == "main" and around > 0 and around not in self.parts_with_main:
+                    self.parts_with_main.add(around)
+                    around = self.part_around[around]
+        self._push(tag, never, region, part)
 
     def handle_startendtag(self, tag, attributes):
         if tag in _BLOCKS:
@@ -212,31 +240,35 @@ class _Lines(HTMLParser):
         if tag == "br":
             self._end_line()
             return
-        if tag == "p" and not any(name == "p" for name, *_ in self.open):
-            self._end_line()
+        index = self._last(tag)
+        if index < 0:
+            if tag == "p":
+                self._end_line()
+            return
+        if tag in ("p", "li", "div") and max(self._last("td"), self._last("th")) > index:
             return
-        for index in range(len(self.open) - 1, -1, -1):
-            if self.open[index][0] == tag:
-                if tag in _BLOCKS or any(name in _BLOCKS for name, *_ in self.open[index:]):
-                    if tag not in _BLOCKS and any(name in _BLOCKS for name, *_ in self.open[index + 1 :]):
-                        del self.open[index]  # a misnested inline tag closes alone
-                        self.tags += 1
-                    else:
-                        self._close(index)
-                else:
-                    self.tags += 1
-                    if self._kind() != (self._kind(index - 1) if index else (False, 0)):
-                        self._end_line()
-                    del self.open[index:]
-                return
-            if self.open[index][0] in _SCOPES and tag in ("p", "li", "div") and self.open[index][0] in ("td", "th"):
-                return
+        if tag in _BLOCKS:
+            self._close(index)
+            return
+        self.tags += 1
+        if self.blocks and self.blocks[-1] > index:  # a misnested inline tag ends alone
+            self.open[index] = ("", *self.open[index][1:])
+            self.places[tag].pop()
+            return
+        below = index - 1
+        while below >= 0 and not self.open[below][0]:
+            below -= 1
+        if self._kind() != (self._kind(below) if below >= 0 else (False, 0)):
+            self._end_line()
+        self._cut(index)
 
     def handle_data(self, data):
         if self.open and self._kind() != self._kind_of_line():
             self._end_line()
         self._line_state = self._state()
         self.parts.append(data)
+        if not self.places["a"] and any(map(str.isalnum, data)):
+            self.outside_links = True
 
     # Of the text so far: an element that ends or begins a line within it may be of another kind.
     _line_state = (False, 0, 0)
@@ -252,74 +284,102 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="symmetric"), weights / weights.sum(), mode="valid")
 
 
-def threshold(values: np.ndarray) -> float:
-    """Half way between the means of the two clusters of the logarithms."""
+def clusters(values: np.ndarray) -> tuple[float, float]:
+    """Half way between the means of the two clusters of the logarithms, and how far these means lie apart."""
     logs = np.log1p(values)
-    cut = logs.mean()
+    cut, apart = logs.mean(), 0.0
     for _ in range(TURNS):
         low, high = logs[logs <= cut], logs[logs > cut]
         if not len(low) or not len(high):
             break
-        cut, before = (low.mean() + high.mean()) / 2, cut
+        cut, before, apart = (low.mean() + high.mean()) / 2, cut, float(high.mean() - low.mean())
         if abs(cut - before) < 1e-9:
             break
-    return float(np.expm1(cut))
+    return float(np.expm1(cut)), apart
+
+
+def threshold(values: np.ndarray) -> float:
+    return clusters(values)[0]
+
 
+def _content_lines(lines: list[_Line]) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines the clustering marks as content, and which are over the threshold without their neighbours.
 
-def _content_lines(lines: list[tuple[str, int, bool, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Which lines the clustering marks as content, and which are over the threshold without their neighbours."""
-    raw = np.array([len(text) / max(1, tags) for text, tags, *_ in lines])
+    Where the two clusters of the lines' own ratios lie no factor of two apart, all lines are of one kind, content.
+    Neighbours don't make content of a line of links.
+    """
+    raw = np.array([len(x.text) / max(1, x.tags) for x in lines])
+    if clusters(raw)[1] < ONE_KIND:
+        return np.ones(len(lines), bool), np.ones(len(lines), bool)
     ratios = smoothed(raw)
-    cut = threshold(ratios) if len(lines) >= FEW_LINES else 0
-    return ratios >= cut, raw >= cut
+    cut = threshold(ratios)
+    alone = raw >= cut
+    return (ratios >= cut) & (alone | ~np.array([x.linked for x in lines])), alone
+
+
+def _gathered(own: list[int], around: list[int]) -> list[int]:
+    """Sums over each element with all that it holds."""
+    sums = own[:]
+    for x in range(len(around) - 1, 0, -1):
+        sums[around[x]] += sums[x]
+    return sums
+
 
+def _held(chosen: set[int], around: list[int]) -> list[bool]:
+    """Whether each element is, or lies in, a chosen one."""
+    held: list[bool] = []
+    for x, outer in enumerate(around):
+        held.append(x in chosen or outer >= 0 and held[outer])
+    return held
 
-def _staying_parts(parser: _Lines, lines: list[tuple[str, int, bool, int, int]]) -> set[int]:
-    """The parts to be judged that stay, by the content lines of the page with all such parts.
+
+def _without_named(parser: _Lines, lines: list[_Line]) -> list[_Line]:
+    """Beside an article with any text outside all parts, parts condemned by class or id go, but for those around main."""
+    plain = _held({r for r, part in parser.part_of_article.items() if not part}, parser.region_around)
+    if not any(plain[x.region] and not x.part for x in lines):
+        return lines
+    gone = _held(parser.named - parser.parts_with_main, parser.part_around)
+    return [x for x in lines if not gone[x.part]]
+
+
+def _staying_parts(parser: _Lines, lines: list[_Line]) -> list[bool]:
+    """For each part to be judged, whether it stays with all parts around it.
 
     A part around the main element stays. Beside an article with content outside all parts no part stays; else, and
     within such an article, a part stays that holds most of the content, or an article and more than stands outside all
-    parts. Readers' parts stay only if they hold all content.
+    parts. Readers' parts stay only if all other lines are links.
     """
-    around, parent = parser.part_around, parser.region_depth
-    plain = {region for region, part in parser.part_of_article.items() if not part}
-    total, free, written, weight, told = 0, 0, 0, {}, set()
-    for (text, _, _, region, part), good in zip(lines, _content_lines(lines)[0]):
-        if not good:
-            continue
-        chain = []
-        while part > 0:
-            chain.append(part)
-            part = around[part]
-        total += len(text)
-        written += 0 if parser.readers.intersection(chain) else len(text)
-        for x in chain:
-            weight[x] = weight.get(x, 0) + len(text)
-        if not chain:
-            free += len(text)
-            while region >= 0:
-                told |= {region} & plain
-                region = parent[region]
-    with_article = set()
+    around = parser.part_around
+    by_readers = _held(parser.readers, around)
+    own, plain_text, written = [0] * len(around), [0] * len(parser.region_around), 0
+    for line, good in zip(lines, _content_lines(lines)[0]):
+        written += not by_readers[line.part] and not line.linked
+        if good:
+            own[line.part] += len(line.text)
+            if not line.part:
+                plain_text[line.region] += len(line.text)
+    free, total = own[0], sum(own)
+    weight, plain_text = _gathered(own, around), _gathered(plain_text, parser.region_around)
+    told = {r for r, part in parser.part_of_article.items() if not part and plain_text[r]}
+    in_told = _held(told, parser.region_around)
+    articles = [0] * len(around)
     for part in parser.part_of_article.values():
-        while part > 0:
-            with_article.add(part)
-            part = around[part]
-    stays = set(parser.parts_with_main)
-    for part, n in weight.items():
-        if told and not _within(parser.part_region[part], told, parent) or part in parser.readers and written:
-            continue
-        if 2 * n > total or part in with_article and n > free:
-            stays.add(part)
+        articles[part] += 1
+    articles = _gathered(articles, around)
+    stays = [True]
+    for part in range(1, len(around)):
+        stay = part in parser.parts_with_main
+        if weight[part] and not (told and not in_told[parser.part_region[part]] or part in parser.readers and written):
+            stay = stay or 2 * weight[part] > total or articles[part] > 0 and weight[part] > free
+        stays.append(stay and stays[around[part]])
     return stays
 
 
-def _all_stay(part: int, stays: set[int], around: dict[int, int]) -> bool:
-    while part > 0:
-        if part not in stays:
-            return False
-        part = around[part]
-    return True
+def _link_blocks(lines: list[_Line], content: np.ndarray) -> np.ndarray:
+    """Lines below the threshold that are links only, unless one stands alone between other lines."""
+    idle = np.array([x.linked for x in lines]) & ~content
+    before, behind = np.r_[True, idle[:-1]], np.r_[idle[1:], True]
+    return idle & (before | behind)
 
 
 def main_text(html: str | None) -> str:
@@ -328,68 +388,54 @@ def main_text(html: str | None) -> str:
     parser.feed(html or "")
     parser.close()
     parser._end_line()
-    lines = [x for x in parser.lines if not x[2]]
-    if any(part for *_, part in lines):
+    lines = _without_named(parser, [x for x in parser.lines if not x.never])
+    if any(x.part for x in lines):
         stays = _staying_parts(parser, lines)
-        lines = [x for x in lines if _all_stay(x[4], stays, parser.part_around)]
+        lines = [x for x in lines if stays[x.part]]
     if not lines:
         return ""
     content, alone = _content_lines(lines)
     # Text of content lines per region, counted in every region around it.
-    parent, weight = parser.region_depth, {}
-    for (text, _, _, region, _), good in zip(lines, content):
-        while good and region >= 0:
-            weight[region] = weight.get(region, 0) + len(text)
-            region = parent[region]
-    if parser.articles & set(weight):
-        return " ".join(text for text, _, _, region, _ in lines if _within(region, parser.articles, parent))
-    inner = (r for r in weight if weight[r] >= MOST * weight[0])
-    main = max(inner, key=lambda r: (_depth(r, parent), weight[r]), default=0)
-    chosen = {main} | _further_regions(lines, content, alone, main, parent, weight)
-    return " ".join(
-        text for (text, _, _, region, _), own in zip(lines, content & alone) if own or _within(region, chosen, parent)
-    )
+    around = parser.region_around
+    own = [0] * len(around)
+    for line, good in zip(lines, content):
+        own[line.region] += len(line.text) if good else 0
+    weight = _gathered(own, around)
+    articles = set(parser.part_of_article)
+    if any(weight[r] for r in articles):
+        held = _held(articles, around)
+        return " ".join(x.text for x in lines if held[x.region])
+    depth = [0]
+    for outer in around[1:]:
+        depth.append(depth[outer] + 1)
+    main = max((r for r in range(len(around)) if weight[r] >= MOST * weight[0]), key=lambda r: (depth[r], weight[r]))
+    held = _held({main} | _further_regions(lines, content, alone, main, around, weight), around)
+    taken = (content & alone) | np.array([held[x.region] for x in lines]) & ~_link_blocks(lines, content)
+    return " ".join(x.text for x, take in zip(lines, taken) if take)
 
 
 def _further_regions(
-    lines: list[tuple[str, int, bool, int, int]], content: np.ndarray, alone: np.ndarray, main: int, parent: dict[int, int],
-    weight: dict[int, int],
+    lines: list[_Line], content: np.ndarray, alone: np.ndarray, main: int, around: list[int], weight: list[int],
 ) -> set[int]:
     """Beside the main region, the innermost element with all content lines of each branch of the page that has some."""
     spine, region = set(), main
     while region >= 0:
         spine.add(region)
-        region = parent[region]
-    text_of: dict[int, int] = {}
-    dense: dict[int, int] = {}
-    found: dict[int, int] = {}
-    for (text, _, _, region, _), good, own in zip(lines, content, alone):
-        branch, path = region, []
-        while branch not in spine:
-            text_of[branch] = text_of.get(branch, 0) + len(text)
-            dense[branch] = dense.get(branch, 0) + (len(text) if good or own else 0)
-            path.append(branch)
-            branch = parent[branch]
-        if good and path:
-            top = path[-1]
-            whole = [r for r in path if weight[r] == weight[top]]
-            found[top] = whole[0]
-    return {r for r in found.values() if 2 * dense[r] >= text_of[r]}
-
-
-def _depth(region: int, parent: dict[int, int]) -> int:
-    n = 0
-    while region > 0:
-        region, n = parent[region], n + 1
-    return n
-
-
-def _within(region: int, chosen: set[int], parent: dict[int, int]) -> bool:
-    while region >= 0:
-        if region in chosen:
-            return True
-        region = parent[region]
-    return False
+        region = around[region]
+    all_text, dense = [0] * len(around), [0] * len(around)
+    for line, good, own in zip(lines, content, alone):
+        all_text[line.region] += len(line.text)
+        dense[line.region] += len(line.text) if good or own else 0
+    all_text, dense = _gathered(all_text, around), _gathered(dense, around)
+    # Parents have lesser numbers: from each branch's top down to the last region that still has the whole weight.
+    top, inner = {}, {}
+    for region in range(1, len(around)):
+        if region in spine or not weight[region]:
+            continue
+        top[region] = top.get(around[region], region)
+        if weight[region] == weight[top[region]]:
+            inner[top[region]] = region
+    return {r for r in inner.values() if 2 * dense[r] >= all_text[r]}
 
 
 def _extract_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

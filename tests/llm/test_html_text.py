@@ -117,3 +117,60 @@ def test_smoothing_and_threshold():
     flat = html_text.smoothed(np.full(9, 5.0))
     assert np.allclose(flat, 5)
     assert 2 < html_text.threshold(np.array([1.0, 2, 1, 50, 60, 55])) < 50
+
+
+LONG = "The harvest came late that year and the growers of the valley waited for rain until October, number {}."
+LINKS = "".join(f'<li><a href="/{i}">Section {i}</a></li>' for i in range(12))
+
+
+def paragraphs(n):
+    return [LONG.format(i) for i in range(n)]
+
+
+def test_link_lists_beside_paragraphs_of_the_body():
+    texts = paragraphs(8)
+    body = "".join(f"<p>{t}</p>" for t in texts)
+    assert main_text(f"<body><div><ul>{LINKS}</ul></div>{body}</body>") == " ".join(texts)
+    assert main_text(f'<body>{body}<p><a href="/">Home</a> | <a href="/a">About</a> | <a href="/c">Contact</a></p></body>') == " ".join(texts)
+    middle = "".join(f"<p>{t}</p>" for t in texts[:4]) + f"<ul>{LINKS}</ul>" + "".join(f"<p>{t}</p>" for t in texts[4:])
+    assert main_text(f"<body>{middle}</body>") == " ".join(texts)
+
+
+def test_a_lone_link_line_between_paragraphs_stays():
+    a, b, c, d = paragraphs(4)
+    html = f'<body><p>{a}</p><p>{b}</p><h2><a href="#x">Harvest</a></h2><p>{c}</p><p>{d}</p></body>'
+    assert main_text(html) == f"{a} {b} Harvest {c} {d}"
+
+
+def test_few_lines_follow_the_same_rule():
+    for n in range(1, 8):
+        texts = paragraphs(n)
+        body = "".join(f"<p>{t}</p>" for t in texts)
+        links = '<div><a href="/">Home</a> <a href="/a">About</a></div><div><a href="/c">Contact</a></div>'
+        assert main_text(f"<body><h1>Harvest</h1>{body}{links}</body>") == " ".join(["Harvest", *texts])
+    assert main_text("<p>One short line.</p>") == "One short line."
+    assert main_text("<p>Two lines here.</p><p>Of one kind, both.</p>") == "Two lines here. Of one kind, both."
+
+
+def test_short_articles_beside_longer_named_parts():
+    ad = '<div class="ad">An advert that is much longer than the article.</div>'
+    notes = '<div class="comments"><p>Readers wrote more than the author did, as they often do.</p></div>'
+    assert main_text(f"<body>{ad}<article><h1>News.</h1><p>News.</p></article>{notes}</body>") == "News. News."
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+
+    for one in ("<div>word ", "<b>word ", "<li>word", '<div class="sidebar">word', "<b><div></b>word"):
+        start = time.process_time()
+        main_text(one * 10_000)
+        small = time.process_time() - start
+        main_text(one * 40_000)
+        assert time.process_time() - start < 12 * small + 1
+
+
+def test_clashing_columns_nulls_and_repeats(spark):
+    rows = [(1, "u", None, "x", 5), (1, "u", None, "x", 5), (None, None, "<p>a b</p>", "y", 6), (3, "v", "", None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = sorted((tuple(r) for r in html_text.extract(pages).collect()), key=repr)
+    assert got == sorted([(1, "u", "", 0), (1, "u", "", 0), (None, None, "a b", 3), (3, "v", "", 0)], key=repr)
