@@ -297,10 +297,13 @@ def s13(spark, sf):
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
-@query("S14_rewrite_result", v.with_sql(v.HEALTH_SQL, select=f"""
+_S14_SQL = v.with_sql(v.HEALTH_SQL, select=f"""
 SELECT model, row_id, CASE WHEN regexp_matches(lower({q.strip('prediction')}), '^[a-z]+$') THEN lower({q.strip('prediction')})
        WHEN contains(lower(prediction), 'depression') THEN 'depression'
-       WHEN contains(lower(prediction), 'normal') THEN 'normal' ELSE prediction END AS prediction FROM health"""))
+       WHEN contains(lower(prediction), 'normal') THEN 'normal' ELSE prediction END AS prediction FROM health""")
+
+
+@query("S14_rewrite_result", _S14_SQL)
 def s14(spark, sf):
     first, second = scratch_path(spark, "s14"), scratch_path(spark, "s14")
     v.health(spark, sf).select("model", "row_id", "prediction").write.parquet(first)
@@ -309,6 +312,13 @@ def s14(spark, sf):
     )
 
 
+@query("S14_change_in_place", _S14_SQL)
+def s14_in_place(spark, sf):
+    root = scratch_path(spark, "s14-versions")
+    sinks.write_version(v.health(spark, sf).select("model", "row_id", "prediction"), root, 0)
+    return sinks.change_table(spark, root, lambda df: df.withColumn("prediction", tx.normalize_prediction("prediction")))
+
+
 @query("S15_invalid_side_output", v.with_sql(v.ANSWERED_SQL, _CLEAN, select="""
 SELECT dataset, model, row_id, raw AS prediction, pred AS cleaned_prediction FROM cleaned
 WHERE NOT coalesce(contains(pred, 'positive') OR contains(pred, 'negative'), FALSE)"""))

@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from gradewell.plans.skew import number_rows
 
 
+# Folder of a versioned table whose files, named by number, say where each version lies.
+_MANIFESTS = "versions"
+
+
+def _file_system(spark: SparkSession, name: str):
+    """The file system of a path, and the path."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def _csv_writer(df: DataFrame) -> DataFrameWriter:
     """Header, doubled quotes, and blanks kept as they are."""
     keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -88,6 +100,62 @@ def rewrite_table(
     return spark.read.format(fmt).load(target)
 
 
+def current_version(spark: SparkSession, root: str) -> int:
+    """The number of the newest complete version of a versioned table; 0 if there is none."""
+    system, path = _file_system(spark, f"{root}/{_MANIFESTS}")
+    if not system.exists(path):
+        return 0
+    names = [entry.getPath().getName() for entry in system.listStatus(path)]
+    return max((int(name) for name in names if name.isdigit()), default=0)
+
+
+def read_version(spark: SparkSession, root: str, version: int | None = None, fmt: str = "parquet") -> DataFrame:
+    """The current version of a versioned table, or the one asked for."""
+    version = current_version(spark, root) if version is None else version
+    system, manifest = _file_system(spark, f"{root}/{_MANIFESTS}/{version}")
+    if not system.exists(manifest):
+        raise FileNotFoundError(f"{root} has no version {version}")
+    folder = spark.read.text(manifest.toString()).first()[0]
+    return spark.read.format(fmt).load(f"{root}/{folder}")
+
+
+def write_version(df: DataFrame, root: str, base: int, fmt: str = "parquet") -> int:
+    """Write ``df`` as the version after ``base``, visible to readers all at once.
+
+    The rows go to a folder of their own. Then a manifest that names the folder is renamed into place, which is one step
+    of the file system and fails if another writer has already put a version there. Until then, and for ever
+    if the write fails, readers see version ``base``.
+    """
+    spark = df.sparkSession
+    folder = f"data-{uuid.uuid4().hex}"
+    df.write.format(fmt).save(f"{root}/{folder}")
+    system, manifests = _file_system(spark, f"{root}/{_MANIFESTS}")
+    system.mkdirs(manifests)
+    _, draft = _file_system(spark, f"{root}/{_MANIFESTS}/.{folder}")
+    out = system.create(draft, False)
+    out.write(folder.encode())
+    out.close()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    fs = jvm.org.apache.hadoop.fs
+    options = gateway.new_array(getattr(fs, "Options$Rename"), 0)
+    files = fs.FileContext.getFileContext(system.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    target = fs.Path(f"{root}/{_MANIFESTS}/{base + 1}")
+    try:
+        files.rename(draft, target, options)
+    except Py4JJavaError as error:
+        if system.exists(target):
+            raise FileExistsError(f"version {base + 1} of {root} was written by another job") from error
+        raise
+    return base + 1
+
+
+def change_table(spark: SparkSession, root: str, change: Callable[[DataFrame], DataFrame], fmt: str = "parquet") -> DataFrame:
+    """S14 in place: read the current version, change it, and make the result current; a failing change alters nothing."""
+    base = current_version(spark, root)
+    written = write_version(change(read_version(spark, root, base, fmt)), root, base, fmt)
+    return read_version(spark, root, written, fmt)
+
+
 def write_invalid(df: DataFrame, path: str) -> None:
     """Invalid rows by dataset and model; a pair without such rows gets no folder."""
     write_csv(df, path, partition_by=("dataset", "model"))

@@ -99,6 +99,29 @@ def test_rewrite_refuses_its_own_source(spark):
         sinks.rewrite_table(spark, "/tmp/a", "/tmp/a/", lambda d: d)
 
 
+def test_a_failing_change_leaves_the_old_version(spark):
+    root = scratch_path(spark, "versions")
+    assert sinks.current_version(spark, root) == 0
+    with pytest.raises(FileNotFoundError):
+        sinks.read_version(spark, root)
+    sinks.write_version(spark.range(5), root, 0)
+    with pytest.raises(Exception):
+        sinks.change_table(spark, root, lambda df: df.selectExpr("id + assert_true(id < 3) AS id", "raise_error('no') AS x"))
+    assert sinks.current_version(spark, root) == 1 and sinks.read_version(spark, root).count() == 5
+    changed = sinks.change_table(spark, root, lambda df: df.filter("id > 2"))
+    assert changed.count() == 2 and sinks.read_version(spark, root).count() == 2
+    assert sinks.read_version(spark, root, 1).count() == 5
+
+
+def test_of_two_writers_one_wins(spark):
+    root = scratch_path(spark, "versions")
+    sinks.write_version(spark.range(3), root, 0)
+    sinks.write_version(spark.range(4), root, 1)
+    with pytest.raises(FileExistsError):
+        sinks.write_version(spark.range(9), root, 1)
+    assert sinks.current_version(spark, root) == 2 and sinks.read_version(spark, root).count() == 4
+
+
 def test_invalid_output_has_no_empty_folders(spark):
     path = scratch_path(spark, "invalid")
     df = spark.createDataFrame([("d", "f", 1, "x")], "dataset string, model string, row_id long, prediction string")
