@@ -3,20 +3,27 @@
 1. Each scan task writes its texts as chunks: token numbers, and the chunk's own vocabulary with training counts.
 2. The vocabularies are joined by word into exact counts over the whole corpus, and every chunk gets back the counts of
    its own words. What is shuffled is one row per distinct word and chunk, never one per token.
-3. Tokens become symbols: one per frequent word, and one per power of two of the count for the rest.
-4. Exchange clustering moves the frequent words between classes while the likelihood of the class bigrams rises.
+3. Classes grow with the cube root of the vocabulary. Exchange clustering moves the most frequent words, four to a class,
+   between classes while the likelihood of the class bigrams rises.
+4. Then every other word seen twice or more in training is placed. A sweep adds up the symbols before and after each word over
+   all chunks and moves the word to the class in which its places are likeliest against the class table of the sweep before;
+   the first sweep sees seeds and bands of counts as neighbours, the second the classes of all words. Words of one place
+   share a class, as do unseen ones.
 5. A text's probability is the product of class transitions (interpolated with class frequencies) and of word emissions
    (count of the word over count of its class). After each class, an unseen word is as likely as a word seen once was in
    training (the Good-Turing estimate), and the rest is scaled down for it.
 
-Only the symbol bigrams, whose number is fixed by ``FREQUENT_WORDS``, reach the driver. Null text counts as empty and
-has just its end token. A null id counts as the empty text in the choice of held-out documents. Without training tokens
-every score is 0.
+Only bigrams of seeds and of classes reach the driver: (4 classes + 48)^2 numbers at most, a cube-root law. A word that is not
+a seed has one row per chunk of 16 MB in the sweeps; a task adds those up as they stream by. Null text counts as empty and has
+just its end token. A null id counts as the empty text in the choice of held-out documents; repeated rows each count and are
+scored alike. Very long texts make chunks of their own. Ties go to the word lower in byte order (seeds) and to the lower class.
+Without training tokens every score is 0.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +34,23 @@ from pyspark.sql import functions as F
 from gradewell.llm.common import fold, hand_over, partitions_for
 
 FOLDS, HELD_OUT = 7, 2
-# Words with a symbol of their own, classes they are dealt to, and sweeps of the exchange.
-FREQUENT_WORDS, CLASSES, SWEEPS = 512, 32, 6
-# Symbols behind those of the frequent words: the number of binary digits of a word's count (0 for unseen words).
+# Every word seen so often in training is placed in a class.
+MIN_COUNT = 2
+# Seed words for each class, sweeps of the exchange over the seeds, and sweeps that place all other words.
+SEEDS, SWEEPS, PLACINGS = 4, 6, 2
+# Symbols behind those of seeds or classes: the number of binary digits of a word's count (0 for unseen words).
 BANDS = 48
-SYMBOLS = FREQUENT_WORDS + BANDS
 # Strength of the class frequencies against transitions.
 PRIOR = 20.0
 CHUNK_BYTES = 16 << 20
 _WIDE = 0xFFFF
 
 
+def class_count(types: int) -> int:
+    """Classes grow with the cube root of the vocabulary: 72 for 370,000 words, 1,000 for a billion."""
+    return max(8, round(types ** (1 / 3)))
+
+
 # --- 1. Chunks ----------------------------------------------------------------------------------------------------
 
 _ENCODED = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()),
@@ -50,7 +63,8 @@ def _encode_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     Number 0 is the end of a text, written as the empty word; the others go by frequency, so most fit 16 bits.
     """
-    chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
+    # A word's number is its chunk's number times 2^31 plus its place there: 2^20 tasks of 2^12 chunks each.
+    chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 12
     vocabulary, docs, size = {b"": 0}, [], 0
 
     def batch_of(rows: int, **columns) -> pa.RecordBatch:
@@ -97,39 +111,89 @@ def _encode_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             if size > CHUNK_BYTES:
                 yield from flush()
                 chunk, vocabulary, docs, size = chunk + 1, {b"": 0}, [], 0
+                if not chunk % (1 << 12):
+                    raise ValueError("a task reads over 4096 chunks of text; lower spark.sql.files.maxPartitionBytes")
     if docs:
         yield from flush()
 
 
-# --- 2. and 3. Counts and symbols ---------------------------------------------------------------------------------
+# --- 2. and 3. Symbols and contexts -------------------------------------------------------------------------------
 
-def _symbol_tables(docs: pa.Table, words: pa.Table, tokens: int, types: int) -> pa.Table:
-    """One chunk: per text the sums that need counts, and the text as symbols."""
-    if not docs.num_rows:
-        return _SCORED.empty_table()
+_ENTRY = np.dtype([("key", "<u2"), ("n", "<u4")])
+_PAIR = np.dtype([("pair", "<u4"), ("n", "<u4")])
+
+
+def _labelled(words: pa.Table, seeds: np.ndarray, seed_symbols: np.ndarray, heads: int) -> tuple[np.ndarray, ...]:
+    """Count, symbol and word number of each token number of a chunk, and which of them are words to be placed.
+
+    Symbols under ``heads`` are words or classes; behind them stand the bands of words with less than ``MIN_COUNT``.
+    """
     local = words["local"].to_numpy()
+    placed = words["class"].is_valid().to_numpy()
     n = int(local.max()) + 1 if len(local) else 1
-    counts, own = np.zeros(n, np.int64), np.full(n, -1, np.int64)
-    counts[local] = words["c"].to_numpy()
-    own[local] = words["symbol"].fill_null(-1).to_numpy()
-    digits = np.frexp(counts.astype(np.float64))[1]
-    symbols = np.where(own >= 0, own, FREQUENT_WORDS + np.minimum(digits, BANDS - 1)).astype("<u2")
-    plain, emitted = np.log10(counts + 1.0), np.log10(np.maximum(counts, 1.0))
-    out: list[tuple] = []
-    constant = np.log10(tokens + 1.0 * (types + 1))
-    for doc_id, held_out, ids, wide in zip(*(docs[c].to_pylist() for c in ("doc_id", "held_out", "ids", "wide"))):
-        numbers = np.frombuffer(ids, "<u2").astype(np.int64)
-        numbers[numbers == _WIDE] = np.frombuffer(wide, "<u4")
-        out.append((
-            doc_id, held_out, len(numbers), int((counts[numbers] > 0).sum()), float(plain[numbers].sum() - len(numbers) * constant),
-            float(emitted[numbers].sum()), symbols[numbers].tobytes(),
-        ))
-    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), _SCORED)], schema=_SCORED)
+    counts, ids = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    counts[local[~placed]] = words["c"].fill_null(0).to_numpy()[~placed]
+    ids[local[~placed]] = words["word_id"].fill_null(-1).to_numpy()[~placed]
+    symbols = heads + np.minimum(np.frexp(counts.astype(np.float64))[1], BANDS - 1)
+    symbols[local[placed]] = words["class"].fill_null(0).to_numpy()[placed]
+    at = np.minimum(np.searchsorted(seeds, ids), len(seeds) - 1)
+    is_seed = seeds[at] == ids
+    symbols[is_seed] = seed_symbols[at[is_seed]]
+    return counts, symbols.astype(np.int64), ids, (counts >= MIN_COUNT) & ~is_seed
 
 
-_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                     ("base_score", pa.float64()), ("emitted", pa.float64()), ("symbols", pa.binary())])
-_SCORED_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emitted double, symbols binary"
+def _numbers(ids: bytes, wide: bytes) -> np.ndarray:
+    numbers = np.frombuffer(ids, "<u2").astype(np.int64)
+    numbers[numbers == _WIDE] = np.frombuffer(wide, "<u4")
+    return numbers
+
+
+_CONTEXTS = pa.schema([("bigrams", pa.binary()), ("word_id", pa.int64()), ("chunk", pa.int64()), ("local", pa.int32()), ("contexts", pa.binary())])
+_CONTEXTS_DDL = "bigrams binary, word_id long, chunk long, local int, contexts binary"
+
+
+def _contexts(docs: pa.Table, words: pa.Table, seeds: np.ndarray, seed_symbols: np.ndarray, heads: int) -> pa.Table:
+    """One chunk: the symbol bigrams of its training texts, and for each word to be placed the symbols after and before it."""
+    if not docs.num_rows:
+        return _CONTEXTS.empty_table()
+    _, symbols, ids, wanted = _labelled(words, seeds, seed_symbols, heads)
+    total = heads + BANDS
+    texts = [_numbers(i, w) for i, w, held in zip(*(docs[c].to_pylist() for c in ("ids", "wide", "held_out"))) if not held]
+    numbers = np.concatenate(texts) if texts else np.zeros(0, np.int64)
+    starts = np.cumsum([0] + [len(t) for t in texts])[:-1]
+    now = symbols[numbers]
+    before = np.roll(now, 1)
+    before[starts] = symbols[0]  # an end stands before each text
+    pairs, n = np.unique(before * total + now, return_counts=True)
+    table = np.empty(len(pairs), _PAIR)
+    table["pair"], table["n"] = pairs, n
+
+    follows = np.roll(now, -1)
+    mine = wanted[numbers]
+    keys = np.concatenate([numbers[mine] * (2 * total) + follows[mine], numbers[mine] * (2 * total) + total + before[mine]])
+    keys, n = np.unique(keys, return_counts=True)
+    entries = np.empty(len(keys), _ENTRY)
+    entries["key"], entries["n"] = keys % (2 * total), n
+    local = np.flatnonzero(wanted)
+    ends = np.searchsorted(keys, local * (2 * total) + 2 * total)
+    offsets = np.r_[0, ends].astype(np.int64) * _ENTRY.itemsize
+    packed = pa.Array.from_buffers(pa.large_binary(), len(local), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries.tobytes())])
+    chunk = docs["chunk"][0].as_py()
+    return pa.concat_tables([
+        pa.table([pa.array([table.tobytes()], pa.binary()), *(pa.nulls(1, f.type) for f in list(_CONTEXTS)[1:])], schema=_CONTEXTS),
+        pa.table([pa.nulls(len(local), pa.binary()), pa.array(ids[local]), pa.array(np.full(len(local), chunk)),
+                  pa.array(local.astype(np.int32)), packed.cast(pa.binary())], schema=_CONTEXTS),
+    ])
+
+
+def _sum_bigrams(batches: Iterable[pa.RecordBatch], total: int) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(total * total, np.int64)
+    for batch in batches:
+        for blob in batch.column(0).to_pylist():
+            found = np.frombuffer(blob, _PAIR)
+            counts[found["pair"]] += found["n"]
+    found = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["pair", "n"])
 
 
 def _pairs(symbols: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,12 +207,35 @@ def _pairs(symbols: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray, np.n
     return before, now, starts
 
 
-def _bigram_batches(batches: Iterable[pa.RecordBatch], end: int) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(SYMBOLS * SYMBOLS, np.int64)
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                     ("base_score", pa.float64()), ("emitted", pa.float64()), ("symbols", pa.binary())])
+_SCORED_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emitted double, symbols binary"
+
+
+def _symbol_texts(docs: pa.Table, words: pa.Table, seeds: np.ndarray, seed_symbols: np.ndarray, heads: int, tokens: int, types: int) -> pa.Table:
+    """One chunk: per text the sums that need counts, and the text as classes."""
+    if not docs.num_rows:
+        return _SCORED.empty_table()
+    counts, symbols, _, _ = _labelled(words, seeds, seed_symbols, heads)
+    symbols = symbols.astype("<u2")
+    plain, emitted = np.log10(counts + 1.0), np.log10(np.maximum(counts, 1.0))
+    out: list[tuple] = []
+    constant = np.log10(tokens + 1.0 * (types + 1))
+    for doc_id, held_out, ids, wide in zip(*(docs[c].to_pylist() for c in ("doc_id", "held_out", "ids", "wide"))):
+        numbers = _numbers(ids, wide)
+        out.append((
+            doc_id, held_out, len(numbers), int((counts[numbers] > 0).sum()), float(plain[numbers].sum() - len(numbers) * constant),
+            float(emitted[numbers].sum()), symbols[numbers].tobytes(),
+        ))
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out), _SCORED)], schema=_SCORED)
+
+
+def _text_bigrams(batches: Iterable[pa.RecordBatch], total: int, end: int) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(total * total, np.int64)
     for batch in batches:
         if batch.num_rows:
             before, now, _ = _pairs(batch.column(0).to_pylist(), end)
-            counts += np.bincount(before * SYMBOLS + now, minlength=SYMBOLS * SYMBOLS)
+            counts += np.bincount(before * total + now, minlength=total * total)
     found = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts[found])], names=["pair", "n"])
 
@@ -212,6 +299,72 @@ def exchange(bigrams: np.ndarray, words: int, classes: int, sweeps: int = SWEEPS
     return member
 
 
+def gain_table(bigrams: np.ndarray, member: np.ndarray, classes: int) -> np.ndarray:
+    """What one symbol beside a word adds to the log likelihood of the word in each class.
+
+    Rows: symbols after the word, then symbols before it. After: the transition from the class. Before: the transition to the
+    class over the class's count, because the class emits the word with the word's count over its own.
+    """
+    total = int(member.max()) + 1
+    one_hot = np.eye(total)[member]
+    grid = one_hot.T @ bigrams @ one_hot
+    count = grid.sum(axis=0)
+    share = (count + 1) / (count + 1).sum()
+    chance = np.log((grid + PRIOR * share) / (grid.sum(axis=1, keepdims=True) + PRIOR))
+    after, before = chance[:classes].T, chance[:, :classes] - np.log(np.maximum(count[:classes], 1))
+    return np.concatenate([after[member], before[member]])
+
+
+def _place_batches(batches: Iterable[pa.RecordBatch], gains: np.ndarray, block: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """The best class of each word, for every row of the word; rows come sorted by word.
+
+    The gain is a sum over contexts, so a word carries one number per class from row to row, however many rows it has.
+    """
+    word, sums, chunks, locals_ = None, np.zeros(gains.shape[1]), [], []
+
+    def placed() -> pa.RecordBatch:
+        chunk, local = np.concatenate(chunks), np.concatenate(locals_)
+        best = int(np.argmax(np.round(sums, 6)))
+        return pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(local), pa.array(np.full(len(chunk), best, np.int32))], names=["chunk", "local", "class"])
+
+    for batch in batches:
+        ids, chunk, local = (batch.column(i).to_numpy() for i in range(3))
+        column = batch.column(3).to_pylist()
+        sizes = np.array([len(x) // _ENTRY.itemsize for x in column], np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < len(ids):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block, "right")))
+            entries = np.frombuffer(b"".join(column[at:stop]), _ENTRY)
+            rows = np.zeros((stop - at, gains.shape[1]))
+            full = np.flatnonzero(sizes[at:stop])
+            if len(full):
+                first = (np.cumsum(sizes[at:stop]) - sizes[at:stop])[full]
+                rows[full] = np.add.reduceat(gains[entries["key"]] * entries["n"][:, None], first)
+            own, where = ids[at:stop], np.flatnonzero(np.r_[True, ids[at + 1 : stop] != ids[at : stop - 1]])
+            by_word = np.add.reduceat(rows, where)
+            edges = np.r_[where, stop - at]
+            if word is not None and own[0] != word:
+                yield placed()
+                sums, chunks, locals_ = np.zeros(gains.shape[1]), [], []
+            by_word[0] += sums
+            if len(where) > 1:  # all but the last word of the block are complete
+                chunks.append(chunk[at : at + edges[-2]])
+                locals_.append(local[at : at + edges[-2]])
+                head = np.diff(edges)[:-1].copy()
+                head[0] += sum(map(len, chunks[:-1]))
+                best = np.argmax(np.round(by_word[:-1], 6), axis=1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(chunks)), pa.array(np.concatenate(locals_)), pa.array(np.repeat(best, head))], names=["chunk", "local", "class"]
+                )
+                chunks, locals_ = [], []
+            word, sums = own[-1], by_word[-1]
+            chunks.append(chunk[at + edges[-2] : stop])
+            locals_.append(local[at + edges[-2] : stop])
+            at = stop
+    if chunks:
+        yield placed()
+
+
 # --- 5. Scores ----------------------------------------------------------------------------------------------------
 
 def log_weights(bigrams: np.ndarray, member: np.ndarray, types: int) -> np.ndarray:
@@ -235,16 +388,16 @@ def log_weights(bigrams: np.ndarray, member: np.ndarray, types: int) -> np.ndarr
     return np.log10(chance) - np.log10(count)
 
 
-def _score_batches(batches: Iterable[pa.RecordBatch], weights: np.ndarray, member: np.ndarray, end: int) -> Iterator[pa.RecordBatch]:
+def _score_batches(batches: Iterable[pa.RecordBatch], weights: np.ndarray, end: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             before, now, starts = _pairs(batch.column(6).to_pylist(), end)
-            sums = np.add.reduceat(weights[member[before], member[now]], starts)
+            sums = np.add.reduceat(weights[before, now], starts)
             score = batch.column(5).to_numpy(zero_copy_only=False) + sums
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(score)], names=[*_SCORED.names[:5], "score"])
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweeps: int = PLACINGS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     rows = docs.select(
@@ -255,37 +408,71 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     vocabulary = encoded.where("word is not null").select("chunk", "local", "word", "n")
 
     by_word = Window.partitionBy("word")
-    n_rows, tokens = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_rows, tokens, n_chunks = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("local") == 0)).first()
+    own_id = F.shiftleft("chunk", 31) + F.col("local")
     counted = hand_over(
         vocabulary.repartition(partitions_for(spark, n_rows, 2_000_000), "word")
-        .withColumn("c", F.sum("n").over(by_word))
-        .withColumn("first", F.row_number().over(by_word.orderBy("chunk")) == 1)
-        .select("chunk", "local", "c", F.when(F.col("first") & (F.col("c") > 0), F.col("word")).alias("word")), "lm-counts",
+        .withColumn("own", own_id)
+        .withColumns({"c": F.sum("n").over(by_word), "word_id": F.min("own").over(by_word)})
+        .select("chunk", "local", "c", "word_id", F.when((F.col("own") == F.col("word_id")) & (F.col("c") > 0), F.col("word")).alias("word")),
+        "lm-counts",
     )
     types = counted.where("word is not null").count()
-    # The end of a text is always a symbol of its own, whatever its count.
-    frequent = counted.where("word is not null and word != X''").orderBy(F.desc("c"), "word").limit(FREQUENT_WORDS - 1).select("word").collect()
-    end = 0
-    table = [(bytearray(), end)] + [(r["word"], i + 1) for i, r in enumerate(frequent)]
-    symbols = spark.createDataFrame(table, "word binary, symbol int")
-    named = vocabulary.join(F.broadcast(symbols), "word").select("chunk", "local", "symbol")  # FREQUENT_WORDS rows
-    slices = counted.select("chunk", "local", "c").join(named, ["chunk", "local"], "left")
-
-    texts = encoded.where("ids is not null").select("chunk", "doc_id", "held_out", "ids", "wide")
+    classes = class_count(types)
+    # The end of a text (number 0 of every chunk) is always a seed, whatever its count.
+    end = [r["word_id"] for r in counted.where("local = 0").select("word_id").limit(1).collect()]
+    frequent = counted.where("word is not null and word != X''").orderBy(F.desc("c"), "word").limit(SEEDS * classes - 1).select("word_id").collect()
+    in_order = np.array((end or [-2]) + [r["word_id"] for r in frequent], np.int64)
+    by_id = np.argsort(in_order)
+    seeds, seed_symbols, heads = in_order[by_id], by_id.astype(np.int64), len(in_order)
+
+    parts = partitions_for(spark, n_chunks, 4)
+    texts = encoded.where("ids is not null").select("chunk", "doc_id", "held_out", "ids", "wide").repartition(parts, "chunk").groupBy("chunk")
+    counts = counted.select("chunk", "local", "c", "word_id", F.lit(None).cast("int").alias("class"))
+    slices = counts
+
+    def grid_of(found: DataFrame, total: int) -> np.ndarray:
+        grid = np.zeros(total * total)
+        summed = found.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+        grid[summed["pair"].to_numpy()] = summed["n"].to_numpy()
+        return grid.reshape(total, total)
+
+    for sweep in range(sweeps):
+        total = heads + BANDS
+        contexts = hand_over(
+            texts.cogroup(slices.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(
+                partial(_contexts, seeds=seeds, seed_symbols=seed_symbols, heads=heads), _CONTEXTS_DDL
+            ), f"lm-contexts-{sweep}",
+        )
+        blobs = contexts.where("bigrams is not null").select("bigrams")
+        bigrams = grid_of(blobs.mapInArrow(partial(_sum_bigrams, total=total), "pair long, n long"), total)
+        if sweep == 0:
+            member = exchange(bigrams, heads, classes)
+            seed_symbols = member[seed_symbols]
+        else:
+            member = np.arange(total)
+        gains = gain_table(bigrams, member, classes)
+        todo = contexts.where("bigrams is null").select("word_id", "chunk", "local", "contexts")
+        placed = hand_over(
+            todo.repartition(partitions_for(spark, n_rows, 1_000_000), "word_id").sortWithinPartitions("word_id", "chunk")
+            .mapInArrow(partial(_place_batches, gains=gains), "chunk long, local int, class int"), f"lm-classes-{sweep}",
+        )
+        nothing = F.lit(None).cast("long")
+        slices = counts.union(placed.select("chunk", "local", nothing.alias("c"), nothing.alias("word_id"), "class"))
+        heads = classes
+
+    total = heads + BANDS
+    end_symbol = int(seed_symbols[np.flatnonzero(seeds == in_order[0])[0]])
     scored = hand_over(
-        texts.groupBy("chunk").cogroup(slices.groupBy("chunk")).applyInArrow(
-            lambda left, right: _symbol_tables(left, right, tokens, types), _SCORED_DDL
+        texts.cogroup(slices.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(
+            partial(_symbol_texts, seeds=seeds, seed_symbols=seed_symbols, heads=heads, tokens=tokens, types=types), _SCORED_DDL
         ), "lm-symbols",
     )
-    counts = scored.where("not held_out").select("symbols").mapInArrow(lambda x: _bigram_batches(x, end), "pair long, n long")
-    found = counts.groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    bigrams = np.zeros(SYMBOLS * SYMBOLS)
-    bigrams[[r["pair"] for r in found]] = [r["n"] for r in found]
-    bigrams = bigrams.reshape(SYMBOLS, SYMBOLS)
-    member = exchange(bigrams, FREQUENT_WORDS, CLASSES)
-    weights = log_weights(bigrams, member, types)
+    trained = scored.where("not held_out").select("symbols")
+    bigrams = grid_of(trained.mapInArrow(partial(_text_bigrams, total=total, end=end_symbol), "pair long, n long"), total)
+    weights = log_weights(bigrams, np.arange(total), types)
     done = scored.mapInArrow(
-        lambda x: _score_batches(x, weights, member, end),
+        partial(_score_batches, weights=weights, end=end_symbol),
         "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double",
     )
     return done.withColumn("train_tokens", F.lit(tokens).cast("long"))

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gradewell.llm import class_lm, language_id, quality
@@ -105,7 +106,8 @@ def check_base(df):
 def test_language_model_counts_and_perplexity(small, edges, nothing):
     rows = check_base(small)
     unseen = [r for r in rows if r["held_out"]]
-    assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)
+    tokens = sum(r["n_tokens"] for r in unseen)
+    assert sum(r["score"] - r["base_score"] for r in unseen) / tokens > 0.15
     assert all(math.isfinite(r["score"]) and r["score"] <= 0 for r in check_base(edges))
     assert class_lm.score_texts(nothing).count() == 0
 
@@ -141,10 +143,92 @@ def test_exchange_raises_the_likelihood():
     assert len({(bool(kind[i]), int(member[i])) for i in range(words)}) == 2
 
 
+def brute_score(rows, sweeps):
+    """Scores of texts, written out word by word: seeds by exchange, all others placed by their neighbours, two-step products."""
+    texts = [(d, (t or "").encode().lower().split() + [b""]) for d, t in rows]
+    trained = [ws for d, ws in texts if not held_out(d, 7, 2)]
+    counts = Counter(w for ws in trained for w in ws)
+    classes = class_lm.class_count(len(counts))
+    seeds = [b""] + sorted((w for w in counts if w), key=lambda w: (-counts[w], w))[: class_lm.SEEDS * classes - 1]
+    symbol = {w: i for i, w in enumerate(seeds)}
+    heads, bands, prior = len(seeds), class_lm.BANDS, class_lm.PRIOR
+
+    def of(word):
+        return symbol.get(word, heads + counts[word].bit_length())
+
+    def grid():
+        table = np.zeros((heads + bands, heads + bands))
+        for ws in trained:
+            for a, b in zip([b"", *ws], ws):
+                table[of(a), of(b)] += 1
+        return table
+
+    for sweep in range(sweeps):
+        table = grid()
+        member = class_lm.exchange(table, heads, classes) if sweep == 0 else np.arange(heads + bands)
+        total = int(member.max()) + 1
+        by_class = np.zeros((total, total))
+        for (a, b), n in np.ndenumerate(table):
+            by_class[member[a], member[b]] += n
+        size = by_class.sum(axis=0)
+        share = (size + 1) / (size + 1).sum()
+        chance = [[math.log((by_class[a, b] + prior * share[b]) / (by_class[a].sum() + prior)) for b in range(total)] for a in range(total)]
+        gains = {w: np.zeros(classes) for w in counts if counts[w] >= class_lm.MIN_COUNT and w not in seeds}
+        for ws in trained:
+            for a, w, b in zip([b"", *ws], ws, [*ws[1:], b""]):
+                if w in gains:
+                    before, after = member[of(a)], member[of(b)]
+                    gains[w] += [chance[k][after] + chance[before][k] - math.log(max(size[k], 1)) for k in range(classes)]
+        placed = {w: int(np.argmax(np.round(g, 6))) for w, g in gains.items()}
+        symbol = ({w: int(member[symbol[w]]) for w in seeds}) | placed
+        heads = classes
+    weights = class_lm.log_weights(grid(), np.arange(heads + bands), len(counts))
+    return [(d, sum(weights[of(a), of(b)] + math.log10(max(counts[b], 1)) for a, b in zip([b"", *ws], ws))) for d, ws in texts]
+
+
+@pytest.mark.parametrize("sweeps", [1, 2])
+def test_scores_of_the_whole_vocabulary_by_brute_force(spark, edges, documents, sweeps, monkeypatch):
+    monkeypatch.setattr(class_lm, "CHUNK_BYTES", 20_000)  # words meet their contexts from many chunks
+    rows = [(r["doc_id"], r["text"]) for r in documents.orderBy("doc_id").limit(120).collect()]
+    rows += [(900_001, None), (900_002, ""), (None, rows[0][1]), rows[1], rows[1], (900_003, "a b a b c c d zzz")]
+    got = class_lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), sweeps=sweeps).collect()
+    want = sorted(((d, round(s, 4)) for d, s in brute_score(rows, sweeps)), key=repr)
+    assert sorted(((r["doc_id"], round(r["score"], 4)) for r in got), key=repr) == want
+
+
+def test_words_are_placed_alike_however_their_rows_are_cut():
+    rng = np.random.default_rng(4)
+    gains = np.log(rng.random((30, 5)))
+    words = np.sort(rng.integers(0, 40, 300))
+    entries = []
+    for _ in words:
+        one = np.zeros(int(rng.integers(0, 4)), class_lm._ENTRY)
+        one["key"], one["n"] = rng.integers(0, 30, len(one)), rng.integers(1, 9, len(one))
+        entries.append(one)
+    want = {}
+    for word, one in zip(words, entries):
+        want[word] = want.get(word, np.zeros(5)) + (gains[one["key"]] * one["n"][:, None]).sum(axis=0)
+    best = [int(np.argmax(np.round(want[w], 6))) for w in words]
+    for rows, block in ((300, 1_000), (300, 3), (7, 1_000), (1, 1), (50, 5)):
+        batches = [
+            pa.RecordBatch.from_arrays([
+                pa.array(words[i : i + rows]), pa.array(np.arange(300)[i : i + rows]), pa.array(np.arange(300, dtype=np.int32)[i : i + rows]),
+                pa.array([e.tobytes() for e in entries[i : i + rows]], pa.binary()),
+            ], names=["word_id", "chunk", "local", "contexts"]) for i in range(0, 300, rows)
+        ]
+        out = pa.Table.from_batches(list(class_lm._place_batches(batches, gains, block)))
+        assert out["chunk"].to_pylist() == out["local"].to_pylist() == list(range(300)) and out["class"].to_pylist() == best
+
+
+def test_classes_grow_with_the_vocabulary():
+    assert [class_lm.class_count(n) for n in (0, 1_000, 370_000, 10**9)] == [8, 10, 72, 1000]
+
+
 def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(6)
-    bigrams = rng.integers(0, 5, (class_lm.SYMBOLS, class_lm.SYMBOLS)).astype(float)
-    member = class_lm.exchange(bigrams, class_lm.FREQUENT_WORDS, class_lm.CLASSES, sweeps=1)
+    seeds, classes = 64, 16
+    bigrams = rng.integers(0, 5, (seeds + class_lm.BANDS, seeds + class_lm.BANDS)).astype(float)
+    member = class_lm.exchange(bigrams, seeds, classes, sweeps=1)
     types = 9_999
     weights = class_lm.log_weights(bigrams, member, types)
     hot = np.eye(int(member.max()) + 1)[member]
