@@ -111,6 +111,30 @@ def test_aggregate_form_shuffles_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_grams_are_counted_in_the_row_of_their_pair(spark):
+    """Grams as rows filled the aggregate's memory and spilled many times the text."""
+    _, df = pairs(spark)
+    plan = summary.rouge_n(df, ["id"], "ref", "pred")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
+    # The shuffle carries keys and counts, not texts.
+    exchange = plan[plan.index("Exchange hashpartitioning"):].split("\n")[1]
+    assert "HashAggregate" in exchange and "_ref" not in exchange and "_pred" not in exchange
+
+
+def test_clipped_counts_of_repeated_grams(spark):
+    words = ["b", "a", "a", "", "é", "aa"]
+    rng = random.Random(3)
+    rows = [(i, *(" ".join(rng.choice(words) for _ in range(rng.randrange(40))) for _ in range(2))) for i in range(60)]
+    got = {r["id"]: r for r in summary.rouge_n(spark.createDataFrame(rows, "id long, ref string, pred string"), ["id"], "ref", "pred", (1, 2, 3)).collect()}
+    for key, *texts in rows:
+        sides = [re.findall("[a-z0-9]+", t) for t in texts]
+        for n in (1, 2, 3):
+            r, p = (Counter(tuple(w[i:i + n]) for i in range(len(w) - n + 1)) for w in sides)
+            both = (r & p).total()
+            want = (both / p.total() if p else 0, both / r.total() if r else 0, 2 * both / (r.total() + p.total()) if r or p else 0)
+            assert tuple(got[key][f"rouge{n}{x}"] for x in ("_precision", "_recall", "")) == pytest.approx(want)
+
+
 def test_long_pair():
     rng = random.Random(1)
     a, b = (" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(4000)) for _ in range(2))
