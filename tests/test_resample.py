@@ -73,3 +73,29 @@ def test_token_match_of_texts(spark):
         assert len(got) == len(texts)
         for i, (ref, pred) in enumerate(split):
             assert np.allclose(got[i], _brute(ref, pred, vectors, weights)), (i, idf)
+
+
+def test_vectors_travel_once_per_chunk(spark, monkeypatch):
+    """Equal scores whatever the chunks and the join; a chunk holds one row per distinct token, not one per pair."""
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(30)]
+    texts = [tuple(" ".join(rng.choice(words, rng.integers(0, 25))) for _ in range(2)) for _ in range(400)]
+    rows = spark.createDataFrame([(i, r, p) for i, (r, p) in enumerate(texts)], "row_id long, reference string, prediction string").repartition(2)
+    lists = {w: [float(x) for x in rng.normal(size=2)] for w in words[:25]}
+    table = spark.createDataFrame(list(lists.items()), "token string, vector array<float>")
+    joined = []
+    lookup = token_match.lookup_join
+    monkeypatch.setattr(token_match, "lookup_join", lambda left, *a, **b: joined.append(left.count()) or lookup(left, *a, **b))
+    # All pairs of a task in one chunk, then chunks of a few pairs with a shuffled join.
+    found = []
+    for step, most, limit in ((500, 1 << 17, 32 << 20), (3, 20, -1)):
+        monkeypatch.setattr(token_match, "_STEP", step)
+        monkeypatch.setattr(token_match, "CHUNK_VOCABULARY", most)
+        monkeypatch.setattr("gradewell.plans.skew.BROADCAST_BYTES", limit)
+        found.append({r["row_id"]: tuple(r)[1:] for r in token_match.match_texts(rows, ["row_id"], "reference", "prediction", table).collect()})
+    assert joined[0] <= 2 * len(words)
+    refs = Counter(t for r, _ in texts for t in set(r.split()))
+    weights = {w: math.log((len(texts) + 1) / (refs[w] + 1)) for w in words}
+    for i, (r, p) in enumerate(texts):
+        want = _brute(r.split(), p.split(), {w: np.float32(x).tolist() for w, x in lists.items()}, weights)
+        assert np.allclose(found[0][i], want) and np.allclose(found[1][i], want)
