@@ -19,11 +19,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradewell.llm.common import fold, hand_over
+from gradewell.plans.skew import number_rows
 
 FOLDS, UNDETERMINED = 5, "und"
 SAMPLE_DOCUMENTS, MODEL_ROWS, LONGEST_GRAM = 5_000, 100_000, 4
@@ -131,6 +133,32 @@ class Model:
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
+def _ranked(counts: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """(length, unit, by, position) from the most frequent unit of each length on, and the first position of each length.
+
+    The order is made by ranges on the executors; the driver would have to merge the best ``MODEL_ROWS`` rows of every task.
+    """
+    found = counts.groupBy("length", "unit").agg(
+        (-F.sum("n")).alias("_less"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
+    ranked = number_rows(found, ["length", "_less", "unit"])
+    starts = {r["length"]: r["start"] for r in ranked.groupBy("length").agg(F.min("position").alias("start")).collect()}
+    return ranked, starts
+
+
+def _frequencies(by: pa.ChunkedArray, languages: list[str]) -> np.ndarray:
+    """Units by languages, from Arrow maps of language to count."""
+    table = np.zeros((len(by), len(languages)))
+    at = 0
+    for maps in by.chunks:
+        sizes = np.diff(maps.offsets.to_numpy())
+        first, last = maps.offsets[0].as_py(), maps.offsets[-1].as_py()
+        rows = at + np.repeat(np.arange(len(maps)), sizes)
+        columns = pc.index_in(maps.keys[first:last], pa.array(languages, maps.keys.type)).to_numpy(zero_copy_only=False)
+        table[rows, columns] = maps.items[first:last].to_numpy(zero_copy_only=False)
+        at += len(maps)
+    return table
+
+
 def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE_DOCUMENTS, id_col: str = "doc_id") -> Model:
     """Fit on labelled rows. Counting runs on the executors; only the bounded model reaches the driver."""
     labelled = docs.select(
@@ -146,22 +174,21 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang", samp
         drawn.drop("id").mapInArrow(_count_batches, "lang string, length int, unit string, n long")
         .groupBy("length", "unit", "lang").agg(F.sum("n").alias("n")), "language-counts",
     )
+    totals = {(r["length"], r["lang"]): r["n"] for r in counts.groupBy("length", "lang").agg(F.sum("n").alias("n")).collect()}
+    ranked, starts = _ranked(counts)
     units: list[dict[str, int]] = []
     tables = []
     for length in range(LONGEST_GRAM + 1):
-        own = counts.where(F.col("length") == length)
-        totals = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        top = own.groupBy("unit").agg(
-            F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
-        ).orderBy(F.desc("total"), "unit").limit(MODEL_ROWS).collect()
-        table = np.array([[r["by"].get(k, 0) for k in languages] for r in top], np.float64).reshape(len(top), len(languages))
-        table = np.log((table + SMOOTHING) / (np.array([totals.get(k, 0) for k in languages]) + SMOOTHING * (len(top) + 1)))
-        peak = table.max(axis=1, keepdims=True) if len(top) else table
+        start = starts.get(length, 0)
+        top = ranked.where((F.col("length") == length) & F.col("position").between(start, start + MODEL_ROWS - 1)).select("unit", "by").toArrow()
+        table = _frequencies(top["by"], languages)
+        table = np.log((table + SMOOTHING) / (np.array([totals.get((length, k), 0) for k in languages]) + SMOOTHING * (len(table) + 1)))
+        peak = table.max(axis=1, keepdims=True) if len(table) else table
         table -= peak + np.log(np.exp(table - peak).sum(axis=1, keepdims=True))
-        start = sum(map(len, tables))
-        units.append({r["unit"]: start + i for i, r in enumerate(top)})
-        tables.append(table)
-    return Model(languages, units, np.concatenate(tables).astype(np.float32))
+        at = sum(map(len, tables))
+        units.append(dict(zip(top["unit"].to_pylist(), range(at, at + len(table)))))
+        tables.append(table.astype(np.float32))
+    return Model(languages, units, np.concatenate(tables))
 
 
 def _predict_batches(batches: Iterable[pa.RecordBatch], model, text_at: int) -> Iterator[pa.RecordBatch]:

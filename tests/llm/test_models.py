@@ -55,6 +55,29 @@ def test_copies_are_drawn_one_by_one(spark):
     assert len(model.languages) == 10 and all(model.predict(f"word{chr(97 + i)}")[0] == f"l{i}" for i in range(10))
 
 
+def test_units_reach_the_driver_as_arrow_columns(spark, monkeypatch):
+    """Rows and dictionaries of all units took most of the driver's memory."""
+    docs = spark.createDataFrame(
+        [(i, "ab"[i % 2], f"wort{'abcdefgh'[i % 8]}{'ijklmnop'[i // 8 % 8]} gleich {'nur' if i % 2 else 'auch'}") for i in range(400)],
+        "doc_id long, lang string, text string")
+    collected, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: collected.append(rows := collect(df)) or rows)
+    monkeypatch.setattr(language_id, "MODEL_ROWS", 50)
+    model = language_id.train(docs)
+    assert max(map(len, collected)) <= 2 * (language_id.LONGEST_GRAM + 1)
+    # The most frequent words, among equals those that sort first.
+    counts = Counter(w for r in docs.toLocalIterator() for w in r["text"].split())
+    assert set(model.units[0]) == set(sorted(counts, key=lambda w: (-counts[w], w))[:50])
+    row = model.table[model.units[0]["gleich"]]
+    assert model.predict("nur")[0] == "b" and model.predict("auch")[0] == "a" and abs(row[0] - row[1]) < 1e-5
+
+
+def test_frequencies_of_maps():
+    kind = pa.map_(pa.string(), pa.int64())
+    maps = pa.chunked_array([pa.array([[("x", 9)], [("b", 2), ("a", 1)], []], kind)[1:], pa.array([[("b", 3)]], kind)])
+    assert language_id._frequencies(maps, ["a", "b", "x"]).tolist() == [[1, 2, 0], [0, 0, 0], [0, 3, 0]]
+
+
 def test_unseen_words_fall_back_to_grams():
     table = np.log(np.array([[0.9, 0.1], [0.2, 0.8], [0.7, 0.3]], np.float32))
     model = language_id.Model(["aa", "bb"], [{"word": 0}, {"q": 1}, {}, {}, {"\x02zur": 2}], table)
