@@ -57,6 +57,8 @@ SCRIPTS = [
 ]
 # Words remembered, piece ids of a word that is not, and characters of texts whose words are looked up together.
 _REMEMBERED, _LONG_WORD, _BLOCK = 300_000, 64, 1 << 20
+# An odd number whose powers mix the words of a window.
+_FACTOR = 0x9E3779B97F4A7C15
 
 MEASURED = T.StructType([
     *[T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
@@ -88,22 +90,33 @@ class Vocabularies:
 
     def _forget(self) -> None:
         self.places: dict[str, int] = {}
-        self.ids: list[list[int]] = []
-        self.byte_counts: list[int] = []
+        # Piece ids of all words one after the other; each word's first place there, number of ids and byte-level tokens.
+        self.ids = np.zeros(0, np.int32)
+        self.starts, self.sizes, self.byte_counts = (np.zeros(0, np.int64) for _ in range(3))
 
     def learn(self, words: set[str]) -> None:
         """Give every word a place. Words seen before keep theirs until there are many, or long ones among them."""
-        if len(self.ids) > _REMEMBERED or sum(map(len, self.ids[-1:])) > _LONG_WORD:
+        if len(self.sizes) > _REMEMBERED or self.sizes[-1:].sum() > _LONG_WORD:
             self._forget()
         new = sorted(words.difference(self.places), key=len)  # a long word comes last
-        self.places.update(zip(new, range(len(self.ids), len(self.ids) + len(new))))
-        self.ids += self.pieces.encode(new, num_threads=1)
-        self.byte_counts += [len(self.byte_tokens.encode_ordinary(" " + w)) for w in new]
+        self.places.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
+        found = self.pieces.encode(new, num_threads=1)
+        sizes = np.fromiter(map(len, found), np.int64, len(new))
+        self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(sizes) - sizes]
+        self.sizes = np.r_[self.sizes, sizes]
+        self.ids = np.r_[self.ids, np.fromiter(chain.from_iterable(found), np.int32, sizes.sum())]
+        self.byte_counts = np.r_[self.byte_counts, np.fromiter((len(self.byte_tokens.encode_ordinary(" " + w)) for w in new), np.int64, len(new))]
 
     def of(self, words: list[str]) -> np.ndarray:
-        """The place of each learned word in ``ids`` and ``byte_counts``: its piece ids, its number of byte-level tokens."""
+        """The place of each learned word in ``starts``, ``sizes`` and ``byte_counts``."""
         return np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
 
+    def pieces_at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The piece ids of the words at ``places``, one word after the other, and how many each has."""
+        sizes = self.sizes[places]
+        before = np.cumsum(sizes) - sizes
+        return self.ids[np.arange(sizes.sum()) + np.repeat(self.starts[places] - before, sizes)], sizes
+
 
 @lru_cache(maxsize=2)
 def _vocabularies(pieces: str, byte_tokens: str) -> Vocabularies:
@@ -113,11 +126,18 @@ def _vocabularies(pieces: str, byte_tokens: str) -> Vocabularies:
 def repeated_words(ids: np.ndarray, window: int = WINDOW) -> int:
     """Words, given as numbers, that lie in a window of ``window`` words found twice or more in the text.
 
-    Pairs of numbers of adjoining runs become numbers of runs twice as long, which is exact.
+    Where no two windows share a hash, none repeat. Else pairs of numbers of adjoining runs become numbers of runs twice as
+    long, which is exact.
     """
     n = len(ids)
     if n <= window:
         return 0
+    hashes = np.zeros(n - window + 1, np.uint64)
+    for at in range(window):
+        hashes += ids[at : n - window + 1 + at].astype(np.uint64) * np.uint64(pow(_FACTOR, at + 1, 1 << 64))
+    hashes.sort()
+    if (hashes[1:] != hashes[:-1]).all():
+        return 0
     ids, length = np.unique(ids, return_inverse=True)[1], 1
     while length < window:
         shift = min(length, window - length)
@@ -155,15 +175,13 @@ def script_of(text: str) -> str:
 def measures(chars: int, places: np.ndarray, seen: Vocabularies) -> tuple:
     """(tokens, code points per piece, per byte-level token, share of byte pieces, entropy in bits)."""
     unique, counts = np.unique(places, return_counts=True)
-    pieces = [seen.ids[i] for i in unique.tolist()]
-    byte_tokens = sum(seen.byte_counts[i] * n for i, n in zip(unique.tolist(), counts.tolist()))
-    ids = np.fromiter(chain.from_iterable(pieces), np.int64)
+    ids, sizes = seen.pieces_at(unique)
+    byte_tokens = int(seen.byte_counts[unique] @ counts)
     if not len(ids) or not byte_tokens:
         return 0, None, None, None, None
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    times = np.bincount(ids, weights=np.repeat(counts, sizes))
-    found = np.flatnonzero(times)
-    times, n = times[found], float(times.sum())
+    found, at = np.unique(ids, return_inverse=True)
+    times = np.bincount(at, weights=np.repeat(counts, sizes))
+    n = float(times.sum())
     entropy = max(0.0, float(np.log2(n) - (times * np.log2(times)).sum() / n))
     return int(n), chars / n, chars / byte_tokens, float(times[seen.is_byte[found]].sum()) / n, entropy
 

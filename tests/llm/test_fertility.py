@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from gradewell.llm import fertility
@@ -44,6 +45,28 @@ def test_repeated_windows_by_brute_force(vocabularies):
         assert fertility.repeated_words(vocabularies.of(words)) == base(text)[4]
 
 
+def test_windows_with_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(fertility, "_FACTOR", 1 << 32)  # only the first two words count
+    ids = np.array([1, 2, *range(10, 20), 1, 2, *range(30, 40)])
+    assert fertility.repeated_words(ids) == 0
+    assert fertility.repeated_words(np.r_[ids, ids[:9]]) == 18
+
+
+def test_words_learned_in_parts_keep_their_pieces(vocabularies, monkeypatch):
+    """Piece ids lie in one array, and counts of a text are sums over it; words and long ones may be forgotten between texts."""
+    monkeypatch.setattr(fertility, "_REMEMBERED", 40)
+    rng = random.Random(4)
+    for i in range(60):
+        words = ["".join(rng.choices("abcdé中", k=rng.randint(1, 9))) for _ in range(30)] + ["x" * 500] * (i % 3 == 0)
+        vocabularies.learn(set(words))
+        ids, sizes = vocabularies.pieces_at(vocabularies.of(words))
+        want = [vocabularies.pieces.encode(w) for w in words]
+        assert ids.tolist() == sum(want, []) and sizes.tolist() == list(map(len, want))
+        n, per_piece, *_ = fertility.measures(sum(map(len, words)), vocabularies.of(words), vocabularies)
+        assert n == len(ids) and math.isclose(per_piece, sum(map(len, words)) / n)
+    assert vocabularies.pieces_at(np.zeros(0, np.int64))[0].tolist() == []
+
+
 def test_measures_are_the_tokenizers(spark, documents, vocabularies):
     rows = {r["doc_id"]: r for r in fertility.measure(documents).withColumnRenamed("id", "doc_id").collect()}
     for r in documents.limit(60).collect():
