@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradewell.llm.common import fold, hand_over, partitions_for
+from gradewell.llm.common import fold, hand_over, partitions_for, shuffles_freed
 
 FOLDS, HELD_OUT = 7, 2
 # Every word seen so often in training is placed in a class.
@@ -315,10 +315,11 @@ def gain_table(bigrams: np.ndarray, member: np.ndarray, classes: int) -> np.ndar
     return np.concatenate([after[member], before[member]])
 
 
-def _place_batches(batches: Iterable[pa.RecordBatch], gains: np.ndarray, block: int = 50_000) -> Iterator[pa.RecordBatch]:
+def _place_batches(batches: Iterable[pa.RecordBatch], gains: np.ndarray, block: int = 4_000) -> Iterator[pa.RecordBatch]:
     """The best class of each word, for every row of the word; rows come sorted by word.
 
-    The gain is a sum over contexts, so a word carries one number per class from row to row, however many rows it has.
+    The gain is a sum over contexts, so a word carries one number per class from row to row, however many rows it has. Contexts
+    are added up in blocks whose products stay in the processor's cache.
     """
     word, sums, chunks, locals_ = None, np.zeros(gains.shape[1]), [], []
 
@@ -399,18 +400,25 @@ def _score_batches(batches: Iterable[pa.RecordBatch], weights: np.ndarray, end:
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sweeps: int = PLACINGS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    with shuffles_freed(docs.sparkSession):
+        return _score_texts(docs, id_col, text_col, sweeps)
+
+
+def _score_texts(docs: DataFrame, id_col: str, text_col: str, sweeps: int) -> DataFrame:
     spark = docs.sparkSession
+    # Numbers that rise from row to row shrink further than under the default.
+    packed = partial(hand_over, compression="zstd")
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), (fold(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"),
         F.col(text_col).cast("binary").alias("text"),
     )
-    encoded = hand_over(rows.mapInArrow(_encode_batches, _ENCODED_DDL), "lm-chunks")
+    encoded = packed(rows.mapInArrow(_encode_batches, _ENCODED_DDL), "lm-chunks")
     vocabulary = encoded.where("word is not null").select("chunk", "local", "word", "n")
 
     by_word = Window.partitionBy("word")
     n_rows, tokens, n_chunks = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("local") == 0)).first()
     own_id = F.shiftleft("chunk", 31) + F.col("local")
-    counted = hand_over(
+    counted = packed(
         vocabulary.repartition(partitions_for(spark, n_rows, 2_000_000), "word")
         .withColumn("own", own_id)
         .withColumns({"c": F.sum("n").over(by_word), "word_id": F.min("own").over(by_word)})
@@ -439,7 +447,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     for sweep in range(sweeps):
         total = heads + BANDS
-        contexts = hand_over(
+        contexts = packed(
             texts.cogroup(slices.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(
                 partial(_contexts, seeds=seeds, seed_symbols=seed_symbols, heads=heads), _CONTEXTS_DDL
             ), f"lm-contexts-{sweep}",
@@ -453,7 +461,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             member = np.arange(total)
         gains = gain_table(bigrams, member, classes)
         todo = contexts.where("bigrams is null").select("word_id", "chunk", "local", "contexts")
-        placed = hand_over(
+        placed = packed(
             todo.repartition(partitions_for(spark, n_rows, 1_000_000), "word_id").sortWithinPartitions("word_id", "chunk")
             .mapInArrow(partial(_place_batches, gains=gains), "chunk long, local int, class int"), f"lm-classes-{sweep}",
         )
@@ -463,7 +471,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     total = heads + BANDS
     end_symbol = int(seed_symbols[np.flatnonzero(seeds == in_order[0])[0]])
-    scored = hand_over(
+    scored = packed(
         texts.cogroup(slices.repartition(parts, "chunk").groupBy("chunk")).applyInArrow(
             partial(_symbol_texts, seeds=seeds, seed_symbols=seed_symbols, heads=heads, tokens=tokens, types=types), _SCORED_DDL
         ), "lm-symbols",

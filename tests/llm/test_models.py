@@ -243,6 +243,17 @@ def test_words_are_placed_alike_however_their_rows_are_cut():
         assert out["chunk"].to_pylist() == out["local"].to_pylist() == list(range(300)) and out["class"].to_pylist() == best
 
 
+def test_shuffles_go_with_their_queries(spark, monkeypatch):
+    """All shuffles of the run stood on disk beside its tables until the driver collected garbage."""
+    key, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    write = class_lm.hand_over
+    monkeypatch.setattr(class_lm, "hand_over", lambda df, name, **how: seen.append((spark.conf.get(key), how)) or write(df, name, **how))
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(i, f"a b c{i % 3} d") for i in range(20)], "doc_id long, text string")
+    assert class_lm.score_texts(docs).count() == 20
+    assert len(seen) > 4 and all(x == ("true", {"compression": "zstd"}) for x in seen) and spark.conf.get(key) == before
+
+
 def test_classes_grow_with_the_vocabulary():
     assert [class_lm.class_count(n) for n in (0, 1_000, 370_000, 10**9)] == [8, 10, 72, 1000]
 
