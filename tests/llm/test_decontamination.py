@@ -158,6 +158,30 @@ def test_registered_query_returns_proximity_matches(spark, tmp_path):
     assert {r["doc_id"]: (r["n_items"], r["n_near_items"]) for r in rows} == {1: (1, 0), 2: (0, 1), 3: (0, 0)}
 
 
+def test_only_places_where_a_window_can_stand_are_written(spark, monkeypatch):
+    """Every place of every anchor word was written with its context and read back twice; texts were split into words three times."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
+    docs = [(i, f"{item.split()[i % 13]} and something else ") for i in range(500)]
+    docs += [(500, item), (501, item.replace("eta theta", "eta so theta")), (502, None), (503, "")]
+    written, write = {}, dec.hand_over
+
+    def recorded(df, name, **how):
+        out = write(df, name, **how)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(dec, "hand_over", recorded)
+    assert near_counts(spark, docs, [(1, item)]) == {i: (0, 0) for i in range(504)} | {500: (1, 0), 501: (0, 1)}
+    assert written.pop("words") == 504  # all texts, once
+    assert max(written.values()) < 20
+
+
+def test_short_items_of_which_one_word_is_no_near_anchor(spark):
+    items = [(1, "red blue"), (2, "red blue green"), (3, "red blue green grey"), (4, "blue blue"), (5, "One"), (5, "blue Red")]
+    docs = [(1, "RED blue"), (2, "blue red blue green"), (3, "red, blue. green! grey blue blue"), (4, "one blue"), (5, "red green"), (6, "blue red " * 40)]
+    check(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+
+
 def test_no_python_in_the_plan(spark, documents):
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     plan = dec.contamination(documents, items)._jdf.queryExecution().executedPlan().toString()
