@@ -58,6 +58,27 @@ _ENCODED = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out"
 _ENCODED_DDL = "chunk long, doc_id long, held_out boolean, ids binary, wide binary, word binary, local int, n long"
 
 
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWERED = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
+
+def _numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The texts' tokens as numbers, one text behind the other, the tokens of each text, and the word of each number.
+
+    Words are cut and lower-cased for all texts at once. Number 0 is the end of a text, written as the empty word.
+    """
+    raw = _LOWERED[np.frombuffer(b"\n".join([*texts, b""]), np.uint8)]
+    inside = ~_SPACE[raw]
+    edges = np.flatnonzero(np.diff(inside, prepend=False))  # each text ends with a space, so starts and ends alternate
+    starts, ends = edges[::2], edges[1::2]
+    offsets = np.r_[0, np.cumsum(ends - starts)]
+    letters = raw[inside]
+    spelled = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    last = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+    numbers = np.insert(spelled.indices.to_numpy().astype(np.uint32) + 1, last, 0)
+    return numbers, np.diff(last, prepend=0) + 1, pa.concat_arrays([pa.array([b""], pa.large_binary()), spelled.dictionary])
+
+
 def _encode_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks of texts as token numbers (16 bits, wider ones apart), then the words of each chunk.
 
@@ -65,7 +86,7 @@ def _encode_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """
     # A word's number is its chunk's number times 2^31 plus its place there: 2^20 tasks of 2^12 chunks each.
     chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 12
-    vocabulary, docs, size = {b"": 0}, [], 0
+    docs, size = [], 0
 
     def batch_of(rows: int, **columns) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -73,44 +94,35 @@ def _encode_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         )
 
     def flush() -> Iterator[pa.RecordBatch]:
-        n = len(vocabulary)
-        total, trained = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        for _, held_out, ids in docs:
-            seen = np.bincount(ids, minlength=n) if len(ids) * 8 > n else None
-            for counts in (total,) if held_out else (total, trained):
-                if seen is None:
-                    np.add.at(counts, ids, 1)
-                else:
-                    counts += seen
+        doc_ids, held_out, texts = zip(*docs)
+        numbers, lengths, words = _numbered(texts)
+        n = len(words)
+        total = np.bincount(numbers, minlength=n)
+        trained = np.bincount(numbers[~np.repeat(np.array(held_out, bool), lengths)], minlength=n)
         order = np.r_[0, 1 + np.argsort(-total[1:], kind="stable")]
         rank = np.empty(n, np.uint32)
         rank[order] = np.arange(n, dtype=np.uint32)
-        ranked = [rank[ids] for _, _, ids in docs]
+        ranked = np.split(rank[numbers], np.cumsum(lengths)[:-1])
         yield batch_of(
-            len(docs), chunk=[chunk] * len(docs), doc_id=[d for d, _, _ in docs], held_out=[h for _, h, _ in docs],
+            len(docs), chunk=[chunk] * len(docs), doc_id=doc_ids, held_out=held_out,
             ids=[np.minimum(x, _WIDE).astype("<u2").tobytes() for x in ranked],
             wide=[x[x >= _WIDE].astype("<u4").tobytes() for x in ranked],
         )
-        words = list(vocabulary)
         for at in range(0, n, 100_000):
-            part = order[at : at + 100_000].tolist()
+            part = order[at : at + 100_000]
             yield batch_of(
-                len(part), chunk=[chunk] * len(part), word=[words[i] for i in part],
+                len(part), chunk=np.full(len(part), chunk), word=words.take(pa.array(part)).cast(pa.binary()),
                 local=np.arange(at, at + len(part), dtype=np.int32), n=trained[part],
             )
 
     for batch in batches:
         for doc_id, held_out, text in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2)):
             text = text.as_py() or b""
-            words = text.lower().split()
-            for word in set(words).difference(vocabulary):
-                vocabulary[word] = len(vocabulary)
-            words.append(b"")
-            docs.append((doc_id, held_out, np.fromiter(map(vocabulary.__getitem__, words), np.uint32, len(words))))
+            docs.append((doc_id, held_out, text))
             size += len(text) + 50
             if size > CHUNK_BYTES:
                 yield from flush()
-                chunk, vocabulary, docs, size = chunk + 1, {b"": 0}, [], 0
+                chunk, docs, size = chunk + 1, [], 0
                 if not chunk % (1 << 12):
                     raise ValueError("a task reads over 4096 chunks of text; lower spark.sql.files.maxPartitionBytes")
     if docs:
@@ -315,34 +327,63 @@ def gain_table(bigrams: np.ndarray, member: np.ndarray, classes: int) -> np.ndar
     return np.concatenate([after[member], before[member]])
 
 
-def _place_batches(batches: Iterable[pa.RecordBatch], gains: np.ndarray, block: int = 4_000) -> Iterator[pa.RecordBatch]:
+# Words with more contexts than this in a block are summed one by one, the others all at once, context by context.
+_MANY = 32
+
+
+def _entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """How many contexts each row has, and those of all rows."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] // _ENTRY.itemsize
+    return np.diff(offsets), np.frombuffer(column.buffers()[2] or b"", _ENTRY, offsets[-1])[offsets[0] :]
+
+
+def _summed(entries: np.ndarray, sizes: np.ndarray, gains: np.ndarray) -> np.ndarray:
+    """The gains of words that have so many of the contexts each, in order."""
+    order = np.argsort(-sizes, kind="stable")
+    first, size = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    keys, n = entries["key"].astype(np.intp), entries["n"].astype(np.float64)
+    sums = np.zeros((len(sizes), gains.shape[1]))
+    many = int(np.searchsorted(-size, -_MANY))
+    for i in range(many):
+        own = slice(first[i], first[i] + size[i])
+        sums[i] = n[own] @ gains[keys[own]]
+    for k in range(min(_MANY, int(size[many])) if many < len(size) else 0):
+        at = first[many : int(np.searchsorted(-size, -k))] + k
+        rows = gains[keys[at]]
+        rows *= n[at][:, None]
+        sums[many : many + len(at)] += rows
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
+
+
+def _best(sums: np.ndarray) -> np.ndarray:
+    """The class of the largest gain, equal up to six places being a tie."""
+    return np.argmax(np.rint(sums * 1e6), axis=-1).astype(np.int32)
+
+
+def _place_batches(batches: Iterable[pa.RecordBatch], gains: np.ndarray, block: int = 16_000) -> Iterator[pa.RecordBatch]:
     """The best class of each word, for every row of the word; rows come sorted by word.
 
     The gain is a sum over contexts, so a word carries one number per class from row to row, however many rows it has. Contexts
-    are added up in blocks whose products stay in the processor's cache.
+    are added up in blocks, over all rows of a word at once.
     """
     word, sums, chunks, locals_ = None, np.zeros(gains.shape[1]), [], []
 
     def placed() -> pa.RecordBatch:
         chunk, local = np.concatenate(chunks), np.concatenate(locals_)
-        best = int(np.argmax(np.round(sums, 6)))
-        return pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(local), pa.array(np.full(len(chunk), best, np.int32))], names=["chunk", "local", "class"])
+        return pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(local), pa.array(np.full(len(chunk), _best(sums)))], names=["chunk", "local", "class"])
 
     for batch in batches:
         ids, chunk, local = (batch.column(i).to_numpy() for i in range(3))
-        column = batch.column(3).to_pylist()
-        sizes = np.array([len(x) // _ENTRY.itemsize for x in column], np.int64)
+        sizes, entries = _entries(batch.column(3))
         ends, at = np.cumsum(sizes), 0
         while at < len(ids):
-            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + block, "right")))
-            entries = np.frombuffer(b"".join(column[at:stop]), _ENTRY)
-            rows = np.zeros((stop - at, gains.shape[1]))
-            full = np.flatnonzero(sizes[at:stop])
-            if len(full):
-                first = (np.cumsum(sizes[at:stop]) - sizes[at:stop])[full]
-                rows[full] = np.add.reduceat(gains[entries["key"]] * entries["n"][:, None], first)
+            done = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, done + block, "right")))
             own, where = ids[at:stop], np.flatnonzero(np.r_[True, ids[at + 1 : stop] != ids[at : stop - 1]])
-            by_word = np.add.reduceat(rows, where)
+            by_word = _summed(entries[done : ends[stop - 1]], np.add.reduceat(sizes[at:stop], where), gains)
             edges = np.r_[where, stop - at]
             if word is not None and own[0] != word:
                 yield placed()
@@ -353,9 +394,9 @@ def _place_batches(batches: Iterable[pa.RecordBatch], gains: np.ndarray, block:
                 locals_.append(local[at : at + edges[-2]])
                 head = np.diff(edges)[:-1].copy()
                 head[0] += sum(map(len, chunks[:-1]))
-                best = np.argmax(np.round(by_word[:-1], 6), axis=1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(chunks)), pa.array(np.concatenate(locals_)), pa.array(np.repeat(best, head))], names=["chunk", "local", "class"]
+                    [pa.array(np.concatenate(chunks)), pa.array(np.concatenate(locals_)), pa.array(np.repeat(_best(by_word[:-1]), head))],
+                    names=["chunk", "local", "class"],
                 )
                 chunks, locals_ = [], []
             word, sums = own[-1], by_word[-1]

@@ -1,6 +1,7 @@
 """Language identification, quality and class language model: held-out figures, exact counts, edge cases."""
 
 import math
+import time
 import zlib
 from collections import Counter
 
@@ -243,6 +244,59 @@ def test_words_are_placed_alike_however_their_rows_are_cut():
         assert out["chunk"].to_pylist() == out["local"].to_pylist() == list(range(300)) and out["class"].to_pylist() == best
 
 
+def test_words_with_many_contexts_and_rows_of_a_slice():
+    rng = np.random.default_rng(5)
+    gains = np.log(rng.random((50, 7)))
+    words = np.repeat(np.arange(12), 5)
+    entries = []
+    for i, _ in enumerate(words):  # some words have none, some few, some more than are summed together
+        one = np.zeros([0, 2, class_lm._MANY, 40][i // 5 % 4], class_lm._ENTRY)
+        one["key"], one["n"] = rng.integers(0, 50, len(one)), rng.integers(1, 70_000, len(one))
+        entries.append(one)
+    want = [int(np.argmax(np.round(sum((gains[e["key"]] * e["n"][:, None]).sum(axis=0) for e in entries[w * 5 : w * 5 + 5]), 6))) for w in words]
+    whole = pa.RecordBatch.from_arrays([
+        pa.array(words), pa.array(np.arange(60)), pa.array(np.arange(60, dtype=np.int32)), pa.array([e.tobytes() for e in entries], pa.binary()),
+    ], names=["word_id", "chunk", "local", "contexts"])
+    for block in (1, 64, 16_000):
+        out = pa.Table.from_batches(list(class_lm._place_batches([whole.slice(0, 17), whole.slice(17, 1), whole.slice(18)], gains, block)))
+        assert out["chunk"].to_pylist() == list(range(60)) and out["class"].to_pylist() == want
+
+
+def test_words_of_all_texts_are_numbered_at_once():
+    texts = [b"", b" \t\n\x0b\x0c\r", b"One one\x00 TWO", "Él él ÉL\u00a0x".encode(), b"", b"  two\nthree  ", b"\x1cone \xff\xfe"]
+    for some in (texts, texts[:1], texts[:2], texts[2:3], texts * 3):
+        numbers, lengths, words = class_lm._numbered(some)
+        spelled = [words[i].as_py() for i in numbers.tolist()]
+        want = [t.lower().split() + [b""] for t in some]
+        assert spelled == [w for ws in want for w in ws] and lengths.tolist() == [len(ws) for ws in want]
+        assert words[0].as_py() == b"" and len(set(words.to_pylist())) == len(words)
+
+
+def least_seconds(run, times=3):
+    taken = []
+    for _ in range(times):
+        began = time.process_time()
+        run()
+        taken.append(time.process_time() - began)
+    return min(taken)
+
+
+def test_placing_takes_little_more_time_than_reading_the_gains():
+    """Sums of a few contexts each, class by class, took over ten times as long."""
+    rng = np.random.default_rng(6)
+    gains, rows = np.log(rng.random((960, 108))), 20_000
+    entries = np.zeros(rows * 5, class_lm._ENTRY)
+    entries["key"], entries["n"] = rng.integers(0, 960, len(entries)), 1
+    packed = entries.tobytes()
+    batch = pa.RecordBatch.from_arrays([
+        pa.array(np.arange(rows) // 5), pa.array(np.arange(rows)), pa.array(np.arange(rows, dtype=np.int32)),
+        pa.array([packed[i : i + 30] for i in range(0, len(packed), 30)], pa.binary()),
+    ], names=["word_id", "chunk", "local", "contexts"])
+    keys = entries["key"].reshape(-1, 1000)
+    plain = least_seconds(lambda: [gains[some].sum() for some in keys])
+    assert least_seconds(lambda: list(class_lm._place_batches([batch], gains))) < 4 * plain
+
+
 def test_shuffles_go_with_their_queries(spark, monkeypatch):
     """All shuffles of the run stood on disk beside its tables until the driver collected garbage."""
     key, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
