@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradewell.llm.common import fold, hand_over, partitions_for, shuffles_freed
+from gradewell.llm.common import fold, hand_over, let_go, partitions_for, shuffles_freed
 
 FOLDS, HELD_OUT = 7, 2
 # Every word seen so often in training is placed in a class.
@@ -470,15 +470,20 @@ def _score_texts(docs: DataFrame, id_col: str, text_col: str, sweeps: int) -> Da
     classes = class_count(types)
     # The end of a text (number 0 of every chunk) is always a seed, whatever its count.
     end = [r["word_id"] for r in counted.where("local = 0").select("word_id").limit(1).collect()]
-    frequent = counted.where("word is not null and word != X''").orderBy(F.desc("c"), "word").limit(SEEDS * classes - 1).select("word_id").collect()
+    frequent = counted.where("word is not null and word != X''").orderBy(F.desc("c"), "word").limit(SEEDS * classes - 1).select("word_id", "c").collect()
     in_order = np.array((end or [-2]) + [r["word_id"] for r in frequent], np.int64)
     by_id = np.argsort(in_order)
     seeds, seed_symbols, heads = in_order[by_id], by_id.astype(np.int64), len(in_order)
 
     parts = partitions_for(spark, n_chunks, 4)
     texts = encoded.where("ids is not null").select("chunk", "doc_id", "held_out", "ids", "wide").repartition(parts, "chunk").groupBy("chunk")
-    counts = counted.select("chunk", "local", "c", "word_id", F.lit(None).cast("int").alias("class"))
-    slices = counts
+
+    def counts_from(least: int) -> DataFrame:
+        """Counts for each chunk; numbers only of ends and of words seen ``least`` times, because they are the bulk of what is shuffled."""
+        word_id = F.when((F.col("c") >= least) | (F.col("local") == 0), F.col("word_id")).alias("word_id")
+        return counted.select("chunk", "local", "c", word_id, F.lit(None).cast("int").alias("class"))
+
+    slices = counts_from(MIN_COUNT if sweeps else 0)
 
     def grid_of(found: DataFrame, total: int) -> np.ndarray:
         grid = np.zeros(total * total)
@@ -506,7 +511,10 @@ def _score_texts(docs: DataFrame, id_col: str, text_col: str, sweeps: int) -> Da
             todo.repartition(partitions_for(spark, n_rows, 1_000_000), "word_id").sortWithinPartitions("word_id", "chunk")
             .mapInArrow(partial(_place_batches, gains=gains), "chunk long, local int, class int"), f"lm-classes-{sweep}",
         )
+        let_go(contexts)  # both its bigrams and its words are used up
         nothing = F.lit(None).cast("long")
+        # After the last sweep only seeds are told by their numbers.
+        counts = counts_from(MIN_COUNT if sweep + 1 < sweeps else min((r["c"] for r in frequent), default=0))
         slices = counts.union(placed.select("chunk", "local", nothing.alias("c"), nothing.alias("word_id"), "class"))
         heads = classes
 

@@ -1,6 +1,7 @@
 """Language identification, quality and class language model: held-out figures, exact counts, edge cases."""
 
 import math
+import os
 import time
 import zlib
 from collections import Counter
@@ -297,6 +298,21 @@ def test_placing_takes_little_more_time_than_reading_the_gains():
     assert least_seconds(lambda: list(class_lm._place_batches([batch], gains))) < 4 * plain
 
 
+def test_contexts_go_with_their_sweep(documents, monkeypatch):
+    """The contexts of both sweeps, the largest tables but one, stood on disk to the end."""
+    files, write = {}, class_lm.hand_over
+
+    def recorded(df, name, **how):
+        out = write(df, name, **how)
+        files[name] = [f.removeprefix("file://") for f in out.inputFiles()]
+        return out
+
+    monkeypatch.setattr(class_lm, "hand_over", recorded)
+    assert class_lm.score_texts(documents).count() == documents.count()
+    left = {name for name, found in files.items() if any(os.path.exists(f) for f in found)}
+    assert left == set(files) - {"lm-contexts-0", "lm-contexts-1"} and len(files) == 7
+
+
 def test_shuffles_go_with_their_queries(spark, monkeypatch):
     """All shuffles of the run stood on disk beside its tables until the driver collected garbage."""
     key, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
