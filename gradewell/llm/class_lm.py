@@ -1,8 +1,9 @@
 """Language model scores from Brown classes: exchange clustering, class transitions and word emissions.
 
-1. Each scan task writes its texts as chunks: token numbers, and the chunk's own vocabulary with training counts.
-2. The vocabularies are joined by word into exact counts over the whole corpus, and every chunk gets back the counts of
-   its own words. What is shuffled is one row per distinct word and chunk, never one per token.
+1. Each scan task writes its texts as chunks: token numbers, and the chunk's own vocabulary with training counts. The words
+   are dealt over blocks by their checksum; the words of one chunk and block are one row, their numbers binary arrays.
+2. Each block adds up the exact counts of its words over the whole corpus, and every chunk gets back the counts of
+   its own words. What is shuffled is one entry per distinct word and chunk, never one per token.
 3. Classes grow with the cube root of the vocabulary. Exchange clustering moves the most frequent words, four to a class,
    between classes while the likelihood of the class bigrams rises.
 4. Then every other word seen twice or more in training is placed. A sweep adds up the symbols before and after each word over
@@ -14,9 +15,10 @@
    training (the Good-Turing estimate), and the rest is scaled down for it.
 
 Only bigrams of seeds and of classes reach the driver: (4 classes + 48)^2 numbers at most, a cube-root law. A word that is not
-a seed has one row per chunk of 16 MB in the sweeps; a task adds those up as they stream by. Null text counts as empty and has
-just its end token. A null id counts as the empty text in the choice of held-out documents; repeated rows each count and are
-scored alike. Very long texts make chunks of their own. Ties go to the word lower in byte order (seeds) and to the lower class.
+a seed has one entry per chunk of 16 MB in the sweeps. A task holds one block, the words of about 32 MB of text; there are more
+blocks as the text grows, never larger ones. Null text counts as empty and has just its end token. A null id counts as the empty
+text in the choice of held-out documents; repeated rows each count and are scored alike. Very long texts make chunks of their own.
+Ties go to the word lower in byte order (seeds) and to the lower class.
 Without training tokens every score is 0.
 """
 
@@ -24,11 +26,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import partial
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradewell.llm.common import fold, hand_over, let_go, partitions_for, shuffles_freed
@@ -43,6 +47,8 @@ BANDS = 48
 # Strength of the class frequencies against transitions.
 PRIOR = 20.0
 CHUNK_BYTES = 16 << 20
+# Text for each block of the vocabulary.
+BLOCK_BYTES = 32 << 20
 _WIDE = 0xFFFF
 
 
@@ -53,9 +59,31 @@ def class_count(types: int) -> int:
 
 # --- 1. Chunks ----------------------------------------------------------------------------------------------------
 
-_ENCODED = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()),
-                      ("wide", pa.binary()), ("word", pa.binary()), ("local", pa.int32()), ("n", pa.int64())])
-_ENCODED_DDL = "chunk long, doc_id long, held_out boolean, ids binary, wide binary, word binary, local int, n long"
+_ENCODED = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("ids", pa.binary()), ("wide", pa.binary()),
+                      ("block", pa.int32()), ("words", pa.binary()), ("sizes", pa.binary()), ("local", pa.binary()), ("n", pa.binary())])
+_ENCODED_DDL = ("chunk long, doc_id long, held_out boolean, ids binary, wide binary, block int, words binary, sizes binary, local binary, "
+                "n binary")
+
+
+def _packed(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The values between each two edges as one binary value."""
+    offsets, raw = edges.astype(np.int64) * values.itemsize, np.ascontiguousarray(values).view(np.uint8)
+    return pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def _unpacked(column: pa.ChunkedArray, kind: np.dtype | str) -> np.ndarray:
+    """The values of all rows, one behind the other."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _edges(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Where the values of each row begin and end in what :func:`_unpacked` returns."""
+    return np.r_[0, np.cumsum(pc.binary_length(column).to_numpy().astype(np.int64) // width)]
+
+
+def _spelled(letters: bytes, sizes: np.ndarray) -> pa.Array:
+    offsets = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
 
 
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -71,20 +99,18 @@ def _numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     inside = ~_SPACE[raw]
     edges = np.flatnonzero(np.diff(inside, prepend=False))  # each text ends with a space, so starts and ends alternate
     starts, ends = edges[::2], edges[1::2]
-    offsets = np.r_[0, np.cumsum(ends - starts)]
-    letters = raw[inside]
-    spelled = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+    spelled = _spelled(raw[inside], ends - starts).dictionary_encode()
     last = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
     numbers = np.insert(spelled.indices.to_numpy().astype(np.uint32) + 1, last, 0)
     return numbers, np.diff(last, prepend=0) + 1, pa.concat_arrays([pa.array([b""], pa.large_binary()), spelled.dictionary])
 
 
-def _encode_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of texts as token numbers (16 bits, wider ones apart), then the words of each chunk.
+def _encode_batches(batches: Iterable[pa.RecordBatch], blocks: int) -> Iterator[pa.RecordBatch]:
+    """Chunks of texts as token numbers (16 bits, wider ones apart), then the words of each chunk, block by block.
 
     Number 0 is the end of a text, written as the empty word; the others go by frequency, so most fit 16 bits.
     """
-    # A word's number is its chunk's number times 2^31 plus its place there: 2^20 tasks of 2^12 chunks each.
+    # A chunk's number is its task's number times 2^12 plus its place there.
     chunk = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 12
     docs, size = [], 0
 
@@ -108,12 +134,17 @@ def _encode_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             ids=[np.minimum(x, _WIDE).astype("<u2").tobytes() for x in ranked],
             wide=[x[x >= _WIDE].astype("<u4").tobytes() for x in ranked],
         )
-        for at in range(0, n, 100_000):
-            part = order[at : at + 100_000]
-            yield batch_of(
-                len(part), chunk=np.full(len(part), chunk), word=words.take(pa.array(part)).cast(pa.binary()),
-                local=np.arange(at, at + len(part), dtype=np.int32), n=trained[part],
-            )
+        block = (np.fromiter(map(crc32, words.to_numpy(zero_copy_only=False)), np.uint32, n) % blocks).astype(np.int32)[order]
+        local = np.argsort(block, kind="stable")
+        found, first = np.unique(block[local], return_index=True)
+        edges, spelled = np.r_[first, n], words.take(pa.array(order[local]))
+        sizes = pc.binary_length(spelled).to_numpy()
+        letters = np.frombuffer(spelled.buffers()[2] or b"", np.uint8)
+        yield batch_of(
+            len(found), chunk=np.full(len(found), chunk), block=found, words=_packed(letters, np.r_[0, np.cumsum(sizes)][edges]),
+            sizes=_packed(sizes.astype("<u4"), edges), local=_packed(local.astype("<i4"), edges),
+            n=_packed(trained[order][local].astype("<i8"), edges),
+        )
 
     for batch in batches:
         for doc_id, held_out, text in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2)):
@@ -134,20 +165,53 @@ def _encode_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 _ENTRY = np.dtype([("key", "<u2"), ("n", "<u4")])
 _PAIR = np.dtype([("pair", "<u4"), ("n", "<u4")])
 
+_COUNTED = pa.schema([("chunk", pa.int64()), ("block", pa.int64()), ("local", pa.binary()), ("place", pa.binary()), ("c", pa.binary()),
+                      ("types", pa.int64()), ("tokens", pa.int64()), ("word", pa.binary()), ("word_id", pa.int64()), ("word_c", pa.int64())])
+_COUNTED_DDL = "chunk long, block long, local binary, place binary, c binary, types long, tokens long, word binary, word_id long, word_c long"
+
+
+def _count_block(found: pa.Table, most: int) -> pa.Table:
+    """One block: count and place in the block of each chunk's words, the ``most`` frequent words, and how many words and tokens there are.
+
+    A word's number is its block's number times 2^32 plus its place there. The empty word, the end of a text, is always among the words.
+    """
+    block, edges = found["block"][0].as_py(), _edges(found["sizes"], 4)
+    words = _spelled(b"".join(found["words"].to_pylist()), _unpacked(found["sizes"], "<u4")).dictionary_encode()
+    place = words.indices.to_numpy()
+    counts = np.zeros(len(words.dictionary), np.int64)
+    np.add.at(counts, place, _unpacked(found["n"], "<i8"))
+    least = max(1, int(np.partition(counts, -most - 1)[-most - 1])) if len(counts) > most else 1  # the end may be one of them
+    often = np.flatnonzero(counts >= least)
+    named = zip(counts[often].tolist(), words.dictionary.take(pa.array(often)).to_pylist(), often.tolist())
+    top = sorted((-c, w, i) for c, w, i in named if w)[:most]
+    end = words.dictionary.index(pa.scalar(b"", pa.large_binary())).as_py()
+    if end >= 0:
+        top.append((-int(counts[end]), b"", end))
+    rows = len(found)
+    slices = {"chunk": found["chunk"], "block": pa.array([block] * rows), "local": found["local"],
+              "place": _packed(place.astype("<i4"), edges), "c": _packed(counts[place].astype("<i8"), edges)}
+    totals = {"types": pa.array([int((counts > 0).sum())]), "tokens": pa.array([int(counts.sum())])}
+    frequent = {"word": pa.array([w for _, w, _ in top], pa.binary()), "word_id": pa.array([(block << 32) + i for _, _, i in top], pa.int64()),
+                "word_c": pa.array([-c for c, _, _ in top], pa.int64())}
+    return pa.concat_tables([
+        pa.table([some.get(f.name, pa.nulls(n, f.type)) for f in _COUNTED], schema=_COUNTED)
+        for n, some in ((rows, slices), (1, totals), (len(top), frequent))
+    ])
+
 
 def _labelled(words: pa.Table, seeds: np.ndarray, seed_symbols: np.ndarray, heads: int) -> tuple[np.ndarray, ...]:
     """Count, symbol and word number of each token number of a chunk, and which of them are words to be placed.
 
     Symbols under ``heads`` are words or classes; behind them stand the bands of words with less than ``MIN_COUNT``.
     """
-    local = words["local"].to_numpy()
-    placed = words["class"].is_valid().to_numpy()
-    n = int(local.max()) + 1 if len(local) else 1
+    placed, counted = (words.filter(pc.equal(words["class"].is_valid(), there)) for there in (True, False))
+    local = _unpacked(counted["local"], "<i4")
+    n = max(1, len(local))  # each number stands in one of the blocks
     counts, ids = np.zeros(n, np.int64), np.full(n, -1, np.int64)
-    counts[local[~placed]] = words["c"].fill_null(0).to_numpy()[~placed]
-    ids[local[~placed]] = words["word_id"].fill_null(-1).to_numpy()[~placed]
+    counts[local] = _unpacked(counted["c"], "<i8")
+    ids[local] = np.repeat(counted["block"].to_numpy() << 32, np.diff(_edges(counted["local"], 4))) + _unpacked(counted["place"], "<i4")
     symbols = heads + np.minimum(np.frexp(counts.astype(np.float64))[1], BANDS - 1)
-    symbols[local[placed]] = words["class"].fill_null(0).to_numpy()[placed]
+    symbols[_unpacked(placed["local"], "<i4")] = _unpacked(placed["class"], "<i4")
     at = np.minimum(np.searchsorted(seeds, ids), len(seeds) - 1)
     is_seed = seeds[at] == ids
     symbols[is_seed] = seed_symbols[at[is_seed]]
@@ -160,8 +224,9 @@ def _numbers(ids: bytes, wide: bytes) -> np.ndarray:
     return numbers
 
 
-_CONTEXTS = pa.schema([("bigrams", pa.binary()), ("word_id", pa.int64()), ("chunk", pa.int64()), ("local", pa.int32()), ("contexts", pa.binary())])
-_CONTEXTS_DDL = "bigrams binary, word_id long, chunk long, local int, contexts binary"
+_CONTEXTS = pa.schema([("bigrams", pa.binary()), ("block", pa.int64()), ("chunk", pa.int64()), ("place", pa.binary()), ("local", pa.binary()),
+                       ("sizes", pa.binary()), ("contexts", pa.binary())])
+_CONTEXTS_DDL = "bigrams binary, block long, chunk long, place binary, local binary, sizes binary, contexts binary"
 
 
 def _contexts(docs: pa.Table, words: pa.Table, seeds: np.ndarray, seed_symbols: np.ndarray, heads: int) -> pa.Table:
@@ -181,20 +246,24 @@ def _contexts(docs: pa.Table, words: pa.Table, seeds: np.ndarray, seed_symbols:
     table["pair"], table["n"] = pairs, n
 
     follows = np.roll(now, -1)
+    local = np.flatnonzero(wanted)
+    local = local[np.argsort(ids[local])]
+    rank = np.zeros(len(ids), np.int64)
+    rank[local] = np.arange(len(local))
     mine = wanted[numbers]
-    keys = np.concatenate([numbers[mine] * (2 * total) + follows[mine], numbers[mine] * (2 * total) + total + before[mine]])
-    keys, n = np.unique(keys, return_counts=True)
+    at = rank[numbers[mine]] * (2 * total)
+    keys, n = np.unique(np.concatenate([at + follows[mine], at + total + before[mine]]), return_counts=True)
     entries = np.empty(len(keys), _ENTRY)
     entries["key"], entries["n"] = keys % (2 * total), n
-    local = np.flatnonzero(wanted)
-    ends = np.searchsorted(keys, local * (2 * total) + 2 * total)
-    offsets = np.r_[0, ends].astype(np.int64) * _ENTRY.itemsize
-    packed = pa.Array.from_buffers(pa.large_binary(), len(local), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(entries.tobytes())])
+    ends = np.r_[0, np.searchsorted(keys, (np.arange(len(local)) + 1) * (2 * total))]
+    found, first = np.unique(ids[local] >> 32, return_index=True)
+    edges = np.r_[first, len(local)]
     chunk = docs["chunk"][0].as_py()
     return pa.concat_tables([
         pa.table([pa.array([table.tobytes()], pa.binary()), *(pa.nulls(1, f.type) for f in list(_CONTEXTS)[1:])], schema=_CONTEXTS),
-        pa.table([pa.nulls(len(local), pa.binary()), pa.array(ids[local]), pa.array(np.full(len(local), chunk)),
-                  pa.array(local.astype(np.int32)), packed.cast(pa.binary())], schema=_CONTEXTS),
+        pa.table([pa.nulls(len(found), pa.binary()), pa.array(found), pa.array(np.full(len(found), chunk)),
+                  _packed((ids[local] & 0xFFFFFFFF).astype("<i4"), edges), _packed(local.astype("<i4"), edges),
+                  _packed(np.diff(ends).astype("<u4"), edges), _packed(entries, ends[edges])], schema=_CONTEXTS),
     ])
 
 
@@ -407,6 +476,23 @@ def _place_batches(batches: Iterable[pa.RecordBatch], gains: np.ndarray, block:
         yield placed()
 
 
+_PLACED_DDL = "chunk long, local binary, class binary"
+
+
+def _place_block(found: pa.Table, gains: np.ndarray) -> pa.Table:
+    """The best class of each word of a block, for every chunk that has the word."""
+    found = found.sort_by("chunk")
+    edges, place, local = _edges(found["local"], 4), _unpacked(found["place"], "<i4"), _unpacked(found["local"], "<i4")
+    contexts = _spelled(b"".join(found["contexts"].to_pylist()), _unpacked(found["sizes"], "<u4").astype(np.int64) * _ENTRY.itemsize)
+    order = np.argsort(place, kind="stable")
+    chunk = np.repeat(found["chunk"].to_numpy(), np.diff(edges))
+    rows = [pa.array(place[order]), pa.array(chunk[order]), pa.array(local[order]), contexts.take(pa.array(order))]
+    batches = _place_batches([pa.RecordBatch.from_arrays(rows, names=["word_id", "chunk", "local", "contexts"])], gains)
+    classes = np.empty(len(order), "<i4")
+    classes[order] = np.concatenate([batch.column(2).to_numpy() for batch in batches])
+    return pa.table({"chunk": found["chunk"], "local": found["local"], "class": _packed(classes, edges)})
+
+
 # --- 5. Scores ----------------------------------------------------------------------------------------------------
 
 def log_weights(bigrams: np.ndarray, member: np.ndarray, types: int) -> np.ndarray:
@@ -453,24 +539,23 @@ def _score_texts(docs: DataFrame, id_col: str, text_col: str, sweeps: int) -> Da
         F.col(id_col).cast("long").alias("doc_id"), (fold(F.col(id_col), FOLDS) == HELD_OUT).alias("held_out"),
         F.col(text_col).cast("binary").alias("text"),
     )
-    encoded = packed(rows.mapInArrow(_encode_batches, _ENCODED_DDL), "lm-chunks")
-    vocabulary = encoded.where("word is not null").select("chunk", "local", "word", "n")
-
-    by_word = Window.partitionBy("word")
-    n_rows, tokens, n_chunks = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("local") == 0)).first()
-    own_id = F.shiftleft("chunk", 31) + F.col("local")
+    # Blocks follow from the length of all texts, so that none has more words as the table grows.
+    blocks = partitions_for(spark, rows.agg(F.sum(F.octet_length("text"))).first()[0], BLOCK_BYTES)
+    encoded = packed(rows.mapInArrow(partial(_encode_batches, blocks=blocks), _ENCODED_DDL), "lm-chunks")
+    vocabulary = encoded.where("block is not null").select("chunk", "block", "words", "sizes", "local", "n")
+
+    n_rows, n_chunks = vocabulary.agg(F.sum(F.octet_length("sizes") / 4), F.count_distinct("chunk")).first()
+    # No block need name more words than there would be seeds if all words were different.
+    most = SEEDS * class_count(int(n_rows or 0))
     counted = packed(
-        vocabulary.repartition(partitions_for(spark, n_rows, 2_000_000), "word")
-        .withColumn("own", own_id)
-        .withColumns({"c": F.sum("n").over(by_word), "word_id": F.min("own").over(by_word)})
-        .select("chunk", "local", "c", "word_id", F.when((F.col("own") == F.col("word_id")) & (F.col("c") > 0), F.col("word")).alias("word")),
-        "lm-counts",
+        vocabulary.repartition(blocks, "block").groupBy("block").applyInArrow(lambda found: _count_block(found, most), _COUNTED_DDL), "lm-counts",
     )
-    types = counted.where("word is not null").count()
+    types, tokens = counted.agg(F.coalesce(F.sum("types"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     classes = class_count(types)
     # The end of a text (number 0 of every chunk) is always a seed, whatever its count.
-    end = [r["word_id"] for r in counted.where("local = 0").select("word_id").limit(1).collect()]
-    frequent = counted.where("word is not null and word != X''").orderBy(F.desc("c"), "word").limit(SEEDS * classes - 1).select("word_id", "c").collect()
+    end = [r["word_id"] for r in counted.where("word = X''").select("word_id").collect()]
+    named = counted.where("word is not null and word != X''").select("word", "word_id", "word_c")
+    frequent = named.orderBy(F.desc("word_c"), "word").limit(SEEDS * classes - 1).select("word_id").collect()
     in_order = np.array((end or [-2]) + [r["word_id"] for r in frequent], np.int64)
     by_id = np.argsort(in_order)
     seeds, seed_symbols, heads = in_order[by_id], by_id.astype(np.int64), len(in_order)
@@ -478,12 +563,8 @@ def _score_texts(docs: DataFrame, id_col: str, text_col: str, sweeps: int) -> Da
     parts = partitions_for(spark, n_chunks, 4)
     texts = encoded.where("ids is not null").select("chunk", "doc_id", "held_out", "ids", "wide").repartition(parts, "chunk").groupBy("chunk")
 
-    def counts_from(least: int) -> DataFrame:
-        """Counts for each chunk; numbers only of ends and of words seen ``least`` times, because they are the bulk of what is shuffled."""
-        word_id = F.when((F.col("c") >= least) | (F.col("local") == 0), F.col("word_id")).alias("word_id")
-        return counted.select("chunk", "local", "c", word_id, F.lit(None).cast("int").alias("class"))
-
-    slices = counts_from(MIN_COUNT if sweeps else 0)
+    counts = counted.where("local is not null").select("chunk", "block", "local", "place", "c", F.lit(None).cast("binary").alias("class"))
+    slices = counts
 
     def grid_of(found: DataFrame, total: int) -> np.ndarray:
         grid = np.zeros(total * total)
@@ -506,16 +587,13 @@ def _score_texts(docs: DataFrame, id_col: str, text_col: str, sweeps: int) -> Da
         else:
             member = np.arange(total)
         gains = gain_table(bigrams, member, classes)
-        todo = contexts.where("bigrams is null").select("word_id", "chunk", "local", "contexts")
+        todo = contexts.where("bigrams is null").drop("bigrams")
         placed = packed(
-            todo.repartition(partitions_for(spark, n_rows, 1_000_000), "word_id").sortWithinPartitions("word_id", "chunk")
-            .mapInArrow(partial(_place_batches, gains=gains), "chunk long, local int, class int"), f"lm-classes-{sweep}",
+            todo.repartition(blocks, "block").groupBy("block").applyInArrow(lambda found: _place_block(found, gains), _PLACED_DDL),
+            f"lm-classes-{sweep}",
         )
         let_go(contexts)  # both its bigrams and its words are used up
-        nothing = F.lit(None).cast("long")
-        # After the last sweep only seeds are told by their numbers.
-        counts = counts_from(MIN_COUNT if sweep + 1 < sweeps else min((r["c"] for r in frequent), default=0))
-        slices = counts.union(placed.select("chunk", "local", nothing.alias("c"), nothing.alias("word_id"), "class"))
+        slices = counts.unionByName(placed, allowMissingColumns=True)
         heads = classes
 
     total = heads + BANDS

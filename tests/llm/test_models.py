@@ -8,9 +8,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from gradewell.llm import class_lm, language_id, quality
+from gradewell.llm import class_lm, common, language_id, quality
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -313,6 +314,83 @@ def test_contexts_go_with_their_sweep(documents, monkeypatch):
     assert left == set(files) - {"lm-contexts-0", "lm-contexts-1"} and len(files) == 7
 
 
+def test_tables_of_words_have_a_row_for_each_chunk_and_block(documents, monkeypatch):
+    """There was a row for each word of a chunk, which Spark wrote, shuffled and sorted in every sweep."""
+    rows, write = {}, class_lm.hand_over
+
+    def recorded(df, name, **how):
+        out = write(df, name, **how)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(class_lm, "hand_over", recorded)
+    assert class_lm.score_texts(documents.coalesce(1)).count() == documents.count()
+    blocks = common.partitions_for(documents.sparkSession, 0, 1)
+    assert rows["lm-chunks"] <= documents.count() + blocks and all(rows[f"lm-classes-{k}"] <= blocks for k in range(2))
+    named = min(class_lm.SEEDS * class_lm.class_count(10**6), 2_000)
+    assert rows["lm-counts"] <= blocks * (named + 3) and all(rows[f"lm-contexts-{k}"] <= blocks + 1 for k in range(2))
+
+
+def block_of(chunks, dealt=5):
+    """Chunks of (word, local, count) as a block of the vocabulary."""
+    return pa.table({
+        "chunk": pa.array([k for k, _ in chunks]), "block": pa.array([dealt] * len(chunks), pa.int32()),
+        "words": pa.array([b"".join(w for w, _, _ in ws) for _, ws in chunks], pa.binary()),
+        "sizes": pa.array([np.array([len(w) for w, _, _ in ws], "<u4").tobytes() for _, ws in chunks], pa.binary()),
+        "local": pa.array([np.array([i for _, i, _ in ws], "<i4").tobytes() for _, ws in chunks], pa.binary()),
+        "n": pa.array([np.array([n for _, _, n in ws], "<i8").tobytes() for _, ws in chunks], pa.binary()),
+    })
+
+
+@pytest.mark.parametrize("most", [1, 3, 4, 100])
+def test_words_of_a_block_are_counted_over_its_chunks(most):
+    chunks = [(9, [(b"", 0, 2**40), (b"the", 1, 3), (b"b", 7, 0), (b"zz", 4, 1)]), (2, [(b"c", 3, 1), (b"the", 2, 4), (b"b", 1, 0)]), (4, [(b"a", 1, 1)])]
+    out = class_lm._count_block(block_of(chunks), most)
+    want = Counter()
+    for _, words in chunks:
+        want.update({w: n for w, _, n in words})
+    slices = out.filter(pc.is_valid(out["chunk"])).to_pylist()
+    number = {}
+    for row, (chunk, words) in zip(slices, chunks):
+        assert row["chunk"] == chunk and np.frombuffer(row["local"], "<i4").tolist() == [i for _, i, _ in words]
+        assert np.frombuffer(row["c"], "<i8").tolist() == [want[w] for w, _, _ in words]
+        for (w, _, _), place in zip(words, np.frombuffer(row["place"], "<i4").tolist()):
+            assert number.setdefault(w, place) == place
+    assert len(set(number.values())) == len(number)
+    totals = out.filter(pc.is_valid(out["types"])).to_pylist()
+    assert [(r["types"], r["tokens"]) for r in totals] == [(sum(n > 0 for n in want.values()), sum(want.values()))]
+    # The frequent words, ties to the word lower in byte order, and always the end.
+    named = [(r["word"], r["word_id"], r["word_c"]) for r in out.filter(pc.is_valid(out["word"])).to_pylist()]
+    top = sorted((w for w in want if w and want[w]), key=lambda w: (-want[w], w))[:most]
+    assert named == [(w, (5 << 32) + number[w], want[w]) for w in [*top, b""]]
+
+
+def test_a_block_without_the_end_or_training_words():
+    out = class_lm._count_block(block_of([(1, [(b"x", 2, 0)]), (0, [(b"x", 1, 0), (b"y", 3, 0)])]), 4)
+    assert not out["word"].drop_null().to_pylist() and out["types"].drop_null().to_pylist() == out["tokens"].drop_null().to_pylist() == [0]
+
+
+def test_words_of_a_block_are_placed_over_its_chunks():
+    rng = np.random.default_rng(8)
+    gains = np.log(rng.random((40, 6)))
+    rows, want = [], np.zeros((30, 6))
+    for chunk in (7, 1, 4):
+        place = np.sort(rng.choice(30, 20, replace=False)).astype("<i4")
+        sizes = rng.integers(0, 4, 20).astype("<u4")
+        entries = np.zeros(int(sizes.sum()), class_lm._ENTRY)
+        entries["key"], entries["n"] = rng.integers(0, 40, len(entries)), rng.integers(1, 9, len(entries))
+        np.add.at(want, np.repeat(place, sizes), gains[entries["key"]] * entries["n"][:, None])
+        rows.append({"block": 3, "chunk": chunk, "place": place.tobytes(), "local": rng.permutation(20).astype("<i4").tobytes(),
+                     "sizes": sizes.tobytes(), "contexts": entries.tobytes()})
+    found = pa.Table.from_pylist(rows)
+    got = {r["chunk"]: r for r in class_lm._place_block(found, gains).to_pylist()}
+    best = np.argmax(np.round(want, 6), axis=1)
+    assert set(got) == {1, 4, 7}
+    for row in rows:
+        assert got[row["chunk"]]["local"] == row["local"]
+        assert np.frombuffer(got[row["chunk"]]["class"], "<i4").tolist() == best[np.frombuffer(row["place"], "<i4")].tolist()
+
+
 def test_shuffles_go_with_their_queries(spark, monkeypatch):
     """All shuffles of the run stood on disk beside its tables until the driver collected garbage."""
     key, seen = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
